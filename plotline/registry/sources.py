@@ -1 +1,240 @@
+"""Scans, parsers and sinks."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from plotline.registry import corpora, query
+from plotline.registry.functions import WORD
+from plotline.sources import fdx, ingest, layout, lines, parsing, sink, stage, truth
+from plotline.sources.tables import SCHEMAS
+
+
+def payloads(t):
+    return t.documents.select("doc_id", "text", F.encode("text", "UTF-8").alias("content"),
+                              F.concat("source", F.lit("/My-doc_"), "doc_id", F.lit(".Fountain"))
+                              .alias("source_name"))
+
+
+@query("S1_content_identity", """SELECT doc_id, sha256(text) AS content_hash, 'fountain' AS extension,
+    CAST(octet_length(encode(text)) AS BIGINT) AS size, octet_length(encode(text)) > 8388608 AS rejected
+    FROM documents""")
+def s1(t):
+    return ingest.identify(payloads(t)).select(
+        "doc_id", "content_hash", "extension", "size", F.col("rejection").isNotNull().alias("rejected"))
+
+
+@query("S2_decode_text", """SELECT doc_id, md5(text) AS digest FROM documents""")
+def s2(t):
+    """Every document in one of five encodings, decoded back."""
+    text = F.col("text")
+    latin = ~text.rlike(r"[^\x00-\x7f\xa0-\xff]")
+    utf16le = F.concat(F.unhex(F.lit("FFFE")), F.encode(text, "UTF-16LE"))
+    utf16be = F.concat(F.unhex(F.lit("FEFF")), F.encode(text, "UTF-16BE"))
+    utf8bom = F.concat(F.unhex(F.lit("EFBBBF")), F.encode(text, "UTF-8"))
+    k = F.col("doc_id") % 5
+    content = (F.when(k == 0, utf16le).when(k == 1, utf16be).when(k == 2, utf8bom)
+               .when((k == 3) & latin, F.encode(F.when(latin, text), "ISO-8859-1"))
+               .otherwise(F.encode(text, "UTF-8")))
+    return ingest.decode(t.documents.select("doc_id", content.alias("content"))).select(
+        "doc_id", F.md5("text").alias("digest"))
+
+
+SHAPED = (f"CASE n_chars % 7 WHEN 0 THEN 'Title: T' || chr(10) || chr(10) || 'INT. HALL - DAY' || chr(10) || text "
+          f"WHEN 1 THEN 'INT. HALL - DAY' || chr(10) || chr(10) || text || chr(10) || '[[a note]]' "
+          f"WHEN 2 THEN 'INT. HALL - DAY' || chr(10) || text "
+          f"WHEN 3 THEN '<?xml version=\"1.0\"?><x>' || text || '</x>' "
+          f"WHEN 4 THEN '<?xml version=\"1.0\"?><FinalDraft>' || text || '</FinalDraft>' "
+          f"WHEN 5 THEN 'junk %PDF-1.4 ' || text ELSE text END")
+MARKS = [r"(?m)^\s*\.[A-Za-z]", r"(?m)^\s*@[A-Za-z]", r"(?m)^\s*!", r"(?m)^\s*>.+<\s*$", r"(?s)\[\[.+?\]\]",
+         r"(?m)^\s*={3,}\s*$", r"(?m)#[\p{L}\p{N}_.\-]+#\s*$", r"(?m)^\s*\S.*\^\s*$"]
+HITS = " + ".join(f"CAST(regexp_matches(x, '{m}') AS INTEGER)" for m in MARKS)
+TITLED = ingest.FOUNTAIN_TITLE.replace("(?imdU)", "(?im)")
+
+
+@query("S3_detect_format", rf"""WITH s AS (SELECT doc_id, n_chars % 7 AS k, {SHAPED} AS x FROM documents),
+    h AS (SELECT *, {HITS} AS hits, regexp_matches(left(x, 2000), '{TITLED}') AS titled,
+      k IN (0, 1, 2) AS slugs FROM s)
+    SELECT doc_id, CASE WHEN k = 3 THEN 'unknown' WHEN k = 4 THEN 'fdx' WHEN k = 5 THEN 'pdf'
+        WHEN hits >= 2 OR (titled AND hits >= 1) OR (titled AND slugs) OR (hits = 1 AND slugs) THEN 'fountain'
+        ELSE 'plain_text' END AS format,
+      CASE WHEN k = 3 THEN 0.2 WHEN k = 4 THEN 1.0 WHEN k = 5 THEN 0.8
+        WHEN hits >= 2 OR (titled AND hits >= 1) THEN 0.95 WHEN titled AND slugs THEN 0.8
+        WHEN hits = 1 AND slugs THEN 0.6 WHEN slugs THEN 0.7 ELSE 0.3 END AS confidence FROM h""")
+def s3(t):
+    shaped = t.documents.select("doc_id", F.expr(SHAPED).alias("text"), F.lit("txt").alias("extension"))
+    rows = shaped.withColumn("content", F.encode("text", "UTF-8"))
+    return ingest.detect(rows).select("doc_id", "format", "confidence")
+
+
+@query("S4_line_offsets", """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+      generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
+    o AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY pos
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM l)
+    SELECT doc_id, count(*) AS lines, CAST(sum(start) AS BIGINT) AS starts, CAST(max(start) AS BIGINT) AS last
+    FROM o GROUP BY doc_id""")
+def s4(t):
+    return lines.lines(t.documents).groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("lines"), F.sum("start").alias("starts"), F.max("start").alias("last"))
+
+
+@query("S5_fountain_units", "WITH " + corpora.UNITS_SQL + """ SELECT script_id, scene_index, sequence_index,
+    unit_type, md5(text) AS digest, speaker FROM units""")
+def s5(t):
+    _, units, _ = parsing.fountain(corpora.fountain_texts(t))
+    return units.select(F.col("doc_id").alias("script_id"), "scene_index", "sequence_index", "unit_type",
+                        F.md5("text").alias("digest"), "speaker")
+
+
+PLAIN = f"'INT. ' || {WORD} || ' - NIGHT #' || doc_id || '#' || chr(10) || chr(10) || text"
+_CUE = (r"^([\p{L}\p{Nl}\p{No}][\p{L}\p{N}_ .''\-#&]*?)((?:\s*\((?:[^)]*)\))*)\s*(\^)?\s*$")
+_HEAD = r"(?i)^(INT\.?/EXT\.?|EXT\.?/INT\.?|I/E\.?|INT\.?|EXT\.?|EST\.?)([\s.].*)$"
+_SHOT = parsing.H.SHOT
+_CUT = parsing.H.TRANSITION.replace("'", "''")
+
+
+@query("S6_plain_units", rf"""WITH d AS (SELECT doc_id, {PLAIN} AS x FROM documents),
+    l AS (SELECT doc_id, unnest(string_split(x, chr(10))) AS line,
+      generate_subscripts(string_split(x, chr(10)), 1) AS pos FROM d),
+    s AS (SELECT *, trim(line, E' \t\r\n\x0b\x0c') AS s, length(line) - length(ltrim(line, E' \t')) AS indent FROM l),
+    m AS (SELECT *, min(indent) FILTER (s <> '') OVER (PARTITION BY doc_id) AS margin FROM s),
+    f AS (SELECT *, count(*) FILTER (s <> '' AND indent > margin + 2) OVER (PARTITION BY doc_id) < 4 AS flat FROM m),
+    c AS (SELECT *, regexp_matches(s, '{_HEAD}') AS head, regexp_matches(s, '{_CUT}') AS cut,
+      s LIKE '(%)' AS br, s <> '' AND s = replace(upper(s), 'ẞ', 'SS') AND NOT regexp_matches(s, '{_HEAD}')
+        AND NOT regexp_matches(s, '{_CUT}') AND regexp_matches(s, '{_CUE}')
+        AND regexp_matches(trim(rtrim(trim(regexp_extract(s, '{_CUE}', 1), '_ '), '.'), '_'), '\p{{L}}') AS cue,
+      regexp_matches(s, '{_SHOT}') AS shot FROM f),
+    g AS (SELECT *, sum(CASE WHEN s = '' OR head OR cut THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos)
+        AS seg, sum(CASE WHEN head THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS scene_index,
+      NOT head AND NOT cut AND (br OR (NOT flat AND indent - margin >= 18 AND cue) OR
+        ((flat OR indent - margin < 6) AND cue AND length(s) <= 40 AND NOT shot)) AS st FROM c),
+    k AS (SELECT *, coalesce(max(CASE WHEN st THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, seg ORDER BY pos
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS sp FROM g WHERE s <> ''),
+    u AS (SELECT doc_id, scene_index, CASE WHEN head THEN 'scene_heading' WHEN cut THEN 'transition' WHEN br
+      THEN 'parenthetical' WHEN NOT flat AND indent - margin >= 18 AND cue THEN 'character'
+      WHEN NOT flat AND indent - margin >= 6 THEN CASE WHEN sp THEN 'dialogue' ELSE 'action' END
+      WHEN NOT sp AND cue AND length(s) <= 40 THEN CASE WHEN shot THEN 'shot' ELSE 'character' END
+      WHEN sp THEN 'dialogue' WHEN shot THEN 'shot' ELSE 'action' END AS unit_type, length(s) AS n,
+      CASE WHEN flat THEN 0.6 ELSE 0.9 END AS confidence FROM k WHERE NOT head)
+    SELECT doc_id, scene_index, unit_type, confidence, count(*) AS units, CAST(sum(n) AS BIGINT) AS chars
+    FROM u GROUP BY 1, 2, 3, 4""")
+def s6(t):
+    texts = t.documents.select("doc_id", F.expr(PLAIN).alias("text"))
+    _, units, _ = parsing.plain(texts)
+    return units.filter("unit_type <> 'scene_heading'").groupBy(
+        "doc_id", "scene_index", "unit_type", "confidence").agg(
+        F.count(F.lit(1)).alias("units"), F.sum(F.char_length("text")).alias("chars"))
+
+
+@query("S7_stage_play_units", r"""WITH l AS (SELECT conv_id, turn, upper(role) AS cue, list_filter(list_transform(
+      string_split(trim(text), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS ls FROM conversations)
+    SELECT conv_id, turn // 3 AS scene_index, '2.' || (turn // 3 + 1) AS number, 'A room of the house' AS heading,
+      1 + (turn % 3) * 2 + 1 AS sequence_index, cue AS speaker, md5(array_to_string(ls, ' ')) AS digest FROM l""")
+def s7(t):
+    scenes, units, _ = stage.stage_play(corpora.play_texts(t))
+    return units.filter("unit_type = 'dialogue'").join(scenes, ["doc_id", "scene_index"]).select(
+        F.col("doc_id").alias("conv_id"), "scene_index", "number", "heading", "sequence_index", "speaker",
+        F.md5("text").alias("digest"))
+
+
+@query("S8_final_draft_units", "WITH " + corpora.UNITS_SQL + """ SELECT script_id, scene_index, sequence_index,
+    unit_type, md5(text) AS digest, speaker, (scene_index + 1) || 'A' AS number, unit_type = 'action' AS unknown
+    FROM units""")
+def s8(t):
+    scenes, units, _ = fdx.final_draft(corpora.fdx_texts(t))
+    return units.join(scenes.select("doc_id", "scene_index", "number"), ["doc_id", "scene_index"]).select(
+        F.col("doc_id").alias("script_id"), "scene_index", "sequence_index", "unit_type",
+        F.md5("text").alias("digest"), "speaker", "number", "unknown")
+
+
+@query("S9_positioned_units", """WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1
+      AS n, unnest(string_split(text, chr(10))) AS b FROM documents)
+    SELECT doc_id, CASE WHEN n = 0 THEN 'scene_heading' WHEN n % 5 = 3 THEN 'character' WHEN n % 5 = 4
+      THEN CASE WHEN n % 40 = 0 THEN 'action' ELSE 'dialogue' END ELSE 'action' END AS unit_type,
+      count(*) AS units, CAST(sum(n) AS BIGINT) AS places FROM l GROUP BY 1, 2""")
+def s9(t):
+    rows = corpora.positioned_lines(t)
+    _, units = layout.positioned(rows.drop("n"))
+    # Every line is its own block here, so the block number is the line number.
+    return units.groupBy("doc_id", "unit_type").agg(F.count(F.lit(1)).alias("units"),
+                                                    F.sum("block").alias("places"))
+
+
+@query("S10_import_limits", "WITH " + corpora.UNITS_SQL + """, k AS (SELECT script_id, count(DISTINCT scene_index) AS s
+      FROM units GROUP BY 1), b AS (SELECT script_id, scene_index, count(*) AS n FROM units GROUP BY 1, 2)
+    SELECT script_id, (SELECT count(*) FROM units u WHERE u.script_id = k.script_id AND scene_index < 2
+        AND sequence_index < 5) AS units, CASE WHEN s > 2 THEN 1 ELSE 0 END + (SELECT count(*) FROM b
+        WHERE b.script_id = k.script_id AND scene_index < 2 AND n > 5) AS warnings,
+      CASE WHEN s > 2 OR EXISTS (SELECT 1 FROM b WHERE b.script_id = k.script_id AND scene_index < 2 AND n > 5)
+        THEN 'needs_review' ELSE 'accepted' END AS outcome FROM k""")
+def s10(t):
+    _, scenes, units = corpora.script_frames(t)
+    scenes, units, warnings = ingest.enforce_limits(
+        scenes.withColumnRenamed("script_id", "doc_id"), units.withColumnRenamed("script_id", "doc_id"), 2, 5)
+    kept = units.groupBy("doc_id").agg(F.count(F.lit(1)).alias("units"))
+    told = warnings.groupBy("doc_id").agg(F.count(F.lit(1)).alias("warnings"))
+    verdicts = kept.select("doc_id", F.lit(True).alias("is_screenplay"), F.lit(False).alias("needs_review"))
+    return (kept.join(told, "doc_id", "left").na.fill(0, ["warnings"])
+            .join(ingest.outcome(warnings, verdicts), "doc_id").withColumnRenamed("doc_id", "script_id"))
+
+
+@query("S11_duplicate_twins", """WITH k AS (SELECT md5(text) AS h, count(*) AS copies, max(doc_id) AS twin
+      FROM documents GROUP BY 1 HAVING count(*) > 1)
+    SELECT doc_id, twin AS twin_id, copies FROM documents JOIN k ON h = md5(text)""")
+def s11(t):
+    imports = ingest.identify(payloads(t)).select(
+        F.col("doc_id").alias("import_id"), "content_hash", F.col("doc_id").alias("imported_at"))
+    return ingest.twins(imports).select(F.col("import_id").alias("doc_id"), "twin_id", "copies")
+
+
+@query("S12_corpus_tables", "WITH " + corpora.UNITS_SQL + """ SELECT sha256(concat_ws('|', script_id, scene_index,
+    sequence_index)) AS unit_id, sha256(concat_ws('|', script_id, scene_index)) AS scene_id FROM units
+    WHERE script_id % 2 = 0""")
+def s12(t):
+    _, scenes, units = corpora.script_frames(t)
+    verdicts = units.select(F.col("script_id").alias("doc_id")).distinct().withColumn(
+        "outcome", F.when(F.col("doc_id") % 2 == 0, "accepted").otherwise("rejected"))
+    tables = ingest.corpus_tables(verdicts, scenes.withColumnRenamed("script_id", "doc_id"),
+                                  units.withColumnRenamed("script_id", "doc_id"))
+    return tables["units"].select("unit_id", "scene_id")
+
+
+@query("S13_title", """SELECT doc_id, CASE n_chars % 3 WHEN 0 THEN 'Big ' || source WHEN 1 THEN 'My doc ' || doc_id
+    ELSE 'Untitled' END AS title FROM documents""")
+def s13(t):
+    front = F.when(F.col("n_chars") % 3 == 0, F.concat(F.lit("Author: A\nTITLE : Big "), "source", F.lit("\n\n"),
+                                                       "text")).otherwise(F.concat(F.lit("\n\nTitle: no\n"), "text"))
+    name = F.when(F.col("n_chars") % 3 < 2, F.concat(F.lit("a/b/My-doc_"), "doc_id", F.lit(".txt"))).otherwise("x/-_.txt")
+    return t.documents.select("doc_id", ingest.title(ingest.fountain_title(front), name).alias("title"))
+
+
+@query("S14_ground_truth_tables", """SELECT p_partkey AS doc_id, p_name AS name, 'vfx' AS entity_type,
+    'The ' || p_name || ';' || p_brand AS aliases, 2 AS attributes, p_size || 'A' AS establishes,
+    '5;32B;' || p_partkey AS dependants, p_size::VARCHAR AS scene, 'scene' AS subject, 'requires' AS predicate,
+    0.68 AS confidence FROM part""")
+def s14(t):
+    frames = truth.routed(truth.tables(corpora.truth_texts(t)))
+    attributes = frames["attributes"].groupBy("doc_id").agg(F.count(F.lit(1)).alias("attributes"))
+    return (frames["entities"].select("doc_id", "name", "entity_type", F.array_join("aliases", ";").alias("aliases"))
+            .join(attributes, "doc_id")
+            .join(frames["chains"].select("doc_id", "establishes", F.array_join("dependants", ";")
+                                          .alias("dependants")), "doc_id")
+            .join(frames["assertions"].select("doc_id", "scene", "subject", "predicate", "confidence"), "doc_id"))
+
+
+@query("S15_fountain_export", "WITH " + corpora.UNITS_SQL + """, b AS (SELECT *, sum(CASE WHEN unit_type = 'dialogue' THEN 0
+      ELSE 1 END) OVER (PARTITION BY script_id, scene_index ORDER BY sequence_index) AS r FROM units),
+    c AS (SELECT script_id, scene_index, r, string_agg(text, chr(10) ORDER BY sequence_index) AS x FROM b GROUP BY 1, 2, 3)
+    SELECT script_id, md5('Title: Script ' || script_id || chr(10) || chr(10) || string_agg(x, chr(10) || chr(10)
+      ORDER BY scene_index, r) || chr(10)) AS digest FROM c GROUP BY 1""")
+def s15(t):
+    return sink.export_fountain(*corpora.script_frames(t)).select("script_id", F.md5("text").alias("digest"))
+
+
+@query("S16_table_scan", "\nUNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS n FROM {n}" for n in SCHEMAS))
+def s16(t):
+    out = None
+    for name in SCHEMAS:
+        row = getattr(t, name).agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n"))
+        out = row if out is None else out.unionByName(row)
+    return out

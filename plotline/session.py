@@ -7,6 +7,7 @@ cluster job needs: adaptive execution with skew splitting, UTC, Arrow.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,21 +27,32 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession
     builder = (SparkSession.builder.master(f"local[{cores}]").appName("plotline")
                .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
                .config("spark.driver.memory", "16g")
-               .config("spark.ui.enabled", "false"))
+               .config("spark.ui.enabled", "false")
+               .config("spark.ui.showConsoleProgress", "false"))
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder every executor sees, as the cluster names it.
+
+    Only where the setting is absent (a local test) is one made.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None:
+        named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage through the cluster's shared checkpoint folder.
+    """Write a frame once and go on from the written table.
 
-    Reliable checkpoints survive the loss of executors. The folder is read from
-    ``spark.checkpoint.dir``; one is made only where none is named.
+    Used where one result feeds several branches: lineage ends here, the work
+    above is done once, and a lost executor costs no recomputation of it.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return df.checkpoint(eager=True)
+    table = f"{shared_folder(spark)}/plotline-{uuid.uuid4().hex}"
+    df.write.parquet(table)
+    return spark.read.schema(df.schema).parquet(table)

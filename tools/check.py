@@ -62,7 +62,7 @@ def main() -> int:
             got = entry.run(spark, folder).toPandas()
         except Exception as error:  # report every query
             bad += 1
-            print(f"ERROR {name}: {str(error)[:1500]}")
+            print(f"ERROR {name}: {str(error)[:700]}")
             continue
         took = time.time() - began
         if entry.sql is None:
