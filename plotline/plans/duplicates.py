@@ -9,6 +9,7 @@ from plotline import vocab
 from plotline.functions.words import spaced
 from plotline.operators import mentions
 from plotline.operators.joins import endpoint_frame
+from plotline.session import durable
 
 SCOPE = ["script_id", "entity_type"]
 
@@ -67,8 +68,8 @@ def detect(entities: DataFrame, aliases: DataFrame, distinctions: DataFrame,
     larger number of matches of either entity: clean decisions sort first.
     """
     found = containment_pairs(entities).unionByName(alias_pairs(entities, aliases))
-    pairs = (found.groupBy(*SCOPE, "a_id", "b_id").agg(F.min("reason").alias("reason"))
-             .join(separated(distinctions), ["a_id", "b_id"], "left_anti"))
+    pairs = durable(found.groupBy(*SCOPE, "a_id", "b_id").agg(F.min("reason").alias("reason"))
+                    .join(separated(distinctions), ["a_id", "b_id"], "left_anti"))
     ends = pairs.select(F.explode(F.array("a_id", "b_id")).alias("entity_id"))
     degree = ends.groupBy("entity_id").agg(F.count(F.lit(1)).alias("matches"))
     facts = (entities.select("entity_id", F.char_length("canonical_name").alias("size"))

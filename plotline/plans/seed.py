@@ -9,6 +9,7 @@ from plotline.functions import names
 from plotline.functions.words import first_endpoint, second_endpoint
 from plotline.operators import joins, quality
 from plotline.operators.filters import dedupe_key
+from plotline.session import durable
 
 
 
@@ -21,13 +22,13 @@ def entity_rows(frames: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
     rows = stated.unionByName(chained).withColumn("key", names.normalize(F.col("name"))).filter("key <> ''")
     first = rows.groupBy("doc_id", "key").agg(F.min_by(F.struct("name", "entity_type"), F.struct(
         "part", "table", "row")).alias("e"))
-    entities = first.select("doc_id", "key", F.col("e.name").alias("canonical_name"), "e.entity_type",
-                            F.sha2(F.concat_ws("|", "doc_id", "e.entity_type", "key"), 256).alias("entity_id"))
+    entities = durable(first.select("doc_id", "key", F.col("e.name").alias("canonical_name"), "e.entity_type",
+                            F.sha2(F.concat_ws("|", "doc_id", "e.entity_type", "key"), 256).alias("entity_id")))
     other = rows.withColumn("alias", F.explode("aliases")).withColumn(
         "alias_key", names.normalize(F.col("alias"))).filter("alias_key <> '' AND alias_key <> key")
     aliases = other.groupBy("doc_id", "key", "alias_key").agg(F.min("alias").alias("alias")).join(
         entities.select("doc_id", "key", "entity_id"), ["doc_id", "key"])
-    return entities, aliases
+    return entities, durable(aliases)
 
 
 def seed(frames: dict[str, DataFrame], scenes: DataFrame, units: DataFrame,
@@ -100,7 +101,7 @@ def _placed(wanted, entities, aliases, units, existing):
         "object_kind": F.when(F.col("o") == "scene", "scene").otherwise("entity")})
     reason = F.when(F.col("s").isNull() | F.col("o").isNull(), "unresolved_endpoint").otherwise(
         quality.signature_reason(subject_type="s_type", object_type="o_type"))
-    rows = rows.withColumn("reason", reason)
+    rows = durable(rows.withColumn("reason", reason))
     good = rows.filter("reason IS NULL").withColumn("entity_id", F.when(
         F.col("subject_kind") == "entity", F.col("s")).otherwise(F.col("o")))
     last = F.element_at(F.split("canonical_name", r"\s+"), -1)
@@ -109,7 +110,7 @@ def _placed(wanted, entities, aliases, units, existing):
     needles = own.unionByName(aliases.select("entity_id", F.col("alias").alias("needle"))).distinct()
     pairs = good.select("scene_id", "entity_id").distinct().join(needles, "entity_id")
     cited = joins.first_mention(pairs, units)
-    located = good.join(cited, ["scene_id", "entity_id"], "left")
+    located = durable(good.join(cited, ["scene_id", "entity_id"], "left"))
     unplaced = located.filter("unit_id IS NULL").select("doc_id", F.lit("no_unit").alias("reason"))
     p = F.col("predicate")
     located = located.filter("unit_id IS NOT NULL").withColumns({

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plotline.functions.text import strip
+from plotline.session import durable
 from plotline.sources.lines import doc_so_far, lines
 
 # What the confidence words stand for.
@@ -52,7 +53,7 @@ def scene_numbers(cell: Column) -> Column:
 
 def routed(rows: DataFrame) -> dict[str, DataFrame]:
     """entities, attributes, chains and scene assertions by table header."""
-    r = rows.withColumn("columns", F.transform("header", F.lower))
+    r = durable(rows.withColumn("columns", F.transform("header", F.lower)))
     has = lambda name: F.array_contains("columns", F.lit(name))
     is_entities = has("canonical name") & has("type")
     first3 = F.array_join(F.slice("columns", 1, 3), "|")
