@@ -138,7 +138,7 @@ def last_before(rows: DataFrame, marks: DataFrame, keys: list[str], at: str, row
     placed = F.when(F.col("_side") == 0, F.struct(at, mark_id))
     blocks = scans.carry(blocks.withColumn("_placed", placed), keys,
                          {"_before": (F.max("_placed"), F.max)})
-    order = [F.col(at), F.col("_side"), F.coalesce(mark_id, row_id)]
+    order = [F.col(at), F.col("_side")]
     inside = F.max("_placed").over(scans.within(keys, order).rowsBetween(
         Window.unboundedPreceding, 0))
     found = blocks.withColumn("_found", F.coalesce(inside, F.col("_before")))

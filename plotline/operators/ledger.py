@@ -9,6 +9,7 @@ from plotline import vocab
 from plotline.functions.figures import cost_display
 from plotline.operators import scans
 from plotline.operators.filters import first_in
+from plotline.operators.joins import last_before
 
 
 def zero(c: str) -> Column:
@@ -38,41 +39,43 @@ def cost_by_model(calls: DataFrame, rates: DataFrame) -> DataFrame:
     return priced(totals, rates).drop("input_rate", "output_rate")
 
 
-def answered_by(calls: DataFrame, questions: DataFrame, key: str) -> DataFrame:
+def _micros(c: str) -> Column:
+    return F.unix_micros(F.col(c).cast("timestamp"))
+
+
+def answered_by(calls: DataFrame, questions: DataFrame, key: str,
+                hot_rows: int | None = None) -> DataFrame:
     """The first question logged within two minutes after each query call.
 
-    A question is offered to its own two-minute bucket and the one before it,
-    so the range condition becomes an equi join on (key, bucket).
+    The first question at or after a call is an as-of lookup, done by one ordered
+    scan over both sides (time negated), so no call is paired with more than one
+    question. The two minutes are checked on what was found.
     """
-    width = vocab.QUESTION_WINDOW_SECONDS
-    bucket = F.floor(F.unix_seconds(F.col("_at").cast("timestamp")) / width)
-    asked = questions.withColumn("_at", F.col("asked_at")).withColumn("_bucket", bucket)
-    asked = asked.withColumn("_bucket", F.explode(F.array(F.col("_bucket"),
-                                                          F.col("_bucket") - 1)))
-    made = calls.withColumn("_at", F.col("created_at")).withColumn("_bucket", bucket)
-    near = made.select("call_id", "created_at", F.col(key).alias("_key"), "_bucket").join(
-        asked.select(F.col(key).alias("_key"), "_bucket", "asked_at", "question"),
-        ["_key", "_bucket"])
-    limit = F.expr(f"INTERVAL {width} SECONDS")
-    near = near.filter((F.col("asked_at") >= F.col("created_at"))
-                       & (F.col("asked_at") <= F.col("created_at") + limit))
-    return near.groupBy("call_id").agg(
-        F.min_by("question", F.struct("asked_at", "question")).alias("question"))
-
-
-def holding(spans: DataFrame, points: DataFrame, key: str) -> DataFrame:
+    made = calls.select("call_id", F.col(key).alias("_key"), (-_micros("created_at")).alias("_at"))
+    asked = questions.select(F.col(key).alias("_key"), (-_micros("asked_at")).alias("_at"),
+                             F.struct((-_micros("asked_at")).alias("at"), "question").alias("mark"))
+    found = last_before(made, asked, ["_key"], "_at", "call_id", "mark",
+                        [F.expr("_at div 3600000000")], hot_rows)
+    wait = F.col("_at") - F.col("mark.at")
+    return found.filter(wait <= vocab.QUESTION_WINDOW_SECONDS * 1000000).select(
+        "call_id", F.col("mark.question").alias("question"))
+
+
+def holding(spans: DataFrame, points: DataFrame, key: str, span_id: str,
+            hot_rows: int | None = None) -> DataFrame:
     """Spans (key, first, last) that hold at least one point (key, started_at).
 
-    Both sides meet in one-hour buckets; a span is copied to each hour it covers.
+    Spans of one key do not overlap, so a point can only lie in the last span
+    that starts at or before it: an as-of lookup, not a range join.
     """
-    hour = lambda c: F.floor(F.unix_seconds(c.cast("timestamp")) / 3600)
-    covered = spans.withColumn("_hour", F.explode(F.sequence(
-        hour(F.col("first")), hour(F.col("last")))))
-    marks = points.select(F.col(key).alias("_key"), "started_at",
-                          hour(F.col("started_at")).alias("_hour"))
-    hit = (F.col(key).eqNullSafe(F.col("_key")) & (covered["_hour"] == marks["_hour"])
-           & F.col("started_at").between(F.col("first"), F.col("last")))
-    return covered.join(marks, hit, "left_semi").drop("_hour").distinct()
+    marks = spans.select(F.col(key).alias("_key"), _micros("first").alias("_at"),
+                         F.struct(F.col(span_id).alias("id"), _micros("last").alias("last")).alias("mark"))
+    rows = points.select(F.col(key).alias("_key"), _micros("started_at").alias("_at"),
+                         F.lit(1).alias("_point"))
+    found = last_before(rows, marks, ["_key"], "_at", "_point", "mark",
+                        [F.expr("_at div 3600000000")], hot_rows)
+    hit = found.filter(F.col("_at") <= F.col("mark.last")).select(F.col("mark.id").alias(span_id))
+    return spans.join(hit.distinct(), span_id, "left_semi")
 
 
 def kind_of_action() -> Column:
@@ -123,7 +126,7 @@ def actions(calls: DataFrame, rates: DataFrame, answers: DataFrame | None = None
     if forced_runs is not None:
         rebuilt = (holding(groups.filter("kind = 'build'").select("action_key", "script_id", "first",
                                                                   "last"),
-                           forced_runs, "script_id")
+                           forced_runs, "script_id", "action_key", hot_rows)
                    .select("action_key", F.lit("Graph rebuild").alias("_renamed")).distinct())
         groups = groups.join(rebuilt, "action_key", "left").withColumn(
             "action", F.coalesce("_renamed", "action")).drop("_renamed")

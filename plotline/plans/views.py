@@ -147,14 +147,15 @@ def library_sheet(scripts: DataFrame, imports: DataFrame, scenes: DataFrame, pag
 def stored_question(log: DataFrame, assertions: DataFrame) -> DataFrame:
     """A stored answer resolved against the facts that still exist, active or not.
 
-    ``log``: query_id, cited_ids (array).
+    ``log``: query_id, assertion_id - one row per citation, so a question may cite
+    any number of facts.
     """
-    cited = log.select("query_id", F.explode(F.array_distinct("cited_ids")).alias("assertion_id"))
+    cited = log.select("query_id", "assertion_id").distinct()
     found = cited.join(assertions.select("assertion_id", "source_unit_id", "confidence"), "assertion_id")
     told = found.groupBy("query_id").agg(
         F.count(F.lit(1)).alias("grounded_in"), F.count_distinct("source_unit_id").alias("total_units"),
         F.round(F.avg("confidence"), 2).alias("mean_confidence"))
-    return log.select("query_id").join(told, "query_id", "left").na.fill(
+    return log.select("query_id").distinct().join(told, "query_id", "left").na.fill(
         0, ["grounded_in", "total_units", "mean_confidence"])
 
 

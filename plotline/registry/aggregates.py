@@ -186,9 +186,9 @@ def a12(t):
     FROM (VALUES ('widget'), ('hot'), ('gear')) v(w) JOIN part ON contains(p_name, w)
     JOIN lineitem ON l_partkey = p_partkey GROUP BY 1, 2""")
 def a13(t):
-    asked = t.spark.createDataFrame([("widget",), ("hot",), ("gear",)], "wanted string")
-    named = t.part.select("p_partkey", "p_name").join(
-        F.broadcast(asked), F.contains("p_name", F.col("wanted")))  # three words, a fixed list
+    asked = F.array(F.lit("widget"), F.lit("hot"), F.lit("gear"))
+    named = t.part.select("p_partkey", "p_name", F.explode(F.filter(
+        asked, lambda w: F.contains("p_name", w))).alias("wanted"))
     cited = t.lineitem.join(named, F.col("l_partkey") == F.col("p_partkey")).select(
         "wanted", F.col("l_orderkey").alias("scene"), F.col("l_linenumber").alias("unit_id"),
         F.col("l_returnflag").alias("predicate"), F.col("p_name").alias("line"),

@@ -234,8 +234,8 @@ def g42(t):
     return build.stamp(before, after, done, "v1", "m").select("scene_id")
 
 
-@query("G43_resume_plan", """SELECT (SELECT count(*) FROM orders WHERE o_orderpriority <> '5-LOW' AND o_orderstatus <> 'F') AS jobs,
-    (SELECT count(*) FROM orders WHERE NOT (o_orderstatus = 'P' AND o_orderpriority <> '5-LOW')) AS kept_rows""")
+@query("G43_resume_plan", """SELECT 'jobs' AS name, count(*) AS n FROM orders WHERE o_orderpriority <> '5-LOW' AND o_orderstatus <> 'F'
+    UNION ALL SELECT 'kept', count(*) FROM orders WHERE NOT (o_orderstatus = 'P' AND o_orderpriority <> '5-LOW')""")
 def g43(t):
     scenes = t.scenes.withColumn("input_hash", F.sha2(F.col("scene_id").cast("string"), 256))
     cache = t.orders.select(
@@ -245,7 +245,8 @@ def g43(t):
         F.lit("v1").alias("prompt_version"), F.when(F.col("o_orderstatus") == "O", "old").otherwise("m").alias("model_id"))
     jobs = build.pending_scenes(scenes, cache, "v1", "m")
     left = build.drop_unfinished(cache, jobs)
-    return jobs.agg(F.count(F.lit(1)).alias("jobs")).crossJoin(left.agg(F.count(F.lit(1)).alias("kept_rows")))
+    return jobs.agg(F.lit("jobs").alias("name"), F.count(F.lit(1)).alias("n")).unionByName(
+        left.agg(F.lit("kept").alias("name"), F.count(F.lit(1)).alias("n")))
 
 
 @query("G45_budget_gate", with_("calls", then="""SELECT purpose, count(*) FILTER (before >= 200000) AS refused, count(*) FILTER

@@ -10,12 +10,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plotline.sources.tables import TALKS
+
 CLEAN = r"'So ' || trim(regexp_replace(text, '\s+', ' ', 'g'))"
 
 # The units of each conversation as SQL text: three turns a scene; a system turn is
 # action, any other turn is a cue with its speech.
-UNITS_SQL = rf"""t AS (SELECT conv_id AS script_id, turn // 3 AS scene_index, turn % 3 AS k,
-      upper(role) AS speaker, role = 'system' AS is_action, {CLEAN} AS body FROM conversations),
+UNITS_SQL = TALKS + rf""", t AS (SELECT conv_id AS script_id, turn // 3 AS scene_index, turn % 3 AS k,
+      upper(role) AS speaker, role = 'system' AS is_action, {CLEAN} AS body FROM talks),
     u AS (SELECT script_id, scene_index, 0 AS k, 'scene_heading' AS unit_type,
         'INT. ROOM ' || scene_index || ' - DAY' AS text, NULL AS speaker FROM t GROUP BY 1, 2
       UNION ALL SELECT script_id, scene_index, 1 + k * 2, CASE WHEN is_action THEN 'action' ELSE 'character'
@@ -29,7 +31,7 @@ UNITS_SQL = rf"""t AS (SELECT conv_id AS script_id, turn // 3 AS scene_index, tu
 def script_units(t) -> DataFrame:
     """script_id, scene_index, sequence_index, unit_type, text, speaker."""
     body = F.concat(F.lit("So "), F.trim(F.regexp_replace("text", r"\s+", " ")))
-    rows = t.conversations.select(
+    rows = t.talks.select(
         F.col("conv_id").alias("script_id"), F.expr("turn div 3").alias("scene_index"),
         (F.col("turn") % 3).alias("k"), F.upper("role").alias("speaker"),
         (F.col("role") == "system").alias("is_action"), body.alias("body"))
@@ -55,7 +57,7 @@ def script_frames(t) -> tuple[DataFrame, DataFrame, DataFrame]:
     units = script_units(t)
     scenes = units.filter("unit_type = 'scene_heading'").select(
         "script_id", "scene_index", F.col("text").alias("heading"), F.lit(False).alias("omitted"))
-    scripts = t.conversations.select(F.col("conv_id").alias("script_id")).distinct().withColumn(
+    scripts = t.talks.select(F.col("conv_id").alias("script_id")).distinct().withColumn(
         "title", F.concat(F.lit("Script "), "script_id"))
     return scripts, scenes, units
 
@@ -93,7 +95,7 @@ def fdx_texts(t) -> DataFrame:
 
 def play_texts(t) -> DataFrame:
     """A printed play: contents, an act, numbered scenes, cues, hard-wrapped speech."""
-    rows = t.conversations.select(
+    rows = t.talks.select(
         F.col("conv_id").alias("doc_id"), "turn",
         F.concat(F.when(F.col("turn") % 3 == 0, F.concat(
             F.lit("SCENE "), F.expr("turn div 3 + 1"), F.lit(". A room of the house.\n\n"))).otherwise(""),

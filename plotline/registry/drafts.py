@@ -139,7 +139,7 @@ def g32(t):
     aliases = old.withColumn("normalized_alias", F.lit("none"))
     attributes = e.select("entity_id", F.lit("size").alias("key"), F.col("value").cast("string").alias("value"), F.lit(True).alias("active"))
     facts = t.lineitem.filter("l_returnflag <> 'R' AND l_discount > 0.07").select(
-        F.monotonically_increasing_id().alias("assertion_id"), F.lit(None).cast("long").alias("subject_entity_id"),
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("assertion_id"), F.lit(None).cast("long").alias("subject_entity_id"),
         F.col("l_partkey").alias("object_entity_id"), F.when(F.col("l_returnflag") == "N", "establishes").otherwise("requires")
         .alias("predicate"), (F.col("l_linestatus") == "O").alias("active"))
     made = drafts.draft_report(new.select("script_pair").distinct(), new, old, aliases, attributes, facts)

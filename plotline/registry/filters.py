@@ -10,7 +10,7 @@ from plotline.operators import filters as P
 from plotline.operators import quality
 from plotline.registry import query
 from plotline.registry.functions import FIRST, WORD, derived
-from plotline.sources.tables import with_
+from plotline.sources.tables import over_talks, with_
 
 
 @query("P1_active_rows", with_("facts", "assertions", then="""SELECT script_id, predicate,
@@ -212,10 +212,10 @@ def p16(t):
                               .alias("quote"))
 
 
-@query("P17_scene_body", """SELECT conv_id, count(*) AS n, string_agg(role, ',' ORDER BY turn) AS roles
-    FROM conversations WHERE role <> 'system' GROUP BY conv_id""")
+@query("P17_scene_body", over_talks("""SELECT conv_id, count(*) AS n, string_agg(role, ',' ORDER BY turn) AS roles
+    FROM conversations WHERE role <> 'system' GROUP BY conv_id"""))
 def p17(t):
-    units = t.conversations.select(
+    units = t.talks.select(
         F.col("conv_id").alias("scene_id"), F.col("turn").alias("sequence_index"),
         F.expr("CASE role WHEN 'system' THEN 'scene_heading' ELSE role END").alias("unit_type"),
         F.col("role").alias("text"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from plotline import vocab
 from plotline.functions import figures, headings, names, phrases, replies, similarity, typing, words
 from plotline.registry import query
-from plotline.sources.tables import with_
+from plotline.sources.tables import over_talks, with_
 
 # Lines derived from the documents, in text both engines read alike.
 FIRST = "regexp_extract(text, '^[^\\n]*', 0)".replace("\\n", "\n")
@@ -234,15 +234,15 @@ def f13(t):
                        .alias("ratio"))
 
 
-@query("F14_content_hash", """SELECT conv_id, sha256('v1' || chr(0) || 'Conversation ' || conv_id ||
+@query("F14_content_hash", over_talks("""SELECT conv_id, sha256('v1' || chr(0) || 'Conversation ' || conv_id ||
       chr(0) || string_agg(role || chr(0) || text, chr(0) ORDER BY turn)) AS input_hash
-    FROM conversations GROUP BY conv_id""")
+    FROM conversations GROUP BY conv_id"""))
 def f14(t):
     from plotline.plans.build import scene_hash
-    units = t.conversations.select(
+    units = t.talks.select(
         F.col("conv_id").alias("scene_id"), F.col("turn").alias("sequence_index"),
         F.col("role").alias("unit_type"), "text")
-    scenes = t.conversations.select(F.col("conv_id").alias("scene_id")).distinct().withColumn(
+    scenes = t.talks.select(F.col("conv_id").alias("scene_id")).distinct().withColumn(
         "heading", F.concat(F.lit("Conversation "), "scene_id"))
     return scene_hash(scenes, units, "v1").select(F.col("scene_id").alias("conv_id"), "input_hash")
 

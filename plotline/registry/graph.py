@@ -77,10 +77,8 @@ def g6(t):
         "scene_label", F.col("scene_id").cast("string"))
     removed = facts.filter("active AND confidence < 0.75 AND predicate IN ('establishes', 'requires')").select(
         F.date_format("created_at", "yyyy-MM-dd").alias("change_set_id"), "assertion_id")
-    uses = continuity.orphaned(removed, facts)
-    labels = t.part.select(F.col("p_partkey").alias("entity_id"), F.col("p_name").alias("label"))
-    return continuity.orphan_findings(uses, labels).select(
-        "change_set_id", "entity_id", "uses", F.size("scenes").cast("long").alias("scenes"))
+    return continuity.orphaned(removed, facts).groupBy("change_set_id", "entity_id").agg(
+        F.count(F.lit(1)).alias("uses"), F.count_distinct("scene_label").alias("scenes"))
 
 
 @query("G7_cast_renames", """WITH c AS (SELECT c_custkey AS id, c_nationkey AS script, c_mktsegment AS nm,

@@ -9,7 +9,7 @@ from plotline.operators import filters as P
 from plotline.operators import joins as J
 from plotline.operators import ledger, mentions
 from plotline.registry import query
-from plotline.sources.tables import with_
+from plotline.sources.tables import over_talks, with_
 
 
 @query("J1_inner_join", with_("scripts", then="""SELECT title, count(*) AS n FROM scripts JOIN orders
@@ -128,7 +128,8 @@ def j8(t):
         F.min("created_at").alias("first"), F.max("created_at").alias("last"))
     runs = calls.filter("purpose = 'agent'").select("script_id",
                                                    F.col("created_at").alias("started_at"))
-    return ledger.holding(spans, runs, "script_id").select("script_id", "day")
+    spans = spans.withColumn("span_id", F.concat_ws("|", "script_id", "day"))
+    return ledger.holding(spans, runs, "script_id", "span_id").select("script_id", "day")
 
 
 @query("J9_endpoint_join", with_("facts", "entities", then="""SELECT entity_id, count(DISTINCT assertion_id)
@@ -229,15 +230,15 @@ def j14(t):
         "entity_id", "source_id", "how")
 
 
-@query("J15_positional_zip", """WITH p AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id
+@query("J15_positional_zip", over_talks("""WITH p AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id
       ORDER BY turn) AS k, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)
-    SELECT a.conv_id, a.turn, b.turn AS other_turn FROM p a JOIN p b ON b.conv_id = a.conv_id + 1
-      AND a.k = b.k AND a.n = b.n""")
+    SELECT a.conv_id, a.turn, b.turn AS other_turn FROM p a JOIN p b ON b.conv_id = a.conv_id + 1000000
+      AND a.k = b.k AND a.n = b.n"""))
 def j15(t):
-    units = t.conversations.select(F.col("conv_id").alias("scene_id"),
+    units = t.talks.select(F.col("conv_id").alias("scene_id"),
                                    F.col("turn").alias("sequence_index"), F.col("turn").alias("unit_id"))
     pairs = units.select(F.col("scene_id").alias("old_scene_id"),
-                         (F.col("scene_id") + 1).alias("new_scene_id")).distinct()
+                         (F.col("scene_id") + 1000000).alias("new_scene_id")).distinct()
     zipped, _ = J.zip_units(pairs, units)
     return zipped.select(F.col("old_scene_id").alias("conv_id"), F.col("old_unit_id").alias("turn"),
                          F.col("new_unit_id").alias("other_turn"))
@@ -272,7 +273,7 @@ def j17(t):
                                                 F.col("name").alias("location"))
 
 
-@query("J18_first_mention", """WITH w AS (SELECT conv_id, unnest(['queue', 'the', 'ation', 'el']) AS needle
+@query("J18_first_mention", over_talks("""WITH w AS (SELECT conv_id, unnest(['queue', 'the', 'ation', 'el']) AS needle
       FROM (SELECT DISTINCT conv_id FROM conversations)),
     m AS (SELECT w.conv_id, turn, needle, instr(lower(text), needle) - 1 AS at FROM w
       JOIN conversations c ON c.conv_id = w.conv_id AND contains(lower(text), needle)),
@@ -280,9 +281,9 @@ def j17(t):
       FROM m)
     SELECT s.conv_id, coalesce(r.turn, s.t) AS turn, r.at AS start_at, r.at + length(needle) AS end_at
     FROM (SELECT conv_id, min(turn) AS t FROM conversations GROUP BY 1) s
-    LEFT JOIN r ON r.conv_id = s.conv_id AND k = 1""")
+    LEFT JOIN r ON r.conv_id = s.conv_id AND k = 1"""))
 def j18(t):
-    units = t.conversations.select(F.col("conv_id").alias("scene_id"), "text",
+    units = t.talks.select(F.col("conv_id").alias("scene_id"), "text",
                                    F.col("turn").alias("sequence_index"), F.col("turn").alias("unit_id"))
     wanted = units.select("scene_id").distinct().withColumn("entity_id", F.lit(1)).withColumn(
         "needle", F.explode(F.array(*[F.lit(x) for x in ("queue", "the", "ation", "el")])))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from plotline.registry import corpora, query
 from plotline.registry.functions import WORD
 from plotline.sources import fdx, ingest, layout, lines, parsing, sink, stage, truth
-from plotline.sources.tables import SCHEMAS
+from plotline.sources.tables import SCHEMAS, over_talks
 
 
 def payloads(t):
@@ -126,10 +126,10 @@ def s6(t):
         F.count(F.lit(1)).alias("units"), F.sum(F.char_length("text")).alias("chars"))
 
 
-@query("S7_stage_play_units", r"""WITH l AS (SELECT conv_id, turn, upper(role) AS cue, list_filter(list_transform(
+@query("S7_stage_play_units", over_talks(r"""WITH l AS (SELECT conv_id, turn, upper(role) AS cue, list_filter(list_transform(
       string_split(trim(text), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS ls FROM conversations)
     SELECT conv_id, turn // 3 AS scene_index, '2.' || (turn // 3 + 1) AS number, 'A room of the house' AS heading,
-      1 + (turn % 3) * 2 + 1 AS sequence_index, cue AS speaker, md5(array_to_string(ls, ' ')) AS digest FROM l""")
+      1 + (turn % 3) * 2 + 1 AS sequence_index, cue AS speaker, md5(array_to_string(ls, ' ')) AS digest FROM l"""))
 def s7(t):
     scenes, units, _ = stage.stage_play(corpora.play_texts(t))
     return units.filter("unit_type = 'dialogue'").join(scenes, ["doc_id", "scene_index"]).select(
@@ -189,11 +189,11 @@ def s11(t):
 
 @query("S12_corpus_tables", "WITH " + corpora.UNITS_SQL + """ SELECT sha256(concat_ws('|', script_id, scene_index,
     sequence_index)) AS unit_id, sha256(concat_ws('|', script_id, scene_index)) AS scene_id FROM units
-    WHERE script_id % 2 = 0""")
+    WHERE (script_id // 1000000) % 2 = 0""")
 def s12(t):
     _, scenes, units = corpora.script_frames(t)
     verdicts = units.select(F.col("script_id").alias("doc_id")).distinct().withColumn(
-        "outcome", F.when(F.col("doc_id") % 2 == 0, "accepted").otherwise("rejected"))
+        "outcome", F.when(F.expr("doc_id div 1000000") % 2 == 0, "accepted").otherwise("rejected"))
     tables = ingest.corpus_tables(verdicts, scenes.withColumnRenamed("script_id", "doc_id"),
                                   units.withColumnRenamed("script_id", "doc_id"))
     return tables["units"].select("unit_id", "scene_id")

@@ -10,12 +10,12 @@ from plotline.operators import filters as P
 from plotline.operators import scans
 from plotline.operators import windows as W
 from plotline.registry import query
-from plotline.sources.tables import with_
+from plotline.sources.tables import over_talks, with_
 
 
 def turns(t):
     """Conversations as one scene each: cue, speech and direction by role."""
-    return t.conversations.select(
+    return t.talks.select(
         F.col("conv_id").alias("scene_id"), F.col("turn").alias("sequence_index"),
         F.col("turn").alias("unit_id"), "text",
         F.expr("CASE role WHEN 'user' THEN 'character' WHEN 'assistant' THEN 'dialogue' "
@@ -42,29 +42,29 @@ def w2(t):
         F.sum("event_id").alias("ids")).drop("start")
 
 
-@query("W3_carry_forward", """SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN turn END
-      IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn) AS cue FROM conversations""")
+@query("W3_carry_forward", over_talks("""SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN turn END
+      IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn) AS cue FROM conversations"""))
 def w3(t):
     cue = F.when(F.col("unit_type") == "character", F.col("sequence_index"))
     return turns(t).withColumn("cue", W.carried(cue)).select(
         F.col("scene_id").alias("conv_id"), F.col("sequence_index").alias("turn"), "cue")
 
 
-@query("W4_running_page", """SELECT conv_id, turn, coalesce(CAST(sum(length(text)) OVER (PARTITION BY conv_id
+@query("W4_running_page", over_talks("""SELECT conv_id, turn, coalesce(CAST(sum(length(text)) OVER (PARTITION BY conv_id
       ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) // 800 + 1 AS page
-    FROM conversations""")
+    FROM conversations"""))
 def w4(t):
-    rows = scans.running_sum(t.conversations, ["conv_id"], [F.col("turn")], [F.expr("turn div 1000")],
+    rows = scans.running_sum(t.talks, ["conv_id"], [F.col("turn")], [F.expr("turn div 1000")],
                              F.char_length("text"), "offset")
     return rows.select("conv_id", "turn", figures.page_of(F.col("offset")).alias("page"))
 
 
-@query("W5_join_wrapped_lines", """WITH l AS (SELECT conv_id, turn, role, CASE WHEN role <> 'user'
+@query("W5_join_wrapped_lines", over_talks("""WITH l AS (SELECT conv_id, turn, role, CASE WHEN role <> 'user'
       AND lag(role) OVER w = role THEN 0 ELSE 1 END AS opens, text FROM conversations
       WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
     r AS (SELECT *, sum(opens) OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM l)
     SELECT conv_id, min(turn) AS turn, count(*) AS lines, md5(string_agg(text, ' ' ORDER BY turn)) AS digest
-    FROM r GROUP BY conv_id, run""")
+    FROM r GROUP BY conv_id, run"""))
 def w5(t):
     return W.join_wrapped(turns(t)).select(
         F.col("scene_id").alias("conv_id"), F.col("sequence_index").alias("turn"), "lines",
@@ -86,9 +86,9 @@ def w7(t):
     return W.latest(rows, ["user_id"], ["ts", "event_id"], ["last_event", "last_type"])
 
 
-@query("W8_settle_cues", """SELECT conv_id, count(*) FILTER (role = 'user' AND nxt IS DISTINCT FROM 'assistant'
+@query("W8_settle_cues", over_talks("""SELECT conv_id, count(*) FILTER (role = 'user' AND nxt IS DISTINCT FROM 'assistant'
       AND nxt IS NOT NULL AND length(text) % 3 <> 0) AS demoted FROM (SELECT *, lead(role) OVER (
-      PARTITION BY conv_id ORDER BY turn) AS nxt FROM conversations) GROUP BY 1""")
+      PARTITION BY conv_id ORDER BY turn) AS nxt FROM conversations) GROUP BY 1"""))
 def w8(t):
     units = turns(t).withColumn("unit_id", F.concat_ws("-", "scene_id", "sequence_index"))
     cited = units.filter(F.char_length("text") % 3 == 0).select("unit_id")
@@ -96,20 +96,20 @@ def w8(t):
         F.count_if("demoted").alias("demoted"))
 
 
-@query("W9_speaker_above", """SELECT conv_id, turn, last_value(CASE role WHEN 'user' THEN 'USER' END
-    IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn) AS speaker_above FROM conversations""")
+@query("W9_speaker_above", over_talks("""SELECT conv_id, turn, last_value(CASE role WHEN 'user' THEN 'USER' END
+    IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn) AS speaker_above FROM conversations"""))
 def w9(t):
     return W.speaker_above(turns(t)).select(F.col("scene_id").alias("conv_id"),
                                             F.col("sequence_index").alias("turn"), "speaker_above")
 
 
-@query("W10_context_window", """WITH m AS (SELECT *, max(CASE WHEN contains(lower(text), 'queque') THEN 1 ELSE 0
+@query("W10_context_window", over_talks("""WITH m AS (SELECT *, max(CASE WHEN contains(lower(text), 'queque') THEN 1 ELSE 0
       END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS near,
       max(CASE WHEN contains(lower(text), 'queque') THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id) AS hit,
       count(*) OVER (PARTITION BY conv_id) AS n FROM conversations),
     k AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM m
       WHERE n <= 3 OR near = 1 OR hit = 0)
-    SELECT conv_id, turn FROM k WHERE n <= 3 OR r <= 3""")
+    SELECT conv_id, turn FROM k WHERE n <= 3 OR r <= 3"""))
 def w10(t):
     hit = F.contains(F.lower("text"), F.lit("queque"))
     return W.context_window(turns(t), hit, 1, 3).select(F.col("scene_id").alias("conv_id"),
@@ -127,9 +127,9 @@ def w11(t):
     return W.first_text(operations)
 
 
-@query("W12_read_windows", """SELECT conv_id, turn, CASE WHEN r > 3 THEN 'w' || (r - 1) // 3 || ':' ELSE '' END
+@query("W12_read_windows", over_talks("""SELECT conv_id, turn, CASE WHEN r > 3 THEN 'w' || (r - 1) // 3 || ':' ELSE '' END
     AS id_prefix FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r
-    FROM conversations)""")
+    FROM conversations)"""))
 def w12(t):
     return W.read_windows(turns(t), 3).select(F.col("scene_id").alias("conv_id"),
                                               F.col("sequence_index").alias("turn"), "id_prefix")
