@@ -12,11 +12,13 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-SEGMENTS = "array<struct<op:string,text:string>>"
+SEGMENTS = T.ArrayType(T.StructType([T.StructField("op", T.StringType()),
+                                     T.StructField("text", T.StringType())]))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def ratio(old: pd.Series, new: pd.Series) -> pd.Series:
     """Similarity of two texts, older text first."""
     pairs = zip(old, new, strict=True)

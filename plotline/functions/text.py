@@ -39,11 +39,22 @@ def split_lines(text: Column) -> Column:
                   ).otherwise(parts)
 
 
-def word_ngrams(tokens: Column, longest: int) -> Column:
-    """Every run of 1..longest consecutive words, space joined, distinct."""
+def word_ngrams(tokens: Column, sizes: list[int]) -> Column:
+    """Every run of consecutive words of the given sizes, space joined, distinct."""
     def runs(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.size(tokens) - (n - 1))
-        return F.when(F.size(tokens) >= n, F.transform(
-            starts, lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " "))
+        if n == 1:
+            return tokens
+        starts = F.sequence(F.lit(0), F.size(tokens) - n)
+        return F.when(F.size(tokens) >= n, F.transform(starts, lambda i: F.concat_ws(
+            " ", *[F.get(tokens, i + k) for k in range(n)]))
         ).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(*[runs(n) for n in range(1, longest + 1)]))
+    return F.array_distinct(F.concat(*[runs(n) for n in sizes]))
+
+
+def evaluated(df, name: str, value: Column):
+    """Add a costly column that later filters will not repeat.
+
+    A filter on a plain column is pushed below the projection that makes it, with
+    the whole expression copied once per mention. A generated column stays put.
+    """
+    return df.withColumn(name, F.explode(F.array(value)))

@@ -25,8 +25,10 @@ def phrase_hits(texts: DataFrame, names: DataFrame, keys: list[str] | None = Non
     (array, not empty), plus keys. Returns text_id, name_id, keys, distinct.
     """
     keys = keys or []
+    # At most three values: which n-gram sizes any name asks for.
+    sizes = sorted(r[0] for r in names.select(F.least(F.size("name_words"), F.lit(LONGEST))).distinct().collect())
     grams = texts.select(
-        *keys, "text_id", F.explode(word_ngrams(F.col("words"), LONGEST)).alias("gram"))
+        *keys, "text_id", F.explode(word_ngrams(F.col("words"), sizes or [1])).alias("gram"))
     anchored = names.withColumn("gram", F.array_join(F.slice("name_words", 1, LONGEST), " "))
     short = grams.join(anchored.filter(F.size("name_words") <= LONGEST), [*keys, "gram"])
     # Only texts that hold a long name's opening are looked at again in full.

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plotline import vocab
 from plotline.functions import headings, names, phrases
+from plotline.functions.text import evaluated
 from plotline.operators.filters import first_in
 from plotline.operators.joins import endpoint_frame
 
@@ -107,14 +108,15 @@ def cast_renames(edits: DataFrame, cues: DataFrame) -> DataFrame:
     per (script, name) first; the edited line is then taken off, so a common
     name is never expanded into pairs.
     """
-    def key(column):
-        return names.normalize(headings.cue(F.col(column))["name"])
-    renamed = edits.select(
-        "unit_id", "script_id", headings.cue(F.col("current_text"))["name"].alias("old_label"),
-        headings.cue(F.col("proposed_text"))["name"].alias("new_label"),
-        key("current_text").alias("old_key"), key("proposed_text").alias("new_key")).filter(
-        "old_key IS NOT NULL AND new_key IS NOT NULL AND old_key <> new_key")
-    named = cues.withColumn("old_key", key("text")).filter("old_key IS NOT NULL")
+    def said(frame, column, name):
+        return evaluated(frame, name, headings.cue(F.col(column))["name"])
+    both = said(said(edits, "current_text", "old_label"), "proposed_text", "new_label").filter(
+        "old_label IS NOT NULL AND new_label IS NOT NULL")
+    both = evaluated(both, "old_key", names.normalize(F.col("old_label")))
+    renamed = evaluated(both, "new_key", names.normalize(F.col("new_label"))).filter(
+        "old_key <> new_key").select("unit_id", "script_id", "old_label", "new_label", "old_key", "new_key")
+    named = said(cues, "text", "_said").filter("_said IS NOT NULL")
+    named = named.withColumn("old_key", names.normalize(F.col("_said")))
     by_scene = named.groupBy("script_id", "old_key", "scene_label").agg(
         F.count(F.lit(1)).alias("_n"))
     own = named.select("unit_id", F.col("scene_label").alias("_own_label"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plotline.functions import headings as H
 from plotline.functions import names
+from plotline.functions.text import evaluated
 from plotline.operators import quality
 
 
@@ -27,12 +28,11 @@ def provided(units: DataFrame, scenes: DataFrame, ascii_names: bool = False) ->
     combining minimum, so nothing is sorted and no scene is gathered.
     """
     norm = names.normalize_ascii if ascii_names else names.normalize
-    cues = units.filter("unit_type = 'character'").withColumn(
-        "cue", H.cue(F.col("text"))).filter(F.col("cue").isNotNull())
-    cast = cues.select("scene_id", "unit_id", "sequence_index", "text", F.col("cue.name").alias("name"))
+    cues = evaluated(units.filter("unit_type = 'character'"), "name", H.cue(F.col("text"))["name"])
+    cast = cues.select("scene_id", "unit_id", "sequence_index", "text", "name").filter("name IS NOT NULL")
     cast = cast.filter(~direction_like(F.trim("text"))
                        & quality.unusable_name(F.col("name"), F.lit("cast")).isNull())
-    cast = cast.withColumn("key", norm(F.col("name"))).filter("key <> ''")
+    cast = evaluated(cast, "key", norm(F.col("name"))).filter("key <> ''")
     first = cast.groupBy("scene_id", "key").agg(
         F.min(F.struct("sequence_index", "unit_id", "text", "name")).alias("f"),
         F.count(F.lit(1)).alias("lines"))
@@ -41,7 +41,8 @@ def provided(units: DataFrame, scenes: DataFrame, ascii_names: bool = False) ->
     head = units.filter("unit_type = 'scene_heading'").groupBy("scene_id").agg(
         F.min(F.struct("sequence_index", "unit_id", "text")).alias("h"))
     place = H.split_heading(F.col("heading"))["location"]
-    sited = scenes.join(head, "scene_id").select("scene_id", "h.unit_id", "h.text", place.alias("name"))
+    sited = evaluated(scenes.join(head, "scene_id"), "name", place).select(
+        "scene_id", "h.unit_id", "h.text", "name")
     sited = sited.filter(F.col("name").isNotNull() & ~direction_like(F.trim("name"))
                          & quality.unusable_name(F.col("name"), F.lit("location")).isNull())
     sited = sited.select("scene_id", F.lit("location").alias("entity_type"), "name",

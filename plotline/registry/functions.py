@@ -40,7 +40,7 @@ CASEFOLD = "replace(lower(nfc_normalize({0})), 'ß', 'ss')"
 
 
 def derived(t, expression: str, name: str):
-    return t.documents.select("doc_id", F.expr(expression.replace("\\", "\\\\")).alias(name))
+    return t.texts.select("doc_id", F.expr(expression.replace("\\", "\\\\")).alias(name))
 
 
 def _norm_sql(c: str) -> str:
@@ -66,7 +66,7 @@ def f2(t):
 @query("F3_fold", """SELECT doc_id, md5(replace(lower(strip_accents(text)), 'ß', 'ss')) AS digest
     FROM documents""")
 def f3(t):
-    return t.documents.select("doc_id", F.md5(names.fold(F.col("text"))).alias("digest"))
+    return t.texts.select("doc_id", F.md5(names.fold(F.col("text"))).alias("digest"))
 
 
 @query("F4_split_heading", rf"""WITH h AS (SELECT doc_id,

@@ -171,7 +171,7 @@ def benchmark_names(t, first: int, last: int):
     SELECT doc_id, item_id FROM d JOIN n ON len(w) > 0 AND
       contains(h, ' ' || array_to_string(w, ' ') || ' ')""")
 def j11(t):
-    texts = t.documents.select(F.col("doc_id").alias("text_id"),
+    texts = t.texts.select(F.col("doc_id").alias("text_id"),
                                words.tokens(names.fold(F.col("text"))).alias("words"))
     named = J.not_only_stopwords(benchmark_names(t, 1, 5))
     return mentions.phrase_hits(texts, named).select(
@@ -186,7 +186,7 @@ SIGNIFICANT_SQL = (r"list_distinct(list_transform(regexp_extract_all({0}, '[\p{{
       FROM benchmark), d AS (SELECT doc_id, {SIGNIFICANT_SQL.format('text')} AS h FROM documents)
     SELECT doc_id, item_id FROM d JOIN n ON len(w) > 0 AND list_has_all(h, w)""")
 def j12(t):
-    texts = t.documents.select(F.col("doc_id").alias("text_id"),
+    texts = t.texts.select(F.col("doc_id").alias("text_id"),
                                words.significant(F.col("text")).alias("words"))
     named = t.benchmark.select(F.col("item_id").alias("name_id"), words.significant(
         F.left("text", F.lit(60))).alias("name_words"))

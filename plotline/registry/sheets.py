@@ -28,7 +28,7 @@ def g44_history(t):
 
 @query("G48_scene_sheet", with_("scenes", "facts", then=""", z AS (SELECT scene_id, script_id, number, omitted, sequence_index, coalesce(n, 0) AS n,
       coalesce(c, 0) AS c, coalesce(fl, 0) AS fl, coalesce(e, 0) AS e FROM scenes
-      LEFT JOIN (SELECT l_orderkey AS scene_id, count(*) AS n, sum(l_partkey) AS c, count(*) FILTER (l_tax > 0.07) AS fl FROM lineitem GROUP BY 1) USING (scene_id)
+      LEFT JOIN (SELECT l_orderkey AS scene_id, count(*) AS n, CAST(sum(l_quantity * 9) AS BIGINT) AS c, count(*) FILTER (l_tax > 0.07) AS fl FROM lineitem GROUP BY 1) USING (scene_id)
       LEFT JOIN (SELECT subject_scene_id AS scene_id, count(DISTINCT object_entity_id) AS e FROM facts WHERE active AND subject_scene_id IS NOT NULL
         GROUP BY 1) USING (scene_id)),
     y AS (SELECT *, greatest(1, CAST(round_even(c / 100, 0) AS BIGINT)) AS k, coalesce(sum(c) OVER (PARTITION BY script_id ORDER BY sequence_index
@@ -38,7 +38,7 @@ def g44_history(t):
     FROM y""").replace("\n, z AS", ", z AS"))
 def g48(t):
     key = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    units = t.lineitem.select(F.col("l_orderkey").alias("scene_id"), key.alias("unit_id"), F.repeat(F.lit("x"), F.col("l_partkey").cast("int")).alias("text"))
+    units = t.lineitem.select(F.col("l_orderkey").alias("scene_id"), key.alias("unit_id"), F.repeat(F.lit("lines of "), F.col("l_quantity").cast("int")).alias("text"))
     flagged = t.lineitem.filter("l_tax > 0.07").select(key.alias("unit_id"))
     scenes = t.ordered_scenes.withColumns({
         "predecessor_scene_id": F.when(F.col("scene_id") % 5 != 0, F.col("scene_id")), "is_draft": F.lit(True)})

@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from plotline.registry import corpora, query
 from plotline.registry.functions import WORD
+from plotline.session import durable
 from plotline.sources import fdx, ingest, layout, lines, parsing, sink, stage, truth
 from plotline.sources.tables import SCHEMAS, over_talks
 
 
 def payloads(t):
-    return t.documents.select("doc_id", "text", F.encode("text", "UTF-8").alias("content"),
+    return t.texts.select("doc_id", "text", F.encode("text", "UTF-8").alias("content"),
                               F.concat("source", F.lit("/My-doc_"), "doc_id", F.lit(".Fountain"))
                               .alias("source_name"))
 
@@ -36,7 +37,7 @@ def s2(t):
     content = (F.when(k == 0, utf16le).when(k == 1, utf16be).when(k == 2, utf8bom)
                .when((k == 3) & latin, F.encode(F.when(latin, text), "ISO-8859-1"))
                .otherwise(F.encode(text, "UTF-8")))
-    return ingest.decode(t.documents.select("doc_id", content.alias("content"))).select(
+    return ingest.decode(t.texts.select("doc_id", content.alias("content"))).select(
         "doc_id", F.md5("text").alias("digest"))
 
 
@@ -62,7 +63,7 @@ TITLED = ingest.FOUNTAIN_TITLE.replace("(?imdU)", "(?im)")
         WHEN hits >= 2 OR (titled AND hits >= 1) THEN 0.95 WHEN titled AND slugs THEN 0.8
         WHEN hits = 1 AND slugs THEN 0.6 WHEN slugs THEN 0.7 ELSE 0.3 END AS confidence FROM h""")
 def s3(t):
-    shaped = t.documents.select("doc_id", F.expr(SHAPED).alias("text"), F.lit("txt").alias("extension"))
+    shaped = t.texts.select("doc_id", F.expr(SHAPED).alias("text"), F.lit("txt").alias("extension"))
     rows = shaped.withColumn("content", F.encode("text", "UTF-8"))
     return ingest.detect(rows).select("doc_id", "format", "confidence")
 
@@ -74,14 +75,14 @@ def s3(t):
     SELECT doc_id, count(*) AS lines, CAST(sum(start) AS BIGINT) AS starts, CAST(max(start) AS BIGINT) AS last
     FROM o GROUP BY doc_id""")
 def s4(t):
-    return lines.lines(t.documents).groupBy("doc_id").agg(
+    return lines.lines(t.texts).groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("lines"), F.sum("start").alias("starts"), F.max("start").alias("last"))
 
 
 @query("S5_fountain_units", "WITH " + corpora.UNITS_SQL + """ SELECT script_id, scene_index, sequence_index,
     unit_type, md5(text) AS digest, speaker FROM units""")
 def s5(t):
-    _, units, _ = parsing.fountain(corpora.fountain_texts(t))
+    _, units, _ = parsing.fountain(durable(corpora.fountain_texts(t)))
     return units.select(F.col("doc_id").alias("script_id"), "scene_index", "sequence_index", "unit_type",
                         F.md5("text").alias("digest"), "speaker")
 
@@ -119,7 +120,7 @@ _CUT = parsing.H.TRANSITION.replace("'", "''")
     SELECT doc_id, scene_index, unit_type, confidence, count(*) AS units, CAST(sum(n) AS BIGINT) AS chars
     FROM u GROUP BY 1, 2, 3, 4""")
 def s6(t):
-    texts = t.documents.select("doc_id", F.expr(PLAIN).alias("text"))
+    texts = t.texts.select("doc_id", F.expr(PLAIN).alias("text"))
     _, units, _ = parsing.plain(texts)
     return units.filter("unit_type <> 'scene_heading'").groupBy(
         "doc_id", "scene_index", "unit_type", "confidence").agg(
@@ -131,7 +132,7 @@ def s6(t):
     SELECT conv_id, turn // 3 AS scene_index, '2.' || (turn // 3 + 1) AS number, 'A room of the house' AS heading,
       1 + (turn % 3) * 2 + 1 AS sequence_index, cue AS speaker, md5(array_to_string(ls, ' ')) AS digest FROM l"""))
 def s7(t):
-    scenes, units, _ = stage.stage_play(corpora.play_texts(t))
+    scenes, units, _ = stage.stage_play(durable(corpora.play_texts(t)))
     return units.filter("unit_type = 'dialogue'").join(scenes, ["doc_id", "scene_index"]).select(
         F.col("doc_id").alias("conv_id"), "scene_index", "number", "heading", "sequence_index", "speaker",
         F.md5("text").alias("digest"))

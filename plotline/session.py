@@ -34,6 +34,18 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession
     return builder.getOrCreate()
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows over all cores where the scan has too few splits to use them.
+
+    A text file of one row group is one task however long its texts take. A scan
+    with more splits than twice the cores is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() > 2 * cores:
+        return df
+    return df.repartition(cores, key)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor sees, as the cluster names it.
 

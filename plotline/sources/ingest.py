@@ -7,6 +7,7 @@ import codecs
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plotline import vocab
 from plotline.functions import headings
@@ -17,10 +18,11 @@ SNIFF = 4096
 BOMS = [("FFFE0000", "utf-32-le"), ("0000FEFF", "utf-32-be"), ("EFBBBF", "utf-8-sig"),
         ("FFFE", "utf-16-le"), ("FEFF", "utf-16-be")]
 # The markers only Fountain text carries.
-FOUNTAIN_MARKERS = [
-    r"(?mdU)^\s*\.[A-Za-z]", r"(?mdU)^\s*@[A-Za-z]", r"(?mdU)^\s*!", r"(?mdU)^\s*>.+<\s*$",
-    r"(?s)\[\[.+?\]\]", r"(?mdU)^\s*={3,}\s*$", r"(?mdU)#[\p{L}\p{N}_.\-]+#\s*$",
-    r"(?mdU)^\s*\S.*\^\s*$"]
+# Each stands beside characters it cannot do without, which are looked for first.
+FOUNTAIN_MARKERS = {
+    r"(?mdU)^\s*\.[A-Za-z]": ".", r"(?mdU)^\s*@[A-Za-z]": "@", r"(?mdU)^\s*!": "!",
+    r"(?mdU)^\s*>.+<\s*$": ">", r"(?s)\[\[.+?\]\]": "[[", r"(?mdU)^\s*={3,}\s*$": "===",
+    r"(?mdU)#[\p{L}\p{N}_.\-]+#\s*$": "#", r"(?mdU)^\s*\S.*\^\s*$": "^"}
 FOUNTAIN_TITLE = (r"(?imdU)^(?:title|credit|author|authors|source|draft date|contact|notes|"
                   r"copyright|revision)\s*:")
 
@@ -51,7 +53,7 @@ def declared_codec(content: Column) -> Column:
     return out
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _decode(content: pd.Series, codec: pd.Series) -> pd.Series:
     """Only rows that are not plain UTF-8 arrive here; the rest are null."""
     def one(data, name):
@@ -81,8 +83,9 @@ def decode(payloads: DataFrame) -> DataFrame:
 
 
 def _text_format(text: Column, extension: Column) -> Column:
-    hits = sum((text.rlike(p).cast("int") for p in FOUNTAIN_MARKERS[1:]),
-               text.rlike(FOUNTAIN_MARKERS[0]).cast("int"))
+    hits = F.lit(0)
+    for pattern, sign in FOUNTAIN_MARKERS.items():
+        hits = hits + (F.contains(text, F.lit(sign)) & text.rlike(pattern)).cast("int")
     titled = F.left(text, F.lit(2000)).rlike(FOUNTAIN_TITLE)
     lines = F.transform(split_lines(text), strip)
     slugs = F.exists(lines, headings.is_heading)

@@ -14,6 +14,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plotline.session import spread
+
 SCHEMAS = {
     "region": "r_regionkey int, r_name string",
     "nation": "n_nationkey int, n_name string, n_regionkey int",
@@ -119,6 +121,11 @@ class Tables:
                                    F.col("o_custkey").alias("script_id"))
         return self.facts.join(owner, "scene_id")
 
+    @cached_property
+    def texts(self) -> DataFrame:
+        """Documents, over all cores, for work that reads whole texts."""
+        return spread(self.documents, "doc_id")
+
     @cached_property
     def talks(self) -> DataFrame:
         """Conversations cut into pieces of a thousand turns, each a bounded scene.
