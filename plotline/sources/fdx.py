@@ -22,7 +22,7 @@ def parsed(texts: DataFrame) -> DataFrame:
     # Entity declarations are refused unread; they are how a small file grows without bound.
     unsafe = text.rlike(r"(?i)<!ENTITY")
     body = F.regexp_replace(text, r"(?s)^\s*<\?xml.*?\?>|<!DOCTYPE[^>\[]*>", "")
-    x = F.from_xml(F.when(~unsafe, body), SCHEMA, {"mode": "PERMISSIVE",
+    x = F.from_xml(F.when(~unsafe, body), SCHEMA, {"mode": "PERMISSIVE", "ignoreSurroundingSpaces": "false",
                                                   "columnNameOfCorruptRecord": "_corrupt_record"})
     rows = texts.withColumn("x", x).withColumn("_root", F.regexp_extract(
         body, r"^\s*(?:<!--.*?-->\s*)*<\s*([A-Za-z_][\w.\-]*)", 1))
