@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from plotline import vocab
 from plotline.operators import mentions, scans
 from plotline.operators.filters import endpoint
+from plotline.session import durable
 
 
 def findings(t) -> DataFrame:
@@ -34,6 +35,7 @@ def earliest_place(found: DataFrame, evidence: DataFrame) -> DataFrame:
 
 def ranked_places(placed: DataFrame, keys: list[str], hot_rows: int | None = None) -> DataFrame:
     """Position in script order, findings with no line last; blocked by scene."""
+    placed = durable(placed)
     order = [F.col("scene_index").asc_nulls_last(), F.col("unit_index").asc_nulls_last(),
              F.col("finding_id")]
     last = F.coalesce(F.col("scene_index") >= 0, F.lit(False))

@@ -40,7 +40,9 @@ def cost_by_model(calls: DataFrame, rates: DataFrame) -> DataFrame:
 
 
 def _micros(c: str) -> Column:
-    return F.unix_micros(F.col(c).cast("timestamp"))
+    """Microseconds since 1970 of a wall-clock time, whatever the session's zone."""
+    return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', "
+                  f"CAST({c} AS TIMESTAMP_NTZ))")
 
 
 def answered_by(calls: DataFrame, questions: DataFrame, key: str,
@@ -160,7 +162,7 @@ def budget_gate(calls: DataFrame, cap: int, hot_rows: int | None = None) -> Data
     is one key; the scan cuts it by hour.
     """
     spent = zero("input_tokens") + zero("output_tokens")
-    total = scans.running_sum(calls.withColumn("_all", F.lit(1)), ["_all"],
+    total = scans.running_sum(calls.withColumn("_all", F.col("call_id") * 0), ["_all"],
                               [F.col("created_at"), F.col("call_id")],
                               [F.date_trunc("hour", "created_at")], spent, "spent_before", hot_rows)
     return total.drop("_all").withColumn("refused", F.col("spent_before") >= cap)

@@ -15,6 +15,7 @@ from plotline import vocab
 from plotline.functions.text import strip
 from plotline.operators import quality, scans
 from plotline.operators.filters import dedupe_key
+from plotline.session import durable
 
 def order() -> Column:
     return F.struct("accepted_order", "sequence_index")
@@ -74,8 +75,8 @@ def apply_assertions(assertions: DataFrame, operations: DataFrame) -> DataFrame:
     adds = operations.filter(kind.isin("add_assertion", "update_assertion")
                              & F.col("source_unit_id").isNotNull()).withColumn(
         "dedupe_key", dedupe_key())
-    found = adds.join(held, ["script_id", "dedupe_key"], "left").withColumn(
-        "assertion_id", F.coalesce("_row", F.sha2(F.concat_ws("|", "script_id", "dedupe_key"), 256)))
+    found = durable(adds.join(held, ["script_id", "dedupe_key"], "left").withColumn(
+        "assertion_id", F.coalesce("_row", F.sha2(F.concat_ws("|", "script_id", "dedupe_key"), 256))))
     rises = found.select("assertion_id", order().alias("at"), F.lit(1).alias("step"),
                          F.lit(True).alias("on"), "confidence")
     drops = operations.filter(kind.isin("remove_assertion", "update_assertion")
@@ -278,7 +279,7 @@ def omission_operations(taken: DataFrame, scene_ids: DataFrame) -> DataFrame:
                              .alias("operation_type"), F.col("scene_id").cast("string").alias("target_id"))
     cuts = taken.select("scene_id", F.lit(1).alias("phase"), F.lit("remove_assertion")
                         .alias("operation_type"), F.col("assertion_id").alias("target_id"))
-    steps = flags.unionByName(cuts)
+    steps = durable(flags.unionByName(cuts))
     return scans.ordinal(steps, ["scene_id"], [F.col("phase"), F.col("target_id")],
                          [F.col("phase"), F.substring("target_id", 1, 3)], "_n").select(
         "scene_id", (F.col("_n") - 1).alias("sequence_index"), "operation_type", "target_id")

@@ -10,6 +10,7 @@ from plotline.functions import headings, names, phrases
 from plotline.functions.text import evaluated
 from plotline.operators.filters import first_in
 from plotline.operators.joins import endpoint_frame
+from plotline.session import durable
 
 
 def score() -> F.Column:
@@ -46,6 +47,7 @@ def evidence(requests: DataFrame, assertions: DataFrame, scenes: DataFrame,
     facts = assertions.drop("script_id") if "script_id" not in requests.columns else assertions
     rows = asked.join(facts, ["assertion_id", "script_id"]).join(placed, "in_scene").withColumn(
         "relevant", F.lit(True) if predicates is None else F.col("predicate").isin(*predicates))
+    rows = durable(rows)
     relation = (F.when(F.col("sequence_index") == F.col("origin_index"), "same_scene")
                 .when(F.col("sequence_index") < F.col("origin_index"), "earlier_same_entity")
                 .otherwise("later_same_entity"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plotline.functions.words import first_endpoint, second_endpoint
 from plotline.operators import scans
+from plotline.session import durable
 
 IDENTITY = ["subject_kind", "subject_key", "predicate", "object_kind", "object_key"]
 SLOT = ["subject_kind", "subject_key", "predicate", "object_kind", "object_type"]
@@ -44,7 +45,7 @@ def diff_edges(accepted: DataFrame, proposed: DataFrame, batch: str = "change_se
     key = [batch, *IDENTITY]
     a = _unique(accepted, batch).withColumnRenamed("edge", "before")
     b = _unique(proposed, batch).withColumnRenamed("edge", "after")
-    both = a.join(b, key, "full_outer").withColumn(
+    both = durable(a.join(b, key, "full_outer")).withColumn(
         "state", F.when(F.col("after").isNull(), "removed").when(F.col("before").isNull(), "added")
         .otherwise("unchanged"))
     both = both.withColumn("object_type", F.coalesce("before.object_type", "after.object_type"))
@@ -87,6 +88,7 @@ def to_operations(diff: DataFrame, batch: str = "change_set_id",
         "phase": F.when(F.col("state") == "removed", 0).when(F.col("state") == "changed", 1).otherwise(2),
         "operation_type": F.when(F.col("state") == "removed", "remove_assertion")
         .when(F.col("state") == "changed", "update_assertion").otherwise("add_assertion")})
+    steps = durable(steps)
     order = [F.col("phase"), *[F.col(c) for c in IDENTITY]]
     numbered = scans.ordinal(steps, [batch], order, [F.col("phase"), F.col("subject_kind"),
                                                      F.col("subject_key")], "_n", hot_rows)

@@ -9,6 +9,7 @@ from plotline import vocab
 from plotline.functions import names, words
 from plotline.operators import joins, mentions
 from plotline.operators.filters import first_in
+from plotline.session import durable
 
 
 def packets(questions: DataFrame, surfaces: DataFrame, edges: DataFrame,
@@ -30,8 +31,8 @@ def packets(questions: DataFrame, surfaces: DataFrame, edges: DataFrame,
     sought = joins.not_only_stopwords(surfaces.select(
         "script_id", F.col("entity_id").alias("name_id"),
         words.tokens(names.fold(F.col("name"))).alias("name_words")).filter(F.size("name_words") > 0))
-    named = mentions.phrase_hits(texts, sought, ["script_id"]).select(
-        F.col("text_id").alias("question_id"), F.col("name_id").alias("entity_id")).distinct()
+    named = durable(mentions.phrase_hits(texts, sought, ["script_id"]).select(
+        F.col("text_id").alias("question_id"), F.col("name_id").alias("entity_id")).distinct())
     ends = joins.endpoint_frame(edges)
     by_name = named.join(ends, "entity_id").select(
         "question_id", "assertion_id", F.lit(1).alias("tier")).distinct()
@@ -40,8 +41,8 @@ def packets(questions: DataFrame, surfaces: DataFrame, edges: DataFrame,
     unnamed = terms.join(named.select("question_id").distinct(), "question_id", "left_anti")
     edge_words = edges.select("script_id", "assertion_id", F.explode(words.edge_words(
         F.concat_ws(" ", "subject_label", "predicate", "object_label"))).alias("word"))
-    by_word = unnamed.join(edge_words, ["script_id", "word"]).select(
-        "question_id", "assertion_id", F.lit(2).alias("tier")).distinct()
+    by_word = durable(unnamed.join(edge_words, ["script_id", "word"]).select(
+        "question_id", "assertion_id", F.lit(2).alias("tier")).distinct())
     scoped = named.select("question_id").union(by_word.select("question_id")).distinct()
     rest = questions.join(scoped, "question_id", "left_anti").select("question_id", "script_id")
     # A question that scopes nothing reads its script's first facts; they are cut

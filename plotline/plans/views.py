@@ -9,6 +9,7 @@ from plotline.functions import figures
 from plotline.operators import scans
 from plotline.operators.filters import endpoint, first_in, typed_ends
 from plotline.operators.joins import endpoint_frame, labelled
+from plotline.session import durable
 
 
 def unit_graph(requests: DataFrame, assertions: DataFrame, types: DataFrame, low: float = 0.0,
@@ -28,12 +29,13 @@ def unit_graph(requests: DataFrame, assertions: DataFrame, types: DataFrame, low
         requests.select("request_id", F.col("unit_id").alias("source_unit_id")).join(
             rows.select("assertion_id", "source_unit_id"), "source_unit_id").select(
             "request_id", "assertion_id")).distinct()
+    seed = durable(seed)
     edges = seed
     if depth > 1:
         ends = endpoint_frame(rows)
         found = seed.join(ends, "assertion_id").select("request_id", "entity_id").distinct()
-        edges = seed.unionByName(found.join(ends, "entity_id").select("request_id", "assertion_id")
-                                 ).distinct()
+        edges = durable(seed.unionByName(found.join(ends, "entity_id").select(
+            "request_id", "assertion_id")).distinct())
     full = edges.join(rows, "assertion_id")
     hidden = full.groupBy("request_id").agg(F.count_if(F.col("confidence") < low).alias("hidden"))
     links = typed_ends(full.filter(F.col("confidence") >= low), types)
@@ -106,6 +108,7 @@ def scene_sheet(scenes: DataFrame, units: DataFrame, assertions: DataFrame, flag
     needs = opposite.distinct().groupBy("scene_id").agg(F.count(F.lit(1)).alias("entities"))
     rows = (scenes.join(sized, "scene_id", "left").join(needs, "scene_id", "left")
             .join(marks, "scene_id", "left").na.fill(0, ["chars", "lines", "entities", "flagged"]))
+    rows = durable(rows)
     rows = scans.running_sum(rows, ["script_id"], [F.col("sequence_index")],
                              [F.expr("sequence_index div 100000")], F.col("chars"), "_offset", hot_rows)
     return rows.withColumns({

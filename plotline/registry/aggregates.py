@@ -299,7 +299,7 @@ def a20(t):
 @query("A21_first_seen_labels", """SELECT user_id, event_type, epoch_us(min(ts)) AS first_at FROM events
     GROUP BY 1, 2""")
 def a21(t):
-    at = F.expr("unix_micros(CAST(ts AS TIMESTAMP))")
+    at = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)")
     return A.first_seen(t.events.withColumn("at", at), ["user_id"], "at", "event_type")
 
 
