@@ -151,6 +151,24 @@ def align(old: DataFrame, new: DataFrame, confirmed: DataFrame | None = None) ->
             "deleted": exact["deleted"].unionByName(old_rest.select(PAIR, F.col("scene_id").alias("old_id")))}
 
 
+def most_similar(candidates: list[str], text: str, floor: float) -> int | None:
+    """The first candidate of highest ratio at or above ``floor``.
+
+    The two cheap upper bounds of a ratio rule out most candidates unread.
+    """
+    matcher = SequenceMatcher(None, "", text)
+    best, pick = floor, None
+    for n, other in enumerate(candidates):
+        matcher.set_seq1(other)
+        for ratio in (matcher.real_quick_ratio, matcher.quick_ratio, matcher.ratio):
+            found = ratio()
+            if found < best or (found == best and pick is not None):
+                break
+        else:
+            best, pick = found, n
+    return pick
+
+
 def equal_lines(rows: pd.DataFrame) -> pd.DataFrame:
     """The old line each new line of one scene pair continues word for word, and the one it revises."""
     old = rows[rows["side"] == 0].sort_values("k")
@@ -164,10 +182,9 @@ def equal_lines(rows: pd.DataFrame) -> pd.DataFrame:
             continue
         pool = list(range(i, i_end))
         for at in range(j, j_end):
-            ratios = [SequenceMatcher(None, a[p], b[at]).ratio() for p in pool]
-            if ratios and max(ratios) >= 0.5:
-                pick = pool.pop(ratios.index(max(ratios)))
-                out.append((b_ids[at], a_ids[pick], False))
+            pick = most_similar([a[p] for p in pool], b[at], 0.5)
+            if pick is not None:
+                out.append((b_ids[at], a_ids[pool.pop(pick)], False))
     frame = pd.DataFrame(out, columns=["new_unit_id", "old_unit_id", "same"])
     return frame.assign(scene_pair=rows["scene_pair"].iloc[0] if len(rows) else None)
 
