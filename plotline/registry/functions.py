@@ -164,7 +164,13 @@ def f7(t):
         .alias("ordinal"))
 
 
-@query("F8_location_of")
+@query("F8_location_of", rf"""WITH l AS (SELECT doc_id, trim(trim(trim({FIRST}), '[]_ ')) AS x FROM documents),
+    p AS (SELECT doc_id, x, string_split(regexp_replace(x, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS parts FROM l),
+    r AS (SELECT doc_id, x, list_reduce(list_transform(parts, lambda q: trim(q)), lambda a, b: CASE WHEN
+      len(regexp_split_to_array(a, '\s+')) >= 2 OR contains(a, chr(2)) THEN a
+      WHEN a <> '' AND length(trim(a || ' ' || b)) > 120 THEN a || chr(2)
+      ELSE trim(a || ' ' || b) END) AS place FROM p)
+    SELECT doc_id, trim(rtrim(trim(CASE WHEN place <> '' THEN replace(place, chr(2), '') ELSE left(x, 120) END), '.')) AS location FROM r""")
 def f8(t):
     return derived(t, f"'[SCENE: ' || {FIRST} || ']'", "setting").select(
         "doc_id", headings.location_of(F.col("setting")).alias("location"))
