@@ -13,9 +13,9 @@ from plotline.registry.joins import FINDINGS, PAIRS_SQL, surfaces
 from plotline.sources.tables import with_
 
 
-@query("O1_paged_list", """SELECT c_custkey, k FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal DESC,
-    c_custkey) AS k FROM customer WHERE contains(lower(c_name || ' ' || c_mktsegment), 'mach'))
-    WHERE k > 50 AND k <= 100""")
+@query("O1_paged_list", """WITH m AS (SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS k,
+      count(*) OVER () AS n FROM customer WHERE contains(lower(c_name || ' ' || c_mktsegment), 'mach'))
+    SELECT c_custkey, k FROM m WHERE (k - 1) // 50 + 1 = least(2, greatest(1, CAST(ceil(n / 50.0) AS BIGINT)))""")
 def o1(t):
     listing = lists.page(t.customer, ["c_name", "c_mktsegment"], "c_acctbal", True, "c_custkey",
                          lists.opens_ascending("c_acctbal", "c_name", True), 2, 50, "Mach")
