@@ -46,16 +46,24 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(cores, key)
 
 
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor sees, as the cluster names it.
+    """The folder every executor sees, as the cluster names it in spark.checkpoint.dir.
 
-    Only where the setting is absent (a local test) is one made.
+    A local session (tests, the benchmark), where driver and executor are one process,
+    gets one of its own if none is named; on a cluster a missing setting is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None:
-        named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named
+    if named is not None:
+        return named
+    context = spark.sparkContext
+    if context.master != "local" and not context.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if context.applicationId not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[context.applicationId] = tempfile.mkdtemp(prefix="spark-")
+    return _LOCAL_FOLDERS[context.applicationId]
 
 
 def durable(df: DataFrame) -> DataFrame:
