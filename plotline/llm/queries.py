@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plotline.llm import idfiles, kdtrees, packing, pieces, shingles, suffixes, tiles
+from plotline.llm import idfiles, kdtrees, licences, packing, pieces, shingles, suffixes, tiles, toxicity, unigram
 from plotline.llm.vocabulary import tokenizer_path
 
 WORD_BPE = ("word_bpe_49k.json", 49408)
@@ -16,6 +16,18 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    return unigram.coded(_table(spark, folder, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.scored(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+def op3_licences(spark: SparkSession, folder: str) -> DataFrame:
+    return licences.scan(_table(spark, folder, "documents"))
+
+
 def op4_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return shingles.linked(_table(spark, folder, "documents"))
 
@@ -46,7 +58,7 @@ def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_ngram_join, op5_id_files, op6_nearest, op7_exact_search, op8_packing,
+    f.__name__: f for f in (op1_sentencepiece, op2_toxicity, op3_licences, op4_ngram_join, op5_id_files, op6_nearest, op7_exact_search, op8_packing,
                             op9_token_counts, op10_suffix_dedup)}
 
 ORACLES: dict[str, str] = {
