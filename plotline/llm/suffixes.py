@@ -54,7 +54,7 @@ class Anchors:
             width += by
         anchor = (least & U(0xFFFFFFFF)).astype(np.int64)
         lengths = np.diff(offsets)
-        row = np.repeat(np.arange(len(lengths)), lengths)
+        row = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
         inside = np.flatnonzero(row[:windows] == row[SIZE - 1:])
         anchor, row = anchor[inside], row[inside]
         new = np.ones(len(inside), bool)
@@ -62,7 +62,7 @@ class Anchors:
         firsts = np.flatnonzero(new)
         self.first = inside[firsts]
         self.last = inside[np.r_[firsts[1:], len(inside)] - 1] if len(firsts) else self.first
-        self.row = row[firsts]
+        self.row = row[firsts].astype(np.int64)
         where = anchor[firsts]
         self.rank = gram[where]
         shape = (where - self.first).astype(U) * U(0x9E3779B97F4A7C15) + (self.last - self.first).astype(U) * U(0xC2B2AE3D27D4EB4F)
