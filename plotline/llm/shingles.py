@@ -90,13 +90,15 @@ def counted(frame: DataFrame, read, percent: int) -> DataFrame:
 
     ``read`` gives (fingerprints, rows, sizes) of a block. Every set comes back with its
     size; ``grams`` is null unless it may link, else the n-grams that others hold too, in
-    the global order (by a step of the logarithm of their count, then by value).
+    the global order (by a step of the logarithm of their count, then by value). Counts go by
+    the partition and 32 more bits of the fingerprint: partitions stay of bounded size, so few
+    n-grams share a count by chance, and those only keep a set for the next step.
     """
     parts = exchange.partitions(frame)
 
     def ask(ids, data, offsets):
         keys, n = np.unique(read(data, offsets)[0], return_counts=True)
-        yield from exchange.by_part(keys, [keys, n.astype(np.uint32)], parts)
+        yield from exchange.by_part(keys, [(keys & U(0xFFFFFFFF)).astype(np.uint32), n.astype(np.uint32)], parts)
 
     def answer(keys, n):
         order = np.argsort(keys, kind="stable")
@@ -127,7 +129,7 @@ def counted(frame: DataFrame, read, percent: int) -> DataFrame:
              pa.array((mixed[edge[1:]] - mixed[edge[:-1]]).view(np.int64)), pa.array(out, pa.binary())],
             names=["doc_id", "n_shingles", "first", "second", "grams"])
 
-    answers = exchange.answered(exchange.asked(frame, ask), exchange.over_columns([U, np.uint32], answer))
+    answers = exchange.answered(exchange.asked(frame, ask), exchange.over_columns([np.uint32, np.uint32], answer))
     return exchange.blocks_with(frame, [(answers, np.uint8)], use, SET)
 
 
@@ -239,9 +241,10 @@ def linked(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, chunk_se
 
     held = durable(counted(exchange.documents(docs), read, percent))
     may = held.where("grams is not null")
-    same = durable(may.groupBy("first", "second", "n_shingles").agg(
-        F.min("doc_id").alias("doc_id"), F.min_by("grams", "doc_id").alias("grams"), F.count("*").alias("copies")))
-    near = durable(counted(_stored_frame(same), stored, percent).where("grams is not null"))
+    sets = durable(_stored(may.groupBy("first", "second", "n_shingles").agg(
+        F.min("doc_id").alias("doc_id"), F.min_by("grams", "doc_id").alias("grams"), F.count("*").alias("copies"))))
+    same = sets.select("first", "second", "n_shingles", "doc_id", "copies")
+    near = durable(counted(sets.select("doc_id", "text"), stored, percent).where("grams is not null"))
     labels = components(links(near, percent, chunk_sets))
     of = same.join(labels, same["doc_id"] == labels["v"], "left").select(
         "first", "second", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"), "copies").where("copies > 1 or component_id <> doc_id")
@@ -251,10 +254,12 @@ def linked(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, chunk_se
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _stored_frame(sets: DataFrame) -> DataFrame:
-    """Sets as (doc_id, text) rows whose bytes ``stored`` reads."""
+def _stored(sets: DataFrame) -> DataFrame:
+    """Sets with their n-grams as the bytes that ``stored`` reads, in a column ``text``."""
     def run(batches):
         for batch in batches:
-            texts = [np.array([n], U).tobytes() + g for n, g in zip(*(batch.column(c).to_pylist() for c in ("n_shingles", "grams")))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.binary())], names=["doc_id", "text"])
-    return durable(sets.select("doc_id", "n_shingles", "grams").mapInArrow(run, "doc_id long, text binary"))
+            texts = [np.array([n], U).tobytes() + g for n, g in
+                     zip(batch.column("n_shingles").to_pylist(), batch.column("grams").to_pylist())]
+            kept = ["first", "second", "n_shingles", "doc_id", "copies"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(texts, pa.binary())], names=[*kept, "text"])
+    return sets.mapInArrow(run, "first long, second long, n_shingles long, doc_id long, copies long, text binary")
