@@ -30,6 +30,7 @@ from plotline.session import durable
 U = np.uint64
 SIZE = 50
 GRAM = 24
+SLICE = 1 << 20
 RESULT = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()),
           ("kept_sha256", pa.string())]
 
@@ -38,35 +39,38 @@ class Anchors:
     """A block's anchors: the window starts ``first``..``last`` that share one, its row, and two ranks."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray) -> None:
-        windows = len(data) - SIZE + 1
         self.prefix = buffers.prefix_hash(data)
+        found, a = [], 0
+        while a < len(offsets) - 1:  # about a megabyte of whole texts at a time
+            b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + SLICE, side="right")) - 1)
+            found.append(self._slice(offsets, a, b))
+            a = b
+        none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.first, self.last, self.row, where = (np.concatenate(c) for c in zip(none, *found))
+        self.rank = buffers.span_hash(self.prefix, where, where + GRAM)
+        shape = (where - self.first).astype(U) * U(0x9E3779B97F4A7C15) + (self.last - self.first).astype(U) * U(0xC2B2AE3D27D4EB4F)
+        self.reach = buffers.mix(buffers.span_hash(self.prefix, self.first, self.last + SIZE) + shape)
+
+    def _slice(self, offsets: np.ndarray, a: int, b: int):
+        """First and last window, row and place of the anchors of rows a to b."""
+        begin, windows = int(offsets[a]), int(offsets[b] - offsets[a]) - SIZE + 1
         if windows <= 0:
-            self.first = self.last = self.row = np.zeros(0, np.int64)
-            self.rank = self.reach = np.zeros(0, U)
-            return
-        at = np.arange(len(data) - GRAM + 1)
-        gram = buffers.span_hash(self.prefix, at, at + GRAM)
-        least = (gram & U(0xFFFFFFFF00000000)) | at.astype(U)
+            return (np.zeros(0, np.int64),) * 4
+        at = np.arange(begin, int(offsets[b]) - GRAM + 1)
+        least = (buffers.span_hash(self.prefix, at, at + GRAM) & U(0xFFFFFFFF00000000)) | (at - begin).astype(U)
         wide, width = SIZE - GRAM + 1, 1
         while width < wide:
             by = min(width, wide - width)
             least = np.minimum(least[:len(least) - by], least[by:])
             width += by
-        anchor = (least & U(0xFFFFFFFF)).astype(np.int64)
-        lengths = np.diff(offsets)
-        row = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+        row = np.repeat(np.arange(a, b, dtype=np.int32), np.diff(offsets[a:b + 1]))
         inside = np.flatnonzero(row[:windows] == row[SIZE - 1:])
-        anchor, row = anchor[inside], row[inside]
+        anchor, row = (least[inside] & U(0xFFFFFFFF)).astype(np.int64), row[inside]
         new = np.ones(len(inside), bool)
         new[1:] = (np.diff(anchor) != 0) | (np.diff(row) != 0)
         firsts = np.flatnonzero(new)
-        self.first = inside[firsts]
-        self.last = inside[np.r_[firsts[1:], len(inside)] - 1] if len(firsts) else self.first
-        self.row = row[firsts].astype(np.int64)
-        where = anchor[firsts]
-        self.rank = gram[where]
-        shape = (where - self.first).astype(U) * U(0x9E3779B97F4A7C15) + (self.last - self.first).astype(U) * U(0xC2B2AE3D27D4EB4F)
-        self.reach = buffers.mix(buffers.span_hash(self.prefix, self.first, self.last + SIZE) + shape)
+        last = inside[np.r_[firsts[1:], len(inside)] - 1] if len(firsts) else firsts
+        return inside[firsts] + begin, last + begin, row[firsts].astype(np.int64), anchor[firsts] + begin
 
     def windows(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Every window of some anchors: start, row and rank of its 50 bytes, from the pair of 25-byte ranks."""
