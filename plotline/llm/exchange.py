@@ -39,9 +39,9 @@ def documents(docs: DataFrame) -> DataFrame:
 
 
 def partitions(df: DataFrame) -> int:
-    """Hash partitions for keys: a power of two, at least 64 and at least the shuffle's own."""
-    wanted = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(64, 1 << (wanted - 1).bit_length())
+    """Hash partitions for keys: a power of two, at least 256 and four times the shuffle's own, so that each is small."""
+    wanted = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return max(256, 1 << (wanted - 1).bit_length())
 
 
 def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
@@ -128,7 +128,7 @@ def _with_texts(docs: DataFrame) -> DataFrame:
         for block, guard, ids, data, offsets in numbered(batches):
             raw = ids.tobytes() + np.diff(offsets).tobytes() + data.tobytes()
             yield table([(TEXTS, block, guard, struct.pack("<qq", len(ids), len(raw))
-                          + pa.compress(raw, codec="zstd", asbytes=True))], ROW_SCHEMA)
+                          + pa.Codec("zstd", compression_level=3).compress(raw, asbytes=True))], ROW_SCHEMA)
     return docs.mapInArrow(run, ROWS)
 
 
