@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 BASE = 0x9E3779B97F4A7C15
 _SPREAD = U(0xBF58476D1CE4E5B9)
 

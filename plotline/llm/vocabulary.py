@@ -17,7 +17,7 @@ import pyarrow as pa
 
 from plotline.llm import buffers
 
-MEMO = 800_000
+MEMO = 400_000
 SPACE, LETTER, DIGIT, OTHER, BAD = range(5)
 #: C2-led characters that are letters, numbers or spaces, not punctuation (fixed by Unicode).
 C2_ODD = (0xAA, 0xB5, 0xBA, 0xB2, 0xB3, 0xB9, 0xBC, 0xBD, 0xBE)
