@@ -142,9 +142,9 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain |
 def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, poor and toxic (probabilities) and rejected (toxic >= threshold) of every document.
 
-    A null or empty text has no features and gets the models' base rates; it is never
-    rejected, nor is anything when the labels do not hold both values. Rows without an id
-    are left out.
+    A text is rejected only if it holds a feature that speaks for toxicity: never a null or
+    empty text, which gets the models' base rates, and nothing when the labels do not hold
+    both values. Rows without an id are left out.
     """
     return judged(exchange.documents(docs), labels, sample, threshold).select("doc_id", "poor", "toxic", "rejected")
 
@@ -158,7 +158,7 @@ def judged(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold:
             n = batch.num_rows
             slots, rows = features(*buffers.flat(batch.column("text")))
             p = chain.probabilities(slots, rows, n) if chain else np.zeros((n, 2))
-            some = np.bincount(rows, minlength=n) > 0
+            some = np.bincount(rows, chain.models[-1].sparse[slots] > 0, n) > 0 if chain else np.zeros(n, bool)
             arrays = [*batch.columns, pa.array(p[:, 0]), pa.array(p[:, 1]), pa.array((p[:, 1] >= threshold) & some)]
             yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names, "poor", "toxic", "rejected"])
     from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
