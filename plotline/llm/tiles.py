@@ -12,6 +12,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from plotline.llm import vectors
 
@@ -52,21 +53,26 @@ def nearest(table: DataFrame, every: int, k: int, rows: int = vectors.BLOCK_ROWS
     candidates = vectors.in_blocks(held, rows)
     queries = vectors.in_blocks(held.where(f"vec_id % {every} = 0"), rows)
 
-    def run(batches):
-        for batch in batches:
-            for dims, qi, qd, ci, cd in zip(*(batch.column(c).to_pylist() for c in ("dims", "query_ids", "query_data", "ids", "data"))):
-                qi, ci = np.frombuffer(qi, np.int64), np.frombuffer(ci, np.int64)
-                x, y = vectors.matrix(qd, dims), vectors.matrix(cd, dims)
-                right = quantised(y)
-                for at in range(0, len(x), 256):
-                    part, names = x[at:at + 256], qi[at:at + 256]
-                    a, b = survivors(quantised(part), right, names[:, None] == ci, k)
-                    score = vectors.products(part[a], y[b])
-                    order = np.lexsort((ci[b], -score, a))
-                    a, b, score = a[order], b[order], score[order]
-                    first = np.searchsorted(a, a)
-                    keep = np.arange(len(a)) - first < k
-                    yield pa.RecordBatch.from_arrays([pa.array(names[a[keep]]), pa.array(ci[b[keep]]), pa.array(score[keep])],
-                                                     names=["query_id", "vec_id", "score"])
-    found = vectors.meetings(queries, candidates).mapInArrow(run, vectors.FOUND.format(kind="double"))
+    def run(table: pa.Table) -> pa.Table:
+        """One query block against some candidate blocks; each tile's best are merged into the best so far."""
+        dims, names = table.column("dims")[0].as_py(), np.frombuffer(table.column("query_ids")[0].as_py(), np.int64)
+        x = vectors.matrix(table.column("query_data")[0].as_py(), dims)
+        best = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)) for _ in range(0, len(x), 256)]
+        for ci, cd in zip(table.column("ids"), table.column("data")):
+            ci, y = np.frombuffer(ci.as_py(), np.int64), vectors.matrix(cd.as_py(), dims)
+            right = quantised(y)
+            for n, at in enumerate(range(0, len(x), 256)):
+                part = x[at:at + 256]
+                a, b = survivors(quantised(part), right, names[at:at + 256, None] == ci, k)
+                found = a, ci[b], vectors.products(part[a], y[b])
+                a, ids, score = (np.concatenate(c) for c in zip(best[n], found))
+                order = np.lexsort((ids, -score, a))
+                order = order[np.arange(len(a)) - np.searchsorted(a[order], a[order]) < k]
+                best[n] = a[order], ids[order], score[order]
+        row = np.concatenate([b[0] + 256 * n for n, b in enumerate(best)])
+        return pa.table({"query_id": pa.array(names[row]), "vec_id": pa.array(np.concatenate([b[1] for b in best])),
+                         "score": pa.array(np.concatenate([b[2] for b in best]))})
+
+    dealt = vectors.meetings(queries, candidates).withColumn("slot", F.pmod(F.xxhash64("cell"), F.col("slots")))
+    found = dealt.groupBy("query_cell", "slot").applyInArrow(run, vectors.FOUND.format(kind="double"))
     return vectors.merged(found, k, "double")

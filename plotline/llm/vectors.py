@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK_ROWS = 2048
+TOGETHER = 16
 BLOCK = "cell long, dims int, ids binary, data binary"
 FOUND = "query_id long, vec_id long, score {kind}"
 
@@ -55,7 +56,8 @@ def meetings(queries: DataFrame, candidates: DataFrame) -> DataFrame:
     held = candidates.select("cell", "dims")
     cells = held.groupBy("dims").agg(F.collect_list("cell").alias("cells"))
     dealt = (queries.select("dims", F.col("ids").alias("query_ids"), F.col("data").alias("query_data"), F.col("cell").alias("query_cell"))
-             .join(cells, "dims").select("query_cell", "query_ids", "query_data", "dims", F.explode("cells").alias("cell")))
+             .join(cells, "dims").select("query_cell", "query_ids", "query_data", "dims", F.ceil(F.size("cells") / TOGETHER).alias("slots"),
+                     F.explode("cells").alias("cell")))
     return dealt.join(candidates.drop("dims"), "cell")
 
 
