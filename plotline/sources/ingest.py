@@ -118,7 +118,7 @@ def detect(payloads: DataFrame) -> DataFrame:
 
     def found(name, confidence):
         return F.struct(F.lit(name).alias("format"), F.lit(confidence).alias("confidence"))
-    empty = ~latin.rlike(r"[^\s\x0b]") & (F.octet_length(content) <= SNIFF)
+    empty = ~F.decode(content, "ISO-8859-1").rlike(r"[^\s\x0b]")
     result = (F.when(empty, found("unknown", 0.0))
               .when(latin.startswith("%PDF-"), found("pdf", 1.0))
               .when(F.contains(F.left(latin, F.lit(1024)), F.lit("%PDF-")), found("pdf", 0.8))
