@@ -16,7 +16,7 @@ from plotline import vocab
 from plotline.operators import scans
 from plotline.operators.ledger import zero
 from plotline.plans import build, rules
-from plotline.session import shared_folder
+from plotline.session import durable, shared_folder
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -49,12 +49,10 @@ def first_copies(payloads: DataFrame, seen: DataFrame, at: str, delay: str) -> D
 def burst_ledger(calls: DataFrame, keys: list[str], delay: str) -> DataFrame:
     """Bursts of calls as session windows; a gap of exactly 20 minutes stays inside.
 
-    Sessions merge inside each partition before they shuffle, so a busy key moves
-    sessions, not calls. Calls later than ``delay`` are dropped and counted by
+    With session.SETTINGS, sessions merge inside each partition before they shuffle, so
+    a busy key moves sessions, not calls. Calls later than ``delay`` are dropped and counted by
     Spark's own metric. A burst is emitted once the watermark passes it.
     """
-    calls.sparkSession.conf.set(
-        "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     tokens = zero("input_tokens") + zero("output_tokens") + zero("reasoning_tokens")
     return (calls.withWatermark("created_at", delay)
             .groupBy(F.session_window("created_at", f"{vocab.BURST_GAP_SECONDS} seconds"), *keys)
@@ -65,25 +63,39 @@ def burst_ledger(calls: DataFrame, keys: list[str], delay: str) -> DataFrame:
 def rule_graph(units: DataFrame, folder: str, checkpoint: str, fingerprint: str) -> StreamingQuery:
     """The rule graph kept up with new and edited scenes.
 
-    ``units``: scene_id, unit_id, sequence_index, unit_type, text, heading. Each
-    batch reads the hashes already done, works on the other scenes, and writes
-    facts and hashes under its batch id. A scene's newest batch is its graph.
+    ``units``: scene_id, unit_id, sequence_index, unit_type, text, heading. Lines are
+    stored under their batch id; a batch may hold any part of a scene, so the scenes it
+    touches are rebuilt from all their stored lines, of each line the newest. Scenes
+    whose content is as it was last time are left out; the others get facts and a hash
+    under the batch id. A scene's newest batch is its graph. A line without unit_id or
+    scene_id is no line; the stored lines keep null text.
     """
     spark = units.sparkSession
+    hash_shape = "scene_id {}, input_hash string, batch long".format(units.schema["scene_id"].dataType.simpleString())
+
+    def stored(kind: str, schema) -> DataFrame:
+        return spark.read.schema(schema).option("basePath", f"{folder}/{kind}").parquet(f"{folder}/{kind}")
 
     def one_batch(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
-        scenes = batch.groupBy("scene_id").agg(F.max("heading").alias("heading"))
-        hashed = build.scene_hash(scenes, batch, fingerprint)
+        batch.filter("scene_id IS NOT NULL AND unit_id IS NOT NULL").write.mode("overwrite").parquet(
+            f"{folder}/units/batch={batch_id}")
+        held = stored("units", batch.schema.add("batch", "long")).filter(F.col("batch") <= batch_id)
+        touched = held.filter(F.col("batch") == batch_id).select("scene_id").distinct()
+        lines = held.join(touched, "scene_id", "left_semi").groupBy("scene_id", "unit_id").agg(
+            F.max_by(F.struct("sequence_index", "unit_type", "text", "heading"),
+                     F.struct("batch", "sequence_index")).alias("u")).select("scene_id", "unit_id", "u.*")
+        lines = durable(lines)
+        scenes = lines.groupBy("scene_id").agg(F.max("heading").alias("heading"))
+        todo = build.scene_hash(scenes, lines, fingerprint).select("scene_id", "input_hash", "heading")
         if batch_id > 0:
-            done = spark.read.schema("scene_id long, input_hash string, batch long").parquet(f"{folder}/hashes")
-            hashed = hashed.join(done.filter(F.col("batch") < batch_id), ["scene_id", "input_hash"], "left_anti")
-        todo = hashed.select("scene_id", "input_hash", "heading")
-        work = batch.drop("heading").join(todo.select("scene_id"), "scene_id", "left_semi")
+            last = stored("hashes", hash_shape).filter(F.col("batch") < batch_id).groupBy("scene_id").agg(
+                F.max_by("input_hash", "batch").alias("input_hash"))
+            todo = todo.join(last, ["scene_id", "input_hash"], "left_anti")
+        todo = durable(todo)
+        work = lines.drop("heading").join(todo.select("scene_id"), "scene_id", "left_semi")
         facts = rules.provided(work, todo.select("scene_id", "heading"))
         facts.write.mode("overwrite").parquet(f"{folder}/facts/batch={batch_id}")
         todo.select("scene_id", "input_hash").write.mode("overwrite").parquet(f"{folder}/hashes/batch={batch_id}")
-        batch.unpersist()
     return (units.writeStream.foreachBatch(one_batch).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
