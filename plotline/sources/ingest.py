@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from plotline import vocab
 from plotline.functions import headings
 from plotline.functions.text import split_lines, strip
+from plotline.operators import scans
 
 SNIFF = 4096
 # Byte-order marks, longest first, with the codec each declares.
@@ -148,17 +149,24 @@ def fountain_title(text: Column) -> Column:
                     F.lit(""))
 
 
-def twins(imports: DataFrame) -> DataFrame:
-    """Each import with the newest earlier import of the same bytes.
+def twins(imports: DataFrame, block: Column, hot_rows: int | None = None) -> DataFrame:
+    """Each import of bytes already there, with the newest import before it.
 
-    The newest two per hash decide it: a map-side limited top-2, so a payload
-    uploaded very many times is no hot group.
+    Imports are ordered by (imported_at, import_id); ``copies`` counts those already
+    there, so the first import of some bytes has no row. Bytes uploaded more than
+    ``hot_rows`` times are scanned in blocks; ``block`` is monotone in the order.
     """
-    newest = imports.groupBy("content_hash").agg(
-        F.count(F.lit(1)).alias("copies"),
-        F.max_by("import_id", F.struct("imported_at", "import_id")).alias("twin_id"))
-    return imports.join(newest.filter("copies > 1"), "content_hash").select(
-        "import_id", "content_hash", "twin_id", "copies")
+    narrow = imports.select("import_id", "content_hash", "imported_at")
+    keys, order = ["content_hash"], [F.col("imported_at"), F.col("import_id")]
+    blocks = scans.carry(
+        scans.in_blocks(narrow, keys, [block], hot_rows), keys,
+        {"_last": (F.max_by("import_id", F.struct("imported_at", "import_id")), F.last),
+         "_many": (F.count(F.lit(1)), F.sum)})
+    within = scans.within(keys, order)
+    found = blocks.withColumns({
+        "twin_id": F.coalesce(F.lag("import_id").over(within), F.col("_last")),
+        "copies": F.row_number().over(within) - 1 + F.coalesce("_many", F.lit(0))})
+    return found.filter("copies > 0").select("import_id", "content_hash", "twin_id", F.col("copies").cast("long"))
 
 
 def enforce_limits(scenes: DataFrame, units: DataFrame,
