@@ -14,6 +14,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plotline.functions.names import caseless
+
 SEGMENTS = T.ArrayType(T.StructType([T.StructField("op", T.StringType()),
                                      T.StructField("text", T.StringType())]))
 
@@ -28,19 +30,15 @@ def ratio(old: pd.Series, new: pd.Series) -> pd.Series:
 @F.pandas_udf(SEGMENTS)
 def word_diff(before: pd.Series, after: pd.Series) -> pd.Series:
     """Ordered segments of a changed line: equal, del and ins runs of words."""
-    def segments(a: str, b: str) -> list[dict]:
-        old, new = a.split(" "), b.split(" ")
-        out = []
-        for tag, i, j, k, m in SequenceMatcher(None, old, new, autojunk=False).get_opcodes():
-            if tag == "equal":
-                out.append({"op": "equal", "text": " ".join(old[i:j])})
-                continue
-            if i < j:
-                out.append({"op": "del", "text": " ".join(old[i:j])})
-            if k < m:
-                out.append({"op": "ins", "text": " ".join(new[k:m])})
-        return out
-    return pd.Series([segments(a, b) for a, b in zip(before, after, strict=True)])
+    def segments(old: list[str], new: list[str]) -> list[dict]:
+        """Between two common runs stand first the words that went, then those that came."""
+        parts, old_at, new_at = [], 0, 0
+        for run in SequenceMatcher(None, old, new, autojunk=False).get_matching_blocks():
+            old_end, new_end = run.a + run.size, run.b + run.size
+            parts += [("del", old[old_at:run.a]), ("ins", new[new_at:run.b]), ("equal", old[run.a:old_end])]
+            old_at, new_at = old_end, new_end
+        return [{"op": op, "text": " ".join(words)} for op, words in parts if words]
+    return pd.Series([segments(a.split(" "), b.split(" ")) for a, b in zip(before, after, strict=True)])
 
 
 def ratio_bound(a: Column, b: Column) -> Column:
@@ -50,9 +48,9 @@ def ratio_bound(a: Column, b: Column) -> Column:
 
 
 def scene_score_bound(old_heading, new_heading, old_body, new_body) -> Column:
-    return 0.3 * ratio_bound(old_heading, new_heading) + 0.7 * ratio_bound(old_body, new_body)
+    return 0.3 * ratio_bound(caseless(old_heading), caseless(new_heading)) + 0.7 * ratio_bound(old_body, new_body)
 
 
 def scene_score(old_heading, new_heading, old_body, new_body) -> Column:
-    return (0.3 * ratio(F.lower(old_heading), F.lower(new_heading))
+    return (0.3 * ratio(caseless(old_heading), caseless(new_heading))
             + 0.7 * ratio(old_body, new_body))

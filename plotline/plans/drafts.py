@@ -85,35 +85,37 @@ def _without(frame: DataFrame, pairs: DataFrame, side: str) -> DataFrame:
 
 
 def best_chain(rows: pd.DataFrame) -> pd.DataFrame:
-    """The order-preserving links of highest total score between two drafts.
+    """The heaviest chain of links that rises in both drafts.
 
-    ``rows`` holds the scored candidate pairs of one draft pair (old rank i, new
-    rank j). Skipping costs nothing, so only candidate cells can change the best
-    score so far; the table is walked row by row with the best prefix kept.
+    ``rows`` holds the scored links of one draft pair (old rank i, new rank j). Links
+    are visited by rising i; a prefix-maximum tree over the new ranks in use answers
+    which chain ending further left weighs most, so k links cost k log k. Of chains of
+    equal weight the one wins whose last link has the smaller i, then the larger j,
+    and so on backwards.
     """
-    if rows.empty:
-        return rows.iloc[:0][["pair_id", "old_id", "new_id", "score"]]
-    n_rows, n_cols = int(rows["i"].max()), int(rows["j"].max())
-    cell = {(int(i), int(j)): s for i, j, s in zip(rows["i"], rows["j"], rows["score"], strict=True)}
-    best = [[0.0] * (n_cols + 1)]
-    for i in range(1, n_rows + 1):
-        above, line = best[-1], [0.0] * (n_cols + 1)
-        for j in range(1, n_cols + 1):
-            line[j] = max(above[j], line[j - 1])
-            if (i, j) in cell:
-                line[j] = max(line[j], above[j - 1] + cell[i, j])
-        best.append(line)
-    kept, i, j = set(), n_rows, n_cols
-    while i and j:
-        if (i, j) in cell and best[i][j] == best[i - 1][j - 1] + cell[i, j]:
-            kept.add((i, j))
-            i, j = i - 1, j - 1
-        elif best[i - 1][j] >= best[i][j - 1]:
-            i -= 1
-        else:
-            j -= 1
-    mask = [(int(a), int(b)) in kept for a, b in zip(rows["i"], rows["j"], strict=True)]
-    return rows.loc[mask, ["pair_id", "old_id", "new_id", "score"]]
+    links = rows.sort_values(["i", "j"], ascending=[True, False])
+    columns = {j: n for n, j in enumerate(sorted(set(links["j"])), 1)}
+    tree: dict[int, tuple] = {}
+    nothing = (0.0, 0, 0, None)
+    came_from, heaviest = [], nothing
+    for at, (i, j, score) in enumerate(zip(links["i"], links["j"], links["score"], strict=True)):
+        column = columns[j]
+        before, slot = nothing, column - 1
+        while slot:
+            before = max(before, tree.get(slot, nothing), key=lambda chain: chain[:3])
+            slot &= slot - 1
+        chain = (before[0] + score, -i, column, at)
+        came_from.append(before[3])
+        heaviest = max(heaviest, chain, key=lambda chain: chain[:3])
+        slot = column
+        while slot <= len(columns):
+            tree[slot] = max(tree.get(slot, nothing), chain, key=lambda chain: chain[:3])
+            slot += slot & -slot
+    kept, at = [], heaviest[3]
+    while at is not None:
+        kept.append(at)
+        at = came_from[at]
+    return links.iloc[kept[::-1]][["pair_id", "old_id", "new_id", "score"]]
 
 
 def similar(old_left: DataFrame, new_left: DataFrame, floor: float) -> DataFrame:
@@ -151,40 +153,43 @@ def align(old: DataFrame, new: DataFrame, confirmed: DataFrame | None = None) ->
             "deleted": exact["deleted"].unionByName(old_rest.select(PAIR, F.col("scene_id").alias("old_id")))}
 
 
-def most_similar(candidates: list[str], text: str, floor: float) -> int | None:
-    """The first candidate of highest ratio at or above ``floor``.
+def revisions(old: dict, new: dict, floor: float = 0.5) -> dict:
+    """Which old line each new line of one gap revises, by id: new lines choose in order.
 
-    The two cheap upper bounds of a ratio rule out most candidates unread.
+    A line takes the old line still free of highest ratio at or above ``floor``, the
+    earlier of equals. The cheap upper bounds of a ratio are asked first.
     """
-    matcher = SequenceMatcher(None, "", text)
-    best, pick = floor, None
-    for n, other in enumerate(candidates):
-        matcher.set_seq1(other)
-        for ratio in (matcher.real_quick_ratio, matcher.quick_ratio, matcher.ratio):
-            found = ratio()
-            if found < best or (found == best and pick is not None):
-                break
-        else:
-            best, pick = found, n
-    return pick
+    free, taken = dict(old), {}
+    for new_id, text in new.items():
+        matcher, found = SequenceMatcher(None, "", text), {}
+        for old_id, other in free.items():
+            matcher.set_seq1(other)
+            needed = max(found.values(), default=floor)
+            if min(matcher.real_quick_ratio(), matcher.quick_ratio()) >= needed:
+                found[old_id] = matcher.ratio()
+        best = max(found, key=found.get, default=None)
+        if best is not None and found[best] >= floor:
+            taken[new_id] = best
+            del free[best]
+    return taken
 
 
 def equal_lines(rows: pd.DataFrame) -> pd.DataFrame:
-    """The old line each new line of one scene pair continues word for word, and the one it revises."""
-    old = rows[rows["side"] == 0].sort_values("k")
-    new = rows[rows["side"] == 1].sort_values("k")
-    a, b = old["text"].tolist(), new["text"].tolist()
-    a_ids, b_ids = old["unit_id"].tolist(), new["unit_id"].tolist()
-    out = []
-    for tag, i, i_end, j, j_end in SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
-        if tag == "equal":
-            out += [(b_ids[j + d], a_ids[i + d], True) for d in range(j_end - j)]
-            continue
-        pool = list(range(i, i_end))
-        for at in range(j, j_end):
-            pick = most_similar([a[p] for p in pool], b[at], 0.5)
-            if pick is not None:
-                out.append((b_ids[at], a_ids[pool.pop(pick)], False))
+    """The old line each new line of one scene pair continues word for word, and the one it revises.
+
+    Runs of equal lines are the fixed points; only lines in the gap between the same
+    two runs can be revisions of each other.
+    """
+    lines = rows.sort_values("k")
+    (a_ids, a), (b_ids, b) = [(part["unit_id"].tolist(), part["text"].tolist())
+                              for part in (lines[lines["side"] == 0], lines[lines["side"] == 1])]
+    out, old_at, new_at = [], 0, 0
+    for run in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks():
+        gap = revisions(dict(zip(a_ids[old_at:run.a], a[old_at:run.a], strict=True)),
+                        dict(zip(b_ids[new_at:run.b], b[new_at:run.b], strict=True)))
+        out += [(new_id, old_id, False) for new_id, old_id in gap.items()]
+        old_at, new_at = run.a + run.size, run.b + run.size
+        out += [(new_id, old_id, True) for new_id, old_id in zip(b_ids[run.b:new_at], a_ids[run.a:old_at], strict=True)]
     frame = pd.DataFrame(out, columns=["new_unit_id", "old_unit_id", "same"])
     return frame.assign(scene_pair=rows["scene_pair"].iloc[0] if len(rows) else None)
 
