@@ -8,7 +8,7 @@ from plotline.registry import corpora, query
 from plotline.registry.functions import WORD
 from plotline.session import durable
 from plotline.sources import fdx, ingest, layout, lines, parsing, sink, stage, truth
-from plotline.sources.tables import SCHEMAS, over_talks
+from plotline.sources.tables import SCHEMAS
 
 
 def payloads(t):
@@ -127,10 +127,10 @@ def s6(t):
         F.count(F.lit(1)).alias("units"), F.sum(F.char_length("text")).alias("chars"))
 
 
-@query("S7_stage_play_units", over_talks(r"""WITH l AS (SELECT conv_id, turn, upper(role) AS cue, list_filter(list_transform(
+@query("S7_stage_play_units", r"""WITH l AS (SELECT conv_id, turn, upper(role) AS cue, list_filter(list_transform(
       string_split(trim(text), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS ls FROM conversations)
     SELECT conv_id, turn // 3 AS scene_index, '2.' || (turn // 3 + 1) AS number, 'A room of the house' AS heading,
-      1 + (turn % 3) * 2 + 1 AS sequence_index, cue AS speaker, md5(array_to_string(ls, ' ')) AS digest FROM l"""))
+      1 + (turn % 3) * 2 + 1 AS sequence_index, cue AS speaker, md5(array_to_string(ls, ' ')) AS digest FROM l""")
 def s7(t):
     scenes, units, _ = stage.stage_play(durable(corpora.play_texts(t)))
     return units.filter("unit_type = 'dialogue'").join(scenes, ["doc_id", "scene_index"]).select(
@@ -179,22 +179,21 @@ def s10(t):
             .join(ingest.outcome(warnings, verdicts), "doc_id").withColumnRenamed("doc_id", "script_id"))
 
 
-@query("S11_duplicate_twins", """WITH k AS (SELECT md5(text) AS h, count(*) AS copies, max(doc_id) AS twin
-      FROM documents GROUP BY 1 HAVING count(*) > 1)
-    SELECT doc_id, twin AS twin_id, copies FROM documents JOIN k ON h = md5(text)""")
+@query("S11_duplicate_twins", """SELECT * FROM (SELECT doc_id, lag(doc_id) OVER w AS twin_id, row_number() OVER w - 1 AS copies
+    FROM documents WINDOW w AS (PARTITION BY md5(text) ORDER BY doc_id)) WHERE copies > 0""")
 def s11(t):
     imports = ingest.identify(payloads(t)).select(
         F.col("doc_id").alias("import_id"), "content_hash", F.col("doc_id").alias("imported_at"))
-    return ingest.twins(imports).select(F.col("import_id").alias("doc_id"), "twin_id", "copies")
+    return ingest.twins(imports, F.expr("imported_at div 100000")).select(F.col("import_id").alias("doc_id"), "twin_id", "copies")
 
 
 @query("S12_corpus_tables", "WITH " + corpora.UNITS_SQL + """ SELECT sha256(concat_ws('|', script_id, scene_index,
     sequence_index)) AS unit_id, sha256(concat_ws('|', script_id, scene_index)) AS scene_id FROM units
-    WHERE (script_id // 1000000) % 2 = 0""")
+    WHERE script_id % 2 = 0""")
 def s12(t):
     _, scenes, units = corpora.script_frames(t)
     verdicts = units.select(F.col("script_id").alias("doc_id")).distinct().withColumn(
-        "outcome", F.when(F.expr("doc_id div 1000000") % 2 == 0, "accepted").otherwise("rejected"))
+        "outcome", F.when(F.col("doc_id") % 2 == 0, "accepted").otherwise("rejected"))
     tables = ingest.corpus_tables(verdicts, scenes.withColumnRenamed("script_id", "doc_id"),
                                   units.withColumnRenamed("script_id", "doc_id"))
     return tables["units"].select("unit_id", "scene_id")

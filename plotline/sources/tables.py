@@ -126,16 +126,6 @@ class Tables:
         """Documents, over all cores, for work that reads whole texts."""
         return spread(self.documents, "doc_id")
 
-    @cached_property
-    def talks(self) -> DataFrame:
-        """Conversations cut into pieces of a thousand turns, each a bounded scene.
-
-        A conversation may hold any share of all rows; a scene may not, so the
-        piece, not the conversation, is what window and text jobs group by.
-        """
-        return self.conversations.withColumn(
-            "conv_id", F.col("conv_id") * 1000000 + F.expr("turn div 1000"))
-
     @cached_property
     def model_calls(self) -> DataFrame:
         """Calls from events: purpose by type, tokens from the JSON payload."""
@@ -210,18 +200,6 @@ SQL = {
 }
 
 
-TALKS = ("talks AS (SELECT conv_id * 1000000 + turn // 1000 AS conv_id, turn, role, text "
-         "FROM conversations)")
-
-
-def over_talks(sql: str) -> str:
-    """The checking query with conversations cut into the same pieces."""
-    body = sql.strip().replace("conversations", "talks")
-    if body.startswith("WITH "):
-        return f"WITH {TALKS}, {body[5:]}"
-    return f"WITH {TALKS} {body}"
-
-
 def with_(*names: str, then: str) -> str:
     """A checking query over the named frames."""
     return "WITH " + ",\n".join(SQL[n] for n in names) + "\n" + then

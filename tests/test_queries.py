@@ -19,7 +19,11 @@ CHOSEN = [
     "A6_billable_actions", "A20_grounding_metrics", "W2_burst_sessions", "W8_settle_cues", "O1_paged_list",
     "O6_find_scene", "U5_ungrounded_names", "G1_graph_diff", "G3_apply_changes", "G6_orphaned_references",
     "G11_merge_entities", "G13_resolve_entities", "G16_verify_verdicts", "G28_carry_graph", "G29_draft_chains",
-    "G45_budget_gate", "T2_stream_bursts"]
+    "G45_budget_gate", "S11_duplicate_twins", "S12_corpus_tables", "G15_validate_replies", "G17_verify_findings",
+    "J15_positional_zip", "T2_stream_bursts", "T3_stream_rule_graph"]
+# Queries that read whole conversations, run on one of five thousand turns.
+LONG = ["W3_carry_forward", "W4_running_page", "W5_join_wrapped_lines", "W8_settle_cues", "W9_speaker_above", "W10_context_window",
+        "W12_read_windows", "F14_content_hash", "J18_first_mention", "P17_scene_body", "S15_fountain_export", "T3_stream_rule_graph"]
 
 
 def database(folder):
@@ -39,6 +43,27 @@ def test_agrees_with_sql(spark, name):
     assert rows(got) == rows(want)
 
 
+@pytest.fixture(scope="module")
+def long_talks(spark, tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("long"))
+    connection = duckdb.connect()
+    connection.execute(f"""COPY (SELECT c AS conv_id, t AS turn, CASE WHEN hash(c * 7919 + t) % 5 = 0 THEN 'system' WHEN hash(c * 31 + t) % 2 = 0
+        THEN 'user' ELSE 'assistant' END AS role, 'line el ' || hash(t + c) || CASE WHEN t % 700 = 3 THEN ' queque' ELSE '' END AS text
+        FROM (SELECT 1::BIGINT AS c, range AS t FROM range(5000) UNION ALL SELECT 2, range FROM range(4)))
+        TO '{folder}/conversations.parquet' (FORMAT parquet)""")
+    return folder
+
+
+@pytest.mark.parametrize("name", LONG)
+def test_long_conversations_stay_whole(spark, long_talks, name):
+    entry = load()[name]
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW conversations AS SELECT * FROM '{long_talks}/conversations.parquet'")
+    got, want = entry.run(spark, long_talks).toPandas(), connection.execute(entry.sql).df()
+    assert sorted(got.columns) == sorted(want.columns)
+    assert rows(got) == rows(want)
+
+
 def test_every_operator_is_registered():
     found = {name.split("_")[0] for name in load()}
     sizes = {"S": 16, "P": 17, "J": 21, "A": 23, "W": 13, "O": 8, "U": 5, "F": 25, "G": 50, "T": 4}
