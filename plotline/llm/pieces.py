@@ -11,7 +11,6 @@ the counts of the pre-tokens they hold and sum them by frequency.
 from __future__ import annotations
 
 import re
-import struct
 
 import numpy as np
 import pyarrow as pa
@@ -82,6 +81,20 @@ def pretokens(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarr
     return coded.dictionary, coded.indices.to_numpy(), row
 
 
+def ended(keys: pa.Array) -> bytes:
+    """Pre-tokens, which never hold a space, each with a space behind it."""
+    text, offsets = buffers.flat(keys)
+    out = np.full(len(text) + len(keys), 32, np.uint8)
+    out[np.arange(len(text)) + np.repeat(np.arange(len(keys)), np.diff(offsets))] = text
+    return out.tobytes()
+
+
+def cut(data: np.ndarray) -> pa.Array:
+    """The pre-tokens that ``ended`` wrote."""
+    ends = np.flatnonzero(data == 32)
+    return buffers.strings(data[data != 32], np.r_[0, ends - np.arange(len(ends))])
+
+
 def key_hashes(keys: pa.Array) -> np.ndarray:
     data, offsets = buffers.flat(keys)
     return buffers.span_hash(buffers.prefix_hash(data), offsets[:-1], offsets[1:])
@@ -111,15 +124,10 @@ def token_counts(docs: DataFrame, path: str, limit: int = 4096) -> DataFrame:
         order, edges = exchange.order_of(key_hashes(keys), parts)
         keys = keys.take(pa.array(order))
         for p in np.flatnonzero(np.diff(edges)):
-            text, at = buffers.flat(keys.slice(edges[p], edges[p + 1] - edges[p]))
-            yield p, struct.pack("<q", len(at) - 1) + np.diff(at).astype(np.uint32).tobytes() + text.tobytes()
+            yield p, ended(keys.slice(edges[p], edges[p + 1] - edges[p]))
 
     def answer(payloads):
-        arrays = []
-        for x in payloads:
-            n = struct.unpack_from("<q", x)[0]
-            lengths = np.frombuffer(x, np.uint32, n, 8)
-            arrays.append(buffers.strings(np.frombuffer(x, np.uint8, -1, 8 + 4 * n), np.r_[0, np.cumsum(lengths, dtype=np.int64)]))
+        arrays = [cut(np.frombuffer(x, np.uint8)) for x in payloads]
         coded = pa.concat_arrays(arrays).dictionary_encode()
         counts = piece_counts(opened(path), coded.dictionary.to_numpy(zero_copy_only=False).tolist()).astype(np.uint32)
         replies, at = counts[coded.indices.to_numpy()], 0

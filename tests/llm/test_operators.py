@@ -7,6 +7,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -299,3 +300,11 @@ def test_pipeline(spark, odd):
     assert {r.doc_id for r in packed.select("doc_id").collect()} == {r.doc_id for r in at.select("doc_id").collect()}
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, odd, FOLDER).columns == odd.columns
+
+
+def test_pre_tokens_travel_with_a_space_behind_each():
+    for keys in ([], [""], ["", "a", "", "\nb", "\u2581\u2581c", "\u00e9\u4e2d", ""]):
+        column = pa.array(keys, pa.large_string())
+        assert pieces.cut(np.frombuffer(pieces.ended(column), np.uint8)).to_pylist() == keys
+        if len(keys) > 2:
+            assert pieces.cut(np.frombuffer(pieces.ended(column.slice(2, 3)), np.uint8)).to_pylist() == keys[2:5]
