@@ -44,17 +44,22 @@ def phrase_hits(texts: DataFrame, names: DataFrame, keys: list[str] | None = Non
 def all_words_hits(texts: DataFrame, names: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Texts that hold every word of a name, in any order.
 
-    ``words`` and ``name_words`` are sets. Words are joined one by one and
-    counted; the count combines before the shuffle.
+    ``words`` and ``name_words`` are sets. A name meets texts only through its
+    rarest word among all texts; its other words are looked up in the texts that
+    hold that one. A name with a word no text holds meets nothing.
     """
     keys = keys or []
     offered = texts.select(*keys, "text_id", F.explode("words").alias("word"))
-    sought = names.filter(F.size("name_words") > 0).select(
-        *keys, "name_id", F.size("name_words").alias("need"),
-        F.explode("name_words").alias("word"))
-    return (offered.join(sought, [*keys, "word"])
-            .groupBy(*keys, "text_id", "name_id", "need").agg(F.count(F.lit(1)).alias("have"))
-            .filter("have = need").drop("have", "need"))
+    sought = names.filter(F.size("name_words") > 0).select(*keys, "name_id", "name_words")
+    parts = sought.select(*keys, "name_id", "name_words", F.explode("name_words").alias("word"))
+    held = (offered.join(parts.select(*keys, "word").distinct(), [*keys, "word"], "left_semi")
+            .groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("_held")))
+    rarest = parts.join(held, [*keys, "word"]).groupBy(*keys, "name_id").agg(
+        F.min_by(F.struct("word", "name_words"), F.struct("_held", "word")).alias("_r")).select(
+        *keys, "name_id", "_r.word", "_r.name_words")
+    near = offered.join(rarest, [*keys, "word"]).drop("word")
+    return (near.join(texts, [*keys, "text_id"])
+            .filter(F.size(F.array_except("name_words", "words")) == 0).select(*keys, "text_id", "name_id"))
 
 
 def _grams(text: Column, n: int) -> Column:

@@ -33,6 +33,12 @@ def ranked(rows: DataFrame, cap: int = vocab.MAX_EVIDENCE_ITEMS) -> DataFrame:
     return first_in(scored, ["request_id"], order, cap, "place").join(totals, "request_id")
 
 
+def touched_in_script(assertions: DataFrame) -> DataFrame:
+    """script_id, assertion_id, entity_id: one row per entity a fact touches."""
+    ends = F.array_distinct(F.array_compact(F.array("subject_entity_id", "object_entity_id")))
+    return assertions.select("script_id", "assertion_id", F.explode(ends).alias("entity_id"))
+
+
 def evidence(requests: DataFrame, assertions: DataFrame, scenes: DataFrame,
              predicates: list[str] | None = None) -> DataFrame:
     """Evidence for many (request, script, origin scene, entity) rows at once.
@@ -40,9 +46,13 @@ def evidence(requests: DataFrame, assertions: DataFrame, scenes: DataFrame,
     ``assertions`` carries in_scene. A fact touching two asked entities counts
     once. ``relation`` places it before, in, or after the origin scene.
     """
-    ends = endpoint_frame(assertions.filter("active"))
-    asked = requests.join(ends, "entity_id").select(
-        "request_id", "script_id", "origin_index", "assertion_id").distinct()
+    live = assertions.filter("active")
+    if "script_id" in assertions.columns:
+        ends = touched_in_script(live)
+        asked = requests.join(ends, ["script_id", "entity_id"])
+    else:
+        asked = requests.join(endpoint_frame(live), "entity_id")
+    asked = asked.select("request_id", "script_id", "origin_index", "assertion_id").distinct()
     placed = scenes.select(F.col("scene_id").alias("in_scene"), "sequence_index", "number")
     facts = assertions.drop("script_id") if "script_id" not in requests.columns else assertions
     rows = asked.join(facts, ["assertion_id", "script_id"]).join(placed, "in_scene").withColumn(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plotline import vocab
 from plotline.functions import words
-from plotline.operators import aggregates, mentions
+from plotline.operators import aggregates
 from plotline.operators.joins import endpoint_frame
 from plotline.plans import continuity, diff
 
@@ -210,15 +210,14 @@ def listed_facts(edits: DataFrame, assertions: DataFrame, surfaces: DataFrame) -
     both = F.concat_ws(" ", "current_text", "proposed_text")
     spoken = edits.select("batch_id", "script_id", F.explode(words.significant(both)).alias("w")).groupBy(
         "batch_id", "script_id").agg(F.collect_set("w").alias("words"))
-    texts = spoken.select("script_id", F.col("batch_id").alias("text_id"), "words")
-    sought = surfaces.select("script_id", F.struct("entity_id", "name").alias("name_id"),
-                             words.significant(F.col("name")).alias("name_words"))
-    named = mentions.all_words_hits(texts, sought, ["script_id"]).select(
-        F.col("text_id").alias("batch_id"), F.col("name_id.entity_id").alias("entity_id")).distinct()
+    # Only names of entities that a fact of the edited scenes touches are compared.
+    sought = surfaces.select("script_id", "entity_id", words.significant(F.col("name")).alias("name_words")).filter(
+        F.size("name_words") > 0)
     scenes = edits.select("batch_id", F.col("scene_id").alias("unit_scene_id")).distinct()
     local = scenes.join(live.select("unit_scene_id", "assertion_id"), "unit_scene_id").select("batch_id", "assertion_id")
     ends = endpoint_frame(live)
-    about = local.join(ends, "assertion_id").join(named, ["batch_id", "entity_id"], "left_semi").select(
+    near = local.join(ends, "assertion_id").join(spoken, "batch_id").join(sought, ["script_id", "entity_id"])
+    about = near.filter(F.size(F.array_except("name_words", "words")) == 0).select(
         "batch_id", "assertion_id", F.lit(1).alias("way")).distinct()
     return cited.unionByName(about).groupBy("batch_id", "assertion_id").agg(F.min("way").alias("way"))
 

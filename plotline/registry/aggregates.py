@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from plotline.operators import aggregates as A
 from plotline.operators import joins as J
-from plotline.operators import ledger
+from plotline.operators import ledger, mentions
 from plotline.registry import query
 from plotline.registry.joins import FINDINGS
 from plotline.sources.tables import SQL, with_
@@ -183,12 +183,14 @@ def a12(t):
 
 @query("A13_entity_coverage", """SELECT w AS wanted, l_orderkey AS scene, count(DISTINCT (l_linenumber,
       l_returnflag, p_name)) AS units, count(DISTINCT l_returnflag) AS predicates
-    FROM (VALUES ('widget'), ('hot'), ('gear')) v(w) JOIN part ON contains(p_name, w)
+    FROM (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS w FROM part) v JOIN part ON contains(p_name, w)
     JOIN lineitem ON l_partkey = p_partkey GROUP BY 1, 2""")
 def a13(t):
-    asked = F.array(F.lit("widget"), F.lit("hot"), F.lit("gear"))
-    named = t.part.select("p_partkey", "p_name", F.explode(F.filter(
-        asked, lambda w: F.contains("p_name", w))).alias("wanted"))
+    """Every word that names of parts use, looked for in all names."""
+    asked = t.part.select(F.explode(F.split("p_name", " ")).alias("name")).distinct().withColumn("name_id", F.col("name"))
+    texts = t.part.select(F.col("p_partkey").alias("text_id"), F.col("p_name").alias("text"))
+    named = mentions.substring_hits(texts, asked).select(
+        F.col("text_id").alias("p_partkey"), F.col("text").alias("p_name"), F.col("name").alias("wanted")).distinct()
     cited = t.lineitem.join(named, F.col("l_partkey") == F.col("p_partkey")).select(
         "wanted", F.col("l_orderkey").alias("scene"), F.col("l_linenumber").alias("unit_id"),
         F.col("l_returnflag").alias("predicate"), F.col("p_name").alias("line"),

@@ -69,12 +69,12 @@ def g3_attributes(t):
 
 
 @query("G3_apply_texts", """SELECT c_custkey AS unit_id, coalesce(max_by(o_orderstatus, (o_orderdate, o_orderkey)), c_name) AS text,
-    1 + count(o_orderkey) AS current_version FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > 300000
+    1 + count(o_orderkey) AS current_version FROM customer LEFT JOIN orders ON o_custkey = c_custkey
     GROUP BY c_custkey, c_name""")
 def g3_texts(t):
     units = t.customer.select(F.col("c_custkey").alias("unit_id"), F.col("c_name").alias("text"),
                               F.lit(1).cast("long").alias("current_version"))
-    ops = t.orders.filter("o_totalprice > 300000").select(
+    ops = t.orders.select(
         F.lit("set_unit_text").alias("operation_type"), F.col("o_custkey").alias("target_id"),
         F.col("o_orderstatus").alias("text"), F.col("o_orderdate").alias("accepted_order"),
         F.col("o_orderkey").alias("sequence_index"), F.col("o_orderkey").alias("change_set_id"))

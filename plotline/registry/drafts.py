@@ -8,9 +8,10 @@ from plotline.plans import drafts
 from plotline.registry import query
 from plotline.sources.tables import SQL, with_
 
-# Drafts from the documents: copies share their first forty characters. The older
-# draft of a pair is the lower id, the newer the next higher one of the same copy.
-DRAFTS = """g AS (SELECT doc_id, text, md5(left(text, 40)) AS h FROM documents),
+# Drafts from the documents: copies share their longest line (of several, the last in
+# order of text). The older draft of a pair is the lower id, the newer the next higher one.
+DRAFTS = """g AS (SELECT doc_id, md5(max_by(x, (length(x), x))) AS h FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM documents)
+      GROUP BY 1),
     pr AS (SELECT doc_id AS new_doc, lag(doc_id) OVER (PARTITION BY h ORDER BY doc_id) AS old_doc FROM g
       QUALIFY old_doc IS NOT NULL),
     ln AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS pos, trim(unnest(string_split(text, chr(10)))) AS t FROM documents)"""
@@ -23,7 +24,8 @@ def draft_pairs(t):
     the blocked scan, not one window per group of copies.
     """
     from plotline.operators import scans
-    docs = t.documents.select("doc_id", F.md5(F.left("text", F.lit(40))).alias("h"))
+    longest = F.array_max(F.transform(F.split("text", "\n"), lambda x: F.struct(F.char_length(x).alias("n"), x.alias("x"))))["x"]
+    docs = t.documents.filter("text IS NOT NULL").select("doc_id", F.md5(longest).alias("h"))
     blocks = scans.carry(scans.in_blocks(docs, ["h"], [F.expr("doc_id div 100000")]), ["h"],
                          {"_prev": (F.max("doc_id"), F.max)})
     before = F.coalesce(F.lag("doc_id").over(scans.within(["h"], [F.col("doc_id")])), F.col("_prev"))
@@ -121,7 +123,7 @@ def g29_candidates(t):
     k AS (SELECT n.b, n.id AS nid, o.id AS oid, n.v AS nv, o.v AS ov FROM e n JOIN e o ON n.b = 'Brand#' || (CAST(substr(o.b, 7) AS INTEGER) + 1)
       AND n.ty = o.ty AND n.nm = o.nm),
     f AS (SELECT l_partkey AS id, bool_or(l_returnflag = 'N') AS intro, bool_or(l_returnflag = 'A') AS used FROM lineitem
-      WHERE l_linestatus = 'O' AND l_returnflag <> 'R' AND l_discount > 0.07 GROUP BY 1)
+      WHERE l_linestatus = 'O' AND l_returnflag <> 'R' GROUP BY 1)
     SELECT d.b AS script_pair, (SELECT count(*) FROM k WHERE k.b = d.b) AS kept, (SELECT count(*) FROM e WHERE e.b = d.b) - (SELECT count(*) FROM k
       WHERE k.b = d.b) AS added, (SELECT count(*) FROM e o JOIN f USING (id) WHERE d.b = 'Brand#' || (CAST(substr(o.b, 7) AS INTEGER) + 1) AND NOT
       EXISTS (SELECT 1 FROM k WHERE k.oid = o.id AND k.b = d.b)) AS removed, (SELECT count(*) FROM k WHERE k.b = d.b AND nv <> ov) AS attribute_changes,
@@ -134,11 +136,11 @@ def g32(t):
     new = e.withColumn("script_pair", F.col("b")).withColumns({"predecessor_entity_id": F.lit(None).cast("long"),
                                                               "alias_key": F.lit("-")})
     new = new.filter("b <> 'Brand#1'")
-    top = 25
-    old = e.withColumn("script_pair", F.concat(F.lit("Brand#"), number + 1)).filter(number < top)
+    old = e.withColumn("script_pair", F.concat(F.lit("Brand#"), number + 1)).join(
+        new.select("script_pair").distinct(), "script_pair", "left_semi")
     aliases = old.withColumn("normalized_alias", F.lit("none"))
     attributes = e.select("entity_id", F.lit("size").alias("key"), F.col("value").cast("string").alias("value"), F.lit(True).alias("active"))
-    facts = t.lineitem.filter("l_returnflag <> 'R' AND l_discount > 0.07").select(
+    facts = t.lineitem.filter("l_returnflag <> 'R'").select(
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("assertion_id"), F.lit(None).cast("long").alias("subject_entity_id"),
         F.col("l_partkey").alias("object_entity_id"), F.when(F.col("l_returnflag") == "N", "establishes").otherwise("requires")
         .alias("predicate"), (F.col("l_linestatus") == "O").alias("active"))
@@ -155,9 +157,10 @@ def g33(t):
         F.expr("CASE o_orderstatus WHEN 'P' THEN 'unchanged' WHEN 'F' THEN 'modified' ELSE 'inserted' END").alias("lineage_kind"))
     lines = t.lineitem.select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("unit_id"),
                               F.col("l_orderkey").alias("scene_id"), F.col("l_returnflag").alias("text"))
-    olds = t.spark.createDataFrame([("base",)], "unit_id string").select("unit_id", F.lit(-1).cast("long").alias("scene_id"),
-                                                                        F.lit("A").alias("text"), F.lit(None).cast("string").alias("predecessor_unit_id"))
-    units = lines.withColumn("predecessor_unit_id", F.when(F.col("text") == "A", "base")).unionByName(olds)
+    before = F.concat(F.lit("before "), "unit_id")
+    olds = lines.select(before.alias("unit_id"), (-F.col("scene_id")).alias("scene_id"), F.lit("A").alias("text"),
+                        F.lit(None).cast("string").alias("predecessor_unit_id"))
+    units = lines.withColumn("predecessor_unit_id", before).unionByName(olds)
     facts = t.facts.withColumn("unit_scene_id", F.col("scene_id"))
     none = t.spark.createDataFrame([], "script_id long, entity_id long, predecessor_entity_id long")
     _, affected = drafts.changed_lines(scenes, units, facts, none)

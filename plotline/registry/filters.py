@@ -9,7 +9,7 @@ from plotline.functions import words
 from plotline.operators import filters as P
 from plotline.operators import quality
 from plotline.registry import query
-from plotline.registry.functions import FIRST, WORD, derived
+from plotline.registry.functions import CAPS, PHRASES_SQL, derived
 from plotline.sources.tables import with_
 
 
@@ -128,11 +128,11 @@ def p11(t):
     return edges.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
-PLACE = (f"CASE n_chars % 9 WHEN 0 THEN 'everybody' WHEN 1 THEN 'Two men from ' || {WORD} "
-         f"WHEN 2 THEN 'Lords, Ladies, and ' || {WORD} WHEN 3 THEN 'UPDATED. ' || {WORD} "
-         f"WHEN 4 THEN 'TIME: The sixth of March, 1886' WHEN 5 THEN 'Enter ' || {WORD} "
-         f"WHEN 6 THEN 'A room which is ' || {WORD} WHEN 7 THEN 'the table has ' || {WORD} "
-         f"ELSE left({FIRST}, 60) END")
+PLACE = (f"CASE n % 9 WHEN 0 THEN 'everybody' WHEN 1 THEN 'Two men from ' || {CAPS} "
+         f"WHEN 2 THEN 'Lords, Ladies, and ' || {CAPS} WHEN 3 THEN 'UPDATED. ' || {CAPS} "
+         f"WHEN 4 THEN 'TIME: The sixth of March, 1886' WHEN 5 THEN 'Enter ' || {CAPS} "
+         f"WHEN 6 THEN 'A room which is ' || {CAPS} WHEN 7 THEN 'the table has ' || {CAPS} "
+         f"ELSE phrase END")
 
 
 def _q(values):
@@ -147,9 +147,9 @@ TIME_SQL = (r"list_filter(regexp_extract_all(lower(regexp_replace(trim(x), '^[A-
 PLACE_SQL = (r"regexp_extract_all(lower(x), '[a-z'']+')")
 
 
-@query("P12_unusable_names", rf"""WITH k AS (SELECT doc_id, {PLACE} AS x FROM documents),
+@query("P12_unusable_names", rf"""WITH k AS (SELECT doc_id, pos, {PLACE} AS x FROM {PHRASES_SQL}),
     j AS (SELECT *, lower(trim(x)) AS f, {TIME_SQL} AS tw, {PLACE_SQL} AS pw FROM k)
-    SELECT doc_id, CASE WHEN f IN ({_q(vocab.NON_ENTITY_NAMES)}) THEN 'pronoun_or_group_name'
+    SELECT doc_id, pos, CASE WHEN f IN ({_q(vocab.NON_ENTITY_NAMES)}) THEN 'pronoun_or_group_name'
         WHEN regexp_matches(trim(x), '{GROUP_RE}') OR regexp_matches(x, '{LIST_RE}')
           THEN 'pronoun_or_group_name'
         WHEN regexp_matches(x, '{SENTENCE_RE}') THEN 'sentence_like_name' END AS as_cast,
@@ -166,7 +166,7 @@ PLACE_SQL = (r"regexp_extract_all(lower(x), '[a-z'']+')")
 def p12(t):
     raw = F.col("raw")
     return derived(t, PLACE, "raw").select(
-        "doc_id", quality.unusable_name(raw, F.lit("cast")).alias("as_cast"),
+        "doc_id", "pos", quality.unusable_name(raw, F.lit("cast")).alias("as_cast"),
         quality.unusable_name(raw, F.lit("location")).alias("as_location"))
 
 

@@ -9,27 +9,31 @@ from plotline.functions import figures, headings, names, phrases, replies, simil
 from plotline.registry import query
 from plotline.sources.tables import with_
 
-# Lines derived from the documents, in text both engines read alike.
-FIRST = "regexp_extract(text, '^[^\\n]*', 0)".replace("\\n", "\n")
+# Phrases derived from the whole texts, in text both engines read alike: every stretch
+# between marks of punctuation is one, dressed as a heading, cue, label or name.
 WORD = "upper(regexp_extract(text, '[A-Za-z]+', 0))"
-HEADING = (f"CASE lang WHEN 'en' THEN 'INT. ' WHEN 'fr' THEN 'ext/int. ' WHEN 'de' THEN 'I/E ' "
-           f"WHEN 'es' THEN 'EST.' ELSE 'Scene ' END || {WORD} || ' ' || source || "
-           "CASE n_chars % 4 WHEN 0 THEN ' - NIGHT' WHEN 1 THEN ' - KITCHEN' "
+MARKS = "[.,;:!?\n]+"
+PHRASES_SQL = f"""(SELECT doc_id, lang, source, generate_subscripts(ps, 1) - 1 AS pos, n_chars + generate_subscripts(ps, 1) - 1 AS n,
+      trim(unnest(ps)) AS phrase FROM (SELECT *, regexp_split_to_array(text, '{MARKS}') AS ps FROM documents))"""
+CAPS = "upper(replace(phrase, 'ß', 'ss'))"
+HEADING = ("CASE lang WHEN 'en' THEN 'INT. ' WHEN 'fr' THEN 'ext/int. ' WHEN 'de' THEN 'I/E ' "
+           "WHEN 'es' THEN 'EST.' ELSE 'Scene ' END || phrase || ' ' || source || "
+           "CASE n % 4 WHEN 0 THEN ' - NIGHT' WHEN 1 THEN ' - KITCHEN' "
            "WHEN 2 THEN ' - Moments Later. #' || doc_id || 'A#' ELSE '' END")
-CUE = (f"CASE n_chars % 6 WHEN 0 THEN upper(left({FIRST}, 20)) WHEN 1 THEN {WORD} || ' (V.O.)' "
-       f"WHEN 2 THEN {WORD} || ' ^' WHEN 3 THEN '_' || {WORD} || '._' "
-       f"WHEN 4 THEN 'INT. ' || {WORD} ELSE left({FIRST}, 25) END")
-INLINE = (f"CASE n_chars % 5 WHEN 0 THEN {WORD} || '. ' || left({FIRST}, 40) "
-          f"WHEN 1 THEN {WORD} || ' [aside] ' || left({FIRST}, 30) "
-          f"WHEN 2 THEN 'MRS. ' || {WORD} || '. ' || left({FIRST}, 30) "
-          f"WHEN 3 THEN 'ACT ' || {WORD} || '. So it goes' ELSE {FIRST} END")
-STAGE = (f"CASE n_chars % 7 WHEN 0 THEN 'ACT IV. ' || {WORD} WHEN 1 THEN 'Act ' || n_chars % 30 "
-         f"WHEN 2 THEN 'SECOND ACT' WHEN 3 THEN 'SCENE XLIX. ' || {FIRST} "
-         f"WHEN 4 THEN 'Scene ' || {WORD} WHEN 5 THEN 'Scene 3: ' || {WORD} ELSE 'SCENE' END")
-NAME = (f"CASE n_chars % 4 WHEN 0 THEN 'The ' || left({FIRST}, 24) || ' (2)' "
-        f"WHEN 1 THEN '  an ' || left({FIRST}, 18) || '.,' "
-        f"WHEN 2 THEN left({FIRST}, 12) || '’s   “Gown” – ' || {WORD} "
-        f"ELSE left({FIRST}, 30) END")
+CUE = (f"CASE n % 6 WHEN 0 THEN {CAPS} WHEN 1 THEN {CAPS} || ' (V.O.)' "
+       f"WHEN 2 THEN {CAPS} || ' ^' WHEN 3 THEN '_' || {CAPS} || '._' "
+       f"WHEN 4 THEN 'INT. ' || {CAPS} ELSE phrase END")
+INLINE = (f"CASE n % 5 WHEN 0 THEN {CAPS} || '. ' || phrase "
+          f"WHEN 1 THEN {CAPS} || ' [aside] ' || phrase "
+          f"WHEN 2 THEN 'MRS. ' || {CAPS} || '. ' || phrase "
+          f"WHEN 3 THEN 'ACT ' || {CAPS} || '. So it goes' ELSE phrase END")
+STAGE = (f"CASE n % 7 WHEN 0 THEN 'ACT IV. ' || {CAPS} WHEN 1 THEN 'Act ' || n % 30 "
+         f"WHEN 2 THEN 'SECOND ACT' WHEN 3 THEN 'SCENE XLIX. ' || phrase "
+         f"WHEN 4 THEN 'Scene ' || {CAPS} WHEN 5 THEN 'Scene 3: ' || {CAPS} ELSE 'SCENE' END")
+NAME = (f"CASE n % 4 WHEN 0 THEN 'The ' || phrase || ' (2)' "
+        f"WHEN 1 THEN '  an ' || phrase || '.,' "
+        f"WHEN 2 THEN phrase || '’s   “Gown” – ' || {CAPS} "
+        f"ELSE phrase END")
 
 HEADING_RE2 = r"(?i)^(INT\.?/EXT\.?|EXT\.?/INT\.?|I/E\.?|INT\.?|EXT\.?|EST\.?)([\s.].*)$"
 CUE_RE2 = (r"^([\p{L}\p{Nl}\p{No}][\p{L}\p{N}_ .''\-#&]*?)((?:\s*\((?:[^)]*)\))*)\s*(\^)?\s*$")
@@ -39,8 +43,15 @@ STOP = ", ".join(f"'{w}'" for w in vocab.STOPWORDS)
 CASEFOLD = "replace(lower(nfc_normalize({0})), 'ß', 'ss')"
 
 
+def text_phrases(t):
+    """Every phrase of every whole text, numbered in its document."""
+    parts = t.texts.select("doc_id", "lang", "source", "n_chars", F.posexplode(F.split("text", MARKS)).alias("pos", "part"))
+    return parts.select("doc_id", "lang", "source", F.col("pos").cast("long").alias("pos"),
+                        (F.col("n_chars") + F.col("pos")).alias("n"), F.trim("part").alias("phrase"))
+
+
 def derived(t, expression: str, name: str):
-    return t.texts.select("doc_id", F.expr(expression.replace("\\", "\\\\")).alias(name))
+    return text_phrases(t).select("doc_id", "pos", F.expr(expression.replace("\\", "\\\\")).alias(name))
 
 
 def _norm_sql(c: str) -> str:
@@ -52,15 +63,15 @@ def _norm_sql(c: str) -> str:
     return f"trim(rtrim({bare}, '.,;:'))"
 
 
-@query("F1_normalize", f"SELECT doc_id, {_norm_sql(NAME)} AS name FROM documents")
+@query("F1_normalize", f"SELECT doc_id, pos, {_norm_sql(NAME)} AS name FROM {PHRASES_SQL}")
 def f1(t):
-    return derived(t, NAME, "raw").select("doc_id", names.normalize(F.col("raw")).alias("name"))
+    return derived(t, NAME, "raw").select("doc_id", "pos", names.normalize(F.col("raw")).alias("name"))
 
 
-@query("F2_normalize_key", rf"""SELECT doc_id, regexp_replace(trim({CASEFOLD.format(NAME)}),
-    '\s+', '_', 'g') AS name FROM documents""")
+@query("F2_normalize_key", rf"""SELECT doc_id, pos, regexp_replace(trim({CASEFOLD.format(NAME)}),
+    '\s+', '_', 'g') AS name FROM {PHRASES_SQL}""")
 def f2(t):
-    return derived(t, NAME, "raw").select("doc_id", names.normalize_key(F.col("raw")).alias("name"))
+    return derived(t, NAME, "raw").select("doc_id", "pos", names.normalize_key(F.col("raw")).alias("name"))
 
 
 @query("F3_fold", """SELECT doc_id, md5(replace(lower(strip_accents(text)), 'ß', 'ss')) AS digest
@@ -69,14 +80,14 @@ def f3(t):
     return t.texts.select("doc_id", F.md5(names.fold(F.col("text"))).alias("digest"))
 
 
-@query("F4_split_heading", rf"""WITH h AS (SELECT doc_id,
-      trim(regexp_replace({HEADING}, '\s*#([\p{{L}}\p{{N}}_.\-]+)#\s*$', '')) AS x FROM documents),
-    p AS (SELECT doc_id, x, regexp_matches(x, '{HEADING_RE2}') AS ok,
+@query("F4_split_heading", rf"""WITH h AS (SELECT doc_id, pos,
+      trim(regexp_replace({HEADING}, '\s*#([\p{{L}}\p{{N}}_.\-]+)#\s*$', '')) AS x FROM {PHRASES_SQL}),
+    p AS (SELECT doc_id, pos, x, regexp_matches(x, '{HEADING_RE2}') AS ok,
       rtrim(upper(regexp_extract(x, '{HEADING_RE2}', 1)), '.') AS prefix,
       trim(regexp_extract(x, '{HEADING_RE2}', 2)) AS rest FROM h),
     q AS (SELECT *, upper(rtrim(trim(string_split(rest, ' - ')[-1]), '.')) AS tail,
       contains(rest, ' - ') AS dashed FROM p)
-    SELECT doc_id,
+    SELECT doc_id, pos,
       CASE WHEN NOT ok THEN NULL WHEN prefix IN ('I/E', 'EXT/INT') THEN 'INT/EXT' ELSE prefix END
         AS int_ext,
       nullif(CASE WHEN NOT ok THEN x WHEN dashed AND tail IN ({TIMES})
@@ -84,22 +95,22 @@ def f3(t):
       CASE WHEN ok AND dashed AND tail IN ({TIMES}) THEN tail END AS time_of_day FROM q""")
 def f4(t):
     split = headings.split_heading(F.col("heading"))
-    return derived(t, HEADING, "heading").select("doc_id", split.alias("s")).select("doc_id", "s.*")
+    return derived(t, HEADING, "heading").select("doc_id", "pos", split.alias("s")).select("doc_id", "pos", "s.*")
 
 
-CUE_SQL = rf"""c AS (SELECT doc_id, replace(trim({CUE}), 'ẞ', 'SS') AS x FROM documents),
-    m AS (SELECT doc_id, x, x = upper(x) AND x <> '' AND NOT regexp_matches(x, '{HEADING_RE2}')
+CUE_SQL = rf"""c AS (SELECT doc_id, pos, replace(trim({CUE}), 'ẞ', 'SS') AS x FROM {PHRASES_SQL}),
+    m AS (SELECT doc_id, pos, x, x = upper(x) AND x <> '' AND NOT regexp_matches(x, '{HEADING_RE2}')
         AND NOT regexp_matches(x, '{TRANSITION_RE2}') AND regexp_matches(x, '{CUE_RE2}') AS ok,
       trim(rtrim(trim(trim(regexp_extract(x, '{CUE_RE2}', 1)), '_'), '.'), '_') AS name,
       nullif(trim(regexp_extract(x, '{CUE_RE2}', 2)), '') AS extension,
       regexp_extract(x, '{CUE_RE2}', 3) <> '' AS dual FROM c)"""
 
 
-@query("F5_parse_cue", rf"""WITH {CUE_SQL} SELECT doc_id, name, extension, dual FROM m
+@query("F5_parse_cue", rf"""WITH {CUE_SQL} SELECT doc_id, pos, name, extension, dual FROM m
     WHERE ok AND regexp_matches(name, '\p{{L}}')""")
 def f5(t):
-    return (derived(t, CUE, "line").select("doc_id", headings.cue(F.col("line")).alias("c"))
-            .filter("c IS NOT NULL").select("doc_id", "c.*"))
+    return (derived(t, CUE, "line").select("doc_id", "pos", headings.cue(F.col("line")).alias("c"))
+            .filter("c IS NOT NULL").select("doc_id", "pos", "c.*"))
 
 
 INLINE_RE2 = (r"^([A-Z0-9][A-Z0-9 ''.\-]*?)(?:\.\s+([A-Za-z\x22''‘“].*)|\s*(\[.*))$")
@@ -116,18 +127,18 @@ def _inline_ok(n: str) -> str:
             rf"'\s+'), ['SCENE', 'ACT']) AND regexp_matches({n}, '\p{{L}}'))")
 
 
-@query("F6_inline_cue", f"""WITH l AS (SELECT doc_id, trim({INLINE}) AS x FROM documents),
+@query("F6_inline_cue", f"""WITH l AS (SELECT doc_id, pos, trim({INLINE}) AS x FROM {PHRASES_SQL}),
     a AS (SELECT *, {INLINE_STEP.format('x', INLINE_RE2, '')} FROM l),
     b AS (SELECT *, trim(ltrim(substr(x, length(raw) + 1), '. ')) AS y FROM a),
     d AS (SELECT *, {INLINE_STEP.format('y', INLINE_RE2, 'i')} FROM b),
-    e AS (SELECT doc_id, CASE WHEN upper(name) IN ({_ABBR}) THEN name || '. ' || iname
+    e AS (SELECT doc_id, pos, CASE WHEN upper(name) IN ({_ABBR}) THEN name || '. ' || iname
         ELSE name END AS name,
       CASE WHEN upper(name) IN ({_ABBR}) THEN ispeech ELSE speech END AS speech,
       ok AND (upper(name) NOT IN ({_ABBR}) OR (iok AND {_inline_ok('iname')})) AS good FROM d)
-    SELECT doc_id, name, md5(speech) AS speech FROM e WHERE good AND {_inline_ok('name')}""")
+    SELECT doc_id, pos, name, md5(speech) AS speech FROM e WHERE good AND {_inline_ok('name')}""")
 def f6(t):
-    return (derived(t, INLINE, "line").select("doc_id", headings.inline_cue(F.col("line")).alias("c"))
-            .filter("c IS NOT NULL").select("doc_id", "c.name", F.md5("c.speech").alias("speech")))
+    return (derived(t, INLINE, "line").select("doc_id", "pos", headings.inline_cue(F.col("line")).alias("c"))
+            .filter("c IS NOT NULL").select("doc_id", "pos", "c.name", F.md5("c.speech").alias("speech")))
 
 
 _ROMAN = ("(SELECT sum(CASE WHEN v < coalesce(after_max, 0) THEN -v ELSE v END) FROM (SELECT v, "
@@ -141,15 +152,15 @@ WORDVAL = "CASE lower(tok) " + " ".join(
     f"WHEN '{w}' THEN {n}" for w, n in vocab.WORD_ORDINALS.items()) + " END"
 
 
-@query("F7_act_scene_ordinal", rf"""WITH l AS (SELECT doc_id, trim({STAGE}) AS x FROM documents),
-    m AS (SELECT doc_id, regexp_matches(x, '{ACT_RE2}') AS act,
+@query("F7_act_scene_ordinal", rf"""WITH l AS (SELECT doc_id, pos, trim({STAGE}) AS x FROM {PHRASES_SQL}),
+    m AS (SELECT doc_id, pos, regexp_matches(x, '{ACT_RE2}') AS act,
       regexp_matches(x, '{SCENE_RE2}') AND x NOT LIKE 'scene%' AND
         (regexp_extract(x, '{SCENE_RE2}', 1) <> '' OR regexp_extract(x, '{SCENE_RE2}', 2) <> ''
          OR trim(regexp_extract(x, '{SCENE_RE2}', 3)) = '') AS scene,
       coalesce(nullif(regexp_extract(x, '{ACT_RE2}', 1), ''), regexp_extract(x, '{ACT_RE2}', 2)) AS a,
       regexp_extract(x, '{SCENE_RE2}', 1) AS s FROM l),
-    k AS (SELECT doc_id, act, scene, CASE WHEN act THEN a ELSE s END AS tok FROM m)
-    SELECT doc_id, CASE WHEN act THEN 'act' ELSE 'scene' END AS kind,
+    k AS (SELECT doc_id, pos, act, scene, CASE WHEN act THEN a ELSE s END AS tok FROM m)
+    SELECT doc_id, pos, CASE WHEN act THEN 'act' ELSE 'scene' END AS kind,
       CASE WHEN regexp_matches(tok, '^\d+$') THEN TRY_CAST(tok AS INTEGER)
         WHEN {WORDVAL} IS NOT NULL THEN {WORDVAL}
         WHEN regexp_matches(upper(tok), '^[IVXLCDM]+$') THEN CAST({_ROMAN} AS INTEGER) END AS ordinal
@@ -157,23 +168,23 @@ WORDVAL = "CASE lower(tok) " + " ".join(
 def f7(t):
     line = F.col("line")
     both = derived(t, STAGE, "line").select(
-        "doc_id", headings.act_ordinal(line).alias("a"), headings.stage_scene(line).alias("s"))
+        "doc_id", "pos", headings.act_ordinal(line).alias("a"), headings.stage_scene(line).alias("s"))
     return both.filter("a.matched OR s.matched").select(
-        "doc_id", F.when(F.col("a.matched"), "act").otherwise("scene").alias("kind"),
+        "doc_id", "pos", F.when(F.col("a.matched"), "act").otherwise("scene").alias("kind"),
         F.when(F.col("a.matched"), F.col("a.ordinal")).otherwise(F.col("s.ordinal"))
         .alias("ordinal"))
 
 
-@query("F8_location_of", rf"""WITH l AS (SELECT doc_id, trim(trim(trim({FIRST}), '[]_ ')) AS x FROM documents),
-    p AS (SELECT doc_id, x, string_split(regexp_replace(x, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS parts FROM l),
-    r AS (SELECT doc_id, x, list_reduce(list_transform(parts, lambda q: trim(q)), lambda a, b: CASE WHEN
+@query("F8_location_of", rf"""WITH l AS (SELECT doc_id, pos, trim(trim(trim(phrase || '. ' || source || ' room. ' || phrase), '[]_ ')) AS x FROM {PHRASES_SQL}),
+    p AS (SELECT doc_id, pos, x, string_split(regexp_replace(x, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS parts FROM l),
+    r AS (SELECT doc_id, pos, x, list_reduce(list_transform(parts, lambda q: trim(q)), lambda a, b: CASE WHEN
       len(regexp_split_to_array(a, '\s+')) >= 2 OR contains(a, chr(2)) THEN a
       WHEN a <> '' AND length(trim(a || ' ' || b)) > 120 THEN a || chr(2)
       ELSE trim(a || ' ' || b) END) AS place FROM p)
-    SELECT doc_id, trim(rtrim(trim(CASE WHEN place <> '' THEN replace(place, chr(2), '') ELSE left(x, 120) END), '.')) AS location FROM r""")
+    SELECT doc_id, pos, trim(rtrim(trim(CASE WHEN place <> '' THEN replace(place, chr(2), '') ELSE left(x, 120) END), '.')) AS location FROM r""")
 def f8(t):
-    return derived(t, f"'[SCENE: ' || {FIRST} || ']'", "setting").select(
-        "doc_id", headings.location_of(F.col("setting")).alias("location"))
+    return derived(t, "'[SCENE: ' || phrase || '. ' || source || ' room. ' || phrase || ']'", "setting").select(
+        "doc_id", "pos", headings.location_of(F.col("setting")).alias("location"))
 
 
 @query("F9_page_figures", """WITH k AS (SELECT doc_id, length(text) AS c,
@@ -261,14 +272,15 @@ def f15(t):
     return t.benchmark.select("item_id", F.array_join(terms, " ").alias("terms"))
 
 
-@query("F16_name_extension", """WITH e AS (SELECT p_partkey, string_split(p_name, ' ') AS w FROM part)
-    SELECT p_partkey, len(w[1:1]) > 0 AND len(w[1:1]) < len(w) AND w[1:1] = [w[1]] AS extends,
-      len(w) > 0 AND len(w) < len(w[1:1]) AS reverse FROM e""")
+# The shorter name: the first one, two or three words of the name, or its last ones.
+@query("F16_name_extension", """WITH e AS (SELECT p_partkey, string_split(p_name, ' ') AS w, CASE WHEN p_size % 2 = 0 THEN string_split(p_name, ' ')[1:1 + p_partkey % 3]
+      ELSE list_reverse(list_reverse(string_split(p_name, ' '))[1:1 + p_partkey % 3]) END AS v FROM part)
+    SELECT p_partkey, len(v) < len(w) AND v = w[1:len(v)] AS extends, len(w) < len(v) AS reverse FROM e""")
 def f16(t):
-    full = F.split("p_name", " ")
-    first = F.slice(full, 1, 1)
-    return t.part.select("p_partkey", words.extends_name(first, full).alias("extends"),
-                         words.extends_name(full, first).alias("reverse"))
+    full, k = F.split("p_name", " "), (F.lit(1) + F.col("p_partkey") % 3).cast("int")
+    part = F.when(F.col("p_size") % 2 == 0, F.slice(full, F.lit(1), k)).otherwise(F.reverse(F.slice(F.reverse(full), F.lit(1), k)))
+    return t.part.select("p_partkey", words.extends_name(part, full).alias("extends"),
+                         words.extends_name(full, part).alias("reverse"))
 
 
 @query("F17_canonical_endpoints", """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
@@ -297,22 +309,22 @@ def f18(t):
                               figures.first_line_card(text).alias("first_line"))
 
 
-WRITTEN = (f"CASE n_chars % 11 WHEN 0 THEN '@' || {WORD} WHEN 1 THEN '!' || {WORD} "
-           f"WHEN 2 THEN '\"' || {WORD} || '\"' WHEN 3 THEN '> ' || {WORD} "
-           f"WHEN 4 THEN '>> ' || {WORD} WHEN 5 THEN '[[' || {WORD} || ']]' "
-           f"WHEN 6 THEN {WORD} || ' CUT TO:' WHEN 7 THEN 'CLOSE ON ' || {WORD} "
-           f"WHEN 8 THEN '(' || {WORD} || ')' WHEN 9 THEN {WORD} ELSE left({FIRST}, 60) END")
+WRITTEN = (f"CASE n % 11 WHEN 0 THEN '@' || {CAPS} WHEN 1 THEN '!' || {CAPS} "
+           f"WHEN 2 THEN '\"' || {CAPS} || '\"' WHEN 3 THEN '> ' || {CAPS} "
+           f"WHEN 4 THEN '>> ' || {CAPS} WHEN 5 THEN '[[' || {CAPS} || ']]' "
+           f"WHEN 6 THEN {CAPS} || ' CUT TO:' WHEN 7 THEN 'CLOSE ON ' || {CAPS} "
+           f"WHEN 8 THEN '(' || {CAPS} || ')' WHEN 9 THEN {CAPS} ELSE phrase END")
 ABOVE = "CASE doc_id % 4 WHEN 0 THEN 'character' WHEN 1 THEN 'dialogue' WHEN 2 THEN 'action' END"
 
 
-@query("F19_line_type", rf"""WITH l AS (SELECT doc_id, n_chars % 11 AS k, {WRITTEN} AS x,
-      {ABOVE} AS above, {WORD} AS w, left({FIRST}, 60) AS f FROM documents),
+@query("F19_line_type", rf"""WITH l AS (SELECT doc_id, pos, n % 11 AS k, {WRITTEN} AS x,
+      {ABOVE} AS above, {CAPS} AS w, phrase AS f FROM {PHRASES_SQL}),
     s AS (SELECT *, CASE WHEN k < 6 THEN w ELSE x END AS y FROM l),
     c AS (SELECT *, y = upper(y) AS caps, y <> '' AND y = upper(y)
         AND NOT regexp_matches(trim(y), '{HEADING_RE2}')
         AND NOT regexp_matches(trim(y), '{TRANSITION_RE2}') AND regexp_matches(trim(y), '{CUE_RE2}')
         AND regexp_matches(y, '\p{{L}}') AS cue FROM s)
-    SELECT doc_id, CASE k WHEN 0 THEN 'character' WHEN 1 THEN 'action' WHEN 2 THEN 'dialogue'
+    SELECT doc_id, pos, CASE k WHEN 0 THEN 'character' WHEN 1 THEN 'action' WHEN 2 THEN 'dialogue'
         WHEN 3 THEN 'transition' WHEN 4 THEN 'shot' WHEN 5 THEN 'note' ELSE
         CASE WHEN y LIKE '(%' AND above IN ('character', 'dialogue') THEN 'parenthetical'
           WHEN regexp_matches(y, '^[A-Z0-9 .''-]+TO:$') THEN 'transition'
@@ -321,10 +333,10 @@ ABOVE = "CASE doc_id % 4 WHEN 0 THEN 'character' WHEN 1 THEN 'dialogue' WHEN 2 T
           WHEN above = 'character' THEN 'dialogue' ELSE 'action' END END AS unit_type,
       y AS words FROM c""")
 def f19(t):
-    lines = t.documents.select("doc_id", F.expr(WRITTEN.replace("\\", "\\\\")).alias("line"),
+    lines = text_phrases(t).select("doc_id", "pos", F.expr(WRITTEN.replace("\\", "\\\\")).alias("line"),
                                F.expr(ABOVE).alias("above"))
     kind = typing.typed(F.col("line"), F.col("above"))
-    return lines.select("doc_id", kind.alias("k")).select("doc_id", "k.unit_type", "k.words")
+    return lines.select("doc_id", "pos", kind.alias("k")).select("doc_id", "pos", "k.unit_type", "k.words")
 
 
 @query("F20_json_reply", """SELECT event_id, CASE WHEN event_type = 'error' THEN 'malformed' ELSE 'ok' END

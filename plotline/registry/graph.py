@@ -96,20 +96,20 @@ def g7(t):
     return continuity.cast_renames(edits, cues).select("unit_id", "old_label", "new_label", "lines")
 
 
-@query("G8_continuity_packet", with_("scenes", "facts", "assertions", then=""", q AS (SELECT a.script_id, a.assertion_id,
+@query("G8_continuity_packet", with_("scenes", "facts", "assertions", then=""", q AS (SELECT z.scene_id AS request_id, z.sequence_index AS origin, a.assertion_id,
       a.predicate, s.sequence_index, 100 + CASE WHEN predicate = 'uses' THEN 20 ELSE 0 END
-      - 0.5 * least(abs(s.sequence_index - 3), 50) AS score FROM assertions a JOIN scenes s USING (scene_id)
-      WHERE active AND EXISTS (SELECT 1 FROM scenes z JOIN facts f ON f.scene_id = z.scene_id
-        WHERE z.script_id = a.script_id AND z.sequence_index = 3 AND (f.object_entity_id = a.object_entity_id
+      - 0.5 * least(abs(s.sequence_index - z.sequence_index), 50) AS score FROM assertions a JOIN scenes s USING (scene_id)
+      JOIN scenes z ON z.script_id = a.script_id
+      WHERE active AND EXISTS (SELECT 1 FROM facts f WHERE f.scene_id = z.scene_id AND (f.object_entity_id = a.object_entity_id
         OR f.object_entity_id = a.subject_entity_id)))
-    SELECT script_id AS request_id, assertion_id, k AS place, CASE WHEN sequence_index = 3 THEN 'same_scene'
-      WHEN sequence_index < 3 THEN 'earlier_same_entity' ELSE 'later_same_entity' END AS relation FROM (
-      SELECT *, row_number() OVER (PARTITION BY script_id ORDER BY score DESC, sequence_index, assertion_id) AS k
+    SELECT request_id, assertion_id, k AS place, CASE WHEN sequence_index = origin THEN 'same_scene'
+      WHEN sequence_index < origin THEN 'earlier_same_entity' ELSE 'later_same_entity' END AS relation FROM (
+      SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, sequence_index, assertion_id) AS k
       FROM q) WHERE k <= 40""").replace("\n, q AS", ", q AS"))
 def g8(t):
     scenes = t.ordered_scenes
-    touched = t.facts.join(scenes.filter("sequence_index = 3").select("scene_id", "script_id"), "scene_id")
-    requests = touched.select(F.col("script_id").alias("request_id"), "script_id", F.lit(3).alias("origin_index"),
+    touched = t.facts.join(scenes.select("scene_id", "script_id", "sequence_index"), "scene_id")
+    requests = touched.select(F.col("scene_id").alias("request_id"), "script_id", F.col("sequence_index").alias("origin_index"),
                               F.col("object_entity_id").alias("entity_id")).distinct()
     facts = t.assertions.withColumn("in_scene", F.col("scene_id"))
     return continuity.evidence(requests, facts, scenes, ["uses"]).select(

@@ -158,14 +158,13 @@ FOLD = "replace(lower(strip_accents({0})), 'ß', 'ss')"
 WORDS_SQL = ("list_filter(regexp_split_to_array(" + FOLD + ", '[^0-9a-z]+'), lambda w: w <> '')")
 
 
-def benchmark_names(t, first: int, last: int):
-    """Entity names taken from the benchmark passages: words first..last."""
+def benchmark_names(t):
+    """Names to look for: the words of each benchmark passage, all of them."""
     spoken = words.tokens(names.fold(F.col("text")))
-    return t.benchmark.select(F.col("item_id").alias("name_id"),
-                              F.slice(spoken, first, last - first + 1).alias("name_words"))
+    return t.benchmark.select(F.col("item_id").alias("name_id"), spoken.alias("name_words"))
 
 
-@query("J11_named_in_question", f"""WITH n AS (SELECT item_id, {WORDS_SQL.format('text')}[1:5] AS w
+@query("J11_named_in_question", f"""WITH n AS (SELECT item_id, {WORDS_SQL.format('text')} AS w
       FROM benchmark), d AS (SELECT doc_id, ' ' || array_to_string({WORDS_SQL.format('text')}, ' ')
       || ' ' AS h FROM documents)
     SELECT doc_id, item_id FROM d JOIN n ON len(w) > 0 AND
@@ -173,7 +172,7 @@ def benchmark_names(t, first: int, last: int):
 def j11(t):
     texts = t.texts.select(F.col("doc_id").alias("text_id"),
                                words.tokens(names.fold(F.col("text"))).alias("words"))
-    named = J.not_only_stopwords(benchmark_names(t, 1, 5))
+    named = J.not_only_stopwords(benchmark_names(t))
     return mentions.phrase_hits(texts, named).select(
         F.col("text_id").alias("doc_id"), F.col("name_id").alias("item_id"))
 
@@ -182,14 +181,14 @@ SIGNIFICANT_SQL = (r"list_distinct(list_transform(regexp_extract_all({0}, '[\p{{
                    " lambda w: lower(w)))")
 
 
-@query("J12_all_words_join", f"""WITH n AS (SELECT item_id, {SIGNIFICANT_SQL.format('left(text, 60)')} AS w
+@query("J12_all_words_join", f"""WITH n AS (SELECT item_id, {SIGNIFICANT_SQL.format('text')} AS w
       FROM benchmark), d AS (SELECT doc_id, {SIGNIFICANT_SQL.format('text')} AS h FROM documents)
     SELECT doc_id, item_id FROM d JOIN n ON len(w) > 0 AND list_has_all(h, w)""")
 def j12(t):
     texts = t.texts.select(F.col("doc_id").alias("text_id"),
                                words.significant(F.col("text")).alias("words"))
     named = t.benchmark.select(F.col("item_id").alias("name_id"), words.significant(
-        F.left("text", F.lit(60))).alias("name_words"))
+        F.col("text")).alias("name_words"))
     return mentions.all_words_hits(texts, named).select(
         F.col("text_id").alias("doc_id"), F.col("name_id").alias("item_id"))
 
@@ -208,23 +207,20 @@ def j13(t):
         F.col("object_label").alias("object"))
 
 
-@query("J14_lineage_join", """WITH e AS (SELECT p_brand, p_type, p_name, min(p_partkey) AS id FROM part
+# Each brand is a draft of the brand numbered one higher.
+@query("J14_lineage_join", """WITH e AS (SELECT CAST(substr(p_brand, 7) AS INTEGER) AS b, p_type, p_name, min(p_partkey) AS id FROM part
       GROUP BY 1, 2, 3)
     SELECT n.id AS entity_id, coalesce(x.id, a.id) AS source_id,
       CASE WHEN x.id IS NOT NULL THEN 'name' WHEN a.id IS NOT NULL THEN 'alias' ELSE 'added' END AS how
-    FROM e n LEFT JOIN e x ON n.p_brand = 'Brand#1' AND x.p_brand = 'Brand#2' AND n.p_type = x.p_type
-      AND n.p_name = x.p_name
-    LEFT JOIN (SELECT p_type, 'old ' || string_split(p_name, ' ')[-1] AS al, min(id) AS id FROM e
-      WHERE p_brand = 'Brand#2' GROUP BY 1, 2) a ON n.p_type = a.p_type AND
-      'old ' || string_split(n.p_name, ' ')[-1] = a.al WHERE n.p_brand = 'Brand#1'""")
+    FROM e n LEFT JOIN e x ON x.b = n.b + 1 AND n.p_type = x.p_type AND n.p_name = x.p_name
+    LEFT JOIN (SELECT b, p_type, 'old ' || string_split(p_name, ' ')[-1] AS al, min(id) AS id FROM e GROUP BY 1, 2, 3) a
+      ON a.b = n.b + 1 AND n.p_type = a.p_type AND 'old ' || string_split(n.p_name, ' ')[-1] = a.al""")
 def j14(t):
-    e = t.part.groupBy("p_brand", F.col("p_type").alias("entity_type"),
-                       F.col("p_name").alias("normalized_name")).agg(
-        F.min("p_partkey").alias("entity_id"))
+    e = t.part.groupBy(F.expr("CAST(substr(p_brand, 7) AS INT)").alias("script_pair"), F.col("p_type").alias("entity_type"),
+                       F.col("p_name").alias("normalized_name")).agg(F.min("p_partkey").alias("entity_id"))
     noun = F.concat(F.lit("old "), F.element_at(F.split("normalized_name", " "), -1))
-    old = e.filter("p_brand = 'Brand#2'").drop("p_brand")
-    new = (e.filter("p_brand = 'Brand#1'").drop("p_brand")
-           .withColumn("predecessor_entity_id", F.lit(None).cast("long")))
+    old = e.withColumn("script_pair", F.col("script_pair") - 1)
+    new = e.withColumn("predecessor_entity_id", F.lit(None).cast("long"))
     aliases = old.withColumn("normalized_alias", noun)
     return J.lineage(new.withColumn("alias_key", noun), old, aliases).select(
         "entity_id", "source_id", "how")

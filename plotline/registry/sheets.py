@@ -11,11 +11,10 @@ from plotline.sources.tables import SQL, with_
 
 
 @query("G44_replay", """SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN coalesce(o_orderstatus, 'gone') END AS proposal FROM conversations
-    LEFT JOIN (SELECT o_orderkey, o_orderstatus FROM orders WHERE o_totalprice > 200000) ON o_orderkey = conv_id * 10 + turn""")
+    LEFT JOIN orders ON o_orderkey = conv_id * 10 + turn""")
 def g44(t):
     turns = t.conversations.withColumn("change_set_id", F.when(F.col("role") == "assistant", F.col("conv_id") * 10 + F.col("turn")))
-    sets = t.orders.filter("o_totalprice > 200000").select(F.col("o_orderkey").alias("change_set_id"),
-                                                           F.col("o_orderstatus").alias("status"))
+    sets = t.orders.select(F.col("o_orderkey").alias("change_set_id"), F.col("o_orderstatus").alias("status"))
     return views.replay(turns, sets).select("conv_id", "turn", "proposal")
 
 
@@ -56,7 +55,7 @@ def g48_baseline(t):
 
 @query("G49_library_sheet", "WITH " + SQL["scripts"] + """, c AS (SELECT o_custkey AS script_id, count(*) AS scenes, sum(length(o_orderpriority)) AS chars,
       min_by(o_orderstatus, (o_orderdate, o_orderkey)) AS st FROM orders GROUP BY 1),
-    g AS (SELECT DISTINCT o_custkey AS script_id FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_discount > 0.095)
+    g AS (SELECT DISTINCT o_custkey AS script_id FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_linestatus = 'O')
     SELECT script_id, title, import_status, coalesce(st, 'unknown') AS format, coalesce(greatest(1, CAST(round_even(chars * 50 / 800.0, 0) AS BIGINT)), 1) AS pages,
       coalesce(scenes, 0) AS scenes, g.script_id IS NOT NULL AS has_graph, CASE WHEN st = 'P' THEN 'odd' ELSE '' END AS warnings
     FROM scripts LEFT JOIN c USING (script_id) LEFT JOIN g USING (script_id)""")
@@ -68,19 +67,19 @@ def g49(t):
         .alias("warnings"))
     units = t.orders.select(F.col("o_custkey").alias("script_id"), F.repeat("o_orderpriority", F.lit(50)).alias("text"),
                             F.lit(None).cast("int").alias("page_number"))
-    graphed = t.lineitem.filter("l_discount > 0.095").select(F.col("l_orderkey").alias("o_orderkey")).distinct().join(
+    graphed = t.lineitem.filter("l_linestatus = 'O'").select(F.col("l_orderkey").alias("o_orderkey")).distinct().join(
         t.orders, "o_orderkey").select(F.col("o_custkey").alias("script_id"))
     sheet = views.library_sheet(t.scripts, imports, t.scenes, aggregates.pages_per_script(units), graphed)
     return sheet.drop("runtime").withColumn("warnings", F.array_join("warnings", ";"))
 
 
 @query("G50_stored_questions", with_("facts", then=""", c AS (SELECT DISTINCT l_suppkey AS query_id, l_orderkey || '-' || l_linenumber || '-' || CASE WHEN l_tax > 0.07
-      THEN -1 ELSE l_partkey END || '-' || l_suppkey AS aid FROM lineitem WHERE l_quantity > 45)
+      THEN -1 ELSE l_partkey END || '-' || l_suppkey AS aid FROM lineitem)
     SELECT query_id, count(*) AS grounded_in, count(DISTINCT source_unit_id) AS total_units, round(avg(confidence) + 1e-9, 2) AS mean_confidence
     FROM c JOIN facts ON assertion_id = aid GROUP BY 1""").replace("\n, c AS", ", c AS"))
 def g50(t):
     part = F.when(F.col("l_tax") > 0.07, -1).otherwise(F.col("l_partkey"))
-    log = t.lineitem.filter("l_quantity > 45").select(F.col("l_suppkey").alias("query_id"), F.concat_ws(
+    log = t.lineitem.select(F.col("l_suppkey").alias("query_id"), F.concat_ws(
         "-", "l_orderkey", "l_linenumber", part, "l_suppkey").alias("assertion_id"))
     facts = t.facts.withColumn("confidence", F.col("confidence") + 1e-9)
     return views.stored_question(log, facts)
