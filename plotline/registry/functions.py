@@ -175,7 +175,7 @@ def f7(t):
         .alias("ordinal"))
 
 
-@query("F8_location_of", rf"""WITH l AS (SELECT doc_id, pos, trim(trim(trim(phrase || '. ' || source || ' room. ' || phrase), '[]_ ')) AS x FROM {PHRASES_SQL}),
+@query("F8_location_of", rf"""WITH l AS (SELECT doc_id, pos, trim(ltrim(trim(trim(phrase || '. ' || source || ' room. ' || phrase), '[]_ '), '.-:— ')) AS x FROM {PHRASES_SQL}),
     p AS (SELECT doc_id, pos, x, string_split(regexp_replace(x, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS parts FROM l),
     r AS (SELECT doc_id, pos, x, list_reduce(list_transform(parts, lambda q: trim(q)), lambda a, b: CASE WHEN
       len(regexp_split_to_array(a, '\s+')) >= 2 OR contains(a, chr(2)) THEN a
@@ -326,7 +326,7 @@ ABOVE = "CASE doc_id % 4 WHEN 0 THEN 'character' WHEN 1 THEN 'dialogue' WHEN 2 T
         AND regexp_matches(y, '\p{{L}}') AS cue FROM s)
     SELECT doc_id, pos, CASE k WHEN 0 THEN 'character' WHEN 1 THEN 'action' WHEN 2 THEN 'dialogue'
         WHEN 3 THEN 'transition' WHEN 4 THEN 'shot' WHEN 5 THEN 'note' ELSE
-        CASE WHEN y LIKE '(%' AND above IN ('character', 'dialogue') THEN 'parenthetical'
+        CASE WHEN regexp_matches(trim(y), '{HEADING_RE2}') THEN NULL WHEN y LIKE '(%' AND above IN ('character', 'dialogue') THEN 'parenthetical'
           WHEN regexp_matches(y, '^[A-Z0-9 .''-]+TO:$') THEN 'transition'
           WHEN caps AND y LIKE 'CLOSE ON%' THEN 'shot'
           WHEN above IS DISTINCT FROM 'character' AND caps AND length(y) <= 40 AND cue THEN 'character'
