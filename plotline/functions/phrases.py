@@ -47,3 +47,31 @@ def draft_rename_message(old: Column, new: Column, moved: Column, mapped: Column
     return F.concat(old, F.lit(" appears renamed to "), new, F.lit(": "), moved, F.lit(" of "),
                     mapped, F.lit(" of "), old, F.lit("'s carried speaking positions now read "),
                     new, F.lit("."))
+
+
+def preview_summary(changed: Column, removed: Column, added: Column, messages: Column) -> Column:
+    """what a proposal changes, in numbers; ``changed`` is an array of struct(before, after) labels.
+
+    The first three swaps are named and the first two findings follow.
+    """
+    swaps = F.array_join(F.transform(F.slice(changed, 1, 3), lambda c: F.concat(
+        c["before"], F.lit(" becomes "), c["after"])), ", ")
+    parts = F.array_compact(F.array(
+        F.when(F.size(changed) > 0, F.concat(F.lit("Changes "), F.size(changed), F.lit(" requirement(s): "), swaps, F.lit("."))),
+        F.when(removed > 0, F.concat(F.lit("Removes "), removed, F.lit(" assertion(s)."))),
+        F.when(added > 0, F.concat(F.lit("Adds "), added, F.lit(" assertion(s).")))))
+    parts = F.when(F.size(parts) > 0, parts).otherwise(F.array(F.lit("No graph change.")))
+    said = F.filter(F.slice(messages, 1, 2), lambda m: m != "")
+    return F.array_join(F.concat(parts, said), " ")
+
+
+def answer_line(title: Column, scenes: Column, entities: Column, assertions: Column, matching: Column, named: Column) -> Column:
+    """the script's totals and the matching assertions, put without a model.
+
+    ``named``: the distinct scene labels of the matches, in the order first met.
+    """
+    prefix = F.concat(F.coalesce(title, F.lit("The script")), F.lit(": "), scenes, F.lit(" scene(s), "), entities,
+                      F.lit(" entities, "), assertions, F.lit(" accepted assertions. "))
+    where = F.when(F.size(named) > 0, F.array_join(named, ", ")).otherwise("unknown")
+    return F.concat(prefix, matching, F.lit(" accepted assertion(s) match, across scene(s) "), where,
+                    F.lit(". Configure a model in Settings for a written answer."))

@@ -154,6 +154,12 @@ def variance(calls: DataFrame, window: int = 5) -> DataFrame:
             .filter("reads >= 2"))
 
 
+def variance_alerts(calls: DataFrame, threshold: int = vocab.VARIANCE_THRESHOLD, window: int = 5) -> DataFrame:
+    """The scenes whose recent reads differ by more than ``threshold``, widest first."""
+    return variance(calls, window).filter(F.col("spread") > threshold).orderBy(
+        F.col("spread").desc(), "script_id", "scene_id")
+
+
 def budget_gate(calls: DataFrame, cap: int, hot_rows: int | None = None) -> DataFrame:
     """Calls made once the recorded tokens reach the cap are refused.
 

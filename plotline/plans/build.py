@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plotline.operators.ledger import priced, zero
+
 CACHE_KEY = ["scene_id", "input_hash", "prompt_version", "model_id"]
 
 
@@ -69,6 +71,22 @@ def roll_up(runs: DataFrame, jobs: DataFrame) -> DataFrame:
         F.col("open_scenes"), F.col("status")))
 
 
+def progress(runs: DataFrame, calls: DataFrame, rates: DataFrame, written: DataFrame) -> DataFrame:
+    """What each run has put in the graph and spent since it started.
+
+    ``runs``: run_id, script_id, started_at. ``written``: run_id, one row per
+    assertion a run wrote. Reads of the run's script made before it are not its own.
+    """
+    reads = priced(calls.filter("purpose = 'extract'"), rates).join(runs, "script_id").filter(
+        F.col("created_at") >= F.col("started_at"))
+    spent = reads.groupBy("run_id").agg(
+        F.sum(zero("input_tokens") + zero("output_tokens") + zero("reasoning_tokens")).alias("tokens"),
+        F.sum("cost").alias("cost"))
+    graph = written.groupBy("run_id").agg(F.count(F.lit(1)).alias("assertions"))
+    return runs.join(spent, "run_id", "left").join(graph, "run_id", "left").na.fill(
+        0, ["tokens", "cost", "assertions"])
+
+
 def stamp(before: DataFrame, after: DataFrame, cache: DataFrame, prompt_version: str,
           model_id: str) -> DataFrame:
     """Cache rows an accepted edit earns.

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plotline import vocab
-from plotline.functions import headings, names, phrases
+from plotline.functions import headings, names, phrases, words
 from plotline.functions.text import evaluated
 from plotline.operators.filters import first_in
 from plotline.operators.joins import endpoint_frame
@@ -141,3 +141,17 @@ def cast_renames(edits: DataFrame, cues: DataFrame) -> DataFrame:
         F.array_sort(F.collect_set(F.when(F.col("_left") > 0, F.col("scene_label")))).alias("scenes"))
     return out.withColumn("message", phrases.rename_message(
         F.col("old_label"), F.col("new_label"), F.col("lines"), F.col("scenes")))
+
+
+def stale_findings(findings: DataFrame, version: str, every: bool = False) -> DataFrame:
+    """open findings still to be restated.
+
+    ``findings``: finding_id, status, message, payload (JSON or null). A finding
+    restated under ``version`` is done; the voice is judged on the message it was
+    restated from, if it was. ``every`` takes each open finding.
+    """
+    if every:
+        return findings.filter("status = 'open'")
+    done = F.coalesce(F.get_json_object("payload", "$.restated_under") == version, F.lit(False))
+    source = F.coalesce(F.nullif(F.get_json_object("payload", "$.restated_from"), F.lit("")), F.col("message"))
+    return findings.filter("status = 'open'").filter(~done & words.reads_as_argued(source))

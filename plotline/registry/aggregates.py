@@ -181,6 +181,32 @@ def a12(t):
     return ledger.variance(calls).select("script_id", "reads", "spread")
 
 
+@query("A12_variance_alerts", with_("calls", then="""SELECT script_id, spread FROM (SELECT script_id, count(*) AS reads,
+    max(output_tokens) - min(output_tokens) AS spread FROM (SELECT *, row_number() OVER (
+      PARTITION BY script_id ORDER BY created_at DESC, call_id DESC) AS k FROM calls
+      WHERE purpose = 'extract' AND outcome <> 'cached') WHERE k <= 5 GROUP BY 1) WHERE reads >= 2 AND spread > 3"""))
+def a12_alerts(t):
+    calls = t.model_calls.withColumns({"scene_id": F.col("script_id"), "read_count": F.col("output_tokens")})
+    return ledger.variance_alerts(calls).select("script_id", "spread")
+
+
+@query("A11_run_progress", with_("calls", then=", " + RATES + """, r AS (SELECT c_custkey AS run_id, c_custkey AS script_id,
+      TIMESTAMP '2024-01-01' + to_days(CAST(c_nationkey AS INTEGER)) AS started_at FROM customer),
+    w AS (SELECT run_id, sum(coalesce(input_tokens, 0) + coalesce(output_tokens, 0) + coalesce(reasoning_tokens, 0)) AS tokens,
+      sum(coalesce(input_tokens, 0) * input_rate + (coalesce(output_tokens, 0) + coalesce(reasoning_tokens, 0)) * output_rate) AS cost
+      FROM r JOIN calls ON calls.script_id = r.script_id AND purpose = 'extract' AND created_at >= started_at LEFT JOIN rates USING (model_id) GROUP BY 1),
+    g AS (SELECT o_custkey AS run_id, count(*) AS assertions FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1)
+    SELECT run_id, coalesce(assertions, 0) AS assertions, CAST(coalesce(tokens, 0) AS BIGINT) AS tokens, round(coalesce(cost, 0), 6) AS cost
+    FROM r LEFT JOIN w USING (run_id) LEFT JOIN g USING (run_id)"""))
+def a11_progress(t):
+    from plotline.plans.build import progress
+    runs = t.customer.select(F.col("c_custkey").alias("run_id"), F.col("c_custkey").alias("script_id"), F.expr(
+        "TIMESTAMP '2024-01-01 00:00:00' + make_dt_interval(CAST(c_nationkey AS INT))").alias("started_at"))
+    written = t.lineitem.join(t.orders, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("run_id"))
+    return progress(runs, t.model_calls, rates(t), written).select(
+        "run_id", "assertions", "tokens", F.round("cost", 6).alias("cost"))
+
+
 @query("A13_entity_coverage", """SELECT w AS wanted, l_orderkey AS scene, count(DISTINCT (l_linenumber,
       l_returnflag, p_name)) AS units, count(DISTINCT l_returnflag) AS predicates
     FROM (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS w FROM part) v JOIN part ON contains(p_name, w)
@@ -279,14 +305,16 @@ def a19(t):
     return A.facts_citing(t.facts, attributes)
 
 
-@query("A20_grounding_metrics", with_("facts", then="""SELECT k.scene_id, grounded_in, total_units,
+GROUNDED_SQL = with_("facts", then="""SELECT k.scene_id, grounded_in, total_units,
       round(mc + 1e-9, 2) AS mean_confidence, array_to_string(list_sort(names)[1:8], ';') AS entities
     FROM (SELECT scene_id, count(*) AS grounded_in, count(DISTINCT source_unit_id) AS total_units,
       avg(confidence) AS mc FROM facts WHERE active GROUP BY 1) k
     JOIN (SELECT scene_id, list(DISTINCT n) AS names FROM (SELECT scene_id, p_name AS n FROM facts
       JOIN part ON p_partkey = object_entity_id WHERE active UNION ALL
-      SELECT scene_id, 'Sc ' || scene_id FROM facts WHERE active) GROUP BY 1) n USING (scene_id)"""))
-def a20(t):
+      SELECT scene_id, 'Sc ' || scene_id FROM facts WHERE active) GROUP BY 1) n USING (scene_id)""")
+
+
+def grounded(t):
     matched = t.facts.filter("active").join(
         t.part.select(F.col("p_partkey").alias("object_entity_id"), F.col("p_name").alias("object_label")),
         "object_entity_id").select(
@@ -294,10 +322,23 @@ def a20(t):
         F.col("object_label").alias("unit_text"), "predicate",
         F.concat(F.lit("Sc "), "scene_id").alias("subject_label"), "object_label",
         (F.col("confidence") + 1e-9).alias("confidence"), F.lit(False).alias("asks_presence"))
-    metrics, _ = A.grounding(matched, "scene_id")
+    return matched
+
+
+@query("A20_grounding_metrics", GROUNDED_SQL)
+def a20(t):
+    metrics, _ = A.grounding(grounded(t), "scene_id")
     return metrics.withColumn("entities", F.array_join("entities", ";"))
 
 
+@query("A20_sample_units", with_("facts", then="""SELECT scene_id, source_unit_id AS unit_id, k AS place FROM (SELECT scene_id, source_unit_id,
+      row_number() OVER (PARTITION BY scene_id ORDER BY first) AS k FROM (SELECT scene_id, source_unit_id, min(assertion_id) AS first
+      FROM facts WHERE active GROUP BY 1, 2)) WHERE k <= 6"""))
+def a20_units(t):
+    _, cited = A.grounding(grounded(t), "scene_id")
+    return cited.select("scene_id", "unit_id", F.col("place").cast("long").alias("place"))
+
+
 @query("A21_first_seen_labels", """SELECT user_id, event_type, epoch_us(min(ts)) AS first_at FROM events
     GROUP BY 1, 2""")
 def a21(t):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from plotline import vocab
 from plotline.functions import figures, headings, names, phrases, replies, similarity, typing, words
+from plotline.plans import continuity
 from plotline.registry import query
 from plotline.sources.tables import with_
 
@@ -383,6 +384,36 @@ def f22(t):
                     .alias("rename"))
 
 
+@query("F22_preview_summary", """WITH k AS (SELECT o_custkey, count(*) FILTER (o_orderstatus = 'F') AS r, count(*) FILTER (o_orderstatus = 'O') AS a,
+      coalesce(list(o_orderkey ORDER BY o_orderkey) FILTER (o_orderstatus = 'P'), []) AS c,
+      coalesce(list(o_orderpriority ORDER BY o_orderkey) FILTER (o_totalprice > 250000), []) AS m FROM orders GROUP BY 1)
+    SELECT o_custkey, array_to_string(list_concat(CASE WHEN len(c) + r + a = 0 THEN ['No graph change.'] ELSE list_filter([
+      CASE WHEN len(c) > 0 THEN 'Changes ' || len(c) || ' requirement(s): ' || array_to_string(list_transform(c[1:3],
+        lambda x: x || ' becomes ' || (x + 1)), ', ') || '.' END, CASE WHEN r > 0 THEN 'Removes ' || r || ' assertion(s).' END,
+      CASE WHEN a > 0 THEN 'Adds ' || a || ' assertion(s).' END], lambda x: x IS NOT NULL) END, m[1:2]), ' ') AS summary FROM k""")
+def f22_summary(t):
+    """A customer's orders as one proposal: P swaps, F removals, O additions; dear ones carry a finding."""
+    key, status = F.col("o_orderkey"), F.col("o_orderstatus")
+    listed = lambda when, value: F.transform(F.array_sort(F.collect_list(F.when(when, F.struct(key.alias("k"), value.alias("v"))))), lambda x: x["v"])
+    swap = F.struct(key.cast("string").alias("before"), (key + 1).cast("string").alias("after"))
+    k = t.orders.groupBy("o_custkey").agg(
+        F.count_if(status == "F").alias("r"), F.count_if(status == "O").alias("a"), listed(status == "P", swap).alias("c"),
+        listed(F.col("o_totalprice") > 250000, F.col("o_orderpriority")).alias("m"))
+    return k.select("o_custkey", phrases.preview_summary(F.col("c"), F.col("r"), F.col("a"), F.col("m")).alias("summary"))
+
+
+@query("F23_stale_findings", """SELECT doc_id AS finding_id FROM documents WHERE doc_id % 5 <> 0 AND doc_id % 3 <> 0
+      AND (lower(text) LIKE '%contradicts%' OR lower(text) LIKE '%the established%' OR lower(text) LIKE '%conflicts with%' OR doc_id % 3 = 1)""")
+def f23_stale(t):
+    """Documents as findings: some closed, some restated, some from an older wording."""
+    id_ = F.col("doc_id")
+    findings = t.documents.select(
+        id_.alias("finding_id"), F.when(id_ % 5 == 0, "resolved").otherwise("open").alias("status"), F.col("text").alias("message"),
+        F.when(id_ % 3 == 0, '{"restated_under": "v2"}').when(id_ % 3 == 1, '{"restated_under": "v1", "restated_from": "It conflicts with scene 2"}')
+        .alias("payload"))
+    return continuity.stale_findings(findings, "v2").select("finding_id")
+
+
 @query("F23_argued_form", """SELECT lang, count(*) AS n, count(*) FILTER (
       lower(text) LIKE '%contradicts%' OR lower(text) LIKE '%the established%'
       OR lower(text) LIKE '%conflicts with%' OR lower(text) LIKE '%the th%') AS argued
@@ -426,3 +457,21 @@ def f25(t):
         F.concat(F.lit("S"), "scene_id"), predicate,
         F.concat(F.lit("E"), "object_entity_id"), manner).alias("phrase"))
 
+
+@query("F25_answer_line", with_("scenes", "facts", "assertions", then="""SELECT script_id, any_value(c_name) || ': ' || max(k.n) || ' scene(s), '
+      || count(DISTINCT object_entity_id) || ' entities, ' || count(*) || ' accepted assertions. ' || count(*) FILTER (predicate = 'uses')
+      || ' accepted assertion(s) match, across scene(s) ' || coalesce(string_agg(DISTINCT z.sequence_index::VARCHAR, ', ' ORDER BY z.sequence_index::VARCHAR)
+      FILTER (predicate = 'uses'), 'unknown') || '. Configure a model in Settings for a written answer.' AS line
+    FROM assertions a JOIN scenes z USING (scene_id, script_id) JOIN (SELECT script_id, count(*) AS n FROM scenes GROUP BY 1) k USING (script_id)
+    JOIN customer ON c_custkey = script_id WHERE active GROUP BY 1""").replace("\n, ", ", "))
+def f25_answer(t):
+    """Each script asked for what is used in it, scenes by label."""
+    totals = t.scenes.groupBy("script_id").agg(F.count(F.lit(1)).alias("n"))
+    labels = t.ordered_scenes.select("scene_id", F.col("sequence_index").cast("string").alias("label"))
+    uses = F.col("predicate") == "uses"
+    k = t.assertions.filter("active").join(labels, "scene_id").groupBy("script_id").agg(
+        F.count_distinct("object_entity_id").alias("entities"), F.count(F.lit(1)).alias("assertions"), F.count_if(uses).alias("matching"),
+        F.array_sort(F.collect_set(F.when(uses, F.col("label")))).alias("named"))
+    k = k.join(totals, "script_id").join(t.customer.select(F.col("c_custkey").alias("script_id"), "c_name"), "script_id")
+    return k.select("script_id", phrases.answer_line(F.col("c_name"), F.col("n"), F.col("entities"), F.col("assertions"),
+                                                     F.col("matching"), F.col("named")).alias("line"))

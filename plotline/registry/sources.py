@@ -170,7 +170,7 @@ def s9(t):
         THEN 'needs_review' ELSE 'accepted' END AS outcome FROM k""")
 def s10(t):
     _, scenes, units = corpora.script_frames(t)
-    scenes, units, warnings = ingest.enforce_limits(
+    scenes, units, warnings, _ = ingest.enforce_limits(
         scenes.withColumnRenamed("script_id", "doc_id"), units.withColumnRenamed("script_id", "doc_id"), 2, 5)
     kept = units.groupBy("doc_id").agg(F.count(F.lit(1)).alias("units"))
     told = warnings.groupBy("doc_id").agg(F.count(F.lit(1)).alias("warnings"))
@@ -179,6 +179,14 @@ def s10(t):
             .join(ingest.outcome(warnings, verdicts), "doc_id").withColumnRenamed("doc_id", "script_id"))
 
 
+@query("S10_cut_units", "WITH " + corpora.UNITS_SQL + """ SELECT script_id, scene_index, sequence_index, CASE WHEN scene_index >= 2 THEN 'scene_limit'
+      ELSE 'unit_limit' END AS code FROM units WHERE scene_index >= 2 OR sequence_index >= 5""")
+def s10_cut(t):
+    _, scenes, units = corpora.script_frames(t)
+    rejects = ingest.enforce_limits(scenes.withColumnRenamed("script_id", "doc_id"), units.withColumnRenamed("script_id", "doc_id"), 2, 5)[3]
+    return rejects.select(F.col("doc_id").alias("script_id"), "scene_index", "sequence_index", "code")
+
+
 @query("S11_duplicate_twins", """SELECT * FROM (SELECT doc_id, lag(doc_id) OVER w AS twin_id, row_number() OVER w - 1 AS copies
     FROM documents WINDOW w AS (PARTITION BY md5(text) ORDER BY doc_id)) WHERE copies > 0""")
 def s11(t):

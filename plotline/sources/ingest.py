@@ -172,10 +172,11 @@ def twins(imports: DataFrame, block: Column, hot_rows: int | None = None) -> Dat
 def enforce_limits(scenes: DataFrame, units: DataFrame,
                    max_scenes: int = vocab.MAX_SCENES,
                    max_units: int = vocab.MAX_UNITS_PER_SCENE
-                   ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(scenes, units, warnings) after the import limits.
+                   ) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(scenes, units, warnings, rejects) after the import limits.
 
-    The limits are the import's own rule; every cut is stated as a warning.
+    The limits are the import's own rule; every cut is stated as a warning and
+    every unit cut off is a row of rejects, with the limit it lies beyond.
     """
     many = (scenes.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
             .filter(F.col("n") > max_scenes))
@@ -189,9 +190,10 @@ def enforce_limits(scenes: DataFrame, units: DataFrame,
             F.concat(F.lit("Scene "), "scene_index", F.lit(" has "), "n",
                      F.lit(f" units; only the first {max_units} were imported."))
             .alias("message")))
-    return (scenes.filter(F.col("scene_index") < max_scenes),
-            units.filter((F.col("scene_index") < max_scenes)
-                         & (F.col("sequence_index") < max_units)), warnings)
+    beyond = (F.when(F.col("scene_index") >= max_scenes, "scene_limit")
+              .when(F.col("sequence_index") >= max_units, "unit_limit"))
+    return (scenes.filter(F.col("scene_index") < max_scenes), units.filter(beyond.isNull()), warnings,
+            units.withColumn("code", beyond).filter("code IS NOT NULL"))
 
 
 def outcome(warnings: DataFrame, verdicts: DataFrame) -> DataFrame:

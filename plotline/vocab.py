@@ -143,3 +143,6 @@ INVERSE_OPERATIONS = {
     "update_assertion": "update_assertion", "set_unit_text": "set_unit_text",
     "remove_entity_attribute": "set_entity_attribute", "create_entity": "create_entity",
     "update_entity": "update_entity", "set_scene_omitted": "set_scene_omitted"}
+
+# A scene whose reads differ by more assertions than this is flagged.
+VARIANCE_THRESHOLD = 3
