@@ -19,7 +19,7 @@ HEADLINE = [
     "J6_phrase_containment", "J9_endpoint_join", "J11_named_in_question", "A4_citation_counts", "A5_roster",
     "A6_billable_actions", "W1_row_position", "W2_burst_sessions", "O4_ranked_evidence", "U5_ungrounded_names",
     "G1_graph_diff", "G3_apply_changes", "G6_orphaned_references", "G8_continuity_packet", "G11_merge_entities",
-    "G14_rule_graph", "G34_unit_graph", "G45_budget_gate", "G48_scene_sheet", "G49_library_sheet"]
+    "G14_rule_graph", "G34_unit_graph", "G45_budget_gate", "G48_scene_sheet", "G49_library_sheet", "O1_paged_list", "O2_lead_first"]
 
 
 def main() -> None:

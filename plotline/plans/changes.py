@@ -69,12 +69,13 @@ def apply_assertions(assertions: DataFrame, operations: DataFrame) -> DataFrame:
     an id hashed from its key, so the same batch applied twice changes nothing.
     """
     keyed = assertions.withColumn("dedupe_key", dedupe_key())
-    held = keyed.groupBy("script_id", "dedupe_key").agg(
-        F.max_by("assertion_id", F.struct("active", "assertion_id")).alias("_row"))
     kind = F.col("operation_type")
     adds = operations.filter(kind.isin("add_assertion", "update_assertion")
                              & F.col("source_unit_id").isNotNull()).withColumn(
         "dedupe_key", dedupe_key())
+    # Only the keys that operations touch are looked up, not the whole table's.
+    held = keyed.join(adds.select("script_id", "dedupe_key").distinct(), ["script_id", "dedupe_key"], "left_semi").groupBy(
+        "script_id", "dedupe_key").agg(F.max_by("assertion_id", F.struct("active", "assertion_id")).alias("_row"))
     found = durable(adds.join(held, ["script_id", "dedupe_key"], "left").withColumn(
         "assertion_id", F.coalesce("_row", F.sha2(F.concat_ws("|", "script_id", "dedupe_key"), 256))))
     rises = found.select("assertion_id", order().alias("at"), F.lit(1).alias("step"),
@@ -209,6 +210,56 @@ def resolve_findings(findings: DataFrame, ended: DataFrame) -> DataFrame:
     return findings.join(over, "change_set_id", "left").withColumn("status", status).drop("_over")
 
 
+def reject(change_sets: DataFrame, findings: DataFrame, decided: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(change sets, findings) after decisions not to apply proposals.
+
+    ``decided``: change_set_id, reason (or null). Only a pending proposal can be
+    rejected. Its open findings are resolved, and a stated reason is kept as a
+    resolved finding of its own.
+    """
+    pending = change_sets.filter("status = 'pending'").select("change_set_id")
+    over = decided.join(pending, "change_set_id", "left_semi").groupBy("change_set_id").agg(F.max("reason").alias("reason"))
+    hit = over.select("change_set_id", F.lit("rejected").alias("_s"))
+    after = change_sets.join(hit, "change_set_id", "left").withColumn("status", F.coalesce("_s", "status")).drop("_s")
+    notes = over.filter("reason <> ''").select(
+        "change_set_id", F.lit("rejection_note").alias("finding_type"), F.lit("low").alias("severity"),
+        F.col("reason").alias("message"), F.lit("resolved").alias("status"))
+    return after, resolve_findings(findings, over).unionByName(notes, allowMissingColumns=True)
+
+
+def undo(asked: DataFrame, change_sets: DataFrame, edited: DataFrame, operations: DataFrame, scripts: DataFrame,
+         units: DataFrame, assertions: DataFrame, findings: DataFrame) -> dict[str, DataFrame]:
+    """Every table after the latest accepted change of each asked unit is undone.
+
+    ``asked``: unit_id. ``change_sets``: change_set_id, script_id, status, accepted_at.
+    ``edited``: change_set_id, unit_id. ``operations`` as for inverse_operations; a text
+    operation holds its texts as {"text": ...}. A change set named by several units is
+    undone once. Undone sets become reverted, their open findings are resolved and the
+    script's version rises by one per set. ``unrecorded`` lists sets left alone because
+    one of their text operations kept no original text.
+    """
+    latest = latest_accepted(change_sets, edited.join(asked.select("unit_id").distinct(), "unit_id", "left_semi")).select(
+        "change_set_id").distinct()
+    old_text = F.get_json_object("before_json", "$.text")
+    unrecorded = operations.filter((F.col("operation_type") == "set_unit_text") & old_text.isNull()).select(
+        "change_set_id").distinct().join(latest, "change_set_id", "left_semi")
+    undone = durable(latest.join(unrecorded, "change_set_id", "left_anti"))
+    at = change_sets.select("change_set_id", F.struct("accepted_at", "change_set_id").alias("accepted_order"))
+    inverse = inverse_operations(operations.join(undone, "change_set_id", "left_semi")).join(at, "change_set_id")
+    text = inverse.filter("operation_type = 'set_unit_text'").withColumn("text", F.get_json_object("after_json", "$.text"))
+    fields = [c for c in assertions.columns if c not in ("assertion_id", "active")]
+    rows = inverse.filter("operation_type IN ('add_assertion', 'remove_assertion')").select(
+        "*", *[F.lit(None).cast(assertions.schema[c].dataType).alias(c) for c in fields])
+    over = undone.withColumn("_s", F.lit("reverted"))
+    risen = change_sets.join(undone, "change_set_id", "left_semi").groupBy("script_id").agg(F.count(F.lit(1)).alias("_n"))
+    return {
+        "change_sets": change_sets.join(over, "change_set_id", "left").withColumn("status", F.coalesce("_s", "status")).drop("_s"),
+        "scripts": scripts.join(risen, "script_id", "left").withColumn(
+            "current_version", F.col("current_version") + F.coalesce("_n", F.lit(0))).drop("_n"),
+        "units": apply_texts(units, text), "assertions": apply_assertions(assertions, rows),
+        "findings": resolve_findings(findings, undone), "unrecorded": unrecorded}
+
+
 def proposal_print(edits: DataFrame) -> DataFrame:
     """What a proposal asks: a digest of its (unit, text, base version) set.
 

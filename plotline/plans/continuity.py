@@ -54,7 +54,7 @@ def evidence(requests: DataFrame, assertions: DataFrame, scenes: DataFrame,
         asked = requests.join(endpoint_frame(live), "entity_id")
     asked = asked.select("request_id", "script_id", "origin_index", "assertion_id").distinct()
     placed = scenes.select(F.col("scene_id").alias("in_scene"), "sequence_index", "number")
-    facts = assertions.drop("script_id") if "script_id" not in requests.columns else assertions
+    facts = live.drop("script_id") if "script_id" not in requests.columns else live
     rows = asked.join(facts, ["assertion_id", "script_id"]).join(placed, "in_scene").withColumn(
         "relevant", F.lit(True) if predicates is None else F.col("predicate").isin(*predicates))
     rows = durable(rows)

@@ -114,6 +114,72 @@ def g5(t):
                                                   "target_id", "after_json")
 
 
+# Orders as change sets over one script per customer; every line is one operation on its own fact or on its part's text.
+UNDO_SQL = """l AS (SELECT o_orderkey AS cs, o_custkey AS script, o_orderdate AS took, l_linenumber % 3 AS k, l_partkey AS unit, concat_ws('-', l_orderkey,
+      l_linenumber, l_partkey, l_suppkey) AS id, l_linestatus = 'O' AS active, l_tax > 0.07 AS flagged, row_number() OVER (PARTITION BY l_orderkey
+      ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS i, o_orderstatus AS st FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+    u AS (SELECT DISTINCT cs FROM (SELECT unit, max_by(cs, (took, cs)) AS cs FROM l WHERE st = 'F' GROUP BY 1))"""
+
+
+def undone(t):
+    from plotline.operators.scans import ordinal
+    key = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    order = [F.col(c) for c in ("l_linenumber", "l_partkey", "l_suppkey")]
+    rows = ordinal(t.lineitem, ["l_orderkey"], order, order[:1], "n").withColumns({"id": key, "k": F.col("l_linenumber") % 3})
+    sets = t.orders.select(F.col("o_orderkey").alias("change_set_id"), F.col("o_custkey").alias("script_id"), F.expr(
+        "CASE o_orderstatus WHEN 'F' THEN 'accepted' ELSE 'pending' END").alias("status"), F.col("o_orderdate").alias("accepted_at"))
+    ops = rows.select(
+        F.col("l_orderkey").alias("change_set_id"), (F.col("n") - 1).alias("sequence_index"), F.expr(
+            "CASE k WHEN 0 THEN 'add_assertion' WHEN 1 THEN 'remove_assertion' ELSE 'set_unit_text' END").alias("operation_type"),
+        F.lit("any").alias("target_type"), F.when(F.col("k") == 2, F.col("l_partkey").cast("string")).otherwise(F.col("id")).alias("target_id"),
+        F.to_json(F.struct(F.concat(F.lit("before "), "id").alias("text"))).alias("before_json"), F.lit('{"text": "new"}').alias("after_json"))
+    units = t.part.select(F.col("p_partkey").cast("string").alias("unit_id"), F.col("p_name").alias("text"), F.lit(1).cast("long").alias("current_version"))
+    edited = t.lineitem.select(F.col("l_orderkey").alias("change_set_id"), F.col("l_partkey").cast("string").alias("unit_id"))
+    scripts = t.customer.select(F.col("c_custkey").alias("script_id"), F.lit(1).cast("long").alias("current_version"))
+    findings = rows.filter("l_tax > 0.07").select(F.col("l_orderkey").alias("change_set_id"), F.col("id").alias("finding_id"), F.lit("open").alias("status"))
+    return changes.undo(units.select("unit_id"), sets, edited, ops, scripts, units, t.assertions, findings)
+
+
+@query("G5_undo_facts", "WITH " + UNDO_SQL + """ SELECT id AS assertion_id, CASE WHEN u.cs IS NULL OR k = 2 THEN active ELSE k = 1 END AS active
+    FROM l LEFT JOIN u USING (cs)""")
+def g5_undo_facts(t):
+    return undone(t)["assertions"].select("assertion_id", "active")
+
+
+@query("G5_undo_texts", "WITH " + UNDO_SQL + """, n AS (SELECT cs, max(i) AS last FROM l GROUP BY 1), x AS (SELECT unit, max_by('before ' || id,
+      (took, cs, last - i)) AS text, count(DISTINCT cs) AS n FROM l JOIN u USING (cs) JOIN n USING (cs) WHERE k = 2 GROUP BY 1)
+    SELECT p_partkey::VARCHAR AS unit_id, coalesce(text, p_name) AS text, 1 + coalesce(n, 0) AS current_version FROM part LEFT JOIN x ON unit = p_partkey""")
+def g5_undo_texts(t):
+    return undone(t)["units"].select("unit_id", "text", "current_version")
+
+
+@query("G5_undo_states", "WITH " + UNDO_SQL + """ SELECT 'set ' || CASE WHEN u.cs IS NOT NULL THEN 'reverted' WHEN o_orderstatus = 'F' THEN 'accepted'
+      ELSE 'pending' END AS name, count(*) AS n FROM orders LEFT JOIN u ON cs = o_orderkey GROUP BY 1
+    UNION ALL SELECT 'finding ' || CASE WHEN u.cs IS NULL THEN 'open' ELSE 'resolved' END, count(*) FROM l LEFT JOIN u USING (cs) WHERE flagged GROUP BY 1
+    UNION ALL SELECT 'versions', (SELECT count(*) FROM customer) + (SELECT count(*) FROM u)""")
+def g5_undo_states(t):
+    after = undone(t)
+    return (after["change_sets"].groupBy(F.concat(F.lit("set "), "status").alias("name")).agg(F.count(F.lit(1)).alias("n"))
+            .unionByName(after["findings"].groupBy(F.concat(F.lit("finding "), "status").alias("name")).agg(F.count(F.lit(1)).alias("n")))
+            .unionByName(after["scripts"].agg(F.lit("versions").alias("name"), F.sum("current_version").alias("n"))))
+
+
+@query("G5_reject", """WITH d AS (SELECT o_orderkey AS cs, o_orderstatus <> 'F' AND o_orderpriority <> '5-LOW' AS over FROM orders)
+    SELECT 'set ' || CASE WHEN over THEN 'rejected' WHEN o_orderstatus = 'F' THEN 'accepted' ELSE 'pending' END AS name, count(*) AS n
+    FROM d JOIN orders ON o_orderkey = cs GROUP BY 1
+    UNION ALL SELECT 'finding ' || CASE WHEN over THEN 'resolved' ELSE 'open' END, count(*) FROM d JOIN lineitem ON l_orderkey = cs GROUP BY 1
+    UNION ALL SELECT 'note', count(*) FROM d JOIN orders ON o_orderkey = cs WHERE over AND o_orderpriority = '1-URGENT'""")
+def g5_reject(t):
+    sets = t.orders.select(F.col("o_orderkey").alias("change_set_id"), F.expr("CASE o_orderstatus WHEN 'F' THEN 'accepted' ELSE 'pending' END").alias("status"))
+    findings = t.lineitem.select(F.col("l_orderkey").alias("change_set_id"), F.lit("open").alias("status"))
+    decided = t.orders.filter("o_orderpriority <> '5-LOW'").select(
+        F.col("o_orderkey").alias("change_set_id"), F.when(F.col("o_orderpriority") == "1-URGENT", "not now").alias("reason"))
+    after, notes = changes.reject(sets, findings, decided)
+    kind = F.when(F.col("finding_type") == "rejection_note", "note").otherwise(F.concat(F.lit("finding "), "status"))
+    return (after.groupBy(F.concat(F.lit("set "), "status").alias("name")).agg(F.count(F.lit(1)).alias("n"))
+            .unionByName(notes.groupBy(kind.alias("name")).agg(F.count(F.lit(1)).alias("n"))))
+
+
 @query("G5_latest_accepted", """SELECT l_partkey AS unit_id, max_by(o_orderkey, (o_orderdate, o_orderkey)) AS change_set_id
     FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderstatus = 'F' GROUP BY 1""")
 def g5_latest(t):

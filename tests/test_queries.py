@@ -9,9 +9,9 @@ from tools.check import rows
 
 FOLDER = "/root/testdata/sf0.001"
 # Assertion ids are line-item keys. One key occurs twice in the smallest tables, and
-# these two rewrite rows by id, so they are compared where the ids are unique.
+# these rewrite rows by id, so they are compared where the ids are unique.
 UNIQUE_IDS = "/root/testdata/sf0.01"
-BY_ID = {"G3_apply_changes", "G11_merge_entities"}
+BY_ID = {"G3_apply_changes", "G11_merge_entities", "G5_undo_facts"}
 CHOSEN = [
     "S1_content_identity", "S2_decode_text", "S4_line_offsets", "S5_fountain_units", "S8_final_draft_units",
     "F1_normalize", "F4_split_heading", "F5_parse_cue", "F7_act_scene_ordinal", "F20_json_reply", "P4_node_labels",
@@ -20,7 +20,10 @@ CHOSEN = [
     "O6_find_scene", "U5_ungrounded_names", "G1_graph_diff", "G3_apply_changes", "G6_orphaned_references",
     "G11_merge_entities", "G13_resolve_entities", "G16_verify_verdicts", "G28_carry_graph", "G29_draft_chains",
     "G45_budget_gate", "S11_duplicate_twins", "S12_corpus_tables", "G15_validate_replies", "G17_verify_findings",
-    "J15_positional_zip", "T2_stream_bursts", "T3_stream_rule_graph"]
+    "J15_positional_zip", "T2_stream_bursts", "T3_stream_rule_graph", "F8_location_of", "F19_line_type", "J11_named_in_question",
+    "J12_all_words_join", "J14_lineage_join", "G8_continuity_packet", "G20_listed_facts", "G25_exact_alignment", "G33_changed_lines",
+    "S10_cut_units", "A11_run_progress", "A12_variance_alerts", "F22_preview_summary", "F23_stale_findings", "F25_answer_line", "G5_reject",
+    "G5_undo_facts", "G5_undo_texts", "G5_undo_states"]
 # Queries that read whole conversations, run on one of five thousand turns.
 LONG = ["W3_carry_forward", "W4_running_page", "W5_join_wrapped_lines", "W8_settle_cues", "W9_speaker_above", "W10_context_window",
         "W12_read_windows", "F14_content_hash", "J18_first_mention", "P17_scene_body", "S15_fountain_export", "T3_stream_rule_graph"]
