@@ -169,7 +169,12 @@ def g14(t):
     SELECT rid AS request_id, count(*) FILTER (confidence >= 0.6) AS links, count(*) FILTER (confidence < 0.6) AS hidden
     FROM h JOIN g USING (assertion_id) GROUP BY 1""").replace("\n, q AS", ", q AS"))
 def g34(t):
-    requests = t.orders.filter("o_totalprice > 450000").select(
+    return order_graphs(t, t.orders.filter("o_totalprice > 450000"))
+
+
+def order_graphs(t, orders):
+    """Links and hidden facts around the first unit and the scene of each of these orders."""
+    requests = orders.select(
         F.col("o_orderkey").alias("request_id"), F.concat("o_orderkey", F.lit("-1")).alias("unit_id"),
         F.col("o_orderkey").alias("scene_id"))
     types = t.part.select(F.col("p_partkey").alias("entity_id"), F.col("p_type").alias("entity_type"))
@@ -178,6 +183,19 @@ def g34(t):
     return hidden.join(shown, "request_id", "left").na.fill(0, ["links"])
 
 
+@query("G34_unit_graph_all", with_("facts", then=""", g AS (SELECT * FROM facts WHERE active),
+    s AS (SELECT DISTINCT o_orderkey AS rid, assertion_id FROM orders JOIN g ON subject_scene_id = o_orderkey
+      UNION SELECT o_orderkey, assertion_id FROM orders JOIN g ON source_unit_id = o_orderkey || '-1'),
+    n AS (SELECT assertion_id, unnest([subject_entity_id, object_entity_id]) AS e FROM g),
+    h AS (SELECT DISTINCT rid, n2.assertion_id FROM s JOIN n USING (assertion_id) JOIN n n2 ON n2.e = n.e
+      UNION SELECT * FROM s)
+    SELECT rid AS request_id, count(*) FILTER (confidence >= 0.6) AS links, count(*) FILTER (confidence < 0.6) AS hidden
+    FROM h JOIN g USING (assertion_id) GROUP BY 1""").replace("\n, g AS", ", g AS"))
+def g34_all(t):
+    """The graph around every order."""
+    return order_graphs(t, t.orders)
+
+
 @query("G35_script_graph", with_("scenes", "facts", "assertions", then=""", g AS (SELECT a.*, p_type FROM assertions a
       JOIN part ON p_partkey = object_entity_id WHERE active AND confidence >= 0.8
       AND p_type IN ('SMALL', 'PROMO') AND (subject_kind = 'scene' OR EXISTS (SELECT 1 FROM part x
