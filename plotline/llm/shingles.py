@@ -2,14 +2,14 @@
 
 1. Every n-gram is counted in the whole corpus (blocks ask hash partitions, ``exchange``).
    A document of which too few n-grams occur elsewhere cannot link and drops out, exactly.
-2. Equal sets become one; the rest is counted again among the sets left.
+2. Equal sets become one with a key of its own; the rest is counted again among the sets left.
 3. Sets are put in one global order, rarest n-gram first. Two similar sets share one of the
    first ``size - ceil(t * size) + 1`` members (prefix filter). Sets that hold such a member
-   form a group around the smallest document holding it, once for each pair of the two.
+   form a group around the set with the smallest key holding it, once for each pair of the two.
 4. A group is joined over a prefix tree (``trie``). Large groups are dealt in chunks, each
    with the group's leader; what links to the leader is settled, and only sets that do not
    meet the other chunks as visitors. Links are kept as a spanning set of each chunk's classes.
-5. Components of the links.
+5. Components of the links and of the sets that share an id.
 
 N-grams are compared by fingerprints of 64 bits.
 """
@@ -166,7 +166,7 @@ def joined(ids, sizes, sets, roles, percent: int):
 
 
 def links(near: DataFrame, percent: int, chunk_sets: int = CHUNK_SETS, chunk_grams: int = CHUNK_GRAMS) -> DataFrame:
-    """(a, b) between similar sets of ``near`` (doc_id distinct, n_shingles, grams in global order)."""
+    """(a, b) between similar sets of ``near`` (doc_id, the key of a set, distinct, n_shingles, grams in global order)."""
     def heads(batches):
         for batch in batches:
             ids, sizes = batch.column("doc_id").to_numpy(), batch.column("n_shingles").to_numpy()
@@ -233,7 +233,7 @@ def linked(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, chunk_se
 
     Two documents link when 100 * intersection >= percent * union of their n-gram sets. A
     null, empty or blank text has no n-grams and links with nothing; equal sets link. Rows of
-    one id count as one document each; rows without an id are left out.
+    one id are one document, linked through any of its texts; rows without an id are left out.
     """
     def read(data, offsets):
         h, row = grams(data, offsets, words)
@@ -242,24 +242,37 @@ def linked(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, chunk_se
     held = durable(counted(exchange.documents(docs), read, percent))
     may = held.where("grams is not null")
     sets = durable(_stored(may.groupBy("first", "second", "n_shingles").agg(
-        F.min("doc_id").alias("doc_id"), F.min_by("grams", "doc_id").alias("grams"), F.count("*").alias("copies"))))
-    same = sets.select("first", "second", "n_shingles", "doc_id", "copies")
+        F.min("doc_id").alias("least"), F.min_by("grams", "doc_id").alias("grams"), F.count("*").alias("copies"))
+        .withColumn("doc_id", F.monotonically_increasing_id())))
+    same = sets.select("first", "second", "n_shingles", F.col("doc_id").alias("set_id"), "least", "copies")
     near = durable(counted(sets.select("doc_id", "text"), stored, percent).where("grams is not null"))
-    labels = components(links(near, percent, chunk_sets))
-    of = same.join(labels, same["doc_id"] == labels["v"], "left").select(
-        "first", "second", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"), "copies").where("copies > 1 or component_id <> doc_id")
+    labels = durable(components(links(near, percent, chunk_sets).unionByName(_of_one_id(may, same))))
+    put = same.join(labels, same["set_id"] == labels["v"], "left").drop("v")
+    least = put.where("label is not null").groupBy("label").agg(F.min("least").alias("component_id"))
+    of = put.join(least, "label", "left").select(
+        "first", "second", "n_shingles", F.coalesce("component_id", "least").alias("component_id"), "least", "copies").where(
+        "copies > 1 or component_id <> least")
     member = may.select("doc_id", "first", "second", "n_shingles").join(
         of, ["first", "second", "n_shingles"]).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
     return held.select("doc_id", "n_shingles").join(member, "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def _of_one_id(may: DataFrame, same: DataFrame) -> DataFrame:
+    """(a, b): of an id that has several sets, the first with each other."""
+    again = may.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    keys = durable(may.select("doc_id", "first", "second", "n_shingles").join(again, "doc_id", "left_semi").join(
+        same.select("first", "second", "n_shingles", "set_id"), ["first", "second", "n_shingles"]).select("doc_id", "set_id").distinct())
+    firsts = keys.groupBy("doc_id").agg(F.min("set_id").alias("a"))
+    return keys.join(firsts, "doc_id").where("a <> set_id").select("a", F.col("set_id").alias("b"))
+
+
 def _stored(sets: DataFrame) -> DataFrame:
     """Sets with their n-grams as the bytes that ``stored`` reads, in a column ``text``."""
     def run(batches):
         for batch in batches:
             texts = [np.array([n], U).tobytes() + g for n, g in
                      zip(batch.column("n_shingles").to_pylist(), batch.column("grams").to_pylist())]
-            kept = ["first", "second", "n_shingles", "doc_id", "copies"]
+            kept = ["first", "second", "n_shingles", "doc_id", "least", "copies"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(texts, pa.binary())], names=[*kept, "text"])
-    return sets.mapInArrow(run, "first long, second long, n_shingles long, doc_id long, copies long, text binary")
+    return sets.mapInArrow(run, "first long, second long, n_shingles long, doc_id long, least long, copies long, text binary")

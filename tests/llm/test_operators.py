@@ -223,6 +223,14 @@ def test_ngram_join_odd(odd, corpus):
         assert rows(shingles.linked(frame)) == linked_by_hand(texts(frame))
 
 
+def test_ngram_join_of_an_id_with_two_texts(spark):
+    x, y, z = (" ".join(f"{c}{k}" for k in range(40)) for c in "xyz")
+    for made in ([(4, x), (5, x), (5, y), (9, y[:-4])], [(4, x), (4, y), (7, y), (8, x[:-4])],
+                 [(1, z), (2, z[:-4]), (2, x), (3, x), (3, y), (6, y)], [(4, x), (4, y), (5, z), (5, z), (6, None)]):
+        frame = spark.createDataFrame(made, "doc_id long, text string")
+        assert rows(shingles.linked(frame)) == linked_by_hand(texts(frame))
+
+
 def test_components(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(0, 40)] + [(100, 101), (7, 7)], "a long, b long")
     got = dict(rows(components.components(chain)))
