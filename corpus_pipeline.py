@@ -5,8 +5,9 @@ with a smaller id holds are cut out; what is left is packed into training sequen
 stage takes (spark, docs, folder) and all but the last return documents' columns; ``run``
 writes each stage's rows as Parquet and reads them again for the next.
 
-Documents without an id leave at the first stage. Rows that share an id are one document
-from the second stage on (of each id one row stays).
+Rows are judged one by one: rows that share an id stay as long as their texts differ. A row
+without an id may be toxic or a near copy like any other, is not cut at the third stage, as
+it has no place in the order of ids, and is packed with a null doc_id.
 """
 
 from __future__ import annotations
@@ -26,29 +27,36 @@ def without_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFram
     """Documents that the toxicity chain does not reject, unchanged."""
     labels = spark.read.parquet(f"{folder}/labels.parquet")
     columns = docs.columns
-    named = docs.where("doc_id IS NOT NULL").withColumns({
-        "doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
-    return toxicity.kept(named, labels).select(*columns)
+    cast = docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
+    return toxicity.kept(cast, labels).select(*columns)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """The document with the smallest id of each group linked by word 5-gram similarity of 0.75 or more."""
-    first = shingles.linked(docs).where("component_id = doc_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """The row with the smallest id of each group linked by word 5-gram similarity of 0.75 or more.
+
+    A row without an id comes after all others. Texts without words link with nothing and stay.
+    """
+    keyed = durable(docs.withColumn("_row", F.monotonically_increasing_id()))
+    group = shingles.linked(keyed.select(F.col("_row").alias("doc_id"), "text")).select(
+        F.col("doc_id").alias("_row"), F.col("component_id").alias("_group"))
+    first = (keyed.select("_row", F.col("doc_id").alias("_id")).join(group, "_row").groupBy("_group")
+             .agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_row")).alias("_first")).select(F.col("_first._row").alias("_row")))
+    return keyed.join(first, "_row", "left_semi").select(*docs.columns)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents less the bytes of 50-byte strings that a smaller document holds; n_chars follows the text."""
-    left = suffixes.without_repeats(docs).select("doc_id", F.col("text").alias("_left"))
-    out = docs.drop("text").join(left, "doc_id").withColumnRenamed("_left", "text")
+    named = docs.where("doc_id IS NOT NULL").withColumn("_was", F.sha2(F.coalesce("text", F.lit("")), 256))
+    left = suffixes.without_repeats(docs).select("doc_id", F.col("text").alias("_left"), F.col("was").alias("_was"))
+    out = named.drop("text").join(left.dropDuplicates(["doc_id", "_was"]), ["doc_id", "_was"]).withColumnRenamed("_left", "text")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 
 def into_sequences(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """The packed pieces of the documents left."""
-    return packing.sequences(docs, tokenizer_path(WORD_BPE[0]), end=2)
+    return packing.sequences(docs, tokenizer_path(WORD_BPE[0]), end=2, nameless=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

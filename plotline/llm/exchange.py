@@ -32,10 +32,10 @@ ROWS = "part int, block long, guard long, payload binary"
 TEXTS = -1
 
 
-def documents(docs: DataFrame) -> DataFrame:
-    """The two columns the operators read. Rows without an id have no result row; a null text is empty."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")) \
-        .where(F.col("doc_id").isNotNull())
+def documents(docs: DataFrame, nameless: bool = False) -> DataFrame:
+    """The two columns the operators read. Unless ``nameless``, rows without an id have no result row; a null text is empty."""
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return read if nameless else read.where(F.col("doc_id").isNotNull())
 
 
 def partitions(df: DataFrame) -> int:

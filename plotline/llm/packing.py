@@ -25,11 +25,11 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 PACKED = PIECES.replace("loss long, salt long", "loss long, sequence_id long, offset long")
 
 
-def pieces(docs: DataFrame, path: str, end: int, size: int = 4096) -> DataFrame:
+def pieces(docs: DataFrame, path: str, end: int, size: int = 4096, nameless: bool = False) -> DataFrame:
     """One row per piece: at most ``size`` ids, every id of every document in exactly one.
 
-    A null or empty text still has its end id; rows without an id are left out. ``loss``
-    counts the ids that something before them in the document predicts.
+    A null or empty text still has its end id; rows without an id are left out unless
+    ``nameless``. ``loss`` counts the ids that something before them in the document predicts.
     """
     def run(batches):
         words, salt = vocabulary.words(path), TaskContext.get().partitionId() << 32
@@ -43,12 +43,12 @@ def pieces(docs: DataFrame, path: str, end: int, size: int = 4096) -> DataFrame:
             first = upto[row] + start
             crc = [zlib.crc32(raw[4 * a:4 * b]) for a, b in zip(first.tolist(), (first + length).tolist())]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(batch.column("doc_id").to_numpy()[row]), pa.array(start), pa.array(length),
+                [batch.column("doc_id").take(pa.array(row)), pa.array(start), pa.array(length),
                  pa.array(crc, pa.int64()), pa.array(total[row]), pa.array(length - (start == 0)),
                  pa.array(salt + np.arange(len(row)))],
                 names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "loss", "salt"])
             salt += len(row)
-    return exchange.documents(docs).mapInArrow(run, PIECES)
+    return exchange.documents(docs, nameless).mapInArrow(run, PIECES)
 
 
 def place(demand: np.ndarray, limits: np.ndarray) -> np.ndarray:
@@ -94,6 +94,6 @@ def packed(items: DataFrame, size: int = 4096, segments: int = 1024, loss: int =
     return dealt.groupBy("grp").applyInArrow(run, PACKED)
 
 
-def sequences(docs: DataFrame, path: str, end: int, size: int = 4096) -> DataFrame:
+def sequences(docs: DataFrame, path: str, end: int, size: int = 4096, nameless: bool = False) -> DataFrame:
     """The pieces of all documents, packed: doc_id, start, length, ids_crc32, doc_tokens, loss, sequence_id, offset."""
-    return packed(pieces(docs, path, end, size), size)
+    return packed(pieces(docs, path, end, size, nameless), size)

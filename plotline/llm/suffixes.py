@@ -239,7 +239,7 @@ def repeats(docs: DataFrame) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id and the text left of every document. A character goes only if all its bytes do."""
+    """doc_id, the text left and the SHA-256 of the whole text of every document. A character goes only if all its bytes do."""
     def use(ids, data, offsets, gone):
         lead = (data & 0xC0) != 0x80
         char = np.cumsum(lead) - 1
@@ -248,6 +248,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
         kept = np.bincount(char, ~gone) > 0 if len(data) else np.zeros(0, bool)
         stays = kept[char] if len(data) else np.zeros(0, bool)
         upto = np.r_[0, np.cumsum(stays)][offsets]
-        return pa.RecordBatch.from_arrays([pa.array(ids), buffers.strings(data[stays], upto).cast(pa.string())],
-                                          names=["doc_id", "text"])
-    return spans_removed(docs, use, "doc_id long, text string")
+        was = [hashlib.sha256(data[a:b].tobytes()).hexdigest() for a, b in zip(offsets[:-1], offsets[1:])]
+        return pa.RecordBatch.from_arrays([pa.array(ids), buffers.strings(data[stays], upto).cast(pa.string()), pa.array(was, pa.string())],
+                                          names=["doc_id", "text", "was"])
+    return spans_removed(docs, use, "doc_id long, text string, was string")

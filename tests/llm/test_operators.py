@@ -310,6 +310,24 @@ def test_pipeline(spark, odd):
         assert stage(spark, odd, FOLDER).columns == odd.columns
 
 
+def test_pipeline_loses_no_text_without_a_decision(spark):
+    import corpus_pipeline
+    x, y, z, w = (" ".join(f"{c}{k}" for k in range(40)) for c in "xyzw")
+    given = [(4, x), (5, x), (5, y), (9, y[:-4]), (7, z), (7, z), (None, w), (None, x), (None, "only words"), (8, None)]
+    at = spark.createDataFrame(given, "doc_id long, text string")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        at = stage(spark, at, FOLDER)
+        if name == "toxicity":
+            assert at.count() == len(given)
+        at = spark.createDataFrame(at.collect(), at.schema)
+    left = [(4, x), (5, y), (7, z), (None, w), (None, "only words"), (8, "")]
+    assert sorted(map(str, ((r.doc_id, r.text) for r in at.collect()))) == sorted(map(str, left))
+    packed = corpus_pipeline.STAGES[-1][1](spark, at, FOLDER).collect()
+    assert sorted(str(r.doc_id) for r in packed) == sorted(str(i) for i, _ in left)
+    both = spark.createDataFrame([(5, x), (5, y), (3, y)], "doc_id long, text string")
+    assert sorted(map(tuple, corpus_pipeline.without_repeats(spark, both, FOLDER).collect())) == [(3, y), (5, ""), (5, x)]
+
+
 def test_pre_tokens_travel_with_a_space_behind_each():
     for keys in ([], [""], ["", "a", "", "\nb", "\u2581\u2581c", "\u00e9\u4e2d", ""]):
         column = pa.array(keys, pa.large_string())
