@@ -34,15 +34,11 @@ def earliest_place(found: DataFrame, evidence: DataFrame) -> DataFrame:
 
 
 def ranked_places(placed: DataFrame, keys: list[str], hot_rows: int | None = None) -> DataFrame:
-    """Position in script order, findings with no line last; blocked by scene."""
+    """Position in script order, findings with no line last."""
     placed = durable(placed)
     order = [F.col("scene_index").asc_nulls_last(), F.col("unit_index").asc_nulls_last(),
              F.col("finding_id")]
-    last = F.coalesce(F.col("scene_index") >= 0, F.lit(False))
-    return scans.ordinal(placed, keys, order,
-                         [~last, F.coalesce(F.expr("scene_index div 100"),
-                                            F.expr("finding_id div 100000"))],
-                         "position", hot_rows)
+    return scans.ordinal(placed, keys, order, "position", hot_rows)
 
 
 def endpoint_frame(assertions: DataFrame) -> DataFrame:
@@ -127,7 +123,7 @@ def zip_units(pairs: DataFrame, units: DataFrame) -> tuple[DataFrame, DataFrame]
 
 
 def last_before(rows: DataFrame, marks: DataFrame, keys: list[str], at: str, row_id: str,
-                mark_id: str, block: list[Column], hot_rows: int | None = None) -> DataFrame:
+                mark_id: str, hot_rows: int | None = None) -> DataFrame:
     """Each row with the last mark of its key at or before it.
 
     Both sides become one ordered frame; a mark precedes a row of equal place.
@@ -136,16 +132,12 @@ def last_before(rows: DataFrame, marks: DataFrame, keys: list[str], at: str, row
                         F.lit(None).cast(rows.schema[row_id].dataType).alias(row_id)).unionByName(
         rows.select(*keys, at, F.lit(1).alias("_side"), row_id,
                     F.lit(None).cast(marks.schema[mark_id].dataType).alias(mark_id)))
-    blocks = scans.in_blocks(both, keys, block, hot_rows)
     placed = F.when(F.col("_side") == 0, F.struct(at, mark_id))
-    blocks = scans.carry(blocks.withColumn("_placed", placed), keys,
-                         {"_before": (F.max("_placed"), F.max)})
-    order = [F.col(at), F.col("_side")]
-    inside = F.max("_placed").over(scans.within(keys, order).rowsBetween(
-        Window.unboundedPreceding, 0))
-    found = blocks.withColumn("_found", F.coalesce(inside, F.col("_before")))
-    return (scans.done(found.filter("_side = 1"), "_side", "_placed", "_before", mark_id)
-            .withColumn(mark_id, F.col(f"_found.{mark_id}")).drop("_found"))
+    scan = scans.Scan(both.withColumn("_placed", placed), keys, [F.col(at), F.col("_side")], hot_rows)
+    scan.carry({"_before": (F.max("_placed"), F.max)})
+    inside = F.max("_placed").over(scan.window().rowsBetween(Window.unboundedPreceding, 0))
+    found = scan.add({"_found": F.coalesce(inside, F.col("_before"))}).done("_placed", "_before", mark_id)
+    return found.filter("_side = 1").withColumn(mark_id, F.col(f"_found.{mark_id}")).drop("_side", "_found")
 
 
 def longest_name(texts: DataFrame, places: DataFrame) -> DataFrame:

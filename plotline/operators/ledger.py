@@ -56,8 +56,7 @@ def answered_by(calls: DataFrame, questions: DataFrame, key: str,
     made = calls.select("call_id", F.col(key).alias("_key"), (-_micros("created_at")).alias("_at"))
     asked = questions.select(F.col(key).alias("_key"), (-_micros("asked_at")).alias("_at"),
                              F.struct((-_micros("asked_at")).alias("at"), "question").alias("mark"))
-    found = last_before(made, asked, ["_key"], "_at", "call_id", "mark",
-                        [F.expr("_at div 3600000000")], hot_rows)
+    found = last_before(made, asked, ["_key"], "_at", "call_id", "mark", hot_rows)
     wait = F.col("_at") - F.col("mark.at")
     return found.filter(wait <= vocab.QUESTION_WINDOW_SECONDS * 1000000).select(
         "call_id", F.col("mark.question").alias("question"))
@@ -74,8 +73,7 @@ def holding(spans: DataFrame, points: DataFrame, key: str, span_id: str,
                          F.struct(F.col(span_id).alias("id"), _micros("last").alias("last")).alias("mark"))
     rows = points.select(F.col(key).alias("_key"), _micros("started_at").alias("_at"),
                          F.lit(1).alias("_point"))
-    found = last_before(rows, marks, ["_key"], "_at", "_point", "mark",
-                        [F.expr("_at div 3600000000")], hot_rows)
+    found = last_before(rows, marks, ["_key"], "_at", "_point", "mark", hot_rows)
     hit = found.filter(F.col("_at") <= F.col("mark.last")).select(F.col("mark.id").alias(span_id))
     return spans.join(hit.distinct(), span_id, "left_semi")
 
@@ -93,8 +91,7 @@ def in_actions(calls: DataFrame, hot_rows: int | None = None) -> DataFrame:
     marked = calls.withColumn("kind", kind_of_action())
     loose = marked.filter("kind IS NOT NULL")
     joined = scans.bursts(loose, ["kind", "script_id"], "created_at", "call_id",
-                          [F.date_trunc("hour", "created_at")], vocab.BURST_GAP_SECONDS,
-                          "burst_start", hot_rows)
+                          vocab.BURST_GAP_SECONDS, "burst_start", hot_rows)
     joined = joined.withColumn("action_key", F.concat_ws(
         "|", "kind", F.coalesce(F.col("script_id").cast("string"), F.lit("-")), "burst_start"))
     lone = marked.filter("kind IS NULL").withColumn(
@@ -165,10 +162,9 @@ def budget_gate(calls: DataFrame, cap: int, hot_rows: int | None = None) -> Data
 
     A refused call records no tokens, so the first crossing refuses every later
     call, and the running total of all calls decides the same rows. The ledger
-    is one key; the scan cuts it by hour.
+    is one key, which the scan cuts into blocks of bounded rows.
     """
     spent = zero("input_tokens") + zero("output_tokens")
     total = scans.running_sum(calls.withColumn("_all", F.col("call_id") * 0), ["_all"],
-                              [F.col("created_at"), F.col("call_id")],
-                              [F.date_trunc("hour", "created_at")], spent, "spent_before", hot_rows)
+                              [F.col("created_at"), F.col("call_id")], spent, "spent_before", hot_rows)
     return total.drop("_all").withColumn("refused", F.col("spent_before") >= cap)

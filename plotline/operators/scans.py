@@ -1,22 +1,33 @@
-"""Ordered scans that survive hot keys.
-
-A window over one key runs in one task. Most keys are small and that is the
-right plan; a key holding a large share of all rows is not. Here the keys over
-``hot_rows`` are found first by a map-side combined count. Their rows are cut
-into blocks along the order, each block is scanned on its own, and one summary
-row per block carries the running value over the block border. Rows of every
-other key keep a single block, so they pay for neither summary nor border.
+"""Segmented scans: ordered work over keys of any size.
+
+A window over one key runs in one task. Most keys are small and that is the right plan; a
+key that holds a large share of all rows is not. ``Scan`` finds the keys over ``hot_rows``
+by a map-side combined count. If there are none, it is a plain window. Otherwise the rows of
+those keys are dealt by sampled quantiles of (keys, order) into blocks of about half that
+many rows and written once with their block numbers. Blocks are scanned apart; what a row
+needs from beyond its block comes from one summary row per block, rolled up over the blocks
+before it, behind it, or all of its key. Rows with equal keys and order stay together.
+
+Summaries compose: sums add, the last value seen is the last of the blocks' last values, the
+next row of a block's last row is the next block's first.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from plotline.session import durable
+
 HOT_ROWS = 1_000_000
-_BLOCK = "_block"
+#: Blocks of one scan at most: beyond this times ``hot_rows`` / 2 rows, blocks grow instead.
+MOST_BLOCKS = 20_000
+_BLOCK, _PLACE = "_block", "_place"
+BEFORE = (Window.unboundedPreceding, -1)
+BEHIND = (1, Window.unboundedFollowing)
+WHOLE = (Window.unboundedPreceding, Window.unboundedFollowing)
 
 
 def null_safe(left: DataFrame, right: DataFrame, pairs: dict[str, str]) -> Column:
@@ -26,85 +37,134 @@ def null_safe(left: DataFrame, right: DataFrame, pairs: dict[str, str]) -> Colum
     return condition
 
 
-def in_blocks(df: DataFrame, keys: list[str], block: list[Column],
-              hot_rows: int | None = None) -> DataFrame:
-    """Add the block of each row: null for ordinary keys, else the given prefix.
-
-    ``block`` must be a prefix of the scan order, or monotone in one.
-    """
-    limit = HOT_ROWS if hot_rows is None else hot_rows
-    hot = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-           .filter(F.col("_rows") > limit)
-           .select(*[F.col(k).alias(f"_hot_{k}") for k in keys], F.lit(True).alias("_hot")))
-    joined = df.join(hot, null_safe(df, hot, {k: f"_hot_{k}" for k in keys}), "left")
-    cut = F.struct(*[c.alias(f"b{i}") for i, c in enumerate(block)])
-    return (joined.withColumn(_BLOCK, F.when(F.col("_hot"), cut))
-            .drop("_hot", *[f"_hot_{k}" for k in keys]))
-
-
-def within(keys: list[str], order: list[Column]):
-    """The window inside one block."""
-    return Window.partitionBy(*keys, _BLOCK).orderBy(*order)
-
-
-def carry(df: DataFrame, keys: list[str],
-          parts: dict[str, tuple[Column, Callable[[Column], Column]]]) -> DataFrame:
-    """Join what earlier blocks of the same key contribute to each row.
-
-    ``parts`` maps a column name to (aggregate of one block, roll-up of earlier
-    blocks). The column is null where no earlier block exists.
-    """
-    summary = (df.filter(F.col(_BLOCK).isNotNull()).groupBy(*keys, _BLOCK)
-               .agg(*[agg.alias(name) for name, (agg, _) in parts.items()]))
-    before = (Window.partitionBy(*keys).orderBy(_BLOCK)
-              .rowsBetween(Window.unboundedPreceding, -1))
-    rolled = summary.select(
-        *[F.col(k).alias(f"_c_{k}") for k in keys], F.col(_BLOCK).alias("_c_block"),
-        *[roll(F.col(name)).over(before).alias(name) for name, (_, roll) in parts.items()])
-    condition = (null_safe(df, rolled, {k: f"_c_{k}" for k in keys})
-                 & (df[_BLOCK] == rolled["_c_block"]))
-    return df.join(rolled, condition, "left").drop("_c_block", *[f"_c_{k}" for k in keys])
-
-
-def done(df: DataFrame, *extra: str) -> DataFrame:
-    return df.drop(_BLOCK, *extra)
-
-
-def ordinal(df: DataFrame, keys: list[str], order: list[Column], block: list[Column],
-            name: str, hot_rows: int | None = None) -> DataFrame:
+class Scan:
+    """A frame whose rows are scanned in ``order`` within ``keys``; methods add columns."""
+
+    def __init__(self, df: DataFrame, keys: list[str], order: list[Column], hot_rows: int | None = None):
+        self.keys, self.order = keys, order
+        limit = HOT_ROWS if hot_rows is None else hot_rows
+        sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > limit)
+        rows = sizes.agg(F.sum("_rows")).first()[0] or 0
+        self.cut = rows > 0
+        if not self.cut:
+            self.frame = df.withColumn(_BLOCK, F.lit(None).cast("int"))
+            return
+        hot = sizes.select(*[F.col(k).alias(f"_hot_{k}") for k in keys], F.lit(True).alias("_hot"))
+        marked = df.join(hot, null_safe(df, hot, {k: f"_hot_{k}" for k in keys}), "left").drop(*[f"_hot_{k}" for k in keys])
+        blocks = min(MOST_BLOCKS, -(-2 * rows // limit))
+        dealt = marked.filter("_hot").drop("_hot").repartitionByRange(blocks, *keys, *order)
+        cold = marked.filter("_hot IS NULL").drop("_hot").withColumn(_BLOCK, F.lit(None).cast("int"))
+        self.frame = durable(dealt.withColumn(_BLOCK, F.spark_partition_id())).unionByName(cold)
+
+    def window(self) -> WindowSpec:
+        """The rows of one block."""
+        return Window.partitionBy(*self.keys, _BLOCK).orderBy(*self.order)
+
+    def add(self, columns: dict[str, Column]) -> Scan:
+        self.frame = self.frame.withColumns(columns)
+        return self
+
+    def carry(self, parts: dict[str, tuple[Column, Callable[[Column], Column]]], reach: tuple[int, int] = BEFORE) -> Scan:
+        """Join what the other blocks of a row's key within ``reach`` come to; null where there are none.
+
+        ``parts`` maps a column to (aggregate of one block, roll-up of blocks in their order).
+        """
+        if not self.cut:
+            blocks = self.frame.groupBy().agg(*[agg.alias(name) for name, (agg, _) in parts.items()])
+            shape = blocks.groupBy().agg(*[roll(F.col(name)).alias(name) for name, (_, roll) in parts.items()]).schema
+            return self.add({field.name: F.lit(None).cast(field.dataType) for field in shape})
+        summary = (self.frame.filter(F.col(_BLOCK).isNotNull()).groupBy(*self.keys, _BLOCK)
+                   .agg(*[agg.alias(name) for name, (agg, _) in parts.items()]))
+        over = Window.partitionBy(*self.keys).orderBy(_BLOCK).rowsBetween(*reach)
+        rolled = summary.select(
+            *[F.col(k).alias(f"_c_{k}") for k in self.keys], F.col(_BLOCK).alias("_c_block"),
+            *[roll(F.col(name)).over(over).alias(name) for name, (_, roll) in parts.items()])
+        condition = (null_safe(self.frame, rolled, {k: f"_c_{k}" for k in self.keys})
+                     & (self.frame[_BLOCK] == rolled["_c_block"]))
+        self.frame = self.frame.join(rolled, condition, "left").drop("_c_block", *[f"_c_{k}" for k in self.keys])
+        return self
+
+    def done(self, *extra: str) -> DataFrame:
+        return self.frame.drop(_BLOCK, _PLACE, *extra)
+
+    def _placed(self) -> Scan:
+        """The place of each row in its block, by which first and last rows are told."""
+        return self if _PLACE in self.frame.columns else self.add({_PLACE: F.row_number().over(self.window())})
+
+    def ordinal(self, name: str, counted: Column | None = None) -> Scan:
+        """1-based position of each row in its key, or of the rows for which ``counted`` holds so far."""
+        one = F.lit(1) if counted is None else F.when(counted, 1).otherwise(0)
+        return self.total(name, one, inclusive=True)
+
+    def total(self, name: str, value: Column, inclusive: bool = False) -> Scan:
+        """The sum of ``value`` over earlier rows of the key (0 at first), with ``inclusive`` the row's own too."""
+        self.add({"_value": value}).carry({"_before": (F.sum("_value"), F.sum)})
+        inside = F.sum("_value").over(self.window().rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
+        self.add({name: F.coalesce(inside, F.lit(0)) + F.coalesce("_before", F.lit(0))})
+        self.frame = self.frame.drop("_value", "_before")
+        return self
+
+    def of_key(self, parts: dict[str, tuple[Column, Callable[[Column], Column]]]) -> Scan:
+        """Aggregates of all rows of the key, each with the roll-up that joins its blocks' values."""
+        self.carry({f"_all_{name}": part for name, part in parts.items()}, WHOLE)
+        block = Window.partitionBy(*self.keys, _BLOCK)
+        self.add({name: F.coalesce(f"_all_{name}", agg.over(block)) for name, (agg, _) in parts.items()})
+        self.frame = self.frame.drop(*[f"_all_{name}" for name in parts])
+        return self
+
+    def previous(self, columns: dict[str, Column]) -> Scan:
+        """The values of the row before, null for the first of a key."""
+        return self._neighbour(columns, F.lag, F.max_by, F.last, BEFORE)
+
+    def following(self, columns: dict[str, Column]) -> Scan:
+        """The values of the row behind, null for the last of a key."""
+        return self._neighbour(columns, F.lead, F.min_by, F.first, BEHIND)
+
+    def _neighbour(self, columns, step, pick, roll, reach) -> Scan:
+        self._placed().add({"_value": F.struct(*[c.alias(name) for name, c in columns.items()])})
+        self.carry({"_border": (pick("_value", _PLACE), roll)}, reach)
+        self.add({"_beside": F.coalesce(step("_value").over(self.window()), F.col("_border"))})
+        self.add({name: F.col("_beside")[name] for name in columns})
+        self.frame = self.frame.drop("_value", "_border", "_beside")
+        return self
+
+    def last_seen(self, name: str, value: Column) -> Scan:
+        """The last value that is not null, up to and with the row."""
+        return self._seen(name, value, F.max_by, F.last, BEFORE, (Window.unboundedPreceding, 0))
+
+    def next_seen(self, name: str, value: Column) -> Scan:
+        """The first value that is not null, from the row on."""
+        return self._seen(name, value, F.min_by, F.first, BEHIND, (0, Window.unboundedFollowing))
+
+    def _seen(self, name, value, pick, roll, reach, rows) -> Scan:
+        self._placed().add({"_value": value})
+        place = F.when(F.col("_value").isNotNull(), F.col(_PLACE))
+        self.carry({"_border": (pick("_value", place), lambda c: roll(c, ignorenulls=True))}, reach)
+        inside = roll("_value", ignorenulls=True).over(self.window().rowsBetween(*rows))
+        self.add({name: F.coalesce(inside, F.col("_border"))})
+        self.frame = self.frame.drop("_value", "_border")
+        return self
+
+
+def ordinal(df: DataFrame, keys: list[str], order: list[Column], name: str, hot_rows: int | None = None) -> DataFrame:
     """1-based position of each row within its key."""
-    blocks = carry(in_blocks(df, keys, block, hot_rows), keys,
-                   {"_before": (F.count(F.lit(1)), F.sum)})
-    at = F.row_number().over(within(keys, order)) + F.coalesce("_before", F.lit(0))
-    return done(blocks.withColumn(name, at.cast("long")), "_before")
+    return Scan(df, keys, order, hot_rows).ordinal(name).add({name: F.col(name).cast("long")}).done()
 
 
-def running_sum(df: DataFrame, keys: list[str], order: list[Column], block: list[Column],
-                value: Column, name: str, hot_rows: int | None = None) -> DataFrame:
+def running_sum(df: DataFrame, keys: list[str], order: list[Column], value: Column, name: str,
+                hot_rows: int | None = None) -> DataFrame:
     """The sum of ``value`` over strictly earlier rows of the key (0 at first)."""
-    blocks = in_blocks(df.withColumn("_value", value), keys, block, hot_rows)
-    blocks = carry(blocks, keys, {"_before": (F.sum("_value"), F.sum)})
-    inside = F.sum("_value").over(within(keys, order).rowsBetween(Window.unboundedPreceding, -1))
-    total = F.coalesce(inside, F.lit(0)) + F.coalesce("_before", F.lit(0))
-    return done(blocks.withColumn(name, total), "_before", "_value")
+    return Scan(df, keys, order, hot_rows).total(name, value).done()
 
 
-def bursts(df: DataFrame, keys: list[str], ts: str, tiebreak: str, block: list[Column],
-           gap_seconds: int, name: str, hot_rows: int | None = None) -> DataFrame:
+def bursts(df: DataFrame, keys: list[str], ts: str, tiebreak: str, gap_seconds: int, name: str,
+           hot_rows: int | None = None) -> DataFrame:
     """The first timestamp of the burst each row belongs to.
 
     A burst ends when the next row of the key comes strictly more than
     ``gap_seconds`` later; a gap of exactly that length stays inside.
     """
-    order = [F.col(ts), F.col(tiebreak)]
-    blocks = carry(in_blocks(df, keys, block, hot_rows), keys,
-                   {"_prev_block": (F.max(ts), F.max)})
-    previous = F.coalesce(F.lag(ts).over(within(keys, order)), F.col("_prev_block"))
+    scan = Scan(df, keys, [F.col(ts), F.col(tiebreak)], hot_rows).previous({"_previous": F.col(ts)})
     limit = F.expr(f"INTERVAL {gap_seconds} SECONDS")
-    opened = blocks.withColumn("_previous", previous).withColumn(
-        "_start", F.when(F.col("_previous").isNull()
-                         | (F.col(ts) > F.col("_previous") + limit), F.col(ts)))
-    opened = carry(opened.drop("_prev_block"), keys, {"_open": (F.max("_start"), F.max)})
-    inside = F.max("_start").over(within(keys, order).rowsBetween(Window.unboundedPreceding, 0))
-    return done(opened.withColumn(name, F.coalesce(inside, F.col("_open"))),
-                "_previous", "_start", "_open")
+    opens = F.when(F.col("_previous").isNull() | (F.col(ts) > F.col("_previous") + limit), F.col(ts))
+    return scan.last_seen(name, opens).done("_previous")

@@ -1,46 +1,50 @@
 """Carried values, islands, lookahead retyping, evidence windows.
 
-Windows over a scene or a document are bounded by the import limits (2,000 units
-a scene, 8 MiB a document). Windows over anything else go through ``scans``.
+Scenes may have any number of units: everything that looks along a scene goes through
+``scans.Scan``, which cuts long ones into blocks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plotline import vocab
+from plotline.operators.scans import Scan
 
 
-def in_scene():
-    return Window.partitionBy("scene_id").orderBy("sequence_index")
+def by_scene(units: DataFrame, hot_rows: int | None = None) -> Scan:
+    return Scan(units, ["scene_id"], [F.col("sequence_index")], hot_rows)
 
 
-def so_far():
-    return in_scene().rowsBetween(Window.unboundedPreceding, 0)
-
-
-def carried(value: Column) -> Column:
+def carried(units: DataFrame, name: str, value: Column, hot_rows: int | None = None) -> DataFrame:
     """The last value seen so far."""
-    return F.last(value, ignorenulls=True).over(so_far())
+    return by_scene(units, hot_rows).last_seen(name, value).done()
 
 
-def islands(change: Column) -> Column:
-    """A number per run of rows; ``change`` marks the first row of a run."""
-    return F.sum(F.when(change, 1).otherwise(0)).over(so_far())
+def join_wrapped(units: DataFrame, hot_rows: int | None = None) -> DataFrame:
+    """Consecutive wrapped lines of one type and speaker become one unit.
 
-
-def join_wrapped(units: DataFrame) -> DataFrame:
-    """Consecutive wrapped lines of one type and speaker become one unit."""
+    The lines of a run are joined within their block first, so no task holds more of a
+    scene than one block or one joined unit.
+    """
     wraps = F.col("unit_type").isin("dialogue", "action")
-    same = (wraps & (F.lag("unit_type").over(in_scene()) == F.col("unit_type"))
-            & F.lag("speaker").over(in_scene()).eqNullSafe(F.col("speaker")))
-    runs = units.withColumn("run", islands(~F.coalesce(same, F.lit(False))))
-    return runs.groupBy("scene_id", "run").agg(
-        F.min("sequence_index").alias("sequence_index"), F.first("unit_type").alias("unit_type"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sequence_index", "text"))),
-                                 lambda u: u["text"]), " ").alias("text"),
-        F.count(F.lit(1)).alias("lines"))
+    scan = by_scene(units, hot_rows).previous({"_type": F.col("unit_type"), "_speaker": F.col("speaker")})
+    same = wraps & (F.col("_type") == F.col("unit_type")) & F.col("_speaker").eqNullSafe(F.col("speaker"))
+    scan = scan.total("run", F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1), inclusive=True)
+
+    def joined(rows: str) -> Column:
+        return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sequence_index", rows))), lambda u: u[rows]), " ")
+    rows = scan.frame
+    if scan.cut:
+        rows = rows.groupBy("scene_id", "run", "_block").agg(
+            F.min("sequence_index").alias("sequence_index"), F.min_by("unit_type", "sequence_index").alias("unit_type"),
+            joined("text").alias("text"), F.count(F.lit(1)).alias("_lines"))
+    else:
+        rows = rows.withColumn("_lines", F.lit(1))
+    return rows.groupBy("scene_id", "run").agg(
+        F.min("sequence_index").alias("sequence_index"), F.min_by("unit_type", "sequence_index").alias("unit_type"),
+        joined("text").alias("text"), F.sum("_lines").alias("lines"))
 
 
 def latest(rows: DataFrame, keys: list[str], order: list[str], keep: list[str]) -> DataFrame:
@@ -54,47 +58,49 @@ def earliest(rows: DataFrame, keys: list[str], order: list[str], keep: list[str]
         *keys, "_r.*")
 
 
-def settle_cues(units: DataFrame, cited: DataFrame, include_last: bool = False) -> DataFrame:
+def settle_cues(units: DataFrame, cited: DataFrame, include_last: bool = False, hot_rows: int | None = None) -> DataFrame:
     """A cue no speech follows becomes action, unless a fact cites it.
 
     ``cited``: unit_id. The last cue of a scene is left while it may still be
     answered, and settled with ``include_last``.
     """
-    follows = F.lead("unit_type").over(in_scene())
+    rows = by_scene(units, hot_rows).following({"_follows": F.col("unit_type")}).done()
     silent = (F.col("unit_type") == "character") & F.when(
-        follows.isNull(), F.lit(include_last)).otherwise(
-        ~follows.isin("dialogue", "parenthetical"))
-    marked = units.withColumn("_silent", silent).join(
+        F.col("_follows").isNull(), F.lit(include_last)).otherwise(
+        ~F.col("_follows").isin("dialogue", "parenthetical"))
+    marked = rows.withColumn("_silent", silent).join(
         cited.select("unit_id").distinct().withColumn("_cited", F.lit(True)), "unit_id", "left")
     demoted = F.col("_silent") & F.col("_cited").isNull()
     return (marked.withColumn("demoted", demoted)
             .withColumn("unit_type", F.when(demoted, "action").otherwise(F.col("unit_type")))
-            .withColumn("speaker", F.when(~demoted, F.col("speaker"))).drop("_silent", "_cited"))
+            .withColumn("speaker", F.when(~demoted, F.col("speaker"))).drop("_silent", "_cited", "_follows"))
 
 
-def speaker_above(units: DataFrame) -> DataFrame:
+def speaker_above(units: DataFrame, hot_rows: int | None = None) -> DataFrame:
     """Who a line placed after each unit would belong to."""
     kind = F.col("unit_type")
     named = (F.when(kind == "character", F.coalesce("speaker", "text"))
              .when(kind.isin("dialogue", "parenthetical"), F.col("speaker")))
-    return units.withColumn("speaker_above", carried(named))
+    return carried(units, "speaker_above", named, hot_rows)
 
 
-def context_window(units: DataFrame, match: Column, around: int = 2, cap: int = 80) -> DataFrame:
+def context_window(units: DataFrame, match: Column, around: int = 2, cap: int = 80, hot_rows: int | None = None) -> DataFrame:
     """Matching lines with their neighbours, or the opening lines of the scene.
 
-    A scene of at most ``cap`` lines is returned whole. The cap is the window's
-    own definition.
+    A scene of at most ``cap`` lines is returned whole. The cap is the window's own
+    definition; ``total`` is the number of lines it chose from, so ``total`` over ``cap``
+    says that some were left out. A line is near a match when the last match up to it or the
+    next one from it is at most ``around`` lines away.
     """
-    sized = units.withColumn("_hit", match).withColumn(
-        "_near", F.max("_hit").over(in_scene().rowsBetween(-around, around)))
-    whole = Window.partitionBy("scene_id")
-    sized = sized.withColumn("_n", F.count(F.lit(1)).over(whole)).withColumn(
-        "_any", F.max("_hit").over(whole))
-    kept = sized.filter((F.col("_n") <= cap) | F.col("_near") | ~F.col("_any"))
-    ranked = kept.withColumn("_k", F.row_number().over(in_scene()))
-    return ranked.filter((F.col("_n") <= cap) | (F.col("_k") <= cap)).drop(
-        "_hit", "_near", "_n", "_any", "_k")
+    scan = by_scene(units.withColumn("_hit", F.coalesce(match, F.lit(False))), hot_rows).ordinal("_at")
+    scan.of_key({"_n": (F.count(F.lit(1)), F.sum), "_any": (F.max("_hit"), F.max)})
+    at = F.when(F.col("_hit"), F.col("_at"))
+    scan.last_seen("_above", at).next_seen("_below", at)
+    near = (F.coalesce(F.col("_at") - F.col("_above") <= around, F.lit(False))
+            | F.coalesce(F.col("_below") - F.col("_at") <= around, F.lit(False)))
+    scan.add({"_kept": (F.col("_n") <= cap) | near | ~F.col("_any")})
+    scan.ordinal("_k", F.col("_kept")).of_key({"total": (F.count_if("_kept"), F.sum)})
+    return scan.done().filter(F.col("_kept") & (F.col("_k") <= cap)).drop("_hit", "_at", "_n", "_any", "_above", "_below", "_kept", "_k")
 
 
 def first_text(operations: DataFrame) -> DataFrame:
@@ -105,8 +111,9 @@ def first_text(operations: DataFrame) -> DataFrame:
         F.min_by("before_text", F.struct("created_at", "sequence_index")).alias("original_text"))
 
 
-def read_windows(units: DataFrame, size: int = vocab.UNITS_PER_WINDOW) -> DataFrame:
+def read_windows(units: DataFrame, size: int = vocab.UNITS_PER_WINDOW, hot_rows: int | None = None) -> DataFrame:
     """The reading window of each unit, and the id prefix items of it take."""
-    k = F.floor((F.row_number().over(in_scene()) - 1) / size)
-    return units.withColumn("window", k).withColumn(
-        "id_prefix", F.when(k > 0, F.concat(F.lit("w"), k, F.lit(":"))).otherwise(""))
+    rows = by_scene(units, hot_rows).ordinal("_at").done()
+    k = F.floor((F.col("_at") - 1) / size)
+    return rows.withColumn("window", k).withColumn(
+        "id_prefix", F.when(k > 0, F.concat(F.lit("w"), k, F.lit(":"))).otherwise("")).drop("_at")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plotline.operators.ledger import priced, zero
+from plotline.operators.streamed import digests
 
 CACHE_KEY = ["scene_id", "input_hash", "prompt_version", "model_id"]
 
@@ -13,15 +14,19 @@ CACHE_KEY = ["scene_id", "input_hash", "prompt_version", "model_id"]
 def scene_hash(scenes: DataFrame, units: DataFrame, fingerprint: str) -> DataFrame:
     """SHA-256 over the fingerprint, the heading, and every unit's type and text.
 
-    One array per scene: a scene holds at most 2,000 units (the import limit).
+    The hash is streamed along each scene, whatever its length; it is null where the heading
+    is. A unit without a type or text adds nothing.
     """
     nul = F.lit("\x00")
-    body = units.groupBy("scene_id").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("sequence_index", "unit_type", "text"))),
-        lambda u: F.concat(nul, u["unit_type"], nul, u["text"])), "").alias("_body"))
-    digest = F.sha2(F.concat(F.lit(fingerprint), nul, "heading",
-                             F.coalesce("_body", F.lit(""))), 256)
-    return scenes.join(body, "scene_id", "left").withColumn("input_hash", digest).drop("_body")
+    none = F.lit(None).cast("string")
+    opening = scenes.select("scene_id", F.lit(None).cast(units.schema["sequence_index"].dataType).alias("sequence_index"),
+                            none.alias("unit_type"), F.concat(F.lit(fingerprint), nul, "heading").alias("_piece"))
+    body = units.select("scene_id", "sequence_index", "unit_type", F.concat(nul, "unit_type", nul, "text").alias("_piece"))
+    rows = opening.withColumn("_side", F.lit(0)).unionByName(body.withColumn("_side", F.lit(1)))
+    order = [F.col("_side"), F.col("sequence_index"), F.col("_piece")]
+    found = digests(rows, "scene_id", order, F.col("_piece"), "_hash")
+    return scenes.join(found, "scene_id", "left").withColumn(
+        "input_hash", F.when(F.col("heading").isNotNull(), F.col("_hash"))).drop("_hash")
 
 
 def pending_scenes(scenes: DataFrame, cache: DataFrame, prompt_version: str,

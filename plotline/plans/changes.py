@@ -160,11 +160,7 @@ def apply_attributes(attributes: DataFrame, operations: DataFrame,
         "accepted_order", "sequence_index")
     events = start.unionByName(sets).unionByName(cut)
     by = [F.col("accepted_order"), F.col("sequence_index")]
-    blocks = scans.carry(scans.in_blocks(events, key, [F.col("accepted_order")], hot_rows), key, {
-        "_prev": (F.max(F.struct("accepted_order", "sequence_index", "value")), F.max)})
-    seen = F.coalesce(F.lag(F.struct("accepted_order", "sequence_index", "value")).over(
-        scans.within(key, by)), F.col("_prev"))
-    rows = scans.done(blocks.withColumn("_before", seen["value"]), "_prev")
+    rows = scans.Scan(events, key, by, hot_rows).previous({"_before": F.col("value")}).done()
     written = rows.filter((F.col("sequence_index") < 0) | F.col("value").isNull()
                           | ~F.col("value").eqNullSafe(F.col("_before")))
     last = written.groupBy(*key).agg(F.max_by(F.struct("attribute_id"), F.struct(
@@ -331,16 +327,14 @@ def omission_operations(taken: DataFrame, scene_ids: DataFrame) -> DataFrame:
     cuts = taken.select("scene_id", F.lit(1).alias("phase"), F.lit("remove_assertion")
                         .alias("operation_type"), F.col("assertion_id").alias("target_id"))
     steps = durable(flags.unionByName(cuts))
-    return scans.ordinal(steps, ["scene_id"], [F.col("phase"), F.col("target_id")],
-                         [F.col("phase"), F.substring("target_id", 1, 3)], "_n").select(
+    return scans.ordinal(steps, ["scene_id"], [F.col("phase"), F.col("target_id")], "_n").select(
         "scene_id", (F.col("_n") - 1).alias("sequence_index"), "operation_type", "target_id")
 
 
 def resequence(rows: DataFrame, keys: list[str], place: str, unique: str,
                hot_rows: int | None = None) -> DataFrame:
     """Positions closed up after insertions (fractional places) and deletions."""
-    ordered = scans.ordinal(rows, keys, [F.col(place), F.col(unique)],
-                            [F.floor(F.col(place) / 100000)], "_n", hot_rows)
+    ordered = scans.ordinal(rows, keys, [F.col(place), F.col(unique)], "_n", hot_rows)
     return ordered.withColumn("sequence_index", F.col("_n") - 1).drop("_n")
 
 

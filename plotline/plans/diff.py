@@ -90,8 +90,7 @@ def to_operations(diff: DataFrame, batch: str = "change_set_id",
         .when(F.col("state") == "changed", "update_assertion").otherwise("add_assertion")})
     steps = durable(steps)
     order = [F.col("phase"), *[F.col(c) for c in IDENTITY]]
-    numbered = scans.ordinal(steps, [batch], order, [F.col("phase"), F.col("subject_kind"),
-                                                     F.col("subject_key")], "_n", hot_rows)
+    numbered = scans.ordinal(steps, [batch], order, "_n", hot_rows)
     new_key = F.coalesce("new_object_key", "object_key")
     numbered = numbered.withColumn("_new_key", new_key)
     return numbered.select(

@@ -109,8 +109,7 @@ def scene_sheet(scenes: DataFrame, units: DataFrame, assertions: DataFrame, flag
     rows = (scenes.join(sized, "scene_id", "left").join(needs, "scene_id", "left")
             .join(marks, "scene_id", "left").na.fill(0, ["chars", "lines", "entities", "flagged"]))
     rows = durable(rows)
-    rows = scans.running_sum(rows, ["script_id"], [F.col("sequence_index")],
-                             [F.expr("sequence_index div 100000")], F.col("chars"), "_offset", hot_rows)
+    rows = scans.running_sum(rows, ["script_id"], [F.col("sequence_index")], F.col("chars"), "_offset", hot_rows)
     return rows.withColumns({
         "number": F.coalesce("number", F.lit("")), "page": figures.page_of(F.col("_offset")),
         "eighths": figures.eighths(F.col("chars")),

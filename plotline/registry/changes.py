@@ -103,7 +103,7 @@ def g4(t):
 def g5(t):
     from plotline.operators.scans import ordinal
     order = [F.col(c) for c in ("l_linenumber", "l_partkey", "l_suppkey")]
-    rows = ordinal(t.lineitem, ["l_orderkey"], order, order[:1], "n")
+    rows = ordinal(t.lineitem, ["l_orderkey"], order, "n")
     ops = rows.select(
         F.col("l_orderkey").alias("change_set_id"), (F.col("n") - 1).alias("sequence_index"),
         F.expr("CASE l_linenumber % 4 WHEN 0 THEN 'add_assertion' WHEN 1 THEN 'remove_assertion' WHEN 2 THEN "
@@ -125,7 +125,7 @@ def undone(t):
     from plotline.operators.scans import ordinal
     key = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     order = [F.col(c) for c in ("l_linenumber", "l_partkey", "l_suppkey")]
-    rows = ordinal(t.lineitem, ["l_orderkey"], order, order[:1], "n").withColumns({"id": key, "k": F.col("l_linenumber") % 3})
+    rows = ordinal(t.lineitem, ["l_orderkey"], order, "n").withColumns({"id": key, "k": F.col("l_linenumber") % 3})
     sets = t.orders.select(F.col("o_orderkey").alias("change_set_id"), F.col("o_custkey").alias("script_id"), F.expr(
         "CASE o_orderstatus WHEN 'F' THEN 'accepted' ELSE 'pending' END").alias("status"), F.col("o_orderdate").alias("accepted_at"))
     ops = rows.select(

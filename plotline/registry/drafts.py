@@ -26,10 +26,8 @@ def draft_pairs(t):
     from plotline.operators import scans
     longest = F.array_max(F.transform(F.split("text", "\n"), lambda x: F.struct(F.char_length(x).alias("n"), x.alias("x"))))["x"]
     docs = t.documents.filter("text IS NOT NULL").select("doc_id", F.md5(longest).alias("h"))
-    blocks = scans.carry(scans.in_blocks(docs, ["h"], [F.expr("doc_id div 100000")]), ["h"],
-                         {"_prev": (F.max("doc_id"), F.max)})
-    before = F.coalesce(F.lag("doc_id").over(scans.within(["h"], [F.col("doc_id")])), F.col("_prev"))
-    return scans.done(blocks.withColumn("old_doc", before), "_prev").filter("old_doc IS NOT NULL").select(
+    before = scans.Scan(docs, ["h"], [F.col("doc_id")]).previous({"old_doc": F.col("doc_id")}).done()
+    return before.filter("old_doc IS NOT NULL").select(
         F.col("doc_id").alias("pair_id"), "old_doc", F.col("doc_id").alias("new_doc"))
 
 

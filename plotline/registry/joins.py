@@ -248,8 +248,7 @@ def j16(t):
         "user_id", F.col("ts").alias("at"), F.col("event_id").alias("mark_id"))
     rows = t.events.filter("event_type = 'click'").select("user_id", F.col("ts").alias("at"),
                                                          "event_id")
-    return J.last_before(rows, marks, ["user_id"], "at", "event_id", "mark_id",
-                         [F.to_date("at")]).select("event_id", F.col("mark_id").alias("heading"))
+    return J.last_before(rows, marks, ["user_id"], "at", "event_id", "mark_id").select("event_id", F.col("mark_id").alias("heading"))
 
 
 @query("J17_longest_name", """WITH l AS (SELECT DISTINCT p_brand AS script_id, p_name AS name FROM part

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from plotline.registry import corpora, query
 from plotline.registry.functions import WORD
-from plotline.session import durable
+from plotline.operators.streamed import digests
+from plotline.session import durable, new_folder
 from plotline.sources import fdx, ingest, layout, lines, parsing, sink, stage, truth
 from plotline.sources.tables import SCHEMAS
 
@@ -192,7 +193,7 @@ def s10_cut(t):
 def s11(t):
     imports = ingest.identify(payloads(t)).select(
         F.col("doc_id").alias("import_id"), "content_hash", F.col("doc_id").alias("imported_at"))
-    return ingest.twins(imports, F.expr("imported_at div 100000")).select(F.col("import_id").alias("doc_id"), "twin_id", "copies")
+    return ingest.twins(imports).select(F.col("import_id").alias("doc_id"), "twin_id", "copies")
 
 
 @query("S12_corpus_tables", "WITH " + corpora.UNITS_SQL + """ SELECT sha256(concat_ws('|', script_id, scene_index,
@@ -236,7 +237,8 @@ def s14(t):
     SELECT script_id, md5('Title: Script ' || script_id || chr(10) || chr(10) || string_agg(x, chr(10) || chr(10)
       ORDER BY scene_index, r) || chr(10)) AS digest FROM c GROUP BY 1""")
 def s15(t):
-    return sink.export_fountain(*corpora.script_frames(t)).select("script_id", F.md5("text").alias("digest"))
+    parts = sink.write_scripts(sink.export_parts(*corpora.script_frames(t)), new_folder(t.spark, "scripts"))
+    return digests(parts, "script_id", [F.col("part")], F.col("text"), "digest", "md5")
 
 
 @query("S16_table_scan", "\nUNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS n FROM {n}" for n in SCHEMAS))

@@ -60,7 +60,8 @@ def t3(t):
         "scene_id", "heading", "u.*").withColumn("sequence_index", F.col("unit_id"))
     out = jobs.new_folder(t.spark, "rules")
     jobs.rule_graph(units, out, f"{out}-state", "v1").awaitTermination()
-    return jobs.current_graph(t.spark, out).select("scene_id", "entity_type", "name", "unit_id", "lines")
+    store = jobs.graph_store(t.spark, out, units.schema["scene_id"].dataType, units.schema["unit_id"].dataType)
+    return jobs.current_graph(store).select("scene_id", "entity_type", "name", "unit_id", "lines")
 
 
 @query("T4_stream_budget", with_("calls", then="""SELECT model_id, count(*) FILTER (before >= 50000) AS refused, count(*) FILTER (before < 50000)
@@ -69,5 +70,5 @@ def t3(t):
 def t4(t):
     out = jobs.new_folder(t.spark, "budget")
     jobs.budget_gate(call_stream(t), ["model_id"], 50000, out, f"{out}-state").awaitTermination()
-    return t.spark.read.parquet(f"{out}/calls").groupBy("model_id").agg(
+    return t.spark.read.parquet(out).groupBy("model_id").agg(
         F.count_if("refused").alias("refused"), F.count_if(~F.col("refused")).alias("made"))

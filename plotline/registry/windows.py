@@ -35,8 +35,7 @@ def w1(t):
       AS burst FROM g)
     SELECT event_type, burst, count(*) AS calls, CAST(sum(event_id) AS BIGINT) AS ids FROM b GROUP BY 1, 2""")
 def w2(t):
-    calls = scans.bursts(t.events, ["event_type"], "ts", "event_id", [F.date_trunc("hour", "ts")],
-                         vocab.BURST_GAP_SECONDS, "start")
+    calls = scans.bursts(t.events, ["event_type"], "ts", "event_id", vocab.BURST_GAP_SECONDS, "start")
     return calls.groupBy("event_type", "start").agg(
         F.min_by("event_id", F.struct("ts", "event_id")).alias("burst"), F.count(F.lit(1)).alias("calls"),
         F.sum("event_id").alias("ids")).drop("start")
@@ -46,7 +45,7 @@ def w2(t):
       IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn) AS cue FROM conversations""")
 def w3(t):
     cue = F.when(F.col("unit_type") == "character", F.col("sequence_index"))
-    return turns(t).withColumn("cue", W.carried(cue)).select(
+    return W.carried(turns(t), "cue", cue).select(
         F.col("scene_id").alias("conv_id"), F.col("sequence_index").alias("turn"), "cue")
 
 
@@ -54,8 +53,7 @@ def w3(t):
       ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) // 800 + 1 AS page
     FROM conversations""")
 def w4(t):
-    rows = scans.running_sum(t.conversations, ["conv_id"], [F.col("turn")], [F.expr("turn div 1000")],
-                             F.char_length("text"), "offset")
+    rows = scans.running_sum(t.conversations, ["conv_id"], [F.col("turn")], F.char_length("text"), "offset")
     return rows.select("conv_id", "turn", figures.page_of(F.col("offset")).alias("page"))
 
 
@@ -109,11 +107,11 @@ def w9(t):
       count(*) OVER (PARTITION BY conv_id) AS n FROM conversations),
     k AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM m
       WHERE n <= 3 OR near = 1 OR hit = 0)
-    SELECT conv_id, turn FROM k WHERE n <= 3 OR r <= 3""")
+    SELECT conv_id, turn, (SELECT count(*) FROM k x WHERE x.conv_id = k.conv_id) AS total FROM k WHERE n <= 3 OR r <= 3""")
 def w10(t):
     hit = F.contains(F.lower("text"), F.lit("queque"))
     return W.context_window(turns(t), hit, 1, 3).select(F.col("scene_id").alias("conv_id"),
-                                                        F.col("sequence_index").alias("turn"))
+                                                        F.col("sequence_index").alias("turn"), "total")
 
 
 @query("W11_first_text", """SELECT user_id AS unit_id, min_by(event_id, (ts, event_id)) AS original_text

@@ -65,6 +65,11 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL_FOLDERS[context.applicationId]
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the shared one."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write a frame once and go on from the written table.
 

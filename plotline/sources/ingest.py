@@ -149,23 +149,16 @@ def fountain_title(text: Column) -> Column:
                     F.lit(""))
 
 
-def twins(imports: DataFrame, block: Column, hot_rows: int | None = None) -> DataFrame:
+def twins(imports: DataFrame, hot_rows: int | None = None) -> DataFrame:
     """Each import of bytes already there, with the newest import before it.
 
     Imports are ordered by (imported_at, import_id); ``copies`` counts those already
     there, so the first import of some bytes has no row. Bytes uploaded more than
-    ``hot_rows`` times are scanned in blocks; ``block`` is monotone in the order.
+    ``hot_rows`` times are scanned in blocks.
     """
     narrow = imports.select("import_id", "content_hash", "imported_at")
     keys, order = ["content_hash"], [F.col("imported_at"), F.col("import_id")]
-    blocks = scans.carry(
-        scans.in_blocks(narrow, keys, [block], hot_rows), keys,
-        {"_last": (F.max_by("import_id", F.struct("imported_at", "import_id")), F.last),
-         "_many": (F.count(F.lit(1)), F.sum)})
-    within = scans.within(keys, order)
-    found = blocks.withColumns({
-        "twin_id": F.coalesce(F.lag("import_id").over(within), F.col("_last")),
-        "copies": F.row_number().over(within) - 1 + F.coalesce("_many", F.lit(0))})
+    found = scans.Scan(narrow, keys, order, hot_rows).previous({"twin_id": F.col("import_id")}).total("copies", F.lit(1)).done()
     return found.filter("copies > 0").select("import_id", "content_hash", "twin_id", F.col("copies").cast("long"))
 
 

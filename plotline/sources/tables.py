@@ -82,8 +82,7 @@ class Tables:
         """Scenes with their 0-based position inside the script."""
         from plotline.operators.scans import ordinal
         return ordinal(
-            self.scenes, ["script_id"], [F.col("scene_date"), F.col("scene_id")],
-            [F.to_date("scene_date"), F.expr("scene_id div 100000")], "_n"
+            self.scenes, ["script_id"], [F.col("scene_date"), F.col("scene_id")], "_n"
         ).withColumn("sequence_index", F.col("_n") - 1).drop("_n")
 
     @cached_property

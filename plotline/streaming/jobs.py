@@ -1,26 +1,21 @@
 """The event-driven jobs as Structured Streaming.
 
-Sinks are keyed by batch id and written whole, so a batch that is replayed after
-a failure replaces its own output; checkpoints live in the shared folder.
+Outputs go through Spark's file sink or are keyed by batch id and written whole, so a batch
+that is replayed after a failure replaces its own; checkpoints live in the shared folder.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from plotline import vocab
-from plotline.operators import scans
 from plotline.operators.ledger import zero
 from plotline.plans import build, rules
-from plotline.session import durable, shared_folder
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+from plotline.session import durable, new_folder  # noqa: F401
+from plotline.streaming.store import Store
 
 
 def read_stream(spark: SparkSession, folder: str, table: str, schema: str) -> DataFrame:
@@ -60,81 +55,121 @@ def burst_ledger(calls: DataFrame, keys: list[str], delay: str) -> DataFrame:
                  F.min("created_at").alias("first"), F.max("created_at").alias("last")))
 
 
-def rule_graph(units: DataFrame, folder: str, checkpoint: str, fingerprint: str) -> StreamingQuery:
+LINE = "scene_id, unit_id, sequence_index, unit_type, text, heading"
+
+
+def graph_store(spark: SparkSession, folder: str, scene_id: T.DataType, unit_id: T.DataType, **options) -> Store:
+    """Stored lines, and for each scene read its content hash and facts."""
+    lines = T.StructType([T.StructField("scene_id", scene_id), T.StructField("unit_id", unit_id), T.StructField("sequence_index", T.LongType()),
+                          *[T.StructField(c, T.StringType()) for c in ("unit_type", "text", "heading")]])
+    facts = T.StructType([T.StructField("scene_id", scene_id), T.StructField("input_hash", T.StringType()),
+                          *[T.StructField(c, T.StringType()) for c in ("entity_type", "name")], T.StructField("unit_id", unit_id),
+                          T.StructField("lines", T.LongType())])
+    return Store(spark, folder, {"lines": lines, "facts": facts}, "scene_id", **options)
+
+
+def newest_lines(held: DataFrame) -> DataFrame:
+    """Of each stored line the newest."""
+    return held.groupBy("scene_id", "unit_id").agg(
+        F.max_by(F.struct("sequence_index", "unit_type", "text", "heading", "batch"),
+                 F.struct("batch", "sequence_index")).alias("u")).select("scene_id", "unit_id", "u.*")
+
+
+def newest_facts(held: DataFrame) -> DataFrame:
+    """Of each scene the rows of the newest batch that read it."""
+    last = held.groupBy("scene_id").agg(F.max("batch").alias("batch"))
+    return held.join(last, ["scene_id", "batch"], "left_semi")
+
+
+def rule_graph(units: DataFrame, folder: str, checkpoint: str, fingerprint: str, **options) -> StreamingQuery:
     """The rule graph kept up with new and edited scenes.
 
-    ``units``: scene_id, unit_id, sequence_index, unit_type, text, heading. Lines are
-    stored under their batch id; a batch may hold any part of a scene, so the scenes it
-    touches are rebuilt from all their stored lines, of each line the newest. Scenes
+    ``units``: scene_id, unit_id, sequence_index, unit_type, text, heading. Lines and facts
+    are stored in buckets of the scene (``store``), so a batch reads only the buckets it
+    touches, a bounded number of files each. A batch may hold any part of a scene: the scenes
+    it touches are rebuilt from all their stored lines, of each line the newest. Scenes
     whose content is as it was last time are left out; the others get facts and a hash
     under the batch id. A scene's newest batch is its graph. A line without unit_id or
     scene_id is no line; the stored lines keep null text.
     """
     spark = units.sparkSession
-    hash_shape = "scene_id {}, input_hash string, batch long".format(units.schema["scene_id"].dataType.simpleString())
-
-    def stored(kind: str, schema) -> DataFrame:
-        return spark.read.schema(schema).option("basePath", f"{folder}/{kind}").parquet(f"{folder}/{kind}")
+    store = graph_store(spark, folder, units.schema["scene_id"].dataType, units.schema["unit_id"].dataType, **options)
 
     def one_batch(batch: DataFrame, batch_id: int) -> None:
-        batch.filter("scene_id IS NOT NULL AND unit_id IS NOT NULL").write.mode("overwrite").parquet(
-            f"{folder}/units/batch={batch_id}")
-        held = stored("units", batch.schema.add("batch", "long")).filter(F.col("batch") <= batch_id)
-        touched = held.filter(F.col("batch") == batch_id).select("scene_id").distinct()
-        lines = held.join(touched, "scene_id", "left_semi").groupBy("scene_id", "unit_id").agg(
-            F.max_by(F.struct("sequence_index", "unit_type", "text", "heading"),
-                     F.struct("batch", "sequence_index")).alias("u")).select("scene_id", "unit_id", "u.*")
-        lines = durable(lines)
-        scenes = lines.groupBy("scene_id").agg(F.max("heading").alias("heading"))
-        todo = build.scene_hash(scenes, lines, fingerprint).select("scene_id", "input_hash", "heading")
-        if batch_id > 0:
-            last = stored("hashes", hash_shape).filter(F.col("batch") < batch_id).groupBy("scene_id").agg(
-                F.max_by("input_hash", "batch").alias("input_hash"))
-            todo = todo.join(last, ["scene_id", "input_hash"], "left_anti")
-        todo = durable(todo)
-        work = lines.drop("heading").join(todo.select("scene_id"), "scene_id", "left_semi")
-        facts = rules.provided(work, todo.select("scene_id", "heading"))
-        facts.write.mode("overwrite").parquet(f"{folder}/facts/batch={batch_id}")
-        todo.select("scene_id", "input_hash").write.mode("overwrite").parquet(f"{folder}/hashes/batch={batch_id}")
+        parts = store.parts(batch_id - 1)
+        kept = batch.filter("scene_id IS NOT NULL AND unit_id IS NOT NULL").select(*LINE.split(", ")).withColumn(
+            "sequence_index", F.col("sequence_index").cast("long"))
+        touched = store.add("lines", kept, batch_id, parts)
+        if touched:
+            held = store.read("lines", parts, touched)
+            scenes = held.filter(F.col("batch") == batch_id).select("scene_id").distinct()
+            lines = durable(newest_lines(held.join(scenes, "scene_id", "left_semi")).drop("batch"))
+            headed = lines.groupBy("scene_id").agg(F.max("heading").alias("heading"))
+            todo = build.scene_hash(headed, lines, fingerprint).select("scene_id", "input_hash", "heading")
+            before = newest_facts(store.read("facts", parts, touched)).select("scene_id", "input_hash").distinct()
+            todo = durable(todo.join(before, ["scene_id", "input_hash"], "left_anti"))
+            work = lines.drop("heading").join(todo.select("scene_id"), "scene_id", "left_semi")
+            facts = rules.provided(work, todo.select("scene_id", "heading"))
+            shape = store.schemas["facts"]
+            marks = todo.select("scene_id", "input_hash")
+            rows = marks.join(facts, "scene_id", "left").select(*[F.col(f.name).cast(f.dataType) for f in shape.fields])
+            store.add("facts", rows, batch_id, parts)
+            store.compact("lines", batch_id, parts, newest_lines)
+            store.compact("facts", batch_id, parts, newest_facts)
+        store.close(batch_id, parts)
     return (units.writeStream.foreachBatch(one_batch).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
-def current_graph(spark: SparkSession, folder: str) -> DataFrame:
+def current_graph(store: Store) -> DataFrame:
     """Facts of each scene's newest batch; earlier ones are superseded."""
-    facts = spark.read.parquet(f"{folder}/facts")
-    newest = spark.read.parquet(f"{folder}/hashes").groupBy("scene_id").agg(F.max("batch").alias("batch"))
-    return facts.join(newest, ["scene_id", "batch"], "left_semi")
+    held = store.read("facts", store.parts(store.newest_manifest()))
+    return newest_facts(held).filter("entity_type IS NOT NULL").drop("input_hash", "batch")
 
 
-def budget_gate(calls: DataFrame, keys: list[str], cap: int, folder: str, checkpoint: str) -> StreamingQuery:
+class RunningTotal(StatefulProcessor):
+    """T4: one total per key, kept from batch to batch and, with an expiry, dropped when it has not grown for that long."""
+
+    def __init__(self, cap: int, expiry_ms: int | None):
+        self.cap, self.expiry_ms = cap, expiry_ms
+
+    def init(self, handle) -> None:
+        self.total = handle.getValueState("total", "total long", ttlDurationMs=self.expiry_ms)
+
+    def handleInputRows(self, key, rows, timerValues):
+        import pandas as pd
+        held = int(self.total.get()[0]) if self.total.exists() else 0
+        calls = pd.concat(list(rows), ignore_index=True).sort_values(["created_at", "call_id"], kind="stable")
+        spent = calls["spent"].to_numpy("int64")
+        before = held + spent.cumsum() - spent
+        self.total.update((held + int(spent.sum()),))
+        calls["spent_before"], calls["refused"] = before, before >= self.cap
+        yield calls.drop(columns=["spent"])
+
+    def close(self) -> None:
+        pass
+
+
+def budget_gate(calls: DataFrame, keys: list[str], cap: int, folder: str, checkpoint: str, expiry_ms: int | None = None) -> StreamingQuery:
     """T4: calls refused once their key's recorded tokens reach the cap.
 
-    The state is one total per key, written with each batch. Inside a batch the
-    running total is the blocked scan, so one key may hold most of the batch.
+    Each key's running total is keyed state of the query, so a batch touches the totals of
+    its own keys only and nothing is read back from tables. Calls are taken in the order of
+    their batches, inside a batch by (created_at, call_id); only the columns of the gate pass
+    through the state operator. One key's calls of one batch are one task's, about sixty
+    bytes each: ``maxFilesPerTrigger`` bounds them.
     """
     spark = calls.sparkSession
     spent = zero("input_tokens") + zero("output_tokens")
-    shape = ", ".join(f"{k} {calls.schema[k].dataType.simpleString()}" for k in keys)
-
-    def one_batch(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
-        if batch_id > 0:
-            held = spark.read.schema(f"{shape}, total long").parquet(f"{folder}/totals/{batch_id - 1}")
-        else:
-            held = spark.createDataFrame([], f"{shape}, total long")
-        run = scans.running_sum(batch, keys, [F.col("created_at"), F.col("call_id")],
-                                [F.date_trunc("hour", "created_at")], spent, "_run")
-        h = held.select(*[F.col(k).alias(f"_h_{k}") for k in keys], F.col("total").alias("_total"))
-        gate = run.join(h, scans.null_safe(run, h, {k: f"_h_{k}" for k in keys}), "left").withColumn(
-            "refused", F.col("_run") + F.coalesce("_total", F.lit(0)) >= cap)
-        gate.drop("_run", "_total", *[f"_h_{k}" for k in keys]).write.mode("overwrite").parquet(
-            f"{folder}/calls/batch={batch_id}")
-        totals = held.unionByName(batch.select(*keys, spent.cast("long").alias("total")))
-        totals.groupBy(*keys).agg(F.sum("total").alias("total")).write.mode("overwrite").parquet(
-            f"{folder}/totals/{batch_id}")
-        batch.unpersist()
-    return (calls.writeStream.foreachBatch(one_batch).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
-
-
+    narrow = calls.select(*keys, "call_id", "created_at", spent.cast("long").alias("spent"))
+    shape = T.StructType([*[f for f in narrow.schema.fields if f.name != "spent"], T.StructField("spent_before", T.LongType()),
+                          T.StructField("refused", T.BooleanType())])
+    name, was = "spark.sql.streaming.stateStore.providerClass", None
+    was = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        gated = narrow.groupBy(*keys).transformWithStateInPandas(
+            RunningTotal(cap, expiry_ms), shape, "Append", "none" if expiry_ms is None else "ProcessingTime")
+        return to_parquet(gated, folder, checkpoint)
+    finally:
+        spark.conf.set(name, was) if was is not None else spark.conf.unset(name)

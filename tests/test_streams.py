@@ -1,7 +1,11 @@
 """Streaming jobs over several batches."""
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from plotline.operators import ledger
 from plotline.sources import ingest
 from plotline.streaming import jobs
 
@@ -9,7 +13,8 @@ SHAPE = "scene_id long, unit_id long, sequence_index long, unit_type string, tex
 
 
 def cast(spark, folder):
-    return sorted((r.scene_id, r.entity_type, r.name, r.lines) for r in jobs.current_graph(spark, folder).collect())
+    store = jobs.graph_store(spark, folder, T.LongType(), T.LongType())
+    return sorted((r.scene_id, r.entity_type, r.name, r.lines) for r in jobs.current_graph(store).collect())
 
 
 def test_rule_graph_keeps_what_earlier_batches_brought(spark, tmp_path):
@@ -39,5 +44,42 @@ def test_twin_is_the_newest_import_before(spark):
     frame = spark.createDataFrame([(1, "a", 1), (2, "a", 2), (3, "a", 3), (4, "b", 4), (5, "a", 3)],
                                   "import_id long, content_hash string, imported_at long")
     for hot in (None, 1):
-        got = ingest.twins(frame, F.expr("imported_at div 2"), hot).collect()
+        got = ingest.twins(frame, hot).collect()
         assert sorted((r.import_id, r.twin_id, r.copies) for r in got) == [(2, 1, 1), (3, 2, 2), (5, 3, 3)]
+
+
+def test_batches_read_a_level_number_of_files(spark, tmp_path):
+    """Nine batches over two scenes: no bucket ever has more than the allowed parts, and the graph is that of one batch."""
+    inbox, out = str(tmp_path / "in"), str(tmp_path / "out")
+    store = jobs.graph_store(spark, out, T.LongType(), T.LongType(), buckets=4, most=2)
+    counts = []
+    for k in range(9):
+        rows = [(k % 2, k, k, "character", f"NAME{k % 7}", "INT. HALL - DAY")]
+        spark.createDataFrame(rows, SHAPE).coalesce(1).write.mode("append").parquet(inbox)
+        stream = spark.readStream.schema(SHAPE).parquet(inbox)
+        jobs.rule_graph(stream, out, f"{out}-state", "v1", buckets=4, most=2).awaitTermination()
+        counts.append(max(len(held) for held in store.parts(store.newest_manifest()).values()))
+    assert max(counts) <= 2 and store.newest_manifest() == 8
+    whole = str(tmp_path / "whole")
+    jobs.rule_graph(spark.readStream.schema(SHAPE).parquet(inbox), whole, f"{whole}-state", "v1").awaitTermination()
+    got = sorted(map(str, jobs.current_graph(store).drop("batch").collect()))
+    assert got == sorted(map(str, jobs.current_graph(jobs.graph_store(spark, whole, T.LongType(), T.LongType())).collect()))
+
+
+def test_budget_state_over_batches_equals_the_ledger(spark, tmp_path):
+    start = datetime(2024, 1, 1)
+    rows = [(i, start + timedelta(seconds=i // 2), "ab"[i % 3 % 2], i % 11, None if i % 5 == 0 else i % 7) for i in range(60)]
+    shape = "call_id long, created_at timestamp, model_id string, input_tokens long, output_tokens long"
+    inbox, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for part in (rows[:25], rows[25:26], rows[26:]):
+        spark.createDataFrame(part, shape).write.mode("append").parquet(inbox)
+        stream = spark.readStream.schema(shape).parquet(inbox)
+        jobs.budget_gate(stream, ["model_id"], 90, out, f"{out}-state").awaitTermination()
+    got = {r.call_id: (r.spent_before, r.refused) for r in spark.read.parquet(out).collect()}
+    want = {}
+    for k in "ab":
+        frame = spark.createDataFrame([r for r in rows if r[2] == k], shape)
+        for hot in (None, 4):
+            want |= {r.call_id: (r.spent_before, r.refused) for r in ledger.budget_gate(frame, 90, hot).collect()}
+            assert {c: got[c] for c in want} == want
+    assert len(want) == 60 and any(r for _, r in want.values()) and not all(r for _, r in want.values())
