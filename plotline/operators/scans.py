@@ -26,7 +26,6 @@ HOT_ROWS = 1_000_000
 MOST_BLOCKS = 20_000
 _BLOCK, _PLACE = "_block", "_place"
 BEFORE = (Window.unboundedPreceding, -1)
-BEHIND = (1, Window.unboundedFollowing)
 WHOLE = (Window.unboundedPreceding, Window.unboundedFollowing)
 
 
@@ -64,10 +63,12 @@ class Scan:
         self.frame = self.frame.withColumns(columns)
         return self
 
-    def carry(self, parts: dict[str, tuple[Column, Callable[[Column], Column]]], reach: tuple[int, int] = BEFORE) -> Scan:
+    def carry(self, parts: dict[str, tuple[Column, Callable[[Column], Column]]], reach: tuple[int, int] = BEFORE,
+              behind: bool = False) -> Scan:
         """Join what the other blocks of a row's key within ``reach`` come to; null where there are none.
 
         ``parts`` maps a column to (aggregate of one block, roll-up of blocks in their order).
+        With ``behind`` the blocks are taken from the last one on.
         """
         if not self.cut:
             blocks = self.frame.groupBy().agg(*[agg.alias(name) for name, (agg, _) in parts.items()])
@@ -75,7 +76,7 @@ class Scan:
             return self.add({field.name: F.lit(None).cast(field.dataType) for field in shape})
         summary = (self.frame.filter(F.col(_BLOCK).isNotNull()).groupBy(*self.keys, _BLOCK)
                    .agg(*[agg.alias(name) for name, (agg, _) in parts.items()]))
-        over = Window.partitionBy(*self.keys).orderBy(_BLOCK).rowsBetween(*reach)
+        over = Window.partitionBy(*self.keys).orderBy(F.col(_BLOCK).desc() if behind else F.col(_BLOCK)).rowsBetween(*reach)
         rolled = summary.select(
             *[F.col(k).alias(f"_c_{k}") for k in self.keys], F.col(_BLOCK).alias("_c_block"),
             *[roll(F.col(name)).over(over).alias(name) for name, (_, roll) in parts.items()])
@@ -114,15 +115,15 @@ class Scan:
 
     def previous(self, columns: dict[str, Column]) -> Scan:
         """The values of the row before, null for the first of a key."""
-        return self._neighbour(columns, F.lag, F.max_by, F.last, BEFORE)
+        return self._neighbour(columns, F.lag, F.max_by, False)
 
     def following(self, columns: dict[str, Column]) -> Scan:
         """The values of the row behind, null for the last of a key."""
-        return self._neighbour(columns, F.lead, F.min_by, F.first, BEHIND)
+        return self._neighbour(columns, F.lead, F.min_by, True)
 
-    def _neighbour(self, columns, step, pick, roll, reach) -> Scan:
+    def _neighbour(self, columns, step, pick, behind) -> Scan:
         self._placed().add({"_value": F.struct(*[c.alias(name) for name, c in columns.items()])})
-        self.carry({"_border": (pick("_value", _PLACE), roll)}, reach)
+        self.carry({"_border": (pick("_value", _PLACE), F.last)}, behind=behind)
         self.add({"_beside": F.coalesce(step("_value").over(self.window()), F.col("_border"))})
         self.add({name: F.col("_beside")[name] for name in columns})
         self.frame = self.frame.drop("_value", "_border", "_beside")
@@ -130,17 +131,19 @@ class Scan:
 
     def last_seen(self, name: str, value: Column) -> Scan:
         """The last value that is not null, up to and with the row."""
-        return self._seen(name, value, F.max_by, F.last, BEFORE, (Window.unboundedPreceding, 0))
+        return self._seen(name, value, F.max_by, False)
 
     def next_seen(self, name: str, value: Column) -> Scan:
         """The first value that is not null, from the row on."""
-        return self._seen(name, value, F.min_by, F.first, BEHIND, (0, Window.unboundedFollowing))
+        return self._seen(name, value, F.min_by, True)
 
-    def _seen(self, name, value, pick, roll, reach, rows) -> Scan:
+    def _seen(self, name, value, pick, behind) -> Scan:
         self._placed().add({"_value": value})
         place = F.when(F.col("_value").isNotNull(), F.col(_PLACE))
-        self.carry({"_border": (pick("_value", place), lambda c: roll(c, ignorenulls=True))}, reach)
-        inside = roll("_value", ignorenulls=True).over(self.window().rowsBetween(*rows))
+        self.carry({"_border": (pick("_value", place), lambda c: F.last(c, ignorenulls=True))}, behind=behind)
+        # A frame that reaches to the end is summed up anew for every row, so rows behind are taken backwards.
+        along = Window.partitionBy(*self.keys, _BLOCK).orderBy(F.col(_PLACE).desc()) if behind else self.window()
+        inside = F.last("_value", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, 0))
         self.add({name: F.coalesce(inside, F.col("_border"))})
         self.frame = self.frame.drop("_value", "_border")
         return self
