@@ -31,27 +31,41 @@ def without_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFram
     return toxicity.kept(cast, labels).select(*columns)
 
 
+def _renamed(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The columns as c0, c1, ... by their place, and the name of each wanted column among them.
+
+    Columns are taken by place, so no given column can clash with one that a stage adds.
+    """
+    places = {name: f"c{i}" for i, name in enumerate(docs.columns)}
+    return docs.toDF(*places.values()), places
+
+
 def without_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """The row with the smallest id of each group linked by word 5-gram similarity of 0.75 or more.
 
     A row without an id comes after all others. Texts without words link with nothing and stay.
     """
-    keyed = durable(docs.withColumn("_row", F.monotonically_increasing_id()))
-    group = shingles.linked(keyed.select(F.col("_row").alias("doc_id"), "text")).select(
-        F.col("doc_id").alias("_row"), F.col("component_id").alias("_group"))
-    first = (keyed.select("_row", F.col("doc_id").alias("_id")).join(group, "_row").groupBy("_group")
-             .agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_row")).alias("_first")).select(F.col("_first._row").alias("_row")))
-    return keyed.join(first, "_row", "left_semi").select(*docs.columns)
+    given, at = _renamed(docs)
+    keyed = durable(given.withColumn("row", F.monotonically_increasing_id()))
+    group = shingles.linked(keyed.select(F.col("row").alias("doc_id"), F.col(at["text"]).alias("text"))).select(
+        F.col("doc_id").alias("row"), F.col("component_id").alias("group"))
+    first = (keyed.select("row", F.col(at["doc_id"]).alias("id")).join(group, "row").groupBy("group")
+             .agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("first")).select(F.col("first.row").alias("row")))
+    return keyed.join(first, "row", "left_semi").drop("row").toDF(*docs.columns)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents less the bytes of 50-byte strings that a smaller document holds; n_chars follows the text."""
-    named = docs.where("doc_id IS NOT NULL").withColumn("_was", F.sha2(F.coalesce("text", F.lit("")), 256))
-    left = suffixes.without_repeats(docs).select("doc_id", F.col("text").alias("_left"), F.col("was").alias("_was"))
-    out = named.drop("text").join(left.dropDuplicates(["doc_id", "_was"]), ["doc_id", "_was"]).withColumnRenamed("_left", "text")
+    given, at = _renamed(docs)
+    key, text = at["doc_id"], at["text"]
+    named = given.where(F.col(key).isNotNull()).withColumns({
+        "id": F.col(key).cast("long"), "was": F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256)})
+    left = suffixes.without_repeats(given.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))).select(
+        F.col("doc_id").alias("id"), "was", F.col("text").alias("left"))
+    out = named.join(left.dropDuplicates(["id", "was"]), ["id", "was"]).withColumn(text, F.col("left"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+        out = out.withColumn(at["n_chars"], F.length("left").cast(docs.schema["n_chars"].dataType))
+    return out.select(*given.columns).unionByName(given.where(F.col(key).isNull())).toDF(*docs.columns)
 
 
 def into_sequences(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
