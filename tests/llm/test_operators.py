@@ -334,3 +334,18 @@ def test_pre_tokens_travel_with_a_space_behind_each():
         assert pieces.cut(np.frombuffer(pieces.ended(column), np.uint8)).to_pylist() == keys
         if len(keys) > 2:
             assert pieces.cut(np.frombuffer(pieces.ended(column.slice(2, 3)), np.uint8)).to_pylist() == keys[2:5]
+
+
+def test_pipeline_returns_clashing_columns_as_given(spark):
+    import corpus_pipeline
+    x, y = (" ".join(f"{c}{k}" for k in range(40)) for c in "xy")
+    at = spark.createDataFrame([(4, x), (5, x), (6, y), (None, y)], "doc_id long, text string")
+    mine = ["_row", "_was", "_left", "_first", "_group", "row", "was", "left", "first", "group", "id", "c0", "c1", "block", "hash"]
+    at = at.withColumns({c: F.concat(F.lit(f"{c}:"), F.coalesce("doc_id", F.lit(-1))) for c in mine}).withColumn("n_chars", F.lit(7))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, at, FOLDER)
+        assert after.dtypes == at.dtypes
+        for r in after.collect():
+            assert [r[c] for c in mine] == [f"{c}:{-1 if r.doc_id is None else r.doc_id}" for c in mine]
+        at = spark.createDataFrame(after.collect(), after.schema)
+    assert sorted(str(r.doc_id) for r in at.collect()) == ["4", "6"]
