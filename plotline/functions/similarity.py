@@ -1,13 +1,14 @@
-"""text comparison that must match the difflib ratios exactly.
+"""comparison of two texts, as Arrow UDFs on candidate pairs.
 
-These are the only scalar Arrow UDFs on candidate pairs. Rows that cannot reach
-the floor are removed natively first: a ratio never exceeds
-2 * min(len) / (len + len).
+F13's ratio is difflib's by definition. Rows that cannot reach the floor are removed
+natively first: a ratio never exceeds 2 * min(len) / (len + len).
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from difflib import SequenceMatcher
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column
@@ -27,17 +28,40 @@ def ratio(old: pd.Series, new: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, a, b).ratio() for a, b in pairs], dtype="float64")
 
 
+def kept_places(before: list, after: list) -> list[tuple[int, int]]:
+    """Places of what both lists keep, rising in both.
+
+    The n-th occurrence of a value is paired with its n-th occurrence in the other list; of
+    these pairs the longest rising run stays, found by the smallest last place for each length.
+    """
+    places: dict = {}
+    for j, value in enumerate(after):
+        places.setdefault(value, []).append(j)
+    for held in places.values():
+        held.reverse()
+    lasts, ends, links = [], [], []
+    for i, value in enumerate(before):
+        if places.get(value):
+            j = places[value].pop()
+            n = bisect_left(lasts, j)
+            links.append((i, j, ends[n - 1] if n else None))
+            lasts[n:n + 1], ends[n:n + 1] = [j], [len(links) - 1]
+    run, at = [], ends[-1] if ends else None
+    while at is not None:
+        i, j, at = links[at]
+        run.append((i, j))
+    return run[::-1]
+
+
 @F.pandas_udf(SEGMENTS)
 def word_diff(before: pd.Series, after: pd.Series) -> pd.Series:
-    """Ordered segments of a changed line: equal, del and ins runs of words."""
+    """runs of words kept (equal), gone (del) and new (ins), by ``kept_places``."""
     def segments(old: list[str], new: list[str]) -> list[dict]:
-        """Between two common runs stand first the words that went, then those that came."""
-        parts, old_at, new_at = [], 0, 0
-        for run in SequenceMatcher(None, old, new, autojunk=False).get_matching_blocks():
-            old_end, new_end = run.a + run.size, run.b + run.size
-            parts += [("del", old[old_at:run.a]), ("ins", new[new_at:run.b]), ("equal", old[run.a:old_end])]
-            old_at, new_at = old_end, new_end
-        return [{"op": op, "text": " ".join(words)} for op, words in parts if words]
+        marked = []
+        kept = [*kept_places(old, new), (len(old), len(new))]
+        for (a, b), (i, j) in zip([(-1, -1), *kept], kept):
+            marked += [("del", w) for w in old[a + 1:i]] + [("ins", w) for w in new[b + 1:j]] + [("equal", w) for w in old[i:i + 1]]
+        return [{"op": op, "text": " ".join(w for _, w in run)} for op, run in groupby(marked, key=lambda x: x[0])]
     return pd.Series([segments(a.split(" "), b.split(" ")) for a, b in zip(before, after, strict=True)])
 
 

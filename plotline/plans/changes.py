@@ -331,6 +331,60 @@ def omission_operations(taken: DataFrame, scene_ids: DataFrame) -> DataFrame:
         "scene_id", (F.col("_n") - 1).alias("sequence_index"), "operation_type", "target_id")
 
 
+def restore_scenes(asked: DataFrame, scenes: DataFrame, change_sets: DataFrame, operations: DataFrame, assertions: DataFrame,
+                   findings: DataFrame) -> dict[str, DataFrame]:
+    """Every table after omitted scenes are put back by undoing their newest accepted omission.
+
+    ``asked``: scene_id. ``scenes``: scene_id, omitted. ``change_sets``: change_set_id, kind,
+    status, accepted_at. ``operations``: as for inverse_operations; the flag operation of an
+    omission names its scene. The facts an omission removed are active again, the omission is
+    reverted and its open findings are resolved. ``refused`` has the scenes left alone: not
+    omitted, or without an accepted omission.
+    """
+    wanted = asked.select("scene_id").distinct().join(scenes.select("scene_id", "omitted"), "scene_id", "left")
+    flags = operations.filter("operation_type = 'set_scene_omitted'").select(
+        F.col("target_id").cast(scenes.schema["scene_id"].dataType).alias("scene_id"), "change_set_id")
+    newest = flags.join(change_sets.filter("kind = 'omit_scene' AND status = 'accepted'"), "change_set_id").groupBy("scene_id").agg(
+        F.max_by("change_set_id", F.struct("accepted_at", "change_set_id")).alias("change_set_id"))
+    found = durable(wanted.join(newest, "scene_id", "left").withColumn(
+        "reason", F.when(~F.coalesce("omitted", F.lit(False)), "not_omitted").when(F.col("change_set_id").isNull(), "no_omission")))
+    back = found.filter("reason IS NULL")
+    sets = back.select("change_set_id").distinct()
+    inverse = durable(inverse_operations(operations.join(sets, "change_set_id", "left_semi")))
+    facts = inverse.filter("operation_type = 'add_assertion'").select(
+        F.col("target_id").alias("assertion_id"), F.lit(True).alias("_back")).distinct()
+    shown = back.select("scene_id", F.lit(True).alias("_back"))
+    over = sets.withColumn("_back", F.lit(True))
+    return {
+        "refused": found.filter("reason IS NOT NULL").select("scene_id", "reason"), "operations": inverse,
+        "scenes": scenes.join(shown, "scene_id", "left").withColumn("omitted", F.col("omitted") & F.col("_back").isNull()).drop("_back"),
+        "assertions": assertions.join(facts, "assertion_id", "left").withColumn(
+            "active", F.col("active") | F.coalesce("_back", F.lit(False))).drop("_back"),
+        "change_sets": change_sets.join(over, "change_set_id", "left").withColumn(
+            "status", F.when(F.col("_back"), "reverted").otherwise(F.col("status"))).drop("_back"),
+        "findings": resolve_findings(findings, sets)}
+
+
+def insert_rows(rows: DataFrame, requests: DataFrame, key: str, unique: str, hot_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows with the new ones in place, refused requests): scenes into scripts, or units into scenes.
+
+    ``rows``: key, unique, sequence_index and more. ``requests``: request_id, key, after (a
+    ``unique`` of the same key, null for the front), unique (of the new row) and more. Requests
+    apply in their order, each right behind its anchor, so of several behind one anchor the
+    last comes first. An anchor that the key does not hold refuses the request.
+    """
+    anchors = rows.select(F.col(key).alias("_key"), F.col(unique).alias("after"), F.col("sequence_index").alias("_at"))
+    placed = requests.join(anchors, "after", "left")
+    fits = F.col("after").isNull() | F.coalesce(F.col("_key") == F.col(key), F.lit(False))
+    refused = placed.filter(~fits).select(*requests.columns)
+    new = placed.filter(fits).withColumns({"_place": F.coalesce("_at", F.lit(-1)), "_turn": -F.col("request_id")})
+    old = rows.withColumns({"_place": F.col("sequence_index"), "_turn": F.lit(None).cast("long")})
+    both = old.unionByName(new.select(*[c for c in old.columns if c in new.columns]), allowMissingColumns=True)
+    order = [F.col("_place"), F.col("_turn").asc_nulls_first()]
+    numbered = scans.ordinal(durable(both), [key], order, "_n", hot_rows)
+    return numbered.withColumn("sequence_index", F.col("_n") - 1).drop("_n", "_place", "_turn"), refused
+
+
 def resequence(rows: DataFrame, keys: list[str], place: str, unique: str,
                hot_rows: int | None = None) -> DataFrame:
     """Positions closed up after insertions (fractional places) and deletions."""

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,6 +12,7 @@ from plotline.functions.names import caseless
 from plotline.functions.text import strip
 from plotline.operators import joins
 from plotline.operators.joins import endpoint_frame
+from plotline.operators.scans import Scan
 from plotline.session import durable
 
 PAIR = "pair_id"
@@ -153,63 +152,40 @@ def align(old: DataFrame, new: DataFrame, confirmed: DataFrame | None = None) ->
             "deleted": exact["deleted"].unionByName(old_rest.select(PAIR, F.col("scene_id").alias("old_id")))}
 
 
-def revisions(old: dict, new: dict, floor: float = 0.5) -> dict:
-    """Which old line each new line of one gap revises, by id: new lines choose in order.
-
-    A line takes the old line still free of highest ratio at or above ``floor``, the
-    earlier of equals. The cheap upper bounds of a ratio are asked first.
-    """
-    free, taken = dict(old), {}
-    for new_id, text in new.items():
-        matcher, found = SequenceMatcher(None, "", text), {}
-        for old_id, other in free.items():
-            matcher.set_seq1(other)
-            needed = max(found.values(), default=floor)
-            if min(matcher.real_quick_ratio(), matcher.quick_ratio()) >= needed:
-                found[old_id] = matcher.ratio()
-        best = max(found, key=found.get, default=None)
-        if best is not None and found[best] >= floor:
-            taken[new_id] = best
-            del free[best]
-    return taken
-
-
-def equal_lines(rows: pd.DataFrame) -> pd.DataFrame:
-    """The old line each new line of one scene pair continues word for word, and the one it revises.
-
-    Runs of equal lines are the fixed points; only lines in the gap between the same
-    two runs can be revisions of each other.
-    """
-    lines = rows.sort_values("k")
-    (a_ids, a), (b_ids, b) = [(part["unit_id"].tolist(), part["text"].tolist())
-                              for part in (lines[lines["side"] == 0], lines[lines["side"] == 1])]
-    out, old_at, new_at = [], 0, 0
-    for run in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks():
-        gap = revisions(dict(zip(a_ids[old_at:run.a], a[old_at:run.a], strict=True)),
-                        dict(zip(b_ids[new_at:run.b], b[new_at:run.b], strict=True)))
-        out += [(new_id, old_id, False) for new_id, old_id in gap.items()]
-        old_at, new_at = run.a + run.size, run.b + run.size
-        out += [(new_id, old_id, True) for new_id, old_id in zip(b_ids[run.b:new_at], a_ids[run.a:old_at], strict=True)]
-    frame = pd.DataFrame(out, columns=["new_unit_id", "old_unit_id", "same"])
-    return frame.assign(scene_pair=rows["scene_pair"].iloc[0] if len(rows) else None)
-
-
-def align_lines(scene_pairs: DataFrame, units: DataFrame) -> DataFrame:
+def align_lines(scene_pairs: DataFrame, units: DataFrame, floor: float = 0.5, hot_rows: int | None = None) -> DataFrame:
     """scene_pair, new_unit_id, old_unit_id, same.
 
-    One group is one aligned scene pair, at most 2,000 units a side by the import
-    limits. ``scene_pairs``: old_id, new_id. ``units``: scene_id, unit_id,
-    sequence_index, text.
+    ``scene_pairs``: old_id, new_id. ``units``: scene_id, unit_id, sequence_index, text.
+    The n-th line of some text is paired with the n-th such line of the other side, an equi
+    join with one pair a line at most; the longest set of pairs that rises on both sides is
+    the lines kept word for word. Between two kept lines the n-th line left on one side
+    revises the n-th left on the other if twice their common words reach ``floor`` of the words
+    of both. A line without text is never kept. Everything but the choice of the rising
+    set, which sees two places a pair, is joins and scans.
     """
-    pair = F.concat_ws("|", "old_id", "new_id")
+    name = F.concat_ws("|", "old_id", "new_id")
+    at = [F.col("sequence_index"), F.col("unit_id")]
+
+    def side(column: str, s: str, rank: str) -> DataFrame:
+        rows = scene_pairs.select(name.alias(PAIR), F.col(column).alias("scene_id")).distinct().join(units, "scene_id")
+        rows = Scan(rows, [PAIR], at, hot_rows).ordinal(rank).done()
+        return durable(Scan(rows, [PAIR, "text"], at, hot_rows).ordinal("_nth").done().select(
+            PAIR, F.col("unit_id").alias(f"{s}_id"), rank, "text", "_nth"))
+    old, new = side("old_id", "old", "i"), side("new_id", "new", "j")
+    paired = old.join(new, [PAIR, "text", "_nth"]).select(PAIR, "old_id", "new_id", "i", "j", F.lit(1.0).alias("score"))
     kinds = units.schema["unit_id"].dataType.simpleString()
-
-    def side(column, n):
-        return scene_pairs.select(pair.alias("scene_pair"), F.col(column).alias("scene_id")).join(
-            units, "scene_id").select("scene_pair", F.lit(n).alias("side"), F.col("sequence_index").alias("k"), "unit_id",
-                                      "text")
-    return side("old_id", 0).unionByName(side("new_id", 1)).groupBy("scene_pair").applyInPandas(
-        equal_lines, f"new_unit_id {kinds}, old_unit_id {kinds}, same boolean, scene_pair string")
+    kept = durable(paired.groupBy(PAIR).applyInPandas(best_chain, f"{PAIR} string, old_id {kinds}, new_id {kinds}, score double"))
+
+    def left(frame: DataFrame, s: str, rank: str) -> DataFrame:
+        """The lines not kept, by the number of kept lines above and their place below those."""
+        marked = frame.join(kept.select(PAIR, f"{s}_id", F.lit(1).alias("_kept")), [PAIR, f"{s}_id"], "left")
+        gap = Scan(marked, [PAIR], [F.col(rank)], hot_rows).total("_gap", F.coalesce("_kept", F.lit(0))).done()
+        return Scan(gap.filter("_kept IS NULL"), [PAIR, "_gap"], [F.col(rank)], hot_rows).ordinal("_nth").done().select(
+            PAIR, "_gap", "_nth", f"{s}_id", F.array_distinct(F.split("text", r"\s+")).alias(f"_{s}_words"))
+    share = 2 * F.size(F.array_intersect("_old_words", "_new_words")) / (F.size("_old_words") + F.size("_new_words"))
+    revised = left(old, "old", "i").join(left(new, "new", "j"), [PAIR, "_gap", "_nth"]).filter(share >= floor)
+    columns = [F.col(PAIR).alias("scene_pair"), F.col("new_id").alias("new_unit_id"), F.col("old_id").alias("old_unit_id")]
+    return kept.select(*columns, F.lit(True).alias("same")).unionByName(revised.select(*columns, F.lit(False).alias("same")))
 
 
 def carry_graph(draft_pairs: DataFrame, scene_map: DataFrame, unit_map: DataFrame, tables: dict[str, DataFrame]

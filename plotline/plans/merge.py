@@ -10,6 +10,7 @@ from plotline import vocab
 from plotline.functions.phrases import draft_rename_message
 from plotline.functions.words import spaced
 from plotline.operators.filters import dedupe_key
+from plotline.operators.links import components, grouped
 from plotline.session import durable
 
 
@@ -26,40 +27,57 @@ def refused_merges(pairs: DataFrame, entities: DataFrame) -> DataFrame:
     return rows.withColumn("refused", reason).select(*pairs.columns, "refused")
 
 
-def in_force(pairs: DataFrame) -> DataFrame:
-    """The pairs a batch applies: one is skipped when an earlier applied pair absorbed either side.
+def folded(rows: pd.DataFrame) -> pd.DataFrame:
+    """One conflict component in the order of its pairs: applied, or skipped by the pair that absorbed a side before."""
+    absorbed: dict = {}
+    by = []
+    for pair in rows.sort_values("position").itertuples(index=False):
+        earlier = [absorbed[x] for x in (pair.keep_id, pair.absorb_id) if x in absorbed]
+        by.append((pair.position, min(earlier) if earlier else None))
+        if not earlier:
+            absorbed[pair.absorb_id] = pair.position
+    return pd.DataFrame(by, columns=["position", "skipped_by"]).astype({"skipped_by": "Int64"})
+
 
-    Decided in rounds: a pair whose earlier rivals are all decided is decided.
-    Every round settles at least the earliest open pair of each conflict, and
-    only pairs still in conflict stay open.
+def merge_record(pairs: DataFrame) -> DataFrame:
+    """Every pair of a batch with ``skipped_by``, the pair that absorbed one of its sides before; null if applied.
+
+    ``pairs``: position (unique), keep_id, absorb_id. Pairs that share entities, directly or
+    through others, form one component, which is folded once in the order of its pairs. A
+    component of one pair needs no fold.
     """
-    open_pairs = durable(pairs)
-    applied = None
-    while not open_pairs.isEmpty():
-        takes = open_pairs.select(F.col("absorb_id").alias("x"), "position").groupBy("x").agg(
-            F.min("position").alias("p"))
-        ends = open_pairs.select("position", F.explode(F.array("keep_id", "absorb_id")).alias("x"))
-        blocked = ends.join(takes, "x").filter(F.col("p") < F.col("position")).select("position").distinct()
-        clear = durable(open_pairs.join(blocked, "position", "left_anti"))
-        applied = clear if applied is None else applied.unionByName(clear)
-        gone = clear.select(F.col("absorb_id").alias("x"))
-        rest = open_pairs.join(blocked, "position", "left_semi")
-        lost = rest.select("position", F.explode(F.array("keep_id", "absorb_id")).alias("x")).join(
-            gone, "x", "left_semi").select("position").distinct()
-        open_pairs = durable(rest.join(lost, "position", "left_anti"))
-    return pairs if applied is None else applied
+    links = components(pairs.select(F.col("keep_id").alias("a"), F.col("absorb_id").alias("b")))
+    rows = durable(pairs.join(links.withColumnRenamed("v", "keep_id"), "keep_id"))
+    several = rows.groupBy("label").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("label")
+    kinds = {f.name: f.dataType.simpleString() for f in pairs.schema}
+    settled = rows.join(several, "label", "left_semi").select("label", "position", "keep_id", "absorb_id").groupBy("label").applyInPandas(
+        folded, f"position {kinds['position']}, skipped_by {kinds['position']}")
+    return pairs.join(settled, "position", "left")
+
+
+def in_force(pairs: DataFrame) -> DataFrame:
+    """The pairs a batch applies: one is skipped when an earlier applied pair absorbed either side."""
+    return merge_record(pairs).filter("skipped_by IS NULL").select(*pairs.columns)
 
 
 def roots(applied: DataFrame) -> DataFrame:
-    """Where each absorbed entity ends up: chains followed by doubling the step."""
+    """Where each absorbed entity ends up: chains followed by doubling the step.
+
+    A loop of absorptions, which ``in_force`` never makes, would have no end: it raises.
+    """
     links = durable(applied.select(F.col("absorb_id").alias("entity_id"), F.col("keep_id").alias("root_id"),
                                    "position"))
-    while True:
+    reach, most = 1, links.count()
+    while reach <= 2 * most:
         up = links.select(F.col("entity_id").alias("root_id"), F.col("root_id").alias("_up"))
         stepped = durable(links.join(up, "root_id", "left"))
         if stepped.filter("_up IS NOT NULL").isEmpty():
             return links
         links = stepped.select("entity_id", F.coalesce("_up", "root_id").alias("root_id"), "position")
+        reach *= 2
+    if not most:
+        return links
+    raise ValueError("the absorptions form a loop")
 
 
 def _moved(frame: DataFrame, column: str, root: DataFrame) -> DataFrame:
@@ -146,7 +164,7 @@ def resolve(mentions: DataFrame, entities: DataFrame, aliases: DataFrame) -> Dat
 
 
 def resolve_in_order(rows: pd.DataFrame) -> pd.DataFrame:
-    """Strict form of G13 for one (script, type): a mention may match one made before it.
+    """Strict form of G13 for names that may match each other: a mention may match one made before it.
 
     ``rows``: position, normalized_name, known (an entity that exists), aliases.
     """
@@ -180,10 +198,11 @@ def resolve_in_order(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def resolve_strictly(entities: DataFrame, aliases: DataFrame, mentions: DataFrame) -> DataFrame:
-    """G13 with the order of mentions honoured; one group per (script, type).
+    """G13 with the order of mentions honoured.
 
-    Mentions are first cut to the first of each name, so a group holds distinct
-    names only, which the import limits bound per script.
+    A mention can only match a name it shares a surface (a name or alias) with or, for cast,
+    the first word. Names that share none of these, even through others, are apart: each such
+    component is resolved on its own, in order. Mentions are first cut to the first of each name.
     """
     scope = ["script_id", "entity_type"]
     none = F.array().cast("array<string>")
@@ -194,8 +213,13 @@ def resolve_strictly(entities: DataFrame, aliases: DataFrame, mentions: DataFram
     said = mentions.withColumn("_a", F.explode_outer("aliases")).groupBy(*scope, "normalized_name").agg(
         F.min("position").alias("position"), F.collect_set("_a").alias("aliases")).select(
         *scope, "position", "normalized_name", F.lit(False).alias("known"), "aliases")
+    rows = known.unionByName(said)
+    word = F.when(F.col("entity_type") == "cast", F.concat(F.lit("w"), F.element_at(F.split("normalized_name", " "), 1)))
+    surfaces = F.transform(F.concat(F.array("normalized_name"), "aliases"), lambda x: F.concat(F.lit("s"), x))
+    tokens = F.transform(F.array_compact(F.concat(surfaces, F.array(word))), lambda x: F.xxhash64(*scope, x))
+    rows = durable(rows.withColumns({"_tokens": tokens, "_vertex": F.xxhash64(*scope, "normalized_name")}))
     kind = entities.schema["script_id"].dataType.simpleString()
-    return known.unionByName(said).groupBy(*scope).applyInPandas(
+    return grouped(rows, "_tokens", "_vertex").drop("_tokens", "_vertex").groupBy(*scope, "component").applyInPandas(
         resolve_in_order, "position long, normalized_name string, target_name string, how string, "
                           f"script_id {kind}, entity_type string")
 

@@ -19,7 +19,7 @@ class Entry:
 ENTRIES: dict[str, Entry] = {}
 
 SECTIONS = ["sources", "filters", "joins", "aggregates", "windows", "ordering", "functions",
-            "graph", "changes", "resolution", "verification", "drafts", "sheets", "streams"]
+            "graph", "changes", "resolution", "verification", "drafts", "sheets", "outputs", "streams"]
 
 
 def query(name: str, sql: str | None = None):

@@ -124,8 +124,8 @@ def g8(t):
     m AS (SELECT question_id, q.script_id, id, CASE WHEN q.p_size < 20 THEN 1 WHEN q.p_size < 40 THEN 2 ELSE 3 END AS tier
       FROM q JOIN f ON q.script_id = f.script_id AND CASE WHEN q.p_size < 20 THEN f.p_name = q.p_name
         WHEN q.p_size < 40 THEN contains(edge, ' ' || string_split(q.p_name, ' ')[1] || ' ') ELSE true END)
-    SELECT question_id, id AS assertion_id, tier FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY id)
-      AS k FROM m) WHERE k <= 30""")
+    SELECT question_id, id AS assertion_id, tier, n > 30 AS truncated FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY id)
+      AS k, count(*) OVER (PARTITION BY question_id) AS n FROM m) WHERE k <= 30""")
 def g9(t):
     questions = t.part.select(
         F.col("p_partkey").alias("question_id"), F.col("p_brand").alias("script_id"), F.expr(
@@ -137,7 +137,7 @@ def g9(t):
         "script_id", F.col("p_partkey").alias("assertion_id"), F.col("entity_id").alias("subject_entity_id"),
         F.lit(None).cast("long").alias("object_entity_id"), F.col("p_name").alias("subject_label"),
         F.lit("requires").alias("predicate"), F.col("p_type").alias("object_label"))
-    return retrieval.packets(questions, surfaces, edges, 30).select("question_id", "assertion_id", "tier")
+    return retrieval.packets(questions, surfaces, edges, 30).select("question_id", "assertion_id", "tier", "truncated")
 
 
 @query("G14_rule_graph", """WITH u AS (SELECT conv_id, turn, upper(role) AS name FROM conversations)
@@ -160,25 +160,23 @@ def g14(t):
         F.col("start").cast("long").alias("start_at"), F.col("end").cast("long").alias("end_at"))
 
 
-@query("G34_unit_graph", with_("facts", then=""", q AS (SELECT o_orderkey AS rid, o_orderkey AS sc FROM orders
-      WHERE o_totalprice > 450000), g AS (SELECT * FROM facts WHERE active),
-    s AS (SELECT DISTINCT rid, assertion_id FROM q JOIN g ON subject_scene_id = sc OR source_unit_id = sc || '-1'),
-    n AS (SELECT assertion_id, unnest([subject_entity_id, object_entity_id]) AS e FROM g),
-    h AS (SELECT DISTINCT rid, n2.assertion_id FROM s JOIN n USING (assertion_id) JOIN n n2 ON n2.e = n.e
-      UNION SELECT * FROM s)
+@query("G34_unit_graph", with_("facts", then=""", g AS (SELECT * FROM facts WHERE active),
+    s AS (SELECT DISTINCT o_orderkey AS rid, assertion_id FROM orders JOIN g ON subject_scene_id = o_orderkey
+      UNION SELECT o_orderkey, assertion_id FROM orders JOIN g ON source_unit_id = o_orderkey || '-1')
     SELECT rid AS request_id, count(*) FILTER (confidence >= 0.6) AS links, count(*) FILTER (confidence < 0.6) AS hidden
-    FROM h JOIN g USING (assertion_id) GROUP BY 1""").replace("\n, q AS", ", q AS"))
+    FROM s JOIN g USING (assertion_id) GROUP BY 1""").replace("\n, g AS", ", g AS"))
 def g34(t):
-    return order_graphs(t, t.orders.filter("o_totalprice > 450000"))
+    """The facts that touch each order itself: one step of the graph."""
+    return order_graphs(t, 1)
 
 
-def order_graphs(t, orders):
-    """Links and hidden facts around the first unit and the scene of each of these orders."""
-    requests = orders.select(
+def order_graphs(t, depth):
+    """Links and hidden facts around the first unit and the scene of every order."""
+    requests = t.orders.select(
         F.col("o_orderkey").alias("request_id"), F.concat("o_orderkey", F.lit("-1")).alias("unit_id"),
         F.col("o_orderkey").alias("scene_id"))
     types = t.part.select(F.col("p_partkey").alias("entity_id"), F.col("p_type").alias("entity_type"))
-    links, hidden = views.unit_graph(requests, t.facts.drop("scene_id"), types, 0.6)
+    links, hidden = views.unit_graph(requests, t.facts.drop("scene_id"), types, 0.6, depth=depth)
     shown = links.groupBy("request_id").agg(F.count(F.lit(1)).alias("links"))
     return hidden.join(shown, "request_id", "left").na.fill(0, ["links"])
 
@@ -192,8 +190,8 @@ def order_graphs(t, orders):
     SELECT rid AS request_id, count(*) FILTER (confidence >= 0.6) AS links, count(*) FILTER (confidence < 0.6) AS hidden
     FROM h JOIN g USING (assertion_id) GROUP BY 1""").replace("\n, g AS", ", g AS"))
 def g34_all(t):
-    """The graph around every order."""
-    return order_graphs(t, t.orders)
+    """The graph around every order, two steps wide."""
+    return order_graphs(t, 2)
 
 
 @query("G35_script_graph", with_("scenes", "facts", "assertions", then=""", g AS (SELECT a.*, p_type FROM assertions a

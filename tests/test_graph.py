@@ -4,6 +4,7 @@ import random
 from difflib import SequenceMatcher
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from plotline.functions import headings, names, replies, similarity
@@ -198,7 +199,6 @@ def test_names(spark):
              "O\u2019Neil \u2013 the Elder;": "o'neil - the elder", "a an apple": "an apple"}
     df = spark.createDataFrame([(k,) for k in cases], "s string")
     assert {r.s: r.n for r in df.select("s", names.normalize(F.col("s")).alias("n")).collect()} == cases
-    assert all(names.normalize_py(k) == v for k, v in cases.items())
 
 
 def test_replies_must_be_one_object(spark):
@@ -256,7 +256,88 @@ def test_rows_do_not_depend_on_partitions(spark):
     t = Tables(spark, "/root/testdata/sf0.001")
     from plotline.operators import scans
     order = [F.col("ts"), F.col("event_id")]
-    one = scans.ordinal(t.events.repartition(1), ["event_type"], order, [F.to_date("ts")], "n", 10)
-    many = scans.ordinal(t.events.orderBy(F.rand(7)).repartition(40), ["event_type"], order, [F.to_date("ts")], "n", 10)
+    one = scans.ordinal(t.events.repartition(1), ["event_type"], order, "n", 10)
+    many = scans.ordinal(t.events.orderBy(F.rand(7)).repartition(40), ["event_type"], order, "n", 10)
     pick = lambda df: sorted((r.event_id, r.n) for r in df.select("event_id", "n").collect())
     assert pick(one) == pick(many)
+
+
+def test_kept_places_are_a_longest_rising_set():
+    rng = random.Random(6)
+    for _ in range(200):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randint(0, 9))] for _ in range(2))
+        got = similarity.kept_places(a, b)
+        assert all(a[i] == b[j] for i, j in got) and got == sorted(set(got)) and [j for _, j in got] == sorted({j for _, j in got})
+        nth = lambda x, k: x[:k].count(x[k])
+        pairs = [(i, j) for i in range(len(a)) for j in range(len(b)) if a[i] == b[j] and nth(a, i) == nth(b, j)]
+        best = {}
+        for i, j in sorted(pairs):
+            best[i, j] = 1 + max((n for (p, q), n in best.items() if p < i and q < j), default=0)
+        assert len(got) == max(best.values(), default=0)
+
+
+def test_line_alignment_of_blocks(spark):
+    rng = random.Random(8)
+    rows = [(s, k, f"{s}-{k}", rng.choice(["x", "y", "", None, "one two three", "one two four"])) for s in (1, 2, 3) for k in range(40)]
+    units = spark.createDataFrame(rows, "scene_id int, sequence_index int, unit_id string, text string")
+    pairs = spark.createDataFrame([(1, 2), (2, 3)], "old_id int, new_id int")
+    plain, cut = (sorted(map(tuple, drafts.align_lines(pairs, units, hot_rows=h).select("scene_pair", "new_unit_id", "old_unit_id", "same").collect()))
+                  for h in (None, 7))
+    assert plain == cut
+    text = {r[2]: r[3] for r in rows}
+    for pair, new, old in (("1|2", 2, 1), ("2|3", 3, 2)):
+        same = [(int(o.split("-")[1]), int(n.split("-")[1])) for p, n, o, s in plain if p == pair and s]
+        a, b = ([text[f"{s}-{k}"] for k in range(40)] for s in (old, new))
+        want = similarity.kept_places([f"o{k}" if x is None else x for k, x in enumerate(a)], [f"n{k}" if x is None else x for k, x in enumerate(b)])
+        assert len(same) == len(want) and [j for _, j in sorted(same)] == sorted(j for _, j in same)
+
+
+def test_merges_fold_each_component_once(spark):
+    rng = random.Random(2)
+    chain = [(k, k, k + 1) for k in range(300)]
+    rng.shuffle(chain)
+    pairs = [(p, keep, gone) for p, (_, keep, gone) in enumerate(chain)]
+    pairs += [(1000 + k, 5000 + rng.randrange(60), 5000 + rng.randrange(60)) for k in range(80)] + [(2000, 9000, 9001)]
+    absorbed, want = {}, {}
+    for p, keep, gone in sorted(pairs):
+        earlier = [absorbed[x] for x in (keep, gone) if x in absorbed]
+        want[p] = min(earlier, default=None)
+        if not earlier:
+            absorbed[gone] = p
+    frame = spark.createDataFrame(pairs, "position long, keep_id long, absorb_id long")
+    assert {r.position: r.skipped_by for r in merge.merge_record(frame).collect()} == want
+    assert {r.position for r in merge.in_force(frame).collect()} == {p for p, by in want.items() if by is None}
+    assert merge.in_force(frame.filter("1 = 0")).count() == 0
+    with pytest.raises(ValueError):
+        merge.roots(spark.createDataFrame([(1, 7, 8), (2, 8, 7)], "position long, keep_id long, absorb_id long"))
+
+
+def test_strict_resolution_by_components_equals_one_group(spark):
+    import pandas as pd
+    rng = random.Random(4)
+    word = lambda: rng.choice("ann bob cy dee eve".split())
+    entities, aliases, mentions = [], [], []
+    for script in (1, 2):
+        for kind in ("cast", "prop"):
+            names_ = sorted({" ".join(word() for _ in range(rng.randint(1, 2))) for _ in range(4)})
+            for n in names_:
+                entities.append((len(entities), script, kind, n))
+                aliases += [(len(entities) - 1, word()) for _ in range(rng.randint(0, 1))]
+            mentions += [(script, kind, " ".join(word() for _ in range(rng.randint(1, 3))), k, [word()] if rng.random() < .3 else []) for k in range(30)]
+    e = spark.createDataFrame(entities, "entity_id long, script_id long, entity_type string, normalized_name string")
+    a = spark.createDataFrame(aliases, "entity_id long, normalized_alias string")
+    m = spark.createDataFrame(mentions, "script_id long, entity_type string, normalized_name string, position long, aliases array<string>")
+    got = {(r.script_id, r.entity_type, r.normalized_name): (r.target_name, r.how) for r in merge.resolve_strictly(e, a, m).collect()}
+    want = {}
+    for script in (1, 2):
+        for kind in ("cast", "prop"):
+            rows = [(script, kind, -1, n, True, sorted({x for i, x in aliases if i == k})) for k, s, t, n in entities if (s, t) == (script, kind)]
+            first = {}
+            for s, t, n, p, al in mentions:
+                if (s, t) == (script, kind):
+                    at, held = first.get(n, (p, set()))
+                    first[n] = at, held | set(al)
+            rows += [(script, kind, p, n, False, sorted(al)) for n, (p, al) in first.items()]
+            frame = pd.DataFrame(rows, columns=["script_id", "entity_type", "position", "normalized_name", "known", "aliases"])
+            want |= {(script, kind, r.normalized_name): (r.target_name, r.how) for r in merge.resolve_in_order(frame).itertuples()}
+    assert got == want
