@@ -116,7 +116,7 @@ def actions(calls: DataFrame, rates: DataFrame, answers: DataFrame | None = None
     groups = rows.groupBy("action_key", "kind").agg(
         F.any_value("script_id").alias("script_id"), F.count(F.lit(1)).alias("call_count"),
         F.sum(tokens).alias("tokens"), F.sum("cost").alias("cost_usd"),
-        F.min("created_at").alias("first"), F.max("created_at").alias("last"),
+        F.min("created_at").alias("first"), F.max("created_at").alias("last"), F.min("call_id").alias("first_call"),
         F.array_sort(F.collect_set(F.col("scene_number").cast("string"))).alias("scenes"),
         F.array_join(F.array_sort(F.collect_set("model_id")), ", ").alias("model"))
     label = (F.when(F.col("kind") == "build", "Graph build").when(F.col("kind") == "agent", "Ask")

@@ -99,9 +99,7 @@ ACTIONS_SQL = with_("scripts", "calls", then=", " + RATES + """, k AS (SELECT *,
 @query("A6_billable_actions", ACTIONS_SQL)
 def a6(t):
     calls = t.model_calls
-    keyed = ledger.actions(calls, rates(t))
-    first = ledger.in_actions(calls).groupBy("action_key").agg(F.min("call_id").alias("first_call"))
-    return keyed.join(first, "action_key").select(
+    return ledger.actions(calls, rates(t)).select(
         "first_call", "call_count", "tokens", F.round("cost_usd", 9).alias("cost_usd"), "model",
         "action", "detail")
 
@@ -208,7 +206,7 @@ def a11_progress(t):
 
 
 @query("A13_entity_coverage", """SELECT w AS wanted, l_orderkey AS scene, count(DISTINCT (l_linenumber,
-      l_returnflag, p_name)) AS units, count(DISTINCT l_returnflag) AS predicates
+      l_returnflag, p_name)) AS units, count(DISTINCT l_returnflag) AS predicates, min(l_linenumber) AS first_unit
     FROM (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS w FROM part) v JOIN part ON contains(p_name, w)
     JOIN lineitem ON l_partkey = p_partkey GROUP BY 1, 2""")
 def a13(t):
@@ -221,7 +219,7 @@ def a13(t):
         "wanted", F.col("l_orderkey").alias("scene"), F.col("l_linenumber").alias("unit_id"),
         F.col("l_returnflag").alias("predicate"), F.col("p_name").alias("line"),
         F.lit("").alias("subject_label"), F.col("p_name").alias("object_label"))
-    return A.coverage(cited, F.col("wanted")).drop("first_unit")
+    return A.coverage(cited, F.col("wanted"))
 
 
 @query("A14_applied_summary", """WITH o AS (SELECT l_suppkey AS change_set_id, CASE l_linenumber % 4

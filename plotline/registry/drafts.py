@@ -116,7 +116,8 @@ def g29_candidates(t):
     return drafts.candidates(t.scripts).select("candidate_id")
 
 
-@query("G32_draft_report", """WITH e AS (SELECT p_brand AS b, p_type AS ty, p_name AS nm, min(p_partkey) AS id, min_by(p_size, p_partkey) AS v FROM part
+@query("G32_draft_report", """SELECT *, CASE WHEN lost_introductions > 0 THEN 'high' WHEN attribute_changes > 0 OR removed > 0 THEN 'medium' ELSE 'low' END
+      AS severity FROM (WITH e AS (SELECT p_brand AS b, p_type AS ty, p_name AS nm, min(p_partkey) AS id, min_by(p_size, p_partkey) AS v FROM part
       GROUP BY 1, 2, 3),
     k AS (SELECT n.b, n.id AS nid, o.id AS oid, n.v AS nv, o.v AS ov FROM e n JOIN e o ON n.b = 'Brand#' || (CAST(substr(o.b, 7) AS INTEGER) + 1)
       AND n.ty = o.ty AND n.nm = o.nm),
@@ -126,7 +127,7 @@ def g29_candidates(t):
       WHERE k.b = d.b) AS added, (SELECT count(*) FROM e o JOIN f USING (id) WHERE d.b = 'Brand#' || (CAST(substr(o.b, 7) AS INTEGER) + 1) AND NOT
       EXISTS (SELECT 1 FROM k WHERE k.oid = o.id AND k.b = d.b)) AS removed, (SELECT count(*) FROM k WHERE k.b = d.b AND nv <> ov) AS attribute_changes,
       (SELECT count(*) FROM k JOIN f x ON x.id = oid AND x.intro JOIN f y ON y.id = nid AND NOT y.intro AND y.used WHERE k.b = d.b)
-        AS lost_introductions FROM (SELECT DISTINCT b FROM e WHERE b <> 'Brand#1') d""")
+        AS lost_introductions FROM (SELECT DISTINCT b FROM e WHERE b <> 'Brand#1') d)""")
 def g32(t):
     e = t.part.groupBy(F.col("p_brand").alias("b"), F.col("p_type").alias("entity_type"), F.col("p_name").alias("normalized_name")).agg(
         F.min("p_partkey").alias("entity_id"), F.min_by("p_size", "p_partkey").alias("value"))
@@ -142,8 +143,7 @@ def g32(t):
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("assertion_id"), F.lit(None).cast("long").alias("subject_entity_id"),
         F.col("l_partkey").alias("object_entity_id"), F.when(F.col("l_returnflag") == "N", "establishes").otherwise("requires")
         .alias("predicate"), (F.col("l_linestatus") == "O").alias("active"))
-    made = drafts.draft_report(new.select("script_pair").distinct(), new, old, aliases, attributes, facts)
-    return made.drop("severity")
+    return drafts.draft_report(new.select("script_pair").distinct(), new, old, aliases, attributes, facts)
 
 
 @query("G33_changed_lines", with_("facts", then="""SELECT s.o_orderkey AS scene_id, count(DISTINCT e) AS entities FROM orders s JOIN (SELECT scene_id,
