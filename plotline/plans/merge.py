@@ -42,10 +42,18 @@ def folded(rows: pd.DataFrame) -> pd.DataFrame:
 def merge_record(pairs: DataFrame) -> DataFrame:
     """Every pair of a batch with ``skipped_by``, the pair that absorbed one of its sides before; null if applied.
 
-    ``pairs``: position (unique), keep_id, absorb_id. Pairs that share entities, directly or
-    through others, form one component, which is folded once in the order of its pairs. A
-    component of one pair needs no fold.
+    ``pairs``: position (unique), keep_id, absorb_id. A pair no earlier pair could forbid is
+    applied, and one whose first such rival is applied is skipped by it: that settles most
+    without a fold. If any are left, pairs that share entities, directly or through others,
+    form components, and each is folded once in the order of its pairs.
     """
+    takes = pairs.groupBy(F.col("absorb_id").alias("x")).agg(F.min("position").alias("p"))
+    ends = pairs.select("position", F.explode(F.array_distinct(F.array("keep_id", "absorb_id"))).alias("x"))
+    rival = ends.join(takes, "x").filter(F.col("p") < F.col("position")).groupBy("position").agg(F.min("p").alias("skipped_by"))
+    first = durable(pairs.join(rival, "position", "left"))
+    sure = first.filter("skipped_by IS NULL").select(F.col("position").alias("skipped_by"))
+    if first.filter("skipped_by IS NOT NULL").join(sure, "skipped_by", "left_anti").isEmpty():
+        return first
     links = components(pairs.select(F.col("keep_id").alias("a"), F.col("absorb_id").alias("b")))
     rows = durable(pairs.join(links.withColumnRenamed("v", "keep_id"), "keep_id"))
     several = rows.groupBy("label").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("label")
