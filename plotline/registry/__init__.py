@@ -18,7 +18,7 @@ class Entry:
 
 ENTRIES: dict[str, Entry] = {}
 
-SECTIONS = ["sources", "filters", "joins", "aggregates", "windows", "ordering", "functions",
+SECTIONS = ["sources", "imports", "filters", "joins", "aggregates", "windows", "ordering", "functions",
             "graph", "changes", "resolution", "verification", "drafts", "sheets", "outputs", "streams"]
 
 

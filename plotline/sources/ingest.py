@@ -29,20 +29,26 @@ FOUNTAIN_TITLE = (r"(?imdU)^(?:title|credit|author|authors|source|draft date|con
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """Whole files with their path; splits are planned by Spark."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(
-        F.col("path").alias("source_name"), "content",
-        F.col("modificationTime").alias("imported_at"))
+    """Whole files with their path; splits are planned by Spark.
+
+    The bytes of a file over the size limit are not read: its content is null, its size stated.
+    Spark's scan passes over files without bytes.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    named = [F.col("path").alias("source_name"), F.col("length").alias("size"), F.col("modificationTime").alias("imported_at")]
+    fits = files.filter(F.col("length") <= vocab.MAX_UPLOAD_BYTES).select(*named, "content")
+    large = files.filter(F.col("length") > vocab.MAX_UPLOAD_BYTES).select(*named, F.lit(None).cast("binary").alias("content"))
+    return fits.unionByName(large)
 
 
 def identify(payloads: DataFrame) -> DataFrame:
-    """Content hash, extension and size of each payload (content, source_name)."""
+    """Content hash, extension and size of each payload (content, source_name; size if known)."""
+    size = F.col("size") if "size" in payloads.columns else F.octet_length("content").cast("long")
     extension = F.lower(F.regexp_extract("source_name", r"\.([^.]*)$", 1))
     return payloads.withColumns({
         "content_hash": F.sha2("content", 256), "extension": extension,
-        "size": F.octet_length("content").cast("long"),
-        "rejection": F.when(F.octet_length("content") > vocab.MAX_UPLOAD_BYTES,
-                            "payload_too_large")})
+        "size": size,
+        "rejection": F.when(size > vocab.MAX_UPLOAD_BYTES, "payload_too_large")})
 
 
 def declared_codec(content: Column) -> Column:
@@ -221,8 +227,12 @@ def corpus_tables(outcomes: DataFrame, scenes: DataFrame, units: DataFrame) -> d
 
 
 def write_corpus(tables: dict[str, DataFrame], folder: str, buckets: int = 64) -> None:
-    """One Parquet table each, partitioned by a hash bucket of the document."""
+    """One Parquet table each, partitioned by a hash bucket of the document.
+
+    Rows are brought together by bucket before the write, so files are few; adaptive
+    execution splits the buckets that are too large for one task.
+    """
     for name, frame in tables.items():
         bucket = F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")
-        frame.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(
-            f"{folder}/{name}")
+        frame.withColumn("bucket", bucket).hint("rebalance", "bucket").write.mode("overwrite").partitionBy(
+            "bucket").parquet(f"{folder}/{name}")
