@@ -3,7 +3,7 @@
 All templates (notices, licence paragraphs, and the base phrases) are words of one
 automaton. A text streams through it: at each word, the longest run of words ending there
 that stands in some template, and its state. A match that the next word does not extend and
-that is long enough is tied to its place in each template that holds it; such matches are
+that is long enough is tied to every place of each template that holds it; such matches are
 chained in text and template order, and a template covered far enough gives its label. Base
 phrases are read off the same states.
 
@@ -15,6 +15,7 @@ operations find them.
 from __future__ import annotations
 
 import re
+from collections import deque
 
 import numpy as np
 import pyarrow as pa
@@ -60,24 +61,23 @@ def words_of(text: str) -> list[bytes]:
 
 
 class Automaton:
-    """A generalised suffix automaton over word numbers, with each state's places in the templates."""
+    """A generalised suffix automaton over word numbers, with all places (template, end) of each state."""
 
     def __init__(self, templates: list[list[bytes]], phrases: list[list[bytes]]) -> None:
         everything = templates + phrases
         self.numbers = {w: i for i, w in enumerate(sorted({w for t in everything for w in t}))}
         coded = [[self.numbers[w] for w in t] for t in everything]
         self.next: list[dict[int, int]] = [{}]
-        self.link, self.length, self.places = [-1], [0], [{}]
+        self.link, self.length = [-1], [0]
+        self.places: list[set[tuple[int, int]]] = [set()]
         for number, text in enumerate(coded):
             last = 0
             for end, word in enumerate(text):
                 last = self._add(last, word)
-                self.places[last][number] = end
+                self.places[last].add((number, end))
         for state in sorted(range(1, len(self.next)), key=lambda s: -self.length[s]):
-            for number, end in self.places[state].items():
-                held = self.places[self.link[state]]
-                if self.link[state] > 0 and held.get(number, end) >= end:
-                    held[number] = end
+            if self.link[state] > 0:
+                self.places[self.link[state]] |= self.places[state]
         self.sizes = [len(t) for t in templates]
         self.ends: list[list[tuple[int, int]]] = [[] for _ in self.next]
         found = {}
@@ -94,7 +94,7 @@ class Automaton:
         self.next.append({})
         self.link.append(0)
         self.length.append(length)
-        self.places.append({})
+        self.places.append(set())
         return len(self.next) - 1
 
     def _split(self, state: int, word: int) -> int:
@@ -135,16 +135,24 @@ class Automaton:
 
 
 def covered(matches: list[tuple[int, int, int]], size: int, gap: int = MOST_GAP) -> int:
-    """Words of a template under the best chain of matches (text end, template end, length)."""
-    best: list[tuple[int, int, int]] = []
+    """Words of a template under the best chain of matches (text end, template end, length).
+
+    A match is at most ``size`` words long, so only chains that end within ``size`` + ``gap``
+    words above it can lead to it; the rest are dropped, and the work grows with the matches.
+    """
+    near: deque[tuple[int, int, int]] = deque()
+    most = 0
     for at, end, n in sorted(matches):
+        while near and near[0][0] < at - size - gap:
+            near.popleft()
         total = n
-        for before, was, had in best:
+        for before, was, had in near:
             fresh = min(n, end - was, at - before)
             if fresh > 0 and at - n - before <= gap:
                 total = max(total, had + fresh)
-        best.append((at, end, total))
-    return min(size, max((t for _, _, t in best), default=0))
+        near.append((at, end, total))
+        most = max(most, total)
+    return min(size, most)
 
 
 def scan(docs: DataFrame, templates=TEMPLATES, base=BASE, least_match: int = LEAST_MATCH, least_cover: float = LEAST_COVER) -> DataFrame:
@@ -177,7 +185,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, base=BASE, least_match: int = LEA
                         starts.append(first + i + 1 - n)
                         own.add(base_names[p])
                 if length >= least_match and held[i + 1][0] != length + 1:
-                    for t, end in automaton.places[state].items():
+                    for t, end in automaton.places[state]:
                         if t < len(names):
                             found.setdefault(t, []).append((first + i, end, length))
         share = {t: covered(m, automaton.sizes[t]) / automaton.sizes[t] for t, m in found.items()}
