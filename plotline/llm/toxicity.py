@@ -1,12 +1,13 @@
 """Operator 2: toxicity by a classifier chain, trained on out-of-fold predictions.
 
 Categories are judged one after the other; each is a logistic model over hashed words, word
-beginnings and the log-odds that the earlier models gave. For training, those earlier
-log-odds are out-of-fold: the labelled rows are dealt into folds, and a row's value comes
+beginnings and the probabilities that the earlier models gave. For training, those earlier
+probabilities are out-of-fold: the labelled rows are dealt into folds, and a row's value comes
 from a model that has not seen its fold. The final models use all rows.
 
-Fitting is done on a bounded sample of the labelled rows (of each toxic label the ``SAMPLE``
-rows with the smallest hash of their id); scoring runs over every whole text in Spark.
+Fitting is done on a bounded sample of the labelled documents (of each toxic label the
+``SAMPLE`` ones with the smallest hash of their id); scoring runs over every whole text in Spark.
+The labels given hold one toxicity category, so quality comes first in the chain.
 """
 
 from __future__ import annotations
@@ -85,9 +86,12 @@ class Model:
         z = np.bincount(rows, self.sparse[slots], n) + self.bias
         return np.clip(z + dense @ self.dense, -30, 30) if dense.shape[1] else np.clip(z, -30, 30)
 
+    def probability(self, slots, rows, dense, n: int) -> np.ndarray:
+        return 1 / (1 + np.exp(-self.score(slots, rows, dense, n)))
+
 
 class Chain:
-    """One model per category in order; later ones also read the earlier ones' log-odds."""
+    """One model per category in order; later ones also read the earlier ones' probabilities."""
 
     def __init__(self, slots: np.ndarray, rows: np.ndarray, labels: np.ndarray, folds: int = FOLDS) -> None:
         n, names = labels.shape
@@ -103,24 +107,31 @@ class Chain:
                     place = np.cumsum(~held) - 1
                     model = Model(slots[inside], place[rows[inside]], earlier[~held], labels[~held, c])
                     place = np.cumsum(held) - 1
-                    out[held] = model.score(slots[~inside], place[rows[~inside]], earlier[held], int(held.sum()))
+                    out[held] = model.probability(slots[~inside], place[rows[~inside]], earlier[held], int(held.sum()))
                 earlier = np.column_stack([earlier, out])
 
     def probabilities(self, slots: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
         earlier = np.zeros((n, 0))
         for model in self.models:
-            earlier = np.column_stack([earlier, model.score(slots, rows, earlier, n)])
-        return 1 / (1 + np.exp(-earlier))
+            earlier = np.column_stack([earlier, model.probability(slots, rows, earlier, n)])
+        return earlier
 
 
 def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain | None:
-    """The chain for the categories poor (quality 0) and toxic; None without rows of both toxic labels."""
+    """The chain for the categories poor (quality 0) and toxic; None without documents of both toxic labels.
+
+    Labels without a document take no part. Of an id labelled both ways the worse label
+    counts, of one with several texts the smallest.
+    """
     marked = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"),
                             F.col("toxic").cast("int").alias("toxic"))
-              .where("doc_id IS NOT NULL AND quality IN (0, 1) AND toxic IN (0, 1)"))
+              .where("doc_id IS NOT NULL AND quality IN (0, 1) AND toxic IN (0, 1)")
+              .groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic")))
+    here = exchange.documents(docs)
+    marked = marked.join(here.select("doc_id"), "doc_id", "left_semi")
     order = F.xxhash64("doc_id"), F.col("doc_id")
     chosen = (marked.where("toxic = 0").orderBy(*order).limit(sample)
-              .unionByName(marked.where("toxic = 1").orderBy(*order).limit(sample)).dropDuplicates(["doc_id"]))
+              .unionByName(marked.where("toxic = 1").orderBy(*order).limit(sample)))
 
     def run(batches):
         for batch in buffers.blocks(batches):
@@ -129,7 +140,8 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain |
             held = [slots[a:b].astype(np.int32).tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), batch.column("toxic"),
                                               pa.array(held, pa.binary())], names=["doc_id", "quality", "toxic", "slots"])
-    found = (exchange.documents(docs).join(F.broadcast(chosen), "doc_id")  # at most 2 * sample rows
+    found = (here.join(F.broadcast(chosen), "doc_id")  # at most 2 * sample rows
+             .groupBy("doc_id", "quality", "toxic").agg(F.min("text").alias("text"))
              .mapInArrow(run, "doc_id long, quality int, toxic int, slots binary").toArrow().sort_by("doc_id"))
     target = np.column_stack([1 - found.column("quality").to_numpy(), found.column("toxic").to_numpy()]).astype(float)
     if found.num_rows == 0 or target[:, 1].min() == target[:, 1].max():
