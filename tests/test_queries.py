@@ -22,7 +22,7 @@ CHOSEN = [
     "G45_budget_gate", "S11_duplicate_twins", "S12_corpus_tables", "G15_validate_replies", "G17_verify_findings",
     "J15_positional_zip", "T2_stream_bursts", "T3_stream_rule_graph", "F8_location_of", "F19_line_type", "J11_named_in_question",
     "J12_all_words_join", "J14_lineage_join", "G8_continuity_packet", "G20_listed_facts", "G25_exact_alignment", "G33_changed_lines",
-    "S10_cut_units", "A11_run_progress", "A12_variance_alerts", "F22_preview_summary", "F23_stale_findings", "F25_answer_line", "G5_reject",
+    "S10_cut_units", "S12_import_corpus", "A11_run_progress", "A12_variance_alerts", "F22_preview_summary", "F23_stale_findings", "F25_answer_line", "G5_reject",
     "G5_undo_facts", "G5_undo_texts", "G5_undo_states"]
 # Queries that read whole conversations, run on one of five thousand turns.
 LONG = ["W3_carry_forward", "W4_running_page", "W5_join_wrapped_lines", "W8_settle_cues", "W9_speaker_above", "W10_context_window",
