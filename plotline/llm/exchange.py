@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,8 @@ from plotline.llm import buffers
 
 ROWS = "part int, block long, guard long, payload binary"
 TEXTS = -1
+PART_BYTES = 32 << 20
+MOST_TASKS = 1 << 15
 
 
 def documents(docs: DataFrame, nameless: bool = False) -> DataFrame:
@@ -38,10 +41,29 @@ def documents(docs: DataFrame, nameless: bool = False) -> DataFrame:
     return read if nameless else read.where(F.col("doc_id").isNotNull())
 
 
-def partitions(df: DataFrame) -> int:
-    """Hash partitions for keys: a power of two, at least 256 and four times the shuffle's own, so that each is small."""
-    wanted = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(256, 1 << (wanted - 1).bit_length())
+class Dealing(NamedTuple):
+    """Hash partitions for keys (a power of two), and the tasks they and the blocks are dealt to (None: the session's)."""
+
+    parts: int
+    tasks: int | None
+
+
+def _power(n: int) -> int:
+    return 1 << max(0, n - 1).bit_length()
+
+
+def dealing(df: DataFrame) -> Dealing:
+    """Partitions that stay of one size however large ``df`` is: one for each ``PART_BYTES`` of text.
+
+    The bytes are summed by one scan. There are at least 256, and four times the shuffle's own;
+    below that size the session's partitions are left to adaptive execution. Above it two
+    partitions make a task, and no exchange has more than ``MOST_TASKS``: a task goes through its
+    partitions one by one, so memory follows a partition.
+    """
+    size = df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    least = max(256, _power(4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))))
+    wanted = _power(-(-size // PART_BYTES))
+    return Dealing(wanted, min(wanted // 2, MOST_TASKS)) if wanted > least else Dealing(least, None)
 
 
 def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
@@ -104,8 +126,9 @@ def unpacked(payload: bytes, kinds: list) -> list[np.ndarray]:
     return out
 
 
-def answered(rows: DataFrame, answer) -> DataFrame:
+def answered(rows: DataFrame, answer, tasks: int | None = None) -> DataFrame:
     """``answer(payloads)`` sees all payloads of a partition and returns one reply array for each."""
+    rows = rows if tasks is None else rows.repartitionById(tasks, "part")
     def run(group: pa.Table) -> pa.Table:
         replies = [packed([r]) for r in answer(group.column("payload").to_pylist())]
         return pa.table({"part": group.column("part"), "block": group.column("block"),
@@ -139,7 +162,7 @@ def _texts(payload: bytes):
     return ids, np.frombuffer(raw, np.uint8, size - 16 * n, 16 * n), np.r_[0, np.cumsum(lengths)].astype(np.int64)
 
 
-def blocks_with(docs: DataFrame, answers: list[tuple[DataFrame, type]], use, schema: str) -> DataFrame:
+def blocks_with(docs: DataFrame, answers: list[tuple[DataFrame, type]], use, schema: str, tasks: int | None = None) -> DataFrame:
     """``use(block, guard, ids, data, offsets, replies)`` returns record batches.
 
     ``replies[k]`` maps each partition to the reply array of the k-th answer frame.
@@ -147,6 +170,7 @@ def blocks_with(docs: DataFrame, answers: list[tuple[DataFrame, type]], use, sch
     frame = _with_texts(docs).withColumn("kind", F.lit(-1))
     for k, (rows, _) in enumerate(answers):
         frame = frame.unionByName(rows.withColumn("kind", F.lit(k)))
+    frame = frame if tasks is None else frame.repartition(tasks, "block")
     kinds = [kind for _, kind in answers]
 
     def run(group: pa.Table) -> pa.Table:

@@ -117,7 +117,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 4096) -> DataFrame:
     One row per input row with an id. A null or empty text has 0 bytes and 0 tokens.
     """
     docs = exchange.documents(docs)
-    parts = exchange.partitions(docs)
+    parts, tasks = exchange.dealing(docs)
 
     def ask(ids, data, offsets):
         keys = pretokens(data, offsets)[0]
@@ -145,6 +145,6 @@ def token_counts(docs: DataFrame, path: str, limit: int = 4096) -> DataFrame:
             [pa.array(ids), pa.array(np.diff(offsets)), pa.array(tokens), pa.array(tokens > limit)],
             schema=pa.schema(RESULT))
 
-    answers = exchange.answered(exchange.asked(docs, ask), answer)
+    answers = exchange.answered(exchange.asked(docs, ask), answer, tasks)
     return exchange.blocks_with(docs, [(answers, np.uint32)], use,
-                                "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+                                "doc_id long, n_bytes long, n_tokens long, over_limit boolean", tasks)

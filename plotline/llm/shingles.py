@@ -94,7 +94,7 @@ def counted(frame: DataFrame, read, percent: int) -> DataFrame:
     the partition and 32 more bits of the fingerprint: partitions stay of bounded size, so few
     n-grams share a count by chance, and those only keep a set for the next step.
     """
-    parts = exchange.partitions(frame)
+    parts, tasks = exchange.dealing(frame)
 
     def ask(ids, data, offsets):
         keys, n = np.unique(read(data, offsets)[0], return_counts=True)
@@ -129,8 +129,8 @@ def counted(frame: DataFrame, read, percent: int) -> DataFrame:
              pa.array((mixed[edge[1:]] - mixed[edge[:-1]]).view(np.int64)), pa.array(out, pa.binary())],
             names=["doc_id", "n_shingles", "first", "second", "grams"])
 
-    answers = exchange.answered(exchange.asked(frame, ask), exchange.over_columns([np.uint32, np.uint32], answer))
-    return exchange.blocks_with(frame, [(answers, np.uint8)], use, SET)
+    answers = exchange.answered(exchange.asked(frame, ask), exchange.over_columns([np.uint32, np.uint32], answer), tasks)
+    return exchange.blocks_with(frame, [(answers, np.uint8)], use, SET, tasks)
 
 
 def _classes(n: int, pairs) -> list[tuple[int, int]]:

@@ -121,6 +121,10 @@ def _docs_of(deltas: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return total - np.repeat(before, np.diff(np.r_[starts, len(deltas)]))
 
 
+def dealt(rank: np.ndarray) -> np.ndarray:
+    """Ranks of anchors, mixed again: as the smallest of a window they have small top bits, which would crowd the first partitions."""
+    return buffers.mix(rank ^ U(0x94D049BB133111EB))
+
 
 def _six(values: np.ndarray) -> np.ndarray:
     """The low 48 bits of each value as six bytes."""
@@ -153,7 +157,7 @@ def _read(payloads: list[bytes], kinds: list):
 def spans_removed(docs: DataFrame, use, schema: str) -> DataFrame:
     """``use(ids, data, offsets, gone)`` makes the rows of a block; ``gone`` marks the bytes to remove."""
     docs = exchange.documents(docs)
-    parts = exchange.partitions(docs)
+    parts, tasks = exchange.dealing(docs)
 
     def first_keys(anchors: Anchors, ids: np.ndarray) -> Held:
         return Held(buffers.mix(anchors.rank) ^ anchors.reach, ids[anchors.row])
@@ -162,7 +166,7 @@ def spans_removed(docs: DataFrame, use, schema: str) -> DataFrame:
         anchors = Anchors(data, offsets)
         held = first_keys(anchors, ids)
         rank, reach = anchors.rank[held.at], anchors.reach[held.at]
-        yield from _payloads(rank, held.least, [rank.astype(np.uint32), _six(reach)], parts)
+        yield from _payloads(dealt(rank), held.least, [rank.astype(np.uint32), _six(reach)], parts)
 
     def answer_anchors(payloads):
         (rank, reach, least), starts = _read(payloads, [np.uint32, "V6"])
@@ -182,7 +186,7 @@ def spans_removed(docs: DataFrame, use, schema: str) -> DataFrame:
     def open_anchors(anchors: Anchors, ids: np.ndarray, replies: dict):
         """Anchors whose whole reach is a repeat, and those whose windows are still open."""
         held = first_keys(anchors, ids)
-        reply = exchange.reply_for(anchors.rank[held.at], parts, replies, np.uint8)[held.group]
+        reply = exchange.reply_for(dealt(anchors.rank[held.at]), parts, replies, np.uint8)[held.group]
         repeat = (reply & 1 > 0) | (ids[anchors.row] > held.least[held.group])
         return repeat, np.flatnonzero(~repeat & (reply & 2 > 0))
 
@@ -212,10 +216,10 @@ def spans_removed(docs: DataFrame, use, schema: str) -> DataFrame:
         depth = np.bincount(begins, minlength=len(data) + 1) - np.bincount(ends, minlength=len(data) + 1)
         return use(ids, data, offsets, np.cumsum(depth[:len(data)]) > 0)
 
-    first = durable(exchange.answered(exchange.asked(docs, ask_anchors), answer_anchors))
-    open_windows = exchange.blocks_with(docs, [(first, np.uint8)], ask_windows, exchange.ROWS)
-    second = durable(exchange.answered(open_windows, answer_windows))
-    return exchange.blocks_with(docs, [(first, np.uint8), (second, np.uint8)], finish, schema)
+    first = durable(exchange.answered(exchange.asked(docs, ask_anchors), answer_anchors, tasks))
+    open_windows = exchange.blocks_with(docs, [(first, np.uint8)], ask_windows, exchange.ROWS, tasks)
+    second = durable(exchange.answered(open_windows, answer_windows, tasks))
+    return exchange.blocks_with(docs, [(first, np.uint8), (second, np.uint8)], finish, schema, tasks)
 
 
 def repeats(docs: DataFrame) -> DataFrame:
