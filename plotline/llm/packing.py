@@ -3,8 +3,8 @@
 A document's ids are cut into whole sequences and one rest. Rests are packed under three
 limits at once: tokens, segments, and tokens that bear loss. A sequence takes, again and
 again, the piece that fits and whose demand, as shares of the limits, has the largest dot
-product with the room left. Packing runs in groups of some hundred pieces, dealt by a hash,
-so no task sees more than its share and each group leaves one sequence partly filled at most.
+product with the room left. Packing runs in groups that fill some hundred sequences, dealt by
+a hash, so a group is bounded in ids and in pieces and leaves few sequences partly filled.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from plotline.llm import buffers, exchange, vocabulary
 from plotline.session import durable
 
-GROUP = 800
+FULL = 256
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, loss long, salt long"
 PACKED = PIECES.replace("loss long, salt long", "loss long, sequence_id long, offset long")
 
@@ -52,29 +52,41 @@ def pieces(docs: DataFrame, path: str, end: int, size: int = 4096, nameless: boo
 
 
 def place(demand: np.ndarray, limits: np.ndarray) -> np.ndarray:
-    """The bin of each row of ``demand`` (items by resources), filled one bin after another."""
-    share = demand / limits
-    bins, left = np.full(len(demand), -1, np.int64), np.arange(len(demand))
-    number = 0
+    """The bin of each row of ``demand`` (items by resources), filled one bin after another.
+
+    Items of equal demand are taken in their order, so a step looks at the distinct demands only.
+    """
+    kinds, of, count = np.unique(demand, axis=0, return_inverse=True, return_counts=True)
+    if (kinds > limits).any():
+        raise ValueError("an item is larger than the limits")
+    waiting, next_ = np.argsort(of.reshape(-1), kind="stable"), np.cumsum(count) - count
+    share, bins = kinds / limits, np.empty(len(demand), np.int64)
+    left, number = np.arange(len(kinds)), 0
     while len(left):
         room, open_ = limits.copy(), left
         while True:
-            open_ = open_[(bins[open_] < 0) & (demand[open_] <= room).all(axis=1)]
+            open_ = open_[(count[open_] > 0) & (kinds[open_] <= room).all(axis=1)]
             if not len(open_):
                 break
             best = open_[int(np.argmax(share[open_] @ (room / limits)))]
-            bins[best] = number
-            room = room - demand[best]
-        if (room == limits).all():
-            raise ValueError("an item is larger than the limits")
-        left, number = left[bins[left] < 0], number + 1
+            bins[waiting[next_[best]]] = number
+            next_[best] += 1
+            count[best] -= 1
+            room = room - kinds[best]
+        left, number = left[count[left] > 0], number + 1
     return bins
 
 
-def packed(items: DataFrame, size: int = 4096, segments: int = 1024, loss: int = 4096, group: int = GROUP) -> DataFrame:
-    """Pieces with their sequence and place in it; no sequence exceeds any of the three limits."""
+def packed(items: DataFrame, size: int = 4096, segments: int = 1024, loss: int = 4096, full: int = FULL) -> DataFrame:
+    """Pieces with their sequence and place in it; no sequence exceeds any of the three limits.
+
+    A group holds what fills about ``full`` sequences of the resource that is scarcest over the
+    whole table, so short pieces come in larger groups and long ones in smaller.
+    """
     items = durable(items)
-    groups = max(1, -(-items.count() // group))
+    pieces, ids, bearing = items.agg(F.count("*"), F.sum("length"), F.sum("loss")).first()
+    needed = max(-(-pieces // segments), -(-(ids or 0) // size), -(-(bearing or 0) // loss))
+    groups = max(1, -(-needed // full))
     limits = np.array([size, segments, loss], np.int64)
 
     def run(table: pa.Table) -> pa.Table:
