@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plotline import vocab
 from plotline.functions import words
+from plotline.functions.text import evaluated
 from plotline.operators import aggregates
 from plotline.operators.joins import endpoint_frame
 from plotline.plans import continuity, diff
@@ -44,28 +45,27 @@ def _held(names: Column, text: Column) -> Column:
     return F.filter(names, lambda w: F.contains(text, w))
 
 
-def _visible(label: Column, others: Column, values: Column, current: Column, proposed: Column) -> Column:
-    """Whether a name went, or lost a word that is no stored attribute value."""
+def _words(label: Column, others: Column) -> Column:
+    """The significant words of an endpoint's label and of each of its other names."""
     every = F.concat(F.array(F.coalesce(label, F.lit(""))), F.coalesce(others, F.array().cast("array<string>")))
+    return F.transform(every, words.significant)
+
+
+def _visible(names: Column, values: Column, before: Column, after: Column) -> Column:
+    """Whether a name went, or lost a word that is no stored attribute value; ``before`` and ``after``: words the texts hold."""
     stored = F.coalesce(values, F.array().cast("array<string>"))
 
-    def gone(name):
-        parts = words.significant(name)
-        before, after = _held(parts, current), _held(parts, proposed)
-        wholly = (F.size(before) > 0) & (F.size(after) == 0)
-        degraded = ((F.size(before) == F.size(parts)) & (F.size(after) < F.size(parts))
+    def gone(parts):
+        had, has = F.size(F.array_intersect(parts, before)), F.size(F.array_intersect(parts, after))
+        wholly = (had > 0) & (has == 0)
+        degraded = ((had == F.size(parts)) & (has < F.size(parts))
                     & (F.size(F.array_except(F.array_except(parts, after), stored)) > 0))
         return (F.size(parts) > 0) & (wholly | degraded)
-    return F.exists(every, gone)
+    return F.exists(names, gone)
 
 
-def _named(label: Column, others: Column, spoken: Column) -> Column:
-    every = F.concat(F.array(F.coalesce(label, F.lit(""))), F.coalesce(others, F.array().cast("array<string>")))
-
-    def said(name):
-        parts = words.significant(name)
-        return (F.size(parts) > 0) & (F.size(F.array_except(parts, spoken)) == 0)
-    return F.exists(every, said)
+def _named(names: Column, spoken: Column) -> Column:
+    return F.exists(names, lambda parts: (F.size(parts) > 0) & (F.size(F.array_except(parts, spoken)) == 0))
 
 
 def verify_assertions(listed: DataFrame, verdicts: DataFrame, edits: DataFrame,
@@ -87,17 +87,21 @@ def verify_assertions(listed: DataFrame, verdicts: DataFrame, edits: DataFrame,
         v = stored.select("batch_id", F.col("entity_id").alias(f"{side}_entity_id"), F.col("_w").alias(f"_{side}_w"))
         return frame.join(v, ["batch_id", f"{side}_entity_id"], "left")
     rows = listed.join(first, ["batch_id", "item_id"], "left").join(unit, ["batch_id", "source_unit_id"], "left")
-    rows = values(values(rows, "subject"), "object").join(edit_texts(edits), "batch_id")
+    rows = values(values(rows, "subject"), "object")
+    for side in ("subject", "object"):
+        rows = evaluated(rows, f"_{side}", _words(F.col(side), F.col(f"{side}_names")))
+    rows = evaluated(rows, "_said", F.array_distinct(F.flatten(F.concat("_subject", "_object"))))
+    rows = rows.join(evaluated(edit_texts(edits), "_spoken", words.significant(F.col("proposed_all"))), "batch_id")
+    for name, text in (("_before", "current_all"), ("_after", "proposed_all")):
+        rows = evaluated(rows, name, _held(F.col("_said"), F.col(text)))
     edited = F.col("_unit").isNotNull()
     evidence = F.lower(F.coalesce("evidence", F.lit("")))
     vanished = edited & (evidence != "") & ~F.contains("_unit", evidence)
     step = F.when((F.col("verdict") == "holds") & vanished, "removed").otherwise(F.col("verdict"))
-    current, proposed = F.col("current_all"), F.col("proposed_all")
-    shown = (_visible(F.col("subject"), F.col("subject_names"), F.col("_subject_w"), current, proposed)
-             | _visible(F.col("object"), F.col("object_names"), F.col("_object_w"), current, proposed))
-    spoken = words.significant(proposed)
-    named = (_named(F.col("subject"), F.col("subject_names"), spoken)
-             | _named(F.col("object"), F.col("object_names"), spoken))
+    before, after, spoken = F.col("_before"), F.col("_after"), F.col("_spoken")
+    shown = (_visible(F.col("_subject"), F.col("_subject_w"), before, after)
+             | _visible(F.col("_object"), F.col("_object_w"), before, after))
+    named = _named(F.col("_subject"), spoken) | _named(F.col("_object"), spoken)
     rows = rows.withColumn("_step", step)
     kept = F.when(edited, shown).otherwise(named)
     final = F.when((F.col("_step") == "removed") & ~kept, "holds").otherwise(F.col("_step"))
