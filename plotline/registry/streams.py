@@ -18,7 +18,7 @@ def t1(t):
     seen = t.documents.join(t.labels, "doc_id").select(F.sha2(F.encode("text", "UTF-8"), 256).alias("content_hash"))
     out = jobs.new_folder(t.spark, "copies")
     jobs.to_parquet(jobs.first_copies(payloads, seen, "imported_at", "1 day"), out, f"{out}-state").awaitTermination()
-    return t.spark.read.parquet(out).select("content_hash")
+    return t.spark.read.schema("content_hash string").parquet(out)
 
 
 def call_stream(t):

@@ -19,9 +19,12 @@ from plotline.streaming.store import Store
 
 
 def read_stream(spark: SparkSession, folder: str, table: str, schema: str) -> DataFrame:
-    """New files of one table, as they appear."""
-    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet")
-            .option("maxFilesPerTrigger", 64).parquet(folder))
+    """New files of one table, as they appear; the table is one file or a folder of parts.
+
+    Spark takes a plain path for a folder, so the name is given as a pattern that only it matches.
+    """
+    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", 64)
+            .parquet(f"{folder}/[{table[0]}]{table[1:]}.parquet"))
 
 
 def to_parquet(stream: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:

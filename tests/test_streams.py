@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plotline.operators import ledger
+from plotline.registry import load
 from plotline.sources import ingest
+from plotline.sources.tables import SCHEMAS
 from plotline.streaming import jobs
 
 SHAPE = "scene_id long, unit_id long, sequence_index long, unit_type string, text string, heading string"
@@ -83,3 +85,17 @@ def test_budget_state_over_batches_equals_the_ledger(spark, tmp_path):
             want |= {r.call_id: (r.spent_before, r.refused) for r in ledger.budget_gate(frame, 90, hot).collect()}
             assert {c: got[c] for c in want} == want
     assert len(want) == 60 and any(r for _, r in want.values()) and not all(r for _, r in want.values())
+
+
+def parted(spark, folder, *tables):
+    """The smallest tables, each as a folder of parts."""
+    for name in tables:
+        source = f"/root/testdata/sf0.001/{name}.parquet"
+        spark.read.schema(SCHEMAS[name]).parquet(source).repartition(3).write.parquet(f"{folder}/{name}.parquet")
+    return "/root/testdata/sf0.001", folder
+
+
+def test_copies_of_a_table_in_parts(spark, tmp_path):
+    one, parts = (load()["T1_stream_dedupe"].run(spark, f) for f in parted(spark, str(tmp_path), "documents", "labels"))
+    got = sorted(r.content_hash for r in parts.collect())
+    assert got and got == sorted(r.content_hash for r in one.collect())
