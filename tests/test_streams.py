@@ -99,3 +99,9 @@ def test_copies_of_a_table_in_parts(spark, tmp_path):
     one, parts = (load()["T1_stream_dedupe"].run(spark, f) for f in parted(spark, str(tmp_path), "documents", "labels"))
     got = sorted(r.content_hash for r in parts.collect())
     assert got and got == sorted(r.content_hash for r in one.collect())
+
+
+def test_rule_graph_of_a_table_in_parts(spark, tmp_path):
+    one, parts = (load()["T3_stream_rule_graph"].run(spark, f) for f in parted(spark, str(tmp_path), "conversations"))
+    got = sorted(map(str, parts.collect()))
+    assert got and got == sorted(map(str, one.collect()))
