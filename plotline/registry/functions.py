@@ -164,7 +164,7 @@ WORDVAL = "CASE lower(tok) " + " ".join(
     SELECT doc_id, pos, CASE WHEN act THEN 'act' ELSE 'scene' END AS kind,
       CASE WHEN regexp_matches(tok, '^\d+$') THEN TRY_CAST(tok AS INTEGER)
         WHEN {WORDVAL} IS NOT NULL THEN {WORDVAL}
-        WHEN regexp_matches(upper(tok), '^[IVXLCDM]+$') THEN CAST({_ROMAN} AS INTEGER) END AS ordinal
+        WHEN regexp_matches(upper(tok), '^[IVXLCDM]+$') THEN nullif(CAST({_ROMAN} AS INTEGER), 0) END AS ordinal
     FROM k WHERE act OR scene""")
 def f7(t):
     line = F.col("line")
