@@ -9,6 +9,7 @@ from plotline.plans import imports
 from plotline.registry import corpora, query
 from plotline.registry.sources import _HEAD
 from plotline.session import new_folder
+from plotline.sources.ingest import SNIFF
 
 
 def payloads(t) -> DataFrame:
@@ -32,6 +33,11 @@ def payloads(t) -> DataFrame:
 # Prose with a line that reads as a heading has a scene, and too little else.
 HEADED = rf"len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(trim(x, E' \t\r\x0b\x0c'), '{_HEAD}'))) > 0"
 
+# Text whose first bytes, read as Latin-1, hold a zero or too few that print is taken for a binary file.
+BINARY = f"""list_bool_or(list_transform([regexp_extract_all(left(hex(encode(text)), {2 * SNIFF}), '..')], lambda b: list_contains(b, '00') OR
+      len(list_filter(b, lambda h: regexp_matches(h, '^(09|0A|0D|[2-6A-F].|7[0-9A-E])$'))) < 0.85 * len(b)))"""
+NO_TEXT = "(trim(text, E' \\t\\r\\n') = '' OR " + BINARY + ")"
+
 
 @query("S12_import_corpus", "WITH " + corpora.UNITS_SQL + """, n AS (SELECT script_id AS id, script_id % 3 AS k, count(DISTINCT scene_index) AS scenes,
       count(*) AS units, count(*) FILTER (unit_type = 'character') > 0 AND count(*) FILTER (unit_type = 'dialogue') > 0 AS talks,
@@ -44,8 +50,8 @@ HEADED = rf"len(list_filter(string_split(text, chr(10)), lambda x: regexp_matche
       CASE WHEN score < 50 THEN 'rejected' WHEN weak OR k = 2 THEN 'needs_review' WHEN k = 1 AND acted THEN 'accepted_with_warnings'
         ELSE 'accepted' END AS outcome, CASE WHEN score < 50 THEN 'not_a_screenplay' END AS rejection,
       CASE WHEN score < 50 THEN 0 ELSE scenes END AS scenes, CASE WHEN score < 50 THEN 0 ELSE units END AS units FROM v
-    UNION ALL SELECT 'd' || doc_id, CASE WHEN doc_id % 3 = 0 THEN 'pdf' WHEN doc_id % 3 = 1 OR trim(text, E' \\t\\r\\n') = '' THEN 'unknown'
-      ELSE 'plain_text' END, doc_id::VARCHAR, 'rejected', CASE WHEN doc_id % 3 < 2 OR trim(text, E' \\t\\r\\n') = '' THEN 'unsupported_format'
+    UNION ALL SELECT 'd' || doc_id, CASE WHEN doc_id % 3 = 0 THEN 'pdf' WHEN doc_id % 3 = 1 OR """ + NO_TEXT + """ THEN 'unknown'
+      ELSE 'plain_text' END, doc_id::VARCHAR, 'rejected', CASE WHEN doc_id % 3 < 2 OR """ + NO_TEXT + """ THEN 'unsupported_format'
       WHEN """ + HEADED + """ THEN 'not_a_screenplay' ELSE 'no_scenes' END, 0, 0 FROM documents""")
 def import_corpus(t):
     """Counts are those of the snapshot that the manifest names."""

@@ -27,3 +27,16 @@ def test_rare_lines_agree_with_sql(spark, tmp_path, name):
     connection.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet'")
     got, want = entry.run(spark, str(tmp_path)).toPandas(), connection.execute(entry.sql).df()
     assert len(got) and rows(got) == rows(want)
+
+
+def test_short_text_outside_ascii_is_imported_as_binary(spark, tmp_path):
+    """Five characters of six bytes, one of which does not print."""
+    held = {"documents": [(2, "Éaux.", "fr", "web", 5), (5, "Des eaux.", "fr", "web", 9)], "conversations": [(1, 0, "user", "One.")]}
+    connection = duckdb.connect()
+    for table, given in held.items():
+        spark.createDataFrame(given, SCHEMAS[table]).toPandas().to_parquet(tmp_path / f"{table}.parquet")
+        connection.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet'")
+    entry = load()["S12_import_corpus"]
+    got, want = entry.run(spark, str(tmp_path)).toPandas(), connection.execute(entry.sql).df()
+    assert rows(got) == rows(want)
+    assert sorted(got[got.doc_id.isin(["d2", "d5"])].format) == ["plain_text", "unknown"]
