@@ -3,8 +3,9 @@
 A name is found in a text by an equi join: the text offers its word n-grams (or
 character grams), the name offers one key of at most that length, and longer
 names are verified after the join. No name length is out of reach and no pair
-is formed that does not share the key. AQE broadcasts the name side only when
-its measured size allows; otherwise both sides shuffle on the gram.
+is formed that does not share the key. The names are counted first: few are
+broadcast, otherwise both sides shuffle on the gram. The planner does not see how
+many grams a text has and would take them for the small side.
 """
 
 from __future__ import annotations
@@ -16,6 +17,17 @@ from plotline.functions.text import word_ngrams
 
 LONGEST = 3
 CHARS = 4
+FEW = 50_000
+
+
+def _sizes(names: DataFrame, size: Column, most: int) -> dict[int, int]:
+    """How many names have each size, those above ``most`` together: a few values."""
+    counted = names.groupBy(F.least(size, F.lit(most + 1)).alias("n")).agg(F.count(F.lit(1)).alias("k"))
+    return {r.n: r.k for r in counted.collect()}
+
+
+def _side(names: DataFrame, sizes: dict[int, int]) -> DataFrame:
+    return F.broadcast(names) if sum(sizes.values()) <= FEW else names.hint("merge")
 
 
 def phrase_hits(texts: DataFrame, names: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -25,20 +37,23 @@ def phrase_hits(texts: DataFrame, names: DataFrame, keys: list[str] | None = Non
     (array, not empty), plus keys. Returns text_id, name_id, keys, distinct.
     """
     keys = keys or []
-    # At most three values: which n-gram sizes any name asks for.
-    sizes = sorted(r[0] for r in names.select(F.least(F.size("name_words"), F.lit(LONGEST))).distinct().collect())
+    sizes = _sizes(names, F.size("name_words"), LONGEST)
+    asked = sorted({min(n, LONGEST) for n in sizes})
     grams = texts.select(
-        *keys, "text_id", F.explode(word_ngrams(F.col("words"), sizes or [1])).alias("gram"))
+        *keys, "text_id", F.explode(word_ngrams(F.col("words"), asked or [1])).alias("gram"))
     anchored = names.withColumn("gram", F.array_join(F.slice("name_words", 1, LONGEST), " "))
-    short = grams.join(anchored.filter(F.size("name_words") <= LONGEST), [*keys, "gram"])
+    short = grams.join(_side(anchored.filter(F.size("name_words") <= LONGEST), sizes), [*keys, "gram"])
     # Only texts that hold a long name's opening are looked at again in full.
-    long = (grams.join(anchored.filter(F.size("name_words") > LONGEST), [*keys, "gram"])
-            .join(texts, [*keys, "text_id"])
+    long = (grams.join(_side(anchored.filter(F.size("name_words") > LONGEST), sizes), [*keys, "gram"])
+            .join(texts.hint("merge"), [*keys, "text_id"])
             .filter(F.contains(
                 F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")),
                 F.concat(F.lit(" "), F.array_join("name_words", " "), F.lit(" ")))))
     wanted = [*keys, "text_id", "name_id"]
-    return short.select(*wanted).unionByName(long.select(*wanted)).distinct()
+    found = short.select(*wanted)
+    if max(sizes, default=0) > LONGEST:
+        found = found.unionByName(long.select(*wanted))
+    return found.distinct()
 
 
 def all_words_hits(texts: DataFrame, names: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -76,10 +91,12 @@ def substring_hits(texts: DataFrame, names: DataFrame, keys: list[str] | None =
     the name's first four characters; what follows is verified after the join.
     """
     keys = keys or []
+    sizes = _sizes(names, F.char_length("name"), CHARS)
+    asked = sorted({min(n, CHARS) for n in sizes}) or [CHARS]
     grams = texts.select(*keys, "text_id", "text", F.explode(F.array_distinct(F.concat(
-        *[_grams(F.col("text"), n) for n in range(1, CHARS + 1)]))).alias("gram"))
+        *[_grams(F.col("text"), n) for n in asked]))).alias("gram"))
     anchored = names.withColumn("gram", F.left("name", F.lit(CHARS)))
-    return (grams.join(anchored, [*keys, "gram"]).filter(F.contains("text", F.col("name")))
+    return (grams.join(_side(anchored, sizes), [*keys, "gram"]).filter(F.contains("text", F.col("name")))
             .drop("gram"))
 
 
@@ -109,8 +126,9 @@ def ungrounded_names(answers: DataFrame, grounded: DataFrame, names: DataFrame)
     found = phrase_hits(texts, sought).select(
         F.col("text_id").alias("answer_id"), F.col("name_id").alias("name"),
         F.lower("name_id").alias("key"))
-    stated = found.join(lowered, "answer_id").filter(whole_word(F.col("text"), F.col("key")))
+    # One row an answer, so never broadcast, whatever the planner makes of a well packed file.
+    stated = found.join(lowered.hint("merge"), "answer_id").filter(whole_word(F.col("text"), F.col("key")))
     known = grounded.select("answer_id", F.lower("name").alias("g"))
     same = F.contains("key", F.col("g")) | F.contains("g", F.col("key"))
-    excused = stated.join(known, "answer_id").filter(same).select("answer_id", "name").distinct()
-    return stated.select("answer_id", "name").join(excused, ["answer_id", "name"], "left_anti")
+    excused = stated.join(known.hint("merge"), "answer_id").filter(same).select("answer_id", "name").distinct()
+    return stated.select("answer_id", "name").join(excused.hint("merge"), ["answer_id", "name"], "left_anti")
