@@ -25,3 +25,13 @@ def test_grams_are_never_broadcast(spark, tmp_path, monkeypatch, few):
     for frame in (found, phrases):
         plan = frame._jdf.queryExecution().executedPlan().toString()
         assert "BuildLeft" not in plan and ("Join" in plan)
+
+
+def test_answers_are_never_broadcast(spark, tmp_path):
+    spark.range(300).select(F.col("id").alias("answer_id"), F.lit("The blue ring and a red hat").alias("answer")).coalesce(1).write.parquet(f"{tmp_path}/a")
+    answers = spark.read.parquet(f"{tmp_path}/a")
+    names = spark.createDataFrame([("red hat",), ("blue ring",), ("hat",)], "name string")
+    found = mentions.ungrounded_names(answers, answers.select("answer_id", F.lit("blue ring").alias("name")), names)
+    assert sorted((r.answer_id, r.name) for r in found.collect()) == sorted((i, n) for i in range(300) for n in ("red hat", "hat"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("strategy=merge") >= 3
