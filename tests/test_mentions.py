@@ -35,3 +35,16 @@ def test_answers_are_never_broadcast(spark, tmp_path):
     assert sorted((r.answer_id, r.name) for r in found.collect()) == sorted((i, n) for i in range(300) for n in ("red hat", "hat"))
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("strategy=merge") >= 3
+
+
+def test_every_word_of_the_names_agrees_with_sql(spark):
+    """A13 at the smallest scale, its grams met by broadcast names."""
+    from plotline.registry import load
+    from tests.test_queries import FOLDER, database
+    from tools.check import rows
+    entry = load()["A13_entity_coverage"]
+    got = entry.run(spark, FOLDER)
+    assert "BuildLeft" not in mentions.substring_hits(
+        spark.read.parquet(f"{FOLDER}/part.parquet").select(F.col("p_partkey").alias("text_id"), F.col("p_name").alias("text")),
+        spark.createDataFrame([("ring", "ring")], "name_id string, name string"))._jdf.queryExecution().executedPlan().toString()
+    assert rows(got.toPandas()) == rows(database(FOLDER).execute(entry.sql).df())
