@@ -63,3 +63,12 @@ def test_pairs_of_a_hub_are_not_written(spark, monkeypatch):
     links, hidden = views.unit_graph(requests, frame, types, 0.6)
     assert links.groupBy("request_id").count().filter("count = 200").count() == 40
     assert {r.hidden for r in hidden.collect()} == {1} and max(w.count() for w in written) <= 201
+
+
+def test_the_graph_of_an_order_takes_both_steps(spark):
+    entry = load()["G34_unit_graph"]
+    connection = duckdb.connect()
+    for name in SCHEMAS:
+        connection.execute(f"CREATE VIEW {name} AS SELECT * FROM '{FOLDER}/{name}.parquet'")
+    got = entry.run(spark, FOLDER).toPandas()
+    assert rows(got) == rows(connection.execute(load()["G34_unit_graph_all"].sql).df()) == rows(connection.execute(entry.sql).df())
