@@ -72,3 +72,23 @@ def test_the_graph_of_an_order_takes_both_steps(spark):
         connection.execute(f"CREATE VIEW {name} AS SELECT * FROM '{FOLDER}/{name}.parquet'")
     got = entry.run(spark, FOLDER).toPandas()
     assert rows(got) == rows(connection.execute(load()["G34_unit_graph_all"].sql).df()) == rows(connection.execute(entry.sql).df())
+
+
+def test_replies_are_read_once_and_never_broadcast(spark, monkeypatch):
+    """One table of read items; the item joins are merged however well their sides are packed."""
+    from plotline.plans import validate
+    kept, durable = [], validate.durable
+    monkeypatch.setattr(validate, "durable", lambda df: kept.append(df) or durable(df))
+    texts = spark.createDataFrame([(1, '{"entities":[{"id":"e1","type":"prop","name":"Lamp","conf":0.9,"attrs":[{"k":"c","v":"red","unit":"u1","conf":0.9}]}'
+                                       ',7],"assertions":[{"p":"requires","s":"scene","o":"e1","unit":"u1","conf":0.9}]}'),
+                                   (2, " \n{\"entities\":[],\"assertions\":[]}"), (3, '[{"entities":[]}]'), (4, '{"entities":[]}'), (5, None), (6, "1,2")],
+                                  "call_id long, text string")
+    units = spark.createDataFrame([(1, "u1", "a red lamp")], "call_id long, unit_id string, text string")
+    found = validate.validate(texts, units, spark.createDataFrame([], "call_id long, local_id string, entity_type string, name string"))
+    assert sorted(r.call_id for r in found["malformed"].collect()) == [3, 4, 5, 6]
+    assert sorted((r.position, r.name, r.reason) for r in found["entities"].collect()) == [(0, "Lamp", None), (1, None, "not_an_object")]
+    assert [(r.key, r.reason) for r in found["attributes"].collect()] == [("c", None)]
+    assert [(r.o, r.reason) for r in found["assertions"].collect()] == [("e1", None)]
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in kept]
+    assert sum("md5" in p for p in plans) == 1
+    assert found["attributes"]._jdf.queryExecution().optimizedPlan().toString().count("strategy=merge") >= 2
