@@ -3,6 +3,7 @@
 from collections import defaultdict
 
 import duckdb
+from pyspark.sql import functions as F
 
 from plotline.plans import views
 from plotline.registry import load
@@ -92,3 +93,19 @@ def test_replies_are_read_once_and_never_broadcast(spark, monkeypatch):
     plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in kept]
     assert sum("md5" in p for p in plans) == 1
     assert found["attributes"]._jdf.queryExecution().optimizedPlan().toString().count("strategy=merge") >= 2
+
+
+def test_endpoints_meet_a_name_once(spark):
+    """What meets an edge is one row a name, not every entity of that name."""
+    from plotline.plans import verdicts
+    edges = spark.createDataFrame([(1, "s", "uses", "object", "lamp"), (2, "s", "uses", "object", "lamp"), (2, "s", "uses", "object", "lamp"),
+                                   (3, "s", "uses", "object", "none"), (4, "s", "nothing", "object", "lamp")],
+                                  "batch_id long, script_id string, predicate string, side string, local_name string")
+    declared = spark.createDataFrame([(2, "lamp", "vfx"), (2, "lamp", "prop")], "batch_id long, normalized_name string, entity_type string")
+    entities = spark.createDataFrame([("s", "lamp", 100 + i, "prop") for i in range(50)] + [("s", "lamp", 7, "location"), ("s", "lamp", 3, "odd")],
+                                     "script_id string, normalized_name string, entity_id long, entity_type string")
+    found = verdicts.new_endpoints(edges, declared, entities)
+    assert sorted((r.batch_id, r.new_type, r.entity_id, r.entity_type) for r in found.collect()) == [
+        (1, None, 100, "prop"), (2, "vfx", None, "vfx"), (3, None, None, None), (4, None, None, None)]
+    joined = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" in joined and joined.index("Join LeftOuter") < joined.index("collect_list")
