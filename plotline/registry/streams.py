@@ -48,15 +48,15 @@ def t2(t):
         "event_type", F.date_format("first", "yyyy-MM-dd HH:mm:ss").alias("first_at"), "calls", "tokens")
 
 
-@query("T3_stream_rule_graph", """SELECT conv_id AS scene_id, 'cast' AS entity_type, upper(role) AS name, min(turn) AS unit_id, count(*) AS lines
-    FROM conversations GROUP BY 1, 3 UNION ALL SELECT DISTINCT conv_id, 'location', 'ROOM ' || conv_id, -1, 1 FROM conversations""")
+@query("T3_stream_rule_graph", """WITH l AS (SELECT conv_id, turn, max(upper(role)) AS name FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY 1, 2)
+    SELECT conv_id AS scene_id, 'cast' AS entity_type, name, min(turn) AS unit_id, count(*) AS lines FROM l WHERE name IS NOT NULL GROUP BY 1, 3
+    UNION ALL SELECT DISTINCT conv_id, 'location', 'ROOM ' || conv_id, -1, 1 FROM conversations WHERE conv_id IS NOT NULL""")
 def t3(t):
     rows = jobs.read_stream(t.spark, t.folder, "conversations", SCHEMAS["conversations"])
     heading = F.concat(F.lit("INT. ROOM "), "conv_id", F.lit(" - NIGHT"))
     cue = F.struct(F.col("turn").alias("unit_id"), F.lit("character").alias("unit_type"), F.upper("role").alias("text"))
     head = F.struct(F.lit(-1).cast("long").alias("unit_id"), F.lit("scene_heading").alias("unit_type"), heading.alias("text"))
-    units = rows.select(F.col("conv_id").alias("scene_id"), heading.alias("heading"), F.explode(F.when(
-        F.col("turn") == 0, F.array(head, cue)).otherwise(F.array(cue))).alias("u")).select(
+    units = rows.select(F.col("conv_id").alias("scene_id"), heading.alias("heading"), F.explode(F.array(head, cue)).alias("u")).select(
         "scene_id", "heading", "u.*").withColumn("sequence_index", F.col("unit_id"))
     out = jobs.new_folder(t.spark, "rules")
     jobs.rule_graph(units, out, f"{out}-state", "v1").awaitTermination()

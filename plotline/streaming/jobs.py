@@ -72,10 +72,9 @@ def graph_store(spark: SparkSession, folder: str, scene_id: T.DataType, unit_id:
 
 
 def newest_lines(held: DataFrame) -> DataFrame:
-    """Of each stored line the newest."""
+    """Of each stored line the newest; among those of one batch the last in order, then by type and text."""
     return held.groupBy("scene_id", "unit_id").agg(
-        F.max_by(F.struct("sequence_index", "unit_type", "text", "heading", "batch"),
-                 F.struct("batch", "sequence_index")).alias("u")).select("scene_id", "unit_id", "u.*")
+        F.max(F.struct("batch", "sequence_index", "unit_type", "text", "heading")).alias("u")).select("scene_id", "unit_id", "u.*")
 
 
 def newest_facts(held: DataFrame) -> DataFrame:
@@ -102,6 +101,7 @@ def rule_graph(units: DataFrame, folder: str, checkpoint: str, fingerprint: str,
         parts = store.parts(batch_id - 1)
         kept = batch.filter("scene_id IS NOT NULL AND unit_id IS NOT NULL").select(*LINE.split(", ")).withColumn(
             "sequence_index", F.col("sequence_index").cast("long"))
+        kept = newest_lines(kept.withColumn("batch", F.lit(batch_id).cast("long"))).select(*LINE.split(", "))
         touched = store.add("lines", kept, batch_id, parts)
         if touched:
             held = store.read("lines", parts, touched)

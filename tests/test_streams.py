@@ -105,3 +105,18 @@ def test_rule_graph_of_a_table_in_parts(spark, tmp_path):
     one, parts = (load()["T3_stream_rule_graph"].run(spark, f) for f in parted(spark, str(tmp_path), "conversations"))
     got = sorted(map(str, parts.collect()))
     assert got and got == sorted(map(str, one.collect()))
+
+
+def test_rule_graph_of_odd_conversations(spark, tmp_path):
+    """Copies of a turn, two speakers of one, no first turn, no role, no turn and no conversation: as the SQL says."""
+    import duckdb
+
+    from tools.check import rows
+    talk = [(1, 0, "user", "a"), (1, 1, "user", "b"), (1, 1, "user", "b"), (2, 3, "user", "c"), (2, 4, "assistant", "d"), (3, 0, "tool", "e"),
+            (3, 0, "assistant", "e"), (4, 0, None, "f"), (4, 1, "system", "g"), (5, None, "user", "h"), (None, 0, "user", "i")]
+    spark.createDataFrame(talk, SCHEMAS["conversations"]).repartition(3).write.parquet(f"{tmp_path}/conversations.parquet")
+    entry = load()["T3_stream_rule_graph"]
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    got, want = rows(entry.run(spark, str(tmp_path)).toPandas()), rows(connection.execute(entry.sql).df())
+    assert got == want and len(want) == 10
