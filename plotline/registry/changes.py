@@ -319,7 +319,8 @@ def g43(t):
       (before < 200000) AS made FROM (SELECT purpose, coalesce(sum(coalesce(input_tokens, 0) + coalesce(output_tokens, 0)) OVER (
       ORDER BY created_at, call_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM calls) GROUP BY 1"""))
 def g45(t):
-    return ledger.budget_gate(t.model_calls, 200000).groupBy("purpose").agg(
+    calls = t.model_calls.select("call_id", "created_at", "purpose", "input_tokens", "output_tokens")
+    return ledger.budget_gate(calls, 200000).groupBy("purpose").agg(
         F.count_if("refused").alias("refused"), F.count_if(~F.col("refused")).alias("made"))
 
 

@@ -165,3 +165,19 @@ def test_parts_of_a_script_join_to_its_text(spark, hot):
             joined[r.script_id] = joined.get(r.script_id, "") + r.text
         assert joined == {1: want, 2: "Title: Bare\n"}
     assert {r.script_id: r.text for r in sink.export_fountain(scripts, scenes, units).collect()} == joined
+
+
+def test_hot_rows_are_not_gathered_by_their_key(spark, monkeypatch):
+    """One key holds all rows: they meet the list of hot keys where they are, whatever the planner may broadcast."""
+    kept, durable = [], scans.durable
+    monkeypatch.setattr(scans, "durable", lambda df: kept.append(df) or durable(df))
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.range(100).select((F.col("id") / 1000).cast("long").alias("k"), "id")
+        got = scans.running_sum(df, ["k"], [F.col("id")], F.lit(1), "n", 10).collect()
+        assert sorted((r.id, r.n) for r in got) == [(i, i) for i in range(100)]
+        plan = kept[0]._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
