@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from plotline.llm import buffers
 
@@ -35,9 +36,9 @@ PART_BYTES = 32 << 20
 MOST_TASKS = 1 << 15
 
 
-def documents(docs: DataFrame, nameless: bool = False) -> DataFrame:
-    """The two columns the operators read. Unless ``nameless``, rows without an id have no result row; a null text is empty."""
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def documents(docs: DataFrame, nameless: bool = False, more: tuple[str, ...] = ()) -> DataFrame:
+    """The two columns the operators read, and ``more``. Unless ``nameless``, rows without an id have no result row; a null text is empty."""
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
     return read if nameless else read.where(F.col("doc_id").isNotNull())
 
 
@@ -72,12 +73,12 @@ def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
 
 
 def numbered(batches):
-    """Blocks of a task with their names and guards."""
+    """Blocks of a task with their names, guards and columns beside id and text."""
     base = TaskContext.get().partitionId() << 32
     for n, batch in enumerate(buffers.blocks(batches)):
         ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
         data, offsets = buffers.flat(batch.column("text"))
-        yield base + n, zlib.crc32(ids.tobytes()), ids, data, offsets
+        yield base + n, zlib.crc32(ids.tobytes()), ids, data, offsets, batch.drop_columns(["doc_id", "text"])
 
 
 def table(rows: list[tuple], schema: list[tuple]) -> pa.RecordBatch:
@@ -91,7 +92,7 @@ ROW_SCHEMA = [("part", pa.int32()), ("block", pa.int64()), ("guard", pa.int64())
 def asked(docs: DataFrame, ask) -> DataFrame:
     """``ask(ids, data, offsets)`` yields (part, payload) of one block, at most one of each part."""
     def run(batches):
-        for block, guard, ids, data, offsets in numbered(batches):
+        for block, guard, ids, data, offsets, _ in numbered(batches):
             rows = [(int(part), block, guard, payload) for part, payload in ask(ids, data, offsets)]
             for at in range(0, len(rows), 64):
                 yield table(rows[at:at + 64], ROW_SCHEMA)
@@ -146,28 +147,43 @@ def over_columns(kinds: list, answer):
     return run
 
 
-def _with_texts(docs: DataFrame) -> DataFrame:
+def _with_texts(docs: DataFrame, carry: bool) -> DataFrame:
     def run(batches):
-        for block, guard, ids, data, offsets in numbered(batches):
+        for block, guard, ids, data, offsets, more in numbered(batches):
             raw = ids.tobytes() + np.diff(offsets).tobytes() + data.tobytes()
-            yield table([(TEXTS, block, guard, struct.pack("<qq", len(ids), len(raw))
-                          + pa.Codec("zstd", compression_level=3).compress(raw, asbytes=True))], ROW_SCHEMA)
+            raw, size = pa.Codec("zstd", compression_level=3).compress(raw, asbytes=True), len(raw)
+            yield table([(TEXTS, block, guard, struct.pack("<qqq", len(ids), size, len(raw)) + raw + (_stream(more) if carry else b""))], ROW_SCHEMA)
     return docs.mapInArrow(run, ROWS)
 
 
+def _stream(more: pa.RecordBatch) -> bytes:
+    """Carried columns as an Arrow stream; nothing if there are none."""
+    if not more.num_columns:
+        return b""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, more.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(more)
+    return sink.getvalue().to_pybytes()
+
+
 def _texts(payload: bytes):
-    n, size = struct.unpack_from("<qq", payload)
-    raw = pa.decompress(payload[16:], decompressed_size=size, codec="zstd", asbytes=True)
+    """Ids, bytes and offsets of a block, and a list with its carried columns if it has any."""
+    n, size, packed_size = struct.unpack_from("<qqq", payload)
+    raw = pa.decompress(payload[24:24 + packed_size], decompressed_size=size, codec="zstd", asbytes=True)
     ids, lengths = np.frombuffer(raw, np.int64, n), np.frombuffer(raw, np.int64, n, 8 * n)
-    return ids, np.frombuffer(raw, np.uint8, size - 16 * n, 16 * n), np.r_[0, np.cumsum(lengths)].astype(np.int64)
+    more = payload[24 + packed_size:]
+    return ((ids, np.frombuffer(raw, np.uint8, size - 16 * n, 16 * n), np.r_[0, np.cumsum(lengths)].astype(np.int64)),
+            [pa.ipc.open_stream(more).read_next_batch()] if more else [])
 
 
-def blocks_with(docs: DataFrame, answers: list[tuple[DataFrame, type]], use, schema: str, tasks: int | None = None) -> DataFrame:
+def blocks_with(docs: DataFrame, answers: list[tuple[DataFrame, type]], use, schema: str | StructType, tasks: int | None = None,
+                carry: bool = False) -> DataFrame:
     """``use(block, guard, ids, data, offsets, replies)`` returns record batches.
 
-    ``replies[k]`` maps each partition to the reply array of the k-th answer frame.
+    ``replies[k]`` maps each partition to the reply array of the k-th answer frame. With ``carry``
+    the columns of ``docs`` beside id and text travel with the texts and come last, as one record batch.
     """
-    frame = _with_texts(docs).withColumn("kind", F.lit(-1))
+    frame = _with_texts(docs, carry).withColumn("kind", F.lit(-1))
     for k, (rows, _) in enumerate(answers):
         frame = frame.unionByName(rows.withColumn("kind", F.lit(k)))
     frame = frame if tasks is None else frame.repartition(tasks, "block")
@@ -184,7 +200,8 @@ def blocks_with(docs: DataFrame, answers: list[tuple[DataFrame, type]], use, sch
                 replies[kind][part] = unpacked(payload, [kinds[kind]])[0]
         if texts is None:
             raise ValueError("a block has answers and no texts")
-        return pa.Table.from_batches([use(group.column("block")[0].as_py(), guards.pop(), *texts, replies)])
+        at, more = texts
+        return pa.Table.from_batches([use(group.column("block")[0].as_py(), guards.pop(), *at, replies, *more)])
     return frame.groupBy("block").applyInArrow(run, schema)
 
 

@@ -23,6 +23,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from plotline.llm import buffers, exchange
 from plotline.session import durable
@@ -154,9 +155,12 @@ def _read(payloads: list[bytes], kinds: list):
     return [*columns[:-1], _docs_of(columns[-1], starts[:-1])], starts
 
 
-def spans_removed(docs: DataFrame, use, schema: str) -> DataFrame:
-    """``use(ids, data, offsets, gone)`` makes the rows of a block; ``gone`` marks the bytes to remove."""
-    docs = exchange.documents(docs)
+def spans_removed(docs: DataFrame, use, schema: str | StructType, more: tuple[str, ...] = ()) -> DataFrame:
+    """``use(ids, data, offsets, gone)`` makes the rows of a block; ``gone`` marks the bytes to remove.
+
+    The columns ``more`` travel with the texts to the last step and come last, as one record batch.
+    """
+    docs = exchange.documents(docs, more=more)
     parts, tasks = exchange.dealing(docs)
 
     def first_keys(anchors: Anchors, ids: np.ndarray) -> Held:
@@ -204,7 +208,7 @@ def spans_removed(docs: DataFrame, use, schema: str) -> DataFrame:
         reply = (_smallest(rank, least) < least).astype(np.uint8)
         return [reply[a:b] for a, b in zip(starts[:-1], starts[1:])]
 
-    def finish(block, guard, ids, data, offsets, replies):
+    def finish(block, guard, ids, data, offsets, replies, *carried):
         anchors = Anchors(data, offsets)
         repeat, still = open_anchors(anchors, ids, replies[0])
         start, row, rank = anchors.windows(still)
@@ -214,12 +218,12 @@ def spans_removed(docs: DataFrame, use, schema: str) -> DataFrame:
         begins = np.r_[anchors.first[repeat], start[again]]
         ends = np.r_[anchors.last[repeat], start[again]] + SIZE
         depth = np.bincount(begins, minlength=len(data) + 1) - np.bincount(ends, minlength=len(data) + 1)
-        return use(ids, data, offsets, np.cumsum(depth[:len(data)]) > 0)
+        return use(ids, data, offsets, np.cumsum(depth[:len(data)]) > 0, *carried)
 
     first = durable(exchange.answered(exchange.asked(docs, ask_anchors), answer_anchors, tasks))
     open_windows = exchange.blocks_with(docs, [(first, np.uint8)], ask_windows, exchange.ROWS, tasks)
     second = durable(exchange.answered(open_windows, answer_windows, tasks))
-    return exchange.blocks_with(docs, [(first, np.uint8), (second, np.uint8)], finish, schema, tasks)
+    return exchange.blocks_with(docs, [(first, np.uint8), (second, np.uint8)], finish, schema, tasks, carry=bool(more))
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -243,8 +247,10 @@ def repeats(docs: DataFrame) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, the text left and the SHA-256 of the whole text of every document. A character goes only if all its bytes do."""
-    def use(ids, data, offsets, gone):
+    """Every document with the text left; its other columns come with it. A character goes only if all its bytes do."""
+    more = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+
+    def use(ids, data, offsets, gone, *carried):
         lead = (data & 0xC0) != 0x80
         char = np.cumsum(lead) - 1
         if len(data) and char[0] < 0:
@@ -252,7 +258,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
         kept = np.bincount(char, ~gone) > 0 if len(data) else np.zeros(0, bool)
         stays = kept[char] if len(data) else np.zeros(0, bool)
         upto = np.r_[0, np.cumsum(stays)][offsets]
-        was = [hashlib.sha256(data[a:b].tobytes()).hexdigest() for a, b in zip(offsets[:-1], offsets[1:])]
-        return pa.RecordBatch.from_arrays([pa.array(ids), buffers.strings(data[stays], upto).cast(pa.string()), pa.array(was, pa.string())],
-                                          names=["doc_id", "text", "was"])
-    return spans_removed(docs, use, "doc_id long, text string, was string")
+        left = [pa.array(ids), buffers.strings(data[stays], upto).cast(pa.string())]
+        return pa.RecordBatch.from_arrays([*left, *(c for batch in carried for c in batch.columns)], names=["doc_id", "text", *more])
+    schema = StructType([StructField("doc_id", LongType()), StructField("text", StringType()), *docs.select(*more).schema])
+    return spans_removed(docs, use, schema, more)

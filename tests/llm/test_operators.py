@@ -328,6 +328,18 @@ def test_pipeline_loses_no_text_without_a_decision(spark):
     assert sorted(map(tuple, corpus_pipeline.without_repeats(spark, both, FOLDER).collect())) == [(3, y), (5, ""), (5, x)]
 
 
+def test_pipeline_cuts_repeats_without_a_second_shuffle_of_texts(spark):
+    import corpus_pipeline
+    x, y = (" ".join(f"{c}{k}" for k in range(40)) for c in "xy")
+    given = spark.createDataFrame([(1, x, "a", [1, None], 5), (2, x + y, "b", None, None), (2, x + y, None, [], 7), (None, x, "c", [2], 1)],
+                                  "doc_id int, text string, text2 string, list array<int>, n_chars int").withColumnRenamed("text2", "c1")
+    out = corpus_pipeline.without_repeats(spark, given, FOLDER)
+    assert out.dtypes == given.dtypes
+    assert sorted(map(str, out.collect())) == sorted(map(str, spark.createDataFrame(
+        [(1, x, "a", [1, None], len(x)), (2, y, "b", None, len(y)), (2, y, None, [], len(y)), (None, x, "c", [2], 1)], out.schema).collect()))
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_pre_tokens_travel_with_a_space_behind_each():
     for keys in ([], [""], ["", "a", "", "\nb", "\u2581\u2581c", "\u00e9\u4e2d", ""]):
         column = pa.array(keys, pa.large_string())
