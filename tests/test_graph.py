@@ -47,6 +47,22 @@ def test_diff_of_equal_sets_is_empty_and_symmetric_edges_match(spark):
     assert [s[0] for s in states(spark, a, b)] == ["unchanged"]
 
 
+def test_diff_deals_edges_once_and_hot_change_sets_agree(spark):
+    import random
+    rng = random.Random(5)
+    def some(n):
+        return [edge(str(rng.randint(0, 9)), rng.choice(["requires", "uses"]), rng.choice("abcdefg"), rng.choice(["prop", "cast", None])) for _ in range(n)]
+    both = [spark.createDataFrame(some(60), EDGE).withColumn("change_set_id", F.expr("int(rand(3) * 4)")).withColumn(
+        "position", F.monotonically_increasing_id()) for _ in "ab"]
+    both = [spark.createDataFrame(b.collect(), b.schema) for b in both]
+    both[0] = both[0].unionByName(both[0].limit(2).withColumn("change_set_id", F.lit(None).cast("int")))
+    rows = lambda hot: sorted(map(str, diff.diff_edges(*both, hot_rows=hot).select("change_set_id", *diff.IDENTITY, "state", "new_object_key", "before", "after").collect()))
+    assert rows(None) == rows(0) == rows(30)
+    assert {x for x in ("unchanged", "changed", "removed", "added") if any(x in r for r in rows(None))} == {"unchanged", "changed", "removed", "added"}
+    plan = diff.diff_edges(*both)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Repartition") == 1
+
+
 FACT = ("assertion_id string, script_id int, subject_kind string, subject_entity_id int, subject_scene_id int, predicate string, "
         "object_kind string, object_entity_id int, object_scene_id int, source_unit_id string, confidence double, active boolean")
 
