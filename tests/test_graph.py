@@ -109,6 +109,20 @@ def test_orphans_ignore_uses_the_same_edit_removes(spark):
     assert [r.message for r in found] == ["Lamp is used in scene 2 but no longer introduced."]
 
 
+def test_listed_facts_compare_names_before_facts_meet_batches(spark):
+    edits = spark.createDataFrame([("b", 1, 1, "u1", 0, "the", "red lantern"), ("b", 1, 2, "u2", 1, "a", None), ("c", 2, 1, "u9", 0, "red lantern", "x"),
+                                   ("d", 1, 2, "u5", 0, "a", "b")], "batch_id string, script_id int, scene_id int, unit_id string, position int, "
+                                  "current_text string, proposed_text string")
+    facts = spark.createDataFrame([("f", 1, 5, 6, "u7", True), ("g", 2, None, 5, "u2", True), ("h", 1, None, 6, "u8", True), ("i", 1, None, 5, "u8", False),
+                                   ("j", 1, None, 7, "u8", True)], "assertion_id string, unit_scene_id int, subject_entity_id int, object_entity_id int, "
+                                  "source_unit_id string, active boolean")
+    surfaces = spark.createDataFrame([(1, 5, "Red Lantern"), (1, 6, "blue lantern"), (2, 7, "lantern"), (None, 6, "lantern"), (1, 6, "of")],
+                                     "script_id int, entity_id int, name string")
+    out = verdicts.listed_facts(edits, facts, surfaces)
+    assert sorted(map(tuple, out.collect())) == [("b", "f", 1), ("b", "g", 0), ("c", "j", 1)]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 3
+
+
 def test_merge_chain_and_skipped_pairs(spark):
     pairs = spark.createDataFrame([(1, 10, 11), (2, 12, 11), (3, 9, 10), (4, 11, 13), (5, 20, 21)],
                                   "position int, keep_id int, absorb_id int")
