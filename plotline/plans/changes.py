@@ -76,8 +76,11 @@ def apply_assertions(assertions: DataFrame, operations: DataFrame) -> DataFrame:
     # Only the keys that operations touch are looked up, not the whole table's.
     held = keyed.join(adds.select("script_id", "dedupe_key").distinct(), ["script_id", "dedupe_key"], "left_semi").groupBy(
         "script_id", "dedupe_key").agg(F.max_by("assertion_id", F.struct("active", "assertion_id")).alias("_row"))
-    found = durable(adds.join(held, ["script_id", "dedupe_key"], "left").withColumn(
-        "assertion_id", F.coalesce("_row", F.sha2(F.concat_ws("|", "script_id", "dedupe_key"), 256))))
+    fields = ["script_id", "subject_kind", "subject_entity_id", "subject_scene_id", "predicate",
+              "object_kind", "object_entity_id", "object_scene_id", "source_unit_id"]
+    found = durable(adds.join(held, ["script_id", "dedupe_key"], "left").select(
+        F.coalesce("_row", F.sha2(F.concat_ws("|", "script_id", "dedupe_key"), 256)).alias("assertion_id"),
+        F.col("_row").isNull().alias("_new"), "accepted_order", "sequence_index", "confidence", *fields))
     rises = found.select("assertion_id", order().alias("at"), F.lit(1).alias("step"),
                          F.lit(True).alias("on"), "confidence")
     drops = operations.filter(kind.isin("remove_assertion", "update_assertion")
@@ -96,9 +99,7 @@ def apply_assertions(assertions: DataFrame, operations: DataFrame) -> DataFrame:
     old = keyed.drop("dedupe_key").join(events, "assertion_id", "left").withColumns({
         "active": F.coalesce("_on", "active"), "confidence": F.coalesce("_conf", "confidence")}
     ).drop("_on", "_conf")
-    fields = ["script_id", "subject_kind", "subject_entity_id", "subject_scene_id", "predicate",
-              "object_kind", "object_entity_id", "object_scene_id", "source_unit_id"]
-    fresh = found.filter(F.col("_row").isNull()).groupBy("assertion_id").agg(
+    fresh = found.filter("_new").groupBy("assertion_id").agg(
         F.min_by(F.struct(*fields), order()).alias("e")).select("assertion_id", "e.*")
     fresh = fresh.join(events, "assertion_id").withColumns({"active": F.col("_on"),
                                                             "confidence": F.col("_conf")})

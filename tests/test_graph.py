@@ -86,6 +86,23 @@ def test_apply_then_undo_is_identity(spark):
     assert sorted(map(str, back.select(*base.columns).collect())) == sorted(map(str, base.collect()))
 
 
+def test_operations_of_repeated_lines_need_no_join_of_the_table_with_itself(spark):
+    from plotline.registry import changes as queries
+    from tests.test_queries import FOLDER
+    t = Tables(spark, FOLDER)
+    plain = t.lineitem.limit(300)
+    t.lineitem = spark.createDataFrame(plain.union(plain.limit(60).withColumns({
+        "l_quantity": F.lit(3.0), "l_returnflag": F.lit("R"), "l_shipdate": F.expr("l_shipdate + INTERVAL 9 DAYS")})).collect(), plain.schema)
+    got = queries.operations(t)
+    days = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1990-01-01").cast("date")).cast("long")
+    want = t.assertions.join(t.lineitem.select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("target_id"), "l_quantity",
+                                               days.alias("day")), F.col("target_id") == F.col("assertion_id")).filter("l_quantity > 40 OR l_quantity < 10")
+    kept = ["target_id", "predicate", "script_id", "subject_entity_id", "subject_scene_id"]
+    assert sorted(map(str, want.select(*kept, "day", (F.col("l_quantity") < 10).alias("up")).collect())) == sorted(map(str, got.select(
+        *kept, F.col("accepted_order").alias("day"), (F.col("operation_type") == "update_assertion").alias("up")).collect()))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+
+
 def test_update_reuses_the_row_of_an_existing_edge(spark):
     base = spark.createDataFrame([("a", 1, "scene", None, 1, "requires", "entity", 5, None, "u1", 0.9, True),
                                   ("b", 1, "scene", None, 1, "requires", "entity", 6, None, "u1", 0.8, False)], FACT)
