@@ -365,9 +365,9 @@ def changed_lines(scenes: DataFrame, units: DataFrame, assertions: DataFrame, en
     lines = units.join(changed.select("scene_id"), "scene_id", "left_semi").join(
         before, "predecessor_unit_id", "left").withColumn("before", F.coalesce("before", F.lit(""))).filter(
         "before <> text")
-    live = assertions.filter("active")
-    cited = endpoint_frame(live).join(live.select("assertion_id", "unit_scene_id"), "assertion_id").select(
-        F.col("unit_scene_id").alias("scene_id"), "entity_id").distinct()
+    # A fact's ends are told in its own row, which also has its scene.
+    ends = F.array_distinct(F.array_compact(F.array("subject_entity_id", "object_entity_id")))
+    cited = assertions.filter("active").select(F.col("unit_scene_id").alias("scene_id"), F.explode(ends).alias("entity_id")).distinct()
     edited = changed.join(lines.select("scene_id").distinct(), "scene_id", "left_semi")
     now = edited.select("scene_id").join(cited, "scene_id")
     past = edited.filter("predecessor_scene_id IS NOT NULL").select(

@@ -140,6 +140,20 @@ def test_listed_facts_compare_names_before_facts_meet_batches(spark):
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 3
 
 
+def test_changed_lines_tell_a_facts_ends_without_a_join(spark):
+    scenes = spark.createDataFrame([(1, 0, -1, "modified"), (2, 0, -2, "unchanged")], "scene_id int, script_id int, predecessor_scene_id int, lineage_kind string")
+    units = spark.createDataFrame([("u", 1, "new", "o"), ("o", -1, "old", None), ("v", 2, "new", "o")], "unit_id string, scene_id int, text string, "
+                                  "predecessor_unit_id string")
+    facts = spark.createDataFrame([("a", 3, 4, True, 1), ("b", None, 5, True, -1), ("c", None, 6, False, 1), ("d", 7, 7, True, 2)],
+                                  "assertion_id string, subject_entity_id int, object_entity_id int, active boolean, unit_scene_id int")
+    carried = spark.createDataFrame([(0, 50, 5), (0, 30, 3)], "script_id int, entity_id int, predecessor_entity_id int")
+    lines, affected = drafts.changed_lines(scenes, units, facts, carried)
+    assert [r.unit_id for r in lines.collect()] == ["u"]
+    assert sorted(map(tuple, affected.select("scene_id", "entity_id").collect())) == [(1, 3), (1, 4), (1, 50)]
+    # Per side: edited scenes with their lines (three) and their facts; and the carried entities.
+    assert affected._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 9
+
+
 def test_merge_chain_and_skipped_pairs(spark):
     pairs = spark.createDataFrame([(1, 10, 11), (2, 12, 11), (3, 9, 10), (4, 11, 13), (5, 20, 21)],
                                   "position int, keep_id int, absorb_id int")
