@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,11 +20,6 @@ MARGIN_NUMBER = (r"(?i)^([0-9]{1,4}[A-Za-z]{0,2})\s+((?:INT|EXT|EST|I/E)\b.*?)"
                  r"(?:\s+\1)?\s*$")
 
 
-def _page_order():
-    return Window.partitionBy("doc_id").orderBy("page", "pos").rowsBetween(
-        Window.unboundedPreceding, 0)
-
-
 def _segment(last: int):
     return Window.partitionBy("doc_id", "segment").orderBy("block").rowsBetween(
         Window.unboundedPreceding, last)
@@ -43,17 +40,32 @@ def rendered_lines(items: DataFrame) -> DataFrame:
         "pos", F.row_number().over(down) - 1).select("doc_id", "page", "pos", "x", "y", "text")
 
 
-def block_starts(rows: pd.DataFrame) -> pd.DataFrame:
-    """Which lines of one page open a block: the rule looks at the block's first line."""
-    rows = rows.sort_values("pos")
-    opens, edge, last = [], None, None
-    for x, y, solo in zip(rows["x"], rows["y"], rows["solo"], strict=True):
-        new = edge is None or solo or abs(last - y) > BLOCK_GAP or abs(x - edge) > COLUMN_SHIFT
-        opens.append(new)
-        edge = None if solo else (x if new else edge)
-        last = y
-    return pd.DataFrame({"doc_id": rows["doc_id"], "page": rows["page"], "pos": rows["pos"],
-                         "opens": opens})
+def block_numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The block each line belongs to: the rule looks at the block's first line.
+
+    Lines come by document, page and place; a page opens a block. What a document's last
+    line left travels on to the next batch.
+    """
+    doc = page = edge = last = None
+    block = -1
+    for batch in batches:
+        numbers = []
+        keys = [batch.column(c).to_pylist() for c in ("doc_id", "page", "solo")]
+        places = [batch.column(c).to_numpy(zero_copy_only=False).tolist() for c in ("x", "y")]
+        for d, p, solo, x, y in zip(*keys, *places, strict=True):
+            if d != doc:
+                block = -1
+            if d != doc or p != page:
+                doc, page, edge = d, p, None
+            if edge is None or solo or abs(last - y) > BLOCK_GAP or abs(x - edge) > COLUMN_SHIFT:
+                block += 1
+                edge = x
+            if solo:
+                edge = None
+            last = y
+            numbers.append(block)
+        kept = [batch.column(c) for c in ("doc_id", "page", "pos", "x", "y", "text")]
+        yield pa.RecordBatch.from_arrays([*kept, pa.array(numbers, pa.int64())], names=["doc_id", "page", "pos", "x", "y", "text", "block"])
 
 
 def looks_like_cue(text: Column) -> Column:
@@ -66,17 +78,16 @@ def positioned(rows: DataFrame, ocr: bool = False) -> tuple[DataFrame, DataFrame
     solo = F.col("text").rlike(MARGIN_NUMBER) | H.is_heading(F.col("text"))
     if ocr:
         solo = solo | looks_like_cue(F.col("text"))
-    key = rows.schema["doc_id"].dataType.simpleString()
-    marked = rows.select("doc_id", "page", "pos", "x", "y", solo.alias("solo"))
-    opens = marked.groupBy("doc_id", "page").applyInPandas(
-        block_starts, f"doc_id {key}, page long, pos int, opens boolean")
-    lines = rows.join(opens, ["doc_id", "page", "pos"])
-    block = F.sum(F.col("opens").cast("int")).over(_page_order())
+    marked = rows.select("doc_id", "page", "pos", "x", "y", "text", solo.alias("solo"))
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in marked.schema if f.name != "solo"]
+    # One pass over sorted partitions: a Python call a page costs far more than its lines.
+    lines = marked.repartition("doc_id").sortWithinPartitions("doc_id", "page", "pos").mapInArrow(
+        block_numbers, ", ".join([*kinds, "block long"]))
     edge = rows.groupBy("doc_id", (F.bround(F.col("x") / 5.0) * 5.0).alias("edge")).agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("page", "pos")).alias("at"))
     margin = edge.groupBy("doc_id").agg(F.max_by("edge", F.struct(
         "n", (-F.col("at.page")).alias("p"), (-F.col("at.pos")).alias("q"))).alias("margin"))
-    blocks = lines.withColumn("block", block - 1).groupBy("doc_id", "block").agg(
+    blocks = lines.groupBy("doc_id", "block").agg(
         F.min("x").alias("left"), F.max("y").alias("top"), F.min("y").alias("bottom"),
         F.min("page").alias("page"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "pos", "text"))),

@@ -2,6 +2,7 @@
 
 import codecs
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from plotline.sources import fdx, ingest, layout, parsing, stage, truth
@@ -219,3 +220,31 @@ def test_markdown_tables_without_divider_are_prose(spark):
     text = "# Scene 4 edges\n| a | b |\nnot a divider\n| Subject | Predicate | Object |\n|---|---|---|\n| Sc 4 | `uses` | Cup |\n"
     rows = truth.tables(one(spark, text)).collect()
     assert [(r.header, r.cells) for r in rows] == [(["Subject", "Predicate", "Object"], ["Sc 4", "`uses`", "Cup"])]
+
+
+def test_block_numbers_cross_batches(spark):
+    """Blocks are told line by line over batches of any size, without a Python call a page."""
+    rows = [(d, p, n, 72.0 + 70.0 * (n * d % 3 == 1), -30.0 * n + 18.0 * (n % 4 == 3), "INT. HALL - DAY" if n % 5 == 0 else "x", n % 5 == 0)
+            for d in (1, 2) for p in (1, 2, 3) for n in range(9)]
+    names = ["doc_id", "page", "pos", "x", "y", "text", "solo"]
+    whole = pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows])
+    told = []
+    for size in (1, 4, len(rows)):
+        batches = [whole.slice(i, size) for i in range(0, len(rows), size)]
+        told.append([n for b in layout.block_numbers(iter(batches)) for n in b.column("block").to_pylist()])
+    assert told[0] == told[1] == told[2]
+    want, seen = [], {}
+    for d in (1, 2):
+        block = -1
+        for r in (r for r in rows if r[0] == d):
+            if r[1] not in seen.setdefault(d, set()):
+                edge = None
+            seen[d].add(r[1])
+            if edge is None or r[6] or abs(last - r[4]) > layout.BLOCK_GAP or abs(r[3] - edge) > layout.COLUMN_SHIFT:
+                block, edge = block + 1, r[3]
+            edge, last = None if r[6] else edge, r[4]
+            want.append(block)
+    assert told[0] == want
+    frame = spark.createDataFrame([r[:6] for r in rows], "doc_id long, page long, pos int, x double, y double, text string")
+    _, units = layout.positioned(frame)
+    assert units.agg(F.max("block")).first()[0] == max(want)
