@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from plotline import vocab
 from plotline.functions import figures, headings, names, phrases, replies, similarity, typing, words
+from plotline.functions.text import evaluated
 from plotline.plans import continuity
 from plotline.registry import query
 from plotline.sources.tables import with_
@@ -52,7 +53,8 @@ def text_phrases(t):
 
 
 def derived(t, expression: str, name: str):
-    return text_phrases(t).select("doc_id", "pos", F.expr(expression.replace("\\", "\\\\")).alias(name))
+    """The phrases dressed as lines; the dress is worked out once for all that read it, filters too."""
+    return evaluated(text_phrases(t), name, F.expr(expression.replace("\\", "\\\\"))).select("doc_id", "pos", name)
 
 
 def _norm_sql(c: str) -> str:
@@ -110,7 +112,7 @@ CUE_SQL = rf"""c AS (SELECT doc_id, pos, replace(trim({CUE}), 'ẞ', 'SS') AS x
 @query("F5_parse_cue", rf"""WITH {CUE_SQL} SELECT doc_id, pos, name, extension, dual FROM m
     WHERE ok AND regexp_matches(name, '\p{{L}}')""")
 def f5(t):
-    return (derived(t, CUE, "line").select("doc_id", "pos", headings.cue(F.col("line")).alias("c"))
+    return (evaluated(derived(t, CUE, "line"), "c", headings.cue(F.col("line")))
             .filter("c IS NOT NULL").select("doc_id", "pos", "c.*"))
 
 
@@ -138,7 +140,7 @@ def _inline_ok(n: str) -> str:
       ok AND (upper(name) NOT IN ({_ABBR}) OR (iok AND {_inline_ok('iname')})) AS good FROM d)
     SELECT doc_id, pos, name, md5(speech) AS speech FROM e WHERE good AND {_inline_ok('name')}""")
 def f6(t):
-    return (derived(t, INLINE, "line").select("doc_id", "pos", headings.inline_cue(F.col("line")).alias("c"))
+    return (evaluated(derived(t, INLINE, "line"), "c", headings.inline_cue(F.col("line")))
             .filter("c IS NOT NULL").select("doc_id", "pos", "c.name", F.md5("c.speech").alias("speech")))
 
 
