@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 WHITESPACE = (" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0      "
               "          　")
 LINE_END = r"(?<=[\n\x0b\x0c\x1c\x1d\x1e\x85  ])|(?<=\r)(?!\n)"
+OTHER_END = "[\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x85\\u2028\\u2029]"
 
 
 def strip(c: Column) -> Column:
@@ -34,9 +35,15 @@ def one_of(c: Column, values: list[str]) -> Column:
 
 def split_lines(text: Column) -> Column:
     """Lines with their terminators; no empty tail after a final terminator."""
-    parts = F.split(text, LINE_END)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)
-                  ).otherwise(parts)
+    def whole(parts):
+        return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+
+    def plain(parts):
+        last = F.size(parts) - 1
+        ended = F.transform(parts, lambda x, i: F.when(i < last, F.concat(x, F.lit("\n"))).otherwise(x))
+        return bound(ended, whole)
+    # Most texts know one terminator, which splits without looking around at every character.
+    return F.when(~text.rlike(OTHER_END), bound(F.split(text, "\n"), plain)).otherwise(bound(F.split(text, LINE_END), whole))
 
 
 def word_ngrams(tokens: Column, sizes: list[int]) -> Column:
