@@ -33,17 +33,20 @@ def one_of(c: Column, values: list[str]) -> Column:
     return c.isin(*values)
 
 
+def split_feeds(text: Column) -> Column:
+    """Lines with their line feed, the only end they know; the last line has none and may be empty."""
+    def ended(parts):
+        last = F.size(parts) - 1
+        return F.transform(parts, lambda x, i: F.when(i < last, F.concat(x, F.lit("\n"))).otherwise(x))
+    return bound(F.split(text, "\n"), ended)
+
+
 def split_lines(text: Column) -> Column:
     """Lines with their terminators; no empty tail after a final terminator."""
     def whole(parts):
         return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
-
-    def plain(parts):
-        last = F.size(parts) - 1
-        ended = F.transform(parts, lambda x, i: F.when(i < last, F.concat(x, F.lit("\n"))).otherwise(x))
-        return bound(ended, whole)
     # Most texts know one terminator, which splits without looking around at every character.
-    return F.when(~text.rlike(OTHER_END), bound(F.split(text, "\n"), plain)).otherwise(bound(F.split(text, LINE_END), whole))
+    return F.when(~text.rlike(OTHER_END), bound(split_feeds(text), whole)).otherwise(bound(F.split(text, LINE_END), whole))
 
 
 def word_ngrams(tokens: Column, sizes: list[int]) -> Column:

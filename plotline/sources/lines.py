@@ -6,7 +6,9 @@ have a bounded input; every parser below shares this one shuffle by document.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plotline.functions.text import split_lines, strip
@@ -29,9 +31,9 @@ def whole_doc():
     return Window.partitionBy("doc_id")
 
 
-def lines(texts: DataFrame) -> DataFrame:
-    """doc_id, pos, raw, start (offset), line (no terminator), stripped."""
-    rows = texts.select("doc_id", F.posexplode(split_lines(F.col("text"))).alias("pos", "raw"))
+def lines(texts: DataFrame, split: Callable[[Column], Column] = split_lines) -> DataFrame:
+    """doc_id, pos, raw, start (offset), line (no terminator), stripped; ``split`` says where a line ends."""
+    rows = texts.select("doc_id", F.posexplode(split(F.col("text"))).alias("pos", "raw"))
     start = F.coalesce(F.sum(F.char_length("raw")).over(doc_before()), F.lit(0))
     return rows.withColumn("start", start).withColumn(
         "line", F.rtrim("raw", F.lit("\r\n"))).withColumn("stripped", strip(F.col("line")))

@@ -12,6 +12,9 @@ TABLES = {
     "F7_act_scene_ordinal": ("documents", [(3, "Vvx here. Mill", "en", "web", 14), (4, "Vvx. Xiv", "en", "web", 4)]),
     # A line of the text itself reads as a scene heading.
     "S3_detect_format": ("documents", [(1, "One line.\nEst aire ou non.", "fr", "web", 6), (2, "One line.", "fr", "web", 6)]),
+    # Only a line feed ends a line, and the last one has an empty line behind it.
+    "S4_line_offsets": ("documents", [(1, "", "en", "web", 0), (2, "One.\n", "en", "web", 5), (3, "\n\n", "en", "web", 2), (4, None, "en", "web", 0),
+                                      (5, "One\rtwo\u2028three\x0c\r\nÉ\U0001f600\x85.", "en", "web", 20)]),
     # A line of a turn is a cue with its speech.
     "S7_stage_play_units": ("conversations", [
         (1, 0, "user", "One.\nSS. Two here.\nThree."), (1, 1, "assistant", "MRS. HALL. Four.\nFive."), (1, 2, "user", "Six."), (1, 3, "user", "Seven.")]),
